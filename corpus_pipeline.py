@@ -3,10 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, sharding
+from wordloom.llm import decontamination, language, mixing, sharding, simhash
 from wordloom.llm.common import staged, table
 
+#: A document whose best language scores less is in none of the learned languages.
+LEAST_SCORE = 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a learned language; those without a letter, or unlike all languages, go.
+    Where no language can be learned, only the letters count."""
+    cols = docs.columns
+    model = language.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("__lang", language.predicted(F.col("text"), model, spark))
+    return found.where((F.col("__lang.lang_pred") != language.UNKNOWN) & (F.col("__lang.score") >= LEAST_SCORE)).select(*cols)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.distinct_documents(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequence in order: a document as often as the mix takes it."""
@@ -14,10 +39,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with shard and slot."""
     return sharding.shard(docs)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: The kernel classifier and the fingerprints can't be said in SQL.
 ORACLE_SQL = None
 
 

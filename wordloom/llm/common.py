@@ -61,3 +61,26 @@ def row_key() -> Column:
 def fits(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than limit + 1 of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node in edges (a, b), the root being the smallest node that
+    links reach. Rounds of large-star and small-star contraction; each is written to the
+    shared folder. A row moves per link and round, never a group."""
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+    a, b = F.col("a"), F.col("b")
+    now = staged(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
+    seen = mark(now)
+    while True:
+        both = now.union(now.select("b", "a"))
+        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        rest = large.join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        after = staged(rest.union(low).distinct(), "links")
+        discard(now)
+        now, before, seen = after, seen, mark(after)
+        if before == seen:
+            return now.select(a.alias("node"), b.alias("root"))

@@ -1,15 +1,23 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
-from . import line_dedup, mixing, quality, sharding
+from . import decontamination, extraction, language, line_dedup, mixing, quality, sharding, simhash, tokenids, warc
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
+    "op3_extraction": extraction.op3_extraction,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
+    "op8_token_ids": tokenids.op8_token_ids,
     "op9_quality": quality.op9_quality,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_mixing": mixing.SQL,
+    "op5_decontamination": decontamination.SQL,
+    "op6_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
