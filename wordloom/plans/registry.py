@@ -1,4 +1,448 @@
-"""Queries and oracle SQL by name."""
+"""Queries over the driver's tables, by name, with oracle SQL where SQL can say them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.functions import orthography as o
+from wordloom.functions.local import local
+from wordloom.operators import analyze as an
+from wordloom.operators import automata, baselines, build, evaluate, generate, stats, tokens
+from wordloom.operators import segment as sg
+
+from . import oracle as q
+from .tables import CLOSED, lexeme, rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.word_counts(docs(spark, sf_dir))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts(spark, sf_dir).select(F.col("item").alias("word"))
+
+
+def text_of(c: str, sep: str = "|"):
+    return F.array_join(c, sep).alias(c)
+
+
+def weight():
+    return F.round(F.col("weight").cast("double"), 5).alias("weight")
+
+
+WORDS = "SELECT item AS word FROM counts"
+U = rf"WITH {q.counted()}"
+FOLD = q.FOLD
+_ANALYSIS = "word, stem, pos, array_to_string(features, ' ') AS features, round(weight::DOUBLE, 5) AS weight, prefix, array_to_string(deriv, ' ') AS deriv, derived_pos, rank"
+_RECORD = "word, rank, array_to_string(pieces, '|') AS pieces, array_to_string(labels, '|') AS labels, lemma, alt, source, gate, n_analyses, round(weight::DOUBLE, 5) AS weight, demoted, promotable"
+
+
+def analysis_columns(df: DataFrame) -> DataFrame:
+    return df.select("word", "stem", "pos", text_of("features", " "), weight(), "prefix", text_of("deriv", " "), "derived_pos", "rank")
+
+
+def record_columns(df: DataFrame) -> DataFrame:
+    return df.select("word", "rank", text_of("pieces"), text_of("labels"), "lemma", "alt", "source", "gate", "n_analyses", weight(), "demoted", "promotable")
+
+
+# Corpus statistics
+
+
+@query(rf"WITH {q.counted()} SELECT item, count(*) AS cnt, regexp_matches(item, '^[\p{{L}}\p{{Nl}}\p{{No}}]+$') AS is_word FROM units GROUP BY item")
+def unit_counts(spark, sf_dir):
+    return stats.unit_counts(docs(spark, sf_dir))
+
+
+@query(U + " SELECT item, cnt FROM counts")
+def word_types(spark, sf_dir):
+    return counts(spark, sf_dir)
+
+
+@query(U + """, w AS (SELECT lower(item) AS word, sum(cnt)::BIGINT AS cnt FROM counts GROUP BY 1 HAVING regexp_matches(lower(item), '^[a-z]+$'))
+SELECT word, cnt, round(log10(cnt * 1e9::DOUBLE / (SELECT sum(cnt) FROM w)), 2) AS zipf FROM w""")
+def zipf_table(spark, sf_dir):
+    return stats.zipf_table(counts(spark, sf_dir))
+
+
+@query(U + " SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(item, '')) AS ch FROM units) WHERE ch <> '' GROUP BY ch")
+def alphabet(spark, sf_dir):
+    return stats.alphabet(docs(spark, sf_dir))
+
+
+@query(U + r""", u AS (SELECT item, count(*) AS cnt, regexp_matches(item, '^[\p{L}\p{Nl}\p{No}]+$') AS w FROM units GROUP BY item)
+SELECT (SELECT count(text) FROM documents) AS documents, (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM documents) AS lines, (SELECT sum(octet_length(encode(text)))::BIGINT FROM documents) AS bytes,
+  sum(cnt)::BIGINT AS units, count(*) AS unit_types, (sum(cnt) FILTER (w))::BIGINT AS word_tokens, count(*) FILTER (w) AS word_types,
+  (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split(item, '')) AS ch FROM units) WHERE ch <> '') AS alphabet FROM u""")
+def corpus_scalars(spark, sf_dir):
+    return stats.scalars(docs(spark, sf_dir))
+
+
+@query(U + rf", closed AS ({q.values([(w,) for w in CLOSED], 'word')}) SELECT lower(item) IN (SELECT word FROM closed) AS closed, sum(cnt)::BIGINT AS tokens, count(*) AS types FROM counts GROUP BY 1")
+def closed_class_share(spark, sf_dir):
+    closed = local(spark, [(w, True) for w in CLOSED], "word string, closed boolean")
+    rows = counts(spark, sf_dir).withColumn("word", F.lower("item")).join(F.broadcast(closed), "word", "left")
+    return rows.groupBy(F.coalesce("closed", F.lit(False)).alias("closed")).agg(F.sum("cnt").alias("tokens"), F.count("*").alias("types"))
+
+
+@query(r"SELECT lower(t) AS item, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM benchmark WHERE NOT regexp_matches(text, '[''’]')) GROUP BY 1")
+def apostrophe_tokens(spark, sf_dir):
+    return tokens.corpus_counts(docs(spark, sf_dir, "benchmark").where(~F.col("text").rlike("['’]")))
+
+
+@query(rf"""WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, text FROM documents), u AS (SELECT split, unnest(regexp_extract_all(text, '{q.UNITS}')) AS unit FROM s)
+SELECT split, count(*) AS units, count(DISTINCT unit) AS types FROM u GROUP BY split""")
+def split_stats(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train"))
+    return tokens.unit_stream(d, "split").groupBy("split", "unit").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("units"), F.count("*").alias("types"))
+
+
+@query(rf"WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{q.UNITS}')) AS item FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{q.UNITS}')) AS item FROM benchmark) "
+       "SELECT (SELECT count(*) FROM a) AS documents, (SELECT count(*) FROM b) AS benchmark, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS both_sides, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS benchmark_only, (SELECT count(*) FROM (FROM a UNION FROM b)) AS any_side")
+def vocabulary_sets(spark, sf_dir):
+    """Union, intersection and difference of two vocabularies, from one aggregation."""
+    both = [stats.unit_counts(docs(spark, sf_dir, t)).select("item", F.lit(t == "documents").alias("in_documents")) for t in ("documents", "benchmark")]
+    sides = both[0].unionByName(both[1]).groupBy("item").agg(F.bool_or("in_documents").alias("a"), F.bool_or(~F.col("in_documents")).alias("b"))
+    return sides.agg(F.count_if("a").alias("documents"), F.count_if("b").alias("benchmark"), F.count_if(F.col("a") & F.col("b")).alias("both_sides"), F.count_if(~F.col("a")).alias("benchmark_only"), F.count("*").alias("any_side"))
+
+
+@query()
+def line_sample(spark, sf_dir):
+    """A sampling operator: exactly 200 lines, the same each time."""
+    return stats.sample_lines(docs(spark, sf_dir), 200, seed=1)
+
+
+# Analysis and segmentation
+
+
+@query(q.analysis("SELECT h.word, h.stem, h.pos, h.tail FROM hits h WHERE kind = 0", WORDS))
+def stem_lookup(spark, sf_dir):
+    low = words(spark, sf_dir).select(o.ascii_lower(F.col("word")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    # The oracle reads remainders under prefixes too.
+    starts = [F.when(F.col("word").startswith(p) & (F.length("word") >= len(p) + 2), F.substring(F.col("word"), F.lit(len(p) + 1), F.length("word"))) for p, _ in q.r.PREFIXES]
+    every = low.select(F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("word")).distinct()
+    return an.endings(every).where("kind = 0").join(rules(spark).lexeme, F.col("cand") == F.col("stem")).select("word", "stem", "pos", "tail")
+
+
+@query(q.analysis("SELECT word, stem, pos, features[1] AS tag FROM stored", WORDS))
+def irregular_lookup(spark, sf_dir):
+    low = words(spark, sf_dir).select(o.ascii_lower(F.col("word")).alias("word")).distinct()
+    starts = [F.when(F.col("word").startswith(p) & (F.length("word") >= len(p) + 2) & F.col("word").rlike("^[a-z]+$"), F.substring(F.col("word"), F.lit(len(p) + 1), F.length("word"))) for p, _ in q.r.PREFIXES]
+    every = low.select(F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("word")).distinct()
+    return an.stored(every, rules(spark)).select("word", "stem", "pos", F.element_at("features", 1).alias("tag"))
+
+
+@query(q.analysis(f"SELECT {_ANALYSIS} FROM analyses", WORDS))
+def analyses(spark, sf_dir):
+    return analysis_columns(an.analyze(words(spark, sf_dir), rules(spark)))
+
+
+@query(q.analysis("SELECT word, stem, array_to_string(features, ' ') AS features, array_to_string(deriv, ' ') AS deriv FROM analyses WHERE len(features) = 1 AND prefix = '' AND len(deriv) = 0", WORDS))
+def inflections(spark, sf_dir):
+    found = an.analyze(words(spark, sf_dir), rules(spark), allow_prefix=False)
+    return found.where("size(features) = 1 and size(deriv) = 0").select("word", "stem", text_of("features", " "), text_of("deriv", " "))
+
+
+@query(q.analysis("SELECT len(deriv) AS layers, array_to_string(deriv, ' ') AS deriv, derived_pos, count(*) AS n FROM analyses WHERE len(deriv) > 0 GROUP BY ALL", WORDS))
+def derivations(spark, sf_dir):
+    return an.analyze(words(spark, sf_dir), rules(spark)).where("size(deriv) > 0").groupBy(F.size("deriv").alias("layers"), text_of("deriv", " "), "derived_pos").agg(F.count("*").alias("n"))
+
+
+@query(q.analysis("SELECT prefix, pos, count(*) AS n, count(DISTINCT word) AS types FROM analyses WHERE prefix <> '' GROUP BY prefix, pos", WORDS))
+def prefix_strip(spark, sf_dir):
+    return an.analyze(words(spark, sf_dir), rules(spark)).where("prefix <> ''").groupBy("prefix", "pos").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
+
+
+@query(q.analysis("""SELECT word, count(*) AS n, CASE count(*) WHEN 1 THEN word || ' → ' || min(s) ELSE word || ' →' || chr(10) || '    ' || string_agg(s, chr(10) || '    ' ORDER BY rank) END AS text
+FROM (SELECT word, rank, CASE WHEN prefix <> '' THEN prefix || '+' ELSE '' END || array_to_string(list_concat(list_concat(list_concat([stem], deriv), ['+' || pos]), features), ' ') AS s FROM analyses) GROUP BY word""", WORDS))
+def analysis_text(spark, sf_dir):
+    return an.analysis_text(an.analyze(words(spark, sf_dir), rules(spark)))
+
+
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs", WORDS))
+def segment_default(spark, sf_dir):
+    return record_columns(sg.segment(words(spark, sf_dir), rules(spark)))
+
+
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs", WORDS, derived_first=True))
+def segment_derived_first(spark, sf_dir):
+    return record_columns(sg.segment(words(spark, sf_dir), rules(spark), derived_first=True))
+
+
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs WHERE rank <= 3", WORDS))
+def nbest(spark, sf_dir):
+    return record_columns(sg.segment(words(spark, sf_dir), rules(spark), nbest=3))
+
+
+_COVER = """SELECT gate, sum(cnt)::BIGINT AS tokens, count(*) AS types, round(sum(cnt) / (SELECT sum(cnt) FROM counts), 6) AS token_share, round(count(*) / (SELECT count(*) FROM counts), 6) AS type_share
+FROM counts JOIN segs ON item = word WHERE rank = 1 GROUP BY gate"""
+
+
+@query(q.segmentation(_COVER, WORDS))
+def coverage_by_gate(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    return stats.coverage(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+
+
+@query(q.segmentation("SELECT item, cnt FROM counts JOIN segs ON item = word WHERE gate = 'no_analysis' ORDER BY cnt DESC, item LIMIT 20", WORDS))
+def top_fallback(spark, sf_dir):
+    """A top-k report."""
+    c = counts(spark, sf_dir)
+    return stats.top_fallback(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+
+
+@query("SELECT NULL::VARCHAR AS word, NULL::VARCHAR AS why LIMIT 0")
+def invariant_violations(spark, sf_dir):
+    return sg.violations(sg.segment(words(spark, sf_dir), rules(spark))).select("word", "why")
+
+
+@query()
+def segment_jsonl(spark, sf_dir):
+    return sg.jsonl(sg.segment(words(spark, sf_dir), rules(spark), nbest=2), nbest=2)
+
+
+# Text mode
+
+_T = r"""t AS (SELECT item_id, text, regexp_extract_all(text, '(\s*)([\p{L}\p{M}]+|\S)', 2) AS toks, regexp_extract_all(text, '(\s*)([\p{L}\p{M}]+|\S)', 1) AS gaps FROM b)"""
+#: Texts in which no token has more than a word or a mark in it, so one RE2 alternation reads them alike.
+_PLAIN = r"NOT regexp_matches(text, '[0-9]|\p{L}[-''’]\p{L}|\.\p{L}|\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|Inc|Ltd|Co|No|Vol|Fig)\.')"
+
+
+def plain(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[0-9]|\p{L}[-'’]\p{L}|\.\p{L}|\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|Inc|Ltd|Co|No|Vol|Fig)\."))
+
+
+@query(rf"""WITH b AS (SELECT * FROM benchmark WHERE {_PLAIN}), {_T}, e AS (SELECT item_id, unnest(toks) AS text, unnest(gaps) AS ws_before, unnest(range(len(toks))) AS pos FROM t)
+SELECT item_id, pos, text, CASE WHEN regexp_matches(text, '^[\p{{L}}\p{{M}}]+$') THEN 'WORD' ELSE 'PUNCT' END AS kind,
+  (sum(length(ws_before) + length(text)) OVER (PARTITION BY item_id ORDER BY pos) - length(text))::INT AS start, ws_before FROM e""")
+def text_tokens(spark, sf_dir):
+    return tokens.tokens(plain(spark, sf_dir), "item_id").where("kind <> 'TAIL'")
+
+
+@query("SELECT item_id, text FROM benchmark")
+def whitespace_roundtrip(spark, sf_dir):
+    return tokens.rebuilt(tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id"), "item_id")
+
+
+@query(rf"""WITH b AS (SELECT * FROM benchmark WHERE {_PLAIN}), {_T}, e AS (SELECT item_id, unnest(toks) AS text, unnest(range(len(toks))) AS pos FROM t),
+s AS (SELECT *, sum(CASE WHEN text IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM e)
+SELECT item_id, dense_rank() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0)) - 1 AS sentence, pos, text AS word FROM s WHERE regexp_matches(text, '^[A-Za-z]+$')""")
+def sentence_words(spark, sf_dir):
+    return tokens.sentences(tokens.tokens(plain(spark, sf_dir), "item_id"), "item_id")
+
+
+@query()
+def segmented_text(spark, sf_dir):
+    out = tokens.segmented_text(docs(spark, sf_dir, "conversations").selectExpr("concat(conv_id, ':', turn) doc_id", "text"), rules(spark))
+    return out.select("doc_id", "pos", "text", "kind", "ws_before", text_of("pieces"), "gate")
+
+
+# Lexicon
+
+
+@query(f"WITH {q.TABLES} SELECT (SELECT count(*) FROM lex) AS lexemes, count(DISTINCT p) + 1 AS states, count(DISTINCT p) AS transitions FROM (SELECT unnest(list_transform(range(1, length(stem) + 1), lambda i: stem[:i])) AS p FROM lex)")
+def trie_size(spark, sf_dir):
+    from wordloom.sources.lexicon import load_stats
+
+    return load_stats(lexeme(spark))
+
+
+@query(f"""WITH {q.TABLES}, par AS ({q.values(q.r.PARADIGM, 'pos, eff, tag, ending, cut, doubles')}),
+forms AS (
+  SELECT lex_id, stem AS surface, 'citation' AS origin FROM lex
+  UNION ALL SELECT l.lex_id, l.stem[:length(l.stem) - p.cut] || CASE WHEN p.doubles THEN l.stem[-1:] ELSE '' END || p.ending, p.tag FROM lex l JOIN par p ON l.pos = p.pos AND l.eff = p.eff
+    WHERE NOT EXISTS (SELECT 1 FROM irr WHERE irr.lex_id = l.lex_id AND irr.tag = p.tag)
+      AND (l.dknown OR NOT ((p.pos = 'V' AND p.tag IN ('+PAST', '+PRES_PART') AND p.eff IN ('REG', 'SIBILANT', 'SILENT_E')) OR (p.pos = 'ADJ' AND p.eff IN ('REG', 'SIBILANT'))))
+  UNION ALL SELECT lex_id, form, 'irregular ' || tag FROM irr
+  UNION ALL SELECT lex_id, unnest(list_filter([stem || suffix, CASE WHEN yrest AND sc = 'Y_FINAL' AND stem[-1:] = 'y' THEN stem[:-2] || 'i' || suffix END,
+      CASE WHEN sc = 'SILENT_E' AND stem[-1:] = 'e' AND (suffix[1] IN ('a','e','i','o','u') OR stem[:-2] || suffix IN ({', '.join(map(q.lit, o.E_DELETION))})) THEN stem[:-2] || suffix END,
+      CASE WHEN sc = 'DOUBLE_CONS' AND suffix[1] IN ('a','e','i','o','u') THEN stem || stem[-1:] || suffix END], lambda x: x IS NOT NULL)), 'deriv -' || suffix
+    FROM lex l JOIN deriv d ON list_contains(d.sources, l.pos) AND (len(d.classes) = 0 OR list_contains(d.classes, l.sc)) AND length(l.stem) >= d.min_stem
+  UNION ALL SELECT lex_id, unnest(['un' || stem, 're' || stem]), unnest(['prefix un-', 'prefix re-']) FROM lex WHERE pos <> 'FUNC' AND length(stem) >= 2)
+SELECT lex_id, surface, origin FROM forms""")
+def generated_forms(spark, sf_dir):
+    return generate.generated_forms(rules(spark)).select("lex_id", "surface", "origin")
+
+
+@query()
+def selfcheck(spark, sf_dir):
+    """Unread forms by cause. Stems of three letters or less and classes that a spelling contradicts leave some."""
+    return generate.selfcheck(rules(spark)).select("origin", "n", text_of("examples", " "))
+
+
+def entries(spark, sf_dir) -> DataFrame:
+    """Dictionary entries made of the words that a table holds with and without an ending."""
+    low = counts(spark, sf_dir).groupBy(F.lower("item").alias("word")).agg(F.sum("cnt").alias("cnt")).where(F.col("word").rlike("^[a-z]{2,}$"))
+    pairs = low.select("word").crossJoin(F.broadcast(local(spark, [("s", ["plural"], "noun"), ("ed", ["past"], "verb"), ("ing", ["present", "participle"], "verb"), ("er", ["comparative"], "adj")], "ending string, tags array<string>, pos string")))
+    pairs = pairs.withColumn("form", F.concat("word", "ending")).join(low.select(F.col("word").alias("form")), "form", "left_semi")
+    listed = pairs.groupBy("word", "pos").agg(F.collect_list(F.struct("form", "tags")).alias("forms"))
+    bare = low.select("word", F.lit("noun").alias("pos"), F.array().cast("array<struct<form:string,tags:array<string>>>").alias("forms"))
+    return listed.select("word", "pos", "forms").unionByName(bare)
+
+
+_BUILD = f"""low AS (SELECT lower(item) AS word, sum(cnt) AS cnt FROM counts GROUP BY 1 HAVING regexp_matches(lower(item), '^[a-z]{{2,}}$')),
+freq AS (SELECT word, round(log10(cnt * 1e9::DOUBLE / (SELECT sum(cnt) FROM (SELECT lower(item) AS w, cnt FROM counts) WHERE regexp_matches(w, '^[a-z]+$'))), 2) AS zipf FROM low),
+e AS ({q.values([("s", "PLURAL", "noun"), ("ed", "PAST", "verb"), ("ing", "PRES_PART", "verb"), ("er", "COMP", "adj")], 'ending, feature, pos')}),
+listed AS (SELECT l.word, e.pos, e.feature, l.word || e.ending AS form FROM low l, e WHERE l.word || e.ending IN (SELECT word FROM low)),
+heads0 AS (SELECT DISTINCT word, pos FROM listed UNION SELECT word, 'noun' FROM low),
+heads AS (SELECT * FROM heads0 h WHERE NOT ((word, pos) IN (SELECT (form, pos) FROM listed) AND (word, pos) NOT IN (SELECT (word, pos) FROM listed))),
+pred AS ({q.values(build.PREDICTED, 'pos, stem_class, feature, ending, cut, doubles')}),
+ords AS ({q.values([("SIBILANT", 0), ("Y_FINAL", 1), ("SILENT_E", 2), ("DOUBLE_CONS", 3), ("REG", 4)], 'stem_class, ord')}),
+cls AS (SELECT h.word, h.pos, o.stem_class, o.ord FROM heads h, ords o WHERE CASE o.stem_class WHEN 'SIBILANT' THEN h.pos IN ('noun', 'verb') AND regexp_matches(h.word, '([szxo]|ch|sh)$') WHEN 'Y_FINAL' THEN regexp_matches(h.word, '[^aeiou]y$')
+  WHEN 'SILENT_E' THEN h.pos IN ('verb', 'adj') AND regexp_matches(h.word, '.[^aeio]e$') WHEN 'DOUBLE_CONS' THEN h.pos IN ('verb', 'adj') AND regexp_matches(h.word, '[^aeiou][aeiou][^aeiouywx]$') ELSE TRUE END),
+made AS (SELECT c.*, p.feature, c.word[:length(c.word) - p.cut] || CASE WHEN p.doubles THEN c.word[-1:] ELSE '' END || p.ending AS predicted FROM cls c JOIN pred p USING (pos, stem_class)),
+scored AS (SELECT c.word, c.pos, c.stem_class, c.ord, count(*) FILTER (l.form = m.predicted) AS hits,
+    coalesce(string_agg(l.feature || '=' || l.form, ' ' ORDER BY l.feature) FILTER (m.predicted IS NULL OR l.form <> m.predicted), '') AS stored
+  FROM cls c JOIN listed l ON c.word = l.word AND c.pos = l.pos LEFT JOIN made m ON m.word = c.word AND m.pos = c.pos AND m.stem_class = c.stem_class AND m.feature = l.feature GROUP BY ALL),
+best AS (SELECT word, pos, arg_max(stem_class, hits * 10 - ord) AS stem_class, arg_max(stored, hits * 10 - ord) AS stored FROM scored GROUP BY word, pos),
+built AS (SELECT h.word, h.pos, coalesce(b.stem_class, 'UNKNOWN') AS stem_class, coalesce(b.stored, '') AS stored, coalesce(f.zipf, 0) AS zipf, round(least(1.3::DOUBLE, greatest(0.7::DOUBLE, 0.7::DOUBLE + 0.075::DOUBLE * coalesce(f.zipf, 0))), 2) AS weight
+  FROM heads h LEFT JOIN best b ON h.word = b.word AND h.pos = b.pos LEFT JOIN freq f ON h.word = f.word)"""
+
+
+def built(spark, sf_dir) -> DataFrame:
+    return build.build_lexicon(entries(spark, sf_dir), stats.zipf_table(counts(spark, sf_dir)).select("word", "zipf"))
+
+
+@query(f"{U}, {_BUILD} SELECT word, pos, stem_class, stored, zipf, weight FROM built")
+def lexicon_build(spark, sf_dir):
+    stored = F.array_join(F.array_sort(F.transform(F.map_entries("irregular"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
+    return built(spark, sf_dir).select("word", "pos", "stem_class", stored.alias("stored"), "zipf", "weight")
+
+
+@query(f"{U}, {_BUILD} SELECT word, pos FROM heads0 EXCEPT SELECT word, pos FROM heads")
+def form_of_drop(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return build.form_of(build.headwords(e), build.listed_forms(e))
+
+
+@query(f"{U}, {_BUILD}, top AS (SELECT DISTINCT word, zipf FROM built ORDER BY zipf DESC, word LIMIT 500) SELECT word, pos, zipf FROM built WHERE word IN (SELECT word FROM top)")
+def lexicon_top_words(spark, sf_dir):
+    """Top-N words, a feature of its own: all rows of the 500 commonest."""
+    return build.top_words(built(spark, sf_dir), 500).select("word", "pos", "zipf")
+
+
+@query(f"{U}, {_BUILD} SELECT stem_class, count(*) AS n, round(count(*) / (SELECT count(*) FROM built), 6) AS share FROM built GROUP BY stem_class")
+def class_histogram(spark, sf_dir):
+    return build.histogram(built(spark, sf_dir), "stem_class")
+
+
+# Evaluation: gold is every word of the tables that ends in an ending after three letters, cut there.
+
+_GOLD = "gold AS (SELECT item AS word, [item[:length(item) - length(e)], e] AS pieces FROM counts, (SELECT unnest(['s', 'ed', 'ing', 'er', 'ly', 'ness', 'ment']) AS e) WHERE regexp_matches(item, '^[a-z]+$') AND suffix(item, e) AND length(item) - length(e) >= 2)"
+_SCORED = """, pairs AS (SELECT g.word, g.pieces AS gp, s.pieces, s.gate, list_transform(range(1, len(s.pieces)), lambda i: length(array_to_string(s.pieces[:i], ''))) AS a, list_transform(range(1, len(g.pieces)), lambda i: length(array_to_string(g.pieces[:i], ''))) AS b
+  FROM gold g JOIN segs s ON g.word = s.word AND s.rank = 1),
+tp AS (SELECT *, len(list_intersect(a, b)) AS tp FROM pairs),
+sc AS (SELECT *, len(a) - tp AS fp, len(b) - tp AS fn, pieces = gp AS exact FROM tp),
+one AS (SELECT *, bool_or(exact) OVER (PARTITION BY word) AS any_exact, row_number() OVER (PARTITION BY word ORDER BY tp DESC, fn, gp) AS k FROM sc)"""
+_RATES = """count(*) AS n, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) FILTER (any_exact) AS exact,
+  round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 6) AS precision, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 6) AS recall,
+  round(coalesce(2 * coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0) * coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0) / nullif(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0) + coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 0), 0), 6) AS f1,
+  round(count(*) FILTER (any_exact) / count(*), 6) AS exact_rate"""
+ENDINGS = ["s", "ed", "ing", "er", "ly", "ness", "ment"]
+
+
+def gold_of(c: DataFrame) -> DataFrame:
+    cut = [F.when(F.col("item").endswith(e) & (F.length("item") - len(e) >= 2), F.array(F.substring(F.col("item"), F.lit(1), F.length("item") - len(e)), F.lit(e))) for e in ENDINGS]
+    return c.where(F.col("item").rlike("^[a-z]+$")).select(F.col("item").alias("word"), F.explode(F.array_compact(F.array(*cut))).alias("pieces"))
+
+
+def scored_gold(spark, sf_dir) -> DataFrame:
+    c = counts(spark, sf_dir)
+    best = sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1)
+    return evaluate.scored(best, gold_of(c))
+
+
+@query(q.segmentation(f"SELECT gate, {_RATES} FROM one WHERE k = 1 GROUP BY gate UNION ALL SELECT 'ALL', {_RATES} FROM one WHERE k = 1", WORDS, more=f", {_GOLD}{_SCORED}"))
+def boundary_scores(spark, sf_dir):
+    return evaluate.boundary_scores(scored_gold(spark, sf_dir))
+
+
+@query(q.segmentation(f"SELECT gp[2] AS suffix, {_RATES} FROM one WHERE k = 1 GROUP BY 1", WORDS, more=f", {_GOLD}{_SCORED}"))
+def suffix_report(spark, sf_dir):
+    rows = scored_gold(spark, sf_dir).withColumn("suffix", F.element_at("gold_pieces", 2))
+    return evaluate.suffix_scores(rows)
+
+
+@query()
+def recall_gap(spark, sf_dir):
+    free = counts(spark, sf_dir).select(F.lower("item").alias("word"))
+    return evaluate.recall_gap(scored_gold(spark, sf_dir), free, local(spark, [(e,) for e in ENDINGS], "affix string"))
+
+
+@query(f"""{U}, {_GOLD}, closed AS ({q.values([(w,) for w in CLOSED], 'word')}), g AS (SELECT word, pieces[1] AS measured FROM gold)
+SELECT CASE WHEN length(measured) < 3 THEN 'short' WHEN measured NOT IN (SELECT item FROM counts) THEN 'no lemma' WHEN word IN (SELECT word FROM closed) THEN 'closed class' ELSE 'kept' END AS reason, count(*) AS n FROM g GROUP BY 1""")
+def gold_filter(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    g = gold_of(c).select(F.col("word").alias("form"), F.element_at("pieces", 1).alias("measured"))
+    return evaluate.reasons(evaluate.filtered_gold(g, c.select(F.col("item").alias("word")), local(spark, [(w,) for w in CLOSED], "word string")))
+
+
+@query(q.segmentation("""SELECT sum(cnt)::BIGINT AS tokens, count(*) AS types, round(sum(len(pieces) * cnt) / sum(cnt), 6) AS pieces_per_token, round(avg(len(pieces)), 6) AS pieces_per_type, round(sum(length(item) * cnt) / sum(len(pieces) * cnt), 6) AS chars_per_piece,
+  round(1000 * sum(len(pieces) * cnt) / sum(octet_length(encode(item)) * cnt), 6) AS pieces_per_kb, 1.0::DOUBLE AS round_trip, (SELECT count(DISTINCT p) FROM (SELECT unnest(pieces) AS p FROM segs WHERE rank = 1)) AS distinct_pieces
+FROM counts JOIN segs ON item = word WHERE rank = 1""", WORDS))
+def compression_metrics(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    return evaluate.compression(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+
+
+@query(q.segmentation("""SELECT count(*) AS words, 1.0::DOUBLE AS round_trip, round(count(*) FILTER (source = 'fst') / count(*), 6) AS covered, round(sum(len(pieces)) / count(*), 6) AS fertility, round(sum(length(word)) / sum(len(pieces)), 6) AS chars_per_piece,
+  round(sum(octet_length(encode(word))) / sum(len(pieces)), 6) AS bytes_per_piece, round(avg(length(word)), 6) AS chars_per_word FROM segs WHERE rank = 1""", WORDS))
+def intrinsic_metrics(spark, sf_dir):
+    return evaluate.intrinsic(sg.segment(words(spark, sf_dir), rules(spark), nbest=1))
+
+
+@query()
+def policy_diff(spark, sf_dir):
+    """Words of the gold by what the other ranking policy makes of them."""
+    c = counts(spark, sf_dir)
+    w, r = c.select(F.col("item").alias("word")), rules(spark)
+    rows = evaluate.policy_verdicts(sg.segment(w, r, nbest=1), sg.segment(w, r, derived_first=True, nbest=1), gold_of(c))
+    return rows.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def system_ranking(spark, sf_dir):
+    """Segmentation and a public vocabulary, ranked by compression figures."""
+    import public_tokenizers
+
+    c = counts(spark, sf_dir)
+    w = c.select(F.col("item").alias("word"))
+    systems = {"segmentation": sg.segment(w, rules(spark), nbest=1), "byte_bpe_50k": baselines.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")).encode(w)}
+    rows = None
+    for name, pieces in systems.items():
+        df = evaluate.compression(c, pieces).select(F.lit(name).alias("system"), "pieces_per_token", "chars_per_piece", "round_trip")
+        rows = df if rows is None else rows.unionByName(df)
+    return evaluate.rankings(rows, ["pieces_per_token", "chars_per_piece", "round_trip"], rising=("pieces_per_token",))
+
+
+@query(f"WITH {q.TABLES}, w AS (SELECT DISTINCT translate(p_name, ' ', '') AS word FROM part) SELECT word, word IN (SELECT stem FROM lex) AS accepted FROM w")
+def trie_accepts(spark, sf_dir):
+    """Words run through the lexicon's trie as an automaton of arcs."""
+    w = docs(spark, sf_dir, "part").select(F.translate("p_name", " ", "").alias("word")).distinct()
+    stems = lexeme(spark).select(F.col("stem").alias("word"))
+    arcs, finals = automata.trie(stems)
+    ids = arcs.select(F.col("src").alias("symbol")).union(arcs.select("dst"))
+    ids = automata.symbol_ids(ids)
+    numbered = arcs.join(ids.select(F.col("symbol").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("symbol").alias("dst"), F.col("id").alias("d")), "dst")
+    end = finals.join(ids, F.col("state") == F.col("symbol")).select(F.col("id").alias("state"))
+    run = automata.accepts(w.select(F.col("word").alias("id"), F.split("word", "").alias("symbols")), numbered.select(F.col("s").alias("src"), F.col("d").alias("dst"), "in_sym", F.lit("").alias("out_sym")), end)
+    return run.select(F.col("id").alias("word"), "accepted")
+
+
