@@ -78,20 +78,21 @@ def _order(*parts) -> Column:
     return F.array(*(F.lit(x).cast("long") if isinstance(x, int) else x.cast("long") for x in parts)).alias("emit")
 
 
-_NONE = F.array().cast("array<string>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def inflected(words: DataFrame, rules: Ruleset) -> DataFrame:
     found = endings(words).join(rules.lexeme, F.col("cand") == F.col("stem"))
     stem_length = F.length("word") - F.length("tail")
-    bare = found.where("kind = 0 and tail = ''").select("word", "stem", "pos", _NONE.alias("features"), "weight", _NONE.alias("deriv"), F.lit("").alias("derived_pos"), _order(1, stem_length, 0, F.col("lex_id"), 0))
+    bare = found.where("kind = 0 and tail = ''").select("word", "stem", "pos", _none().alias("features"), "weight", _none().alias("deriv"), F.lit("").alias("derived_pos"), _order(1, stem_length, 0, F.col("lex_id"), 0))
     tagged = (
         found.join(rules.inflection, ["kind", "tail", "pos"])
         .where(F.array_contains("classes", F.col("eff")))
         .where((F.col("guard") == "") | ((F.col("guard") == "takes_es") & F.col("takes_es")) | ((F.col("guard") == "doubling_known") & F.col("doubling_known")))
         # A stored form blocks the rule; a noun's plural as it stands is never blocked.
         .where(~F.map_contains_key("irregular", F.col("tag")) | ((F.col("kind") == 0) & (F.col("pos") == "N")))
-        .select("word", "stem", "pos", F.array("tag").alias("features"), "weight", _NONE.alias("deriv"), F.lit("").alias("derived_pos"), _order(1, stem_length, F.col("kind"), F.col("lex_id"), F.col("tag_ord")))
+        .select("word", "stem", "pos", F.array("tag").alias("features"), "weight", _none().alias("deriv"), F.lit("").alias("derived_pos"), _order(1, stem_length, F.col("kind"), F.col("lex_id"), F.col("tag_ord")))
     )
     return bare.unionByName(tagged)
 
@@ -178,7 +179,7 @@ def derived(words: DataFrame, rules: Ruleset) -> DataFrame:
     found = surfaces.join(derived_bases(surfaces.select("form").distinct(), rules), "form")
     order = lambda tag: F.concat(F.array(F.lit(2).cast("long"), F.length("tail").cast("long"), F.col("alternation").cast("long")), "inner_ord", F.array(tag.cast("long"))).alias("emit")
     cols = ["word", "stem", "pos"], ["weight", "deriv", "derived_pos"]
-    bare = found.where("tail = ''").select(*cols[0], _NONE.alias("features"), *cols[1], order(F.lit(0)))
+    bare = found.where("tail = ''").select(*cols[0], _none().alias("features"), *cols[1], order(F.lit(0)))
     tagged = found.join(rules.outer, ["alternation", "tail", "derived_pos"]).where(F.array_contains("o_classes", o.implied_class(F.col("form"))))
     return bare.unionByName(tagged.select(*cols[0], F.array("tag").alias("features"), *cols[1], order(F.col("tag_ord"))))
 
@@ -186,7 +187,7 @@ def derived(words: DataFrame, rules: Ruleset) -> DataFrame:
 def stored(words: DataFrame, rules: Ruleset) -> DataFrame:
     """Stored irregular forms; the only pass that takes words with other characters than a-z."""
     tags = F.array(*map(F.lit, o.FEATURES.values()))
-    return words.join(rules.irregular_forms(), F.col("word") == F.col("form")).select("word", "stem", "pos", F.array("tag").alias("features"), "weight", _NONE.alias("deriv"), F.lit("").alias("derived_pos"), _order(0, F.col("lex_id"), F.array_position(tags, F.col("tag"))))
+    return words.join(rules.irregular_forms(), F.col("word") == F.col("form")).select("word", "stem", "pos", F.array("tag").alias("features"), "weight", _none().alias("deriv"), F.lit("").alias("derived_pos"), _order(0, F.col("lex_id"), F.array_position(tags, F.col("tag"))))
 
 
 KEY = ["word", "stem", "pos", "prefix", "deriv", "features"]

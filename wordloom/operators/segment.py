@@ -13,7 +13,6 @@ from .analyze import Ruleset, analyze
 
 # Labels by tag, in order of preference.
 LABELS = [("+PL", "SUFFIX_PL"), ("+PAST", "SUFFIX_PAST"), ("+PAST_PART", "SUFFIX_PAST"), ("+PRES_PART", "SUFFIX_ING"), ("+3SG", "SUFFIX_3SG"), ("+COMP", "SUFFIX_COMP"), ("+SUP", "SUFFIX_SUP")]
-MARGIN = F.lit(o.WEIGHT_PER_ZIPF * o.MARGIN_ZIPF).cast("float")
 ALL_CAPS = 6
 OUT = ["word", "rank", "pieces", "offsets", "labels", "lemma", "alt", "source", "gate", "n_analyses", "weight", "demoted", "promotable"]
 
@@ -119,7 +118,7 @@ def guarded(rows: DataFrame, facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("direct", pick(F.col("base_by_pos"))).withColumn("through", pick(F.col("lemma_by_pos")))
     source = F.coalesce("direct", F.when((F.col("stem") != F.col("base")) & F.col("through").isNotNull(), F.col("joint_best")))
     rows = rows.withColumn("attached", source)
-    heavier = F.col("attached.known") & F.coalesce(F.col("whole_best.w") > F.col("attached.w") - MARGIN, F.lit(False))
+    heavier = F.col("attached.known") & F.coalesce(F.col("whole_best.w") > F.col("attached.w") - F.lit(o.WEIGHT_PER_ZIPF * o.MARGIN_ZIPF).cast("float"), F.lit(False))
     licensed = ~has | (
         (F.length("base") >= 3) & ~F.coalesce("base_closed", F.lit(False)) & ~func(F.col("base_by_pos")) & F.col("attached").isNotNull() & ~F.coalesce(heavier, F.lit(False))
     )
