@@ -58,20 +58,20 @@ def _some(*items: Column) -> Column:
 
 def endings(words: DataFrame) -> DataFrame:
     """(word, kind, tail, cand): the stems that an inflected word may have."""
-    w, n, items = F.col("word"), F.length("word"), []
+    items = []
     for tail in ["", *sorted({x[1] for x in r.INFLECTION})]:
-        head = F.substring(w, F.lit(1), n - len(tail))
-        fits, kinds = w.endswith(tail) & (n > len(tail)), {x[0] for x in r.INFLECTION if x[1] == tail}
-        item = lambda kind, when, cand, t=tail: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("tail"), cand.alias("cand")))
-        items.append(item(0, fits, head))
-        cut = F.substring(head, F.lit(1), F.length(head) - 1)
+        k, kinds = len(tail), {x[0] for x in r.INFLECTION if x[1] == tail}
+        head, cut = f"left(word, length(word) - {k})", f"left(word, length(word) - {k + 1})"
+        fits = f"endswith(word, '{tail}') and length(word) > {k}"
+        item = lambda kind, when, cand, fits=fits, tail=tail: f"if({fits}{when}, struct({kind} as kind, '{tail}' as tail, {cand} as cand), null)"
+        items.append(item(0, "", head))
         if 1 in kinds:
-            items.append(item(1, fits & head.endswith("i"), F.concat(cut, F.lit("y"))))
+            items.append(item(1, f" and endswith({head}, 'i')", f"concat({cut}, 'y')"))
         if 2 in kinds:
-            items.append(item(2, fits & head.rlike(r"(.)\1$"), cut))
+            items.append(item(2, f" and length({head}) > 1 and right({head}, 1) = right({cut}, 1)", cut))
         if 3 in kinds:
-            items.append(item(3, fits, F.concat(head, F.lit("e"))))
-    return words.select("word", _some(*items).alias("c")).select("word", "c.*")
+            items.append(item(3, "", f"concat({head}, 'e')"))
+    return words.selectExpr("word", f"inline(array_compact(array({', '.join(items)})))")
 
 
 def _order(*parts) -> Column:
@@ -206,9 +206,9 @@ def analyze(words: DataFrame, rules: Ruleset, allow_prefix: bool = True) -> Data
     """
     words = words.where(F.col("word").isNotNull()).select(o.ascii_lower(F.col("word")).alias("word")).distinct()
     # Of each word what is read: itself, and under a prefix the rest. Both are read once, as distinct keys.
-    itself = F.struct(F.col("word").alias("key"), F.lit("").alias("prefix"), F.lit(-1).alias("prefix_ord"))
-    splits = [F.when(F.col("word").startswith(p) & (F.length("word") >= len(p) + 2) & F.col("word").rlike("^[a-z]+$"), F.struct(F.substring(F.col("word"), F.lit(len(p) + 1), F.length("word")).alias("key"), F.lit(p).alias("prefix"), F.lit(i).alias("prefix_ord"))) for i, (p, _) in enumerate(r.PREFIXES)]
-    reads = words.select("word", _some(itself, *(splits if allow_prefix else []))).select("word", "col.*")
+    splits = [f"if(startswith(word, '{p}') and length(word) >= {len(p) + 2} and word rlike '^[a-z]+$', struct(substring(word, {len(p) + 1}) as key, '{p}' as prefix, {i} as prefix_ord), null)" for i, (p, _) in enumerate(r.PREFIXES)]
+    parts = ["struct(word as key, '' as prefix, -1 as prefix_ord)", *(splits if allow_prefix else [])]
+    reads = words.selectExpr("word", f"inline(array_compact(array({', '.join(parts)})))")
     every = reads.select(F.col("key").alias("word")).distinct()
     lower = every.where(F.col("word").rlike("^[a-z]+$"))
     found = deduplicated(stored(every, rules).unionByName(inflected(lower, rules)).unionByName(derived(lower, rules)).withColumn("prefix", F.lit("")))
