@@ -1,9 +1,10 @@
 """Token ids in Arrow's stream-file format: batches of fixed-size lists.
 
 Documents, in ascending doc_id, become one stream of ids, each document followed by END. The
-stream is cut into sequences of equal length, stored as a fixed-size list of uint32 with a
-fixed-size list of mask bytes (1 for an id, 0 for the padding that ends a file), so sequence
-i of a memory-mapped file is found by multiplication, without a copy. Beside each file an
+stream is cut into sequences of equal length, stored as a fixed-size list of ids (uint16 where
+the vocabulary fits, else uint32) with a fixed-size list of mask bits (1 for an id, 0 for the
+padding that ends a file), so sequence i of a memory-mapped file is found by multiplication,
+without a copy. Beside each file an
 index file names the documents, their starts in it and their lengths. Files hold ascending
 ranges of doc_id; a manifest lists them in order with their ids' counts.
 """
@@ -33,9 +34,17 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
+@functools.cache
+def ids_type(path: str) -> str:
+    """The numpy type of stored ids: two bytes where every id fits."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 @functools.cache
 def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian uint32. Ids of chunks are remembered, in bounded number.
+    """text -> its ids, little-endian, as wide as ids_type says. Ids of chunks are remembered, in bounded number.
 
     A chunk of letters only is one word of the split pattern and goes to the vocabulary's model at
     once; any other is encoded whole. Strings of special tokens are ordinary text.
@@ -45,7 +54,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     model, symbols = tokenizer.model, byte_symbols()
-    pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
+    width = ids_type(path)
+    pack = lambda ids: np.array(ids, dtype=width).tobytes()
 
     def encode(chunk: str) -> bytes:
         if chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()):
@@ -72,8 +82,8 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def schema(length: int, width: str) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -82,23 +92,25 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class SequenceFile:
     """Writes one file of sequences and its index; both get their names only when complete."""
 
-    def __init__(self, base: str, shard: int, length: int = LENGTH):
+    def __init__(self, base: str, shard: int, width: str, length: int = LENGTH):
         self.fs, root = pafs.FileSystem.from_uri(base)
         self.fs.create_dir(root, recursive=True)
         self.path = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         self.uri, self.length = f"{base}/{self.path.rsplit('/', 1)[1]}", length
         self.out = self.fs.open_output_stream(f"{self.path}.tmp")
-        self.writer = pa.ipc.new_file(self.out, schema(length))
+        self.width, self.bytes = width, np.dtype(width).itemsize
+        self.writer = pa.ipc.new_file(self.out, schema(length, width))
         self.waiting: list[bytes] = []
         self.size = self.held = 0
         self.docs: list[pa.RecordBatch] = []
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.rows.append((doc_id, self.size, len(ids) // 4))
+        n = len(ids) // self.bytes
+        self.rows.append((doc_id, self.size, n))
         self.waiting.append(ids)
-        self.size += len(ids) // 4
-        self.held += len(ids) // 4
+        self.size += n
+        self.held += n
         if self.held >= self.length * BATCH:
             self.flush()
         if len(self.rows) >= 10_000:
@@ -109,22 +121,22 @@ class SequenceFile:
         self.rows = []
 
     def flush(self, last: bool = False) -> None:
-        ids, width = np.frombuffer(b"".join(self.waiting), "<u4"), self.length
+        ids, width = np.frombuffer(b"".join(self.waiting), self.width), self.length
         whole = len(ids) // width * width
         for i in range(0, whole, width * BATCH):
             self.put(ids[i : min(whole, i + width * BATCH)], None)
         rest = ids[whole:]
         if last and len(rest):
-            self.put(np.concatenate([rest, np.zeros(width - len(rest), "<u4")]), len(rest))
+            self.put(np.concatenate([rest, np.zeros(width - len(rest), self.width)]), len(rest))
             rest = rest[:0]
         self.waiting, self.held = [rest.tobytes()], len(rest)
 
     def put(self, ids: np.ndarray, real: int | None) -> None:
-        mask = np.ones(len(ids), np.uint8)
+        mask = np.ones(len(ids), np.bool_)
         if real is not None:
-            mask[real:] = 0
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(np.uint32, copy=False), mask)]
-        self.writer.write_batch(pa.record_batch(lists, schema=schema(self.length)))
+            mask[real:] = False
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        self.writer.write_batch(pa.record_batch(lists, schema=schema(self.length, self.width)))
 
     def close(self) -> tuple[str, int, int]:
         self.flush(last=True)
@@ -159,10 +171,11 @@ class Reader:
         return self.batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence i, as views of the file."""
+        """ids and mask of sequence i; the ids are a view of the file, the mask's bits are unpacked."""
         b = int(np.searchsorted(self.starts, i, side="right")) - 1
         lo = (i - int(self.starts[b])) * self.length
-        return tuple(c.values.to_numpy(zero_copy_only=True)[lo : lo + self.length] for c in self._batch(b).columns)
+        ids, mask = (c.values for c in self._batch(b).columns)
+        return ids.to_numpy(zero_copy_only=True)[lo : lo + self.length], mask[lo : lo + self.length].to_numpy(zero_copy_only=False)
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start to start + n, in views of one batch each."""
@@ -192,9 +205,9 @@ def write_sequences(docs: DataFrame, base: str, vocabulary: str | None = None, l
         from pyspark import TaskContext
 
         encode, out, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], ids_type(vocabulary)).tobytes()
         for batch in batches:
-            out = out or SequenceFile(base, shard, length)
+            out = out or SequenceFile(base, shard, ids_type(vocabulary), length)
             for i, text in zip(batch.column(0), batch.column(1)):
                 out.add(i.as_py(), encode(text.as_py() or "") + end)
         if out:
@@ -218,7 +231,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 reader = Reader(uri)
                 for part in reader.index.to_batches():
                     ids, starts, sizes = (c.to_pylist() for c in part.columns)
-                    crc = [functools.reduce(lambda c, x: zlib.crc32(x.astype("<u4", copy=False).tobytes(), c), reader.span(s, n), 0) for s, n in zip(starts, sizes)]
+                    crc = [functools.reduce(lambda c, x: zlib.crc32(x.astype("<u4").tobytes(), c), reader.span(s, n), 0) for s, n in zip(starts, sizes)]
                     yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([first + s for s in starts], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(rows, "file string, below long")
