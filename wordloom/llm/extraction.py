@@ -302,7 +302,7 @@ def composed(seed: int) -> str:
         return a + copy + style.replace("%s", words(2, 40)) + b
 
     def main() -> str:
-        m, parts = "", []
+        m, parts = "\ue000", []
         if r.random() < 0.8:
             parts.append(f"<h1>{m}{words(1, 14, False)}</h1>")
         for _ in range(int(np.exp(r.uniform(0, np.log(25))))):
@@ -316,8 +316,9 @@ def composed(seed: int) -> str:
                 parts.append(f"<p>{m}{inner}" + ("" if r.random() < 0.1 else "</p>"))
             elif kind < 0.76:
                 parts.append(f"<h{int(r.integers(2, 5))}>{m}{words(1, 8, False)}</h2>")
-            elif kind < 0.82:
-                parts.append("<ul>" + "".join(f"<li>{m}{words(2, 25)}</li>" for _ in range(int(r.integers(2, 6)))) + "</ul>")
+            elif kind < 0.83:
+                close, most = one(["</li>", ""]), one([3, 8, 25])
+                parts.append("<ul>" + "".join(f"<li>{m}{words(1, most, most > 3)}{close}" for _ in range(int(r.integers(1, 6)))) + "</ul>")
             elif kind < 0.86:
                 parts.append(f"<blockquote>{m}{words(4, 50)}</blockquote>")
             elif kind < 0.89:
@@ -358,8 +359,8 @@ def trained(pages: int = 1800) -> Labeller:
     rows = []
     for seed in range(pages):
         found = blocks(composed(seed))
-        y = np.array([t.startswith("") for _, t, _ in found], np.float32)
-        bare = [(p, t.replace("", "").strip() or "-", k) for p, t, k in found]
+        y = np.array([t.startswith("\ue000") for _, t, _ in found], np.float32)
+        bare = [(p, t.replace("\ue000", "").strip() or "-", k) for p, t, k in found]
         if bare:
             rows.append((features(bare), y))
     return Labeller().fit(rows)

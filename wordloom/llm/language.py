@@ -106,7 +106,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` documents of each language, the first by a hash of the id, of those
     with a text, a language and an id that is not held out. Ids and languages alone are ranked."""
     light = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A share of each language that holds four samples of it goes on to be ranked, however large it is.
+    share = light.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * sample / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    light = light.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
     ids = light.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
     rows = sorted((str(r["lang"]), r["doc_id"], r["text"]) for r in rows if r["lang"] is not None and r["text"])
