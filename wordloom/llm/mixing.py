@@ -94,6 +94,14 @@ def plan(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights:
     )
 
 
+def training_position(word: Column, schedules: dict = SCHEDULES) -> Column:
+    """When cumulative demand of a planned row's source reaches this word of its sequence."""
+    share, position = F.try_divide(word.cast("double"), F.col("target")), F.lit(None).cast("double")
+    for w, knots in schedules.items():
+        position = F.when(F.col("weight") == w, due(share, knots)).otherwise(position)
+    return position
+
+
 def mix(docs: DataFrame, schedules: dict = SCHEDULES, **settings) -> DataFrame:
     """The training sequence: a row for each taking of a document, with docs' own columns,
     range-sorted by `position` (0 to 1), then source, pass and order within the source.
@@ -109,10 +117,7 @@ def mix(docs: DataFrame, schedules: dict = SCHEDULES, **settings) -> DataFrame:
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
         .withColumn("__words", F.when(F.col("pass") < full, F.col("size")).otherwise(F.col("taken") % F.col("size")))
     )
-    share = (F.col("pass") * F.col("source_size") + F.col("before")) / F.col("target")
-    position = F.lit(None).cast("double")
-    for w, knots in schedules.items():
-        position = F.when(F.col("weight") == w, due(share, knots)).otherwise(position)
+    position = training_position(F.col("pass") * F.col("source_size") + F.col("before"), schedules)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") < F.col("size"), cut).otherwise(F.col("text"))
@@ -121,7 +126,8 @@ def mix(docs: DataFrame, schedules: dict = SCHEDULES, **settings) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.when(F.col("taken") > 0, F.round(training_position(F.col("before")), 6)).alias("first_position")
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
 SQL = r"""
@@ -138,13 +144,16 @@ v AS (
     - coalesce(sum(cap) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (
-  SELECT source, source_size, coalesce(least(cap, weight *
+  SELECT source, source_size, weight, coalesce(least(cap, weight *
     (SELECT arg_min(level, ratio) FROM v WHERE level <= ratio)), cap) AS target FROM v),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS whole,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, floor(t.target)::BIGINT AS whole,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN
-    size * (whole // source_size) + greatest(0, least(size, whole % source_size - before)) ELSE 0 END AS taken
-FROM r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN
+    size * (whole // source_size) + greatest(0, least(size, whole % source_size - before)) ELSE 0 END AS taken, before::DOUBLE / nullif(target, 0) AS u FROM r)
+-- The schedules' integrals, inverted: 1.5 - t, 1, and 0.5 + 0.6 t up to 0.5, then 2.4 t - 0.4, of 1.025 in all.
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE weight WHEN 5 THEN 1.5::DOUBLE - sqrt(greatest(0, 2.25::DOUBLE - 2 * u)) WHEN 2 THEN u
+    ELSE CASE WHEN u <= 0.325::DOUBLE / 1.025 THEN (sqrt(0.25::DOUBLE + 1.2::DOUBLE * u * 1.025) - 0.5) / 0.6 ELSE 0.5 + (sqrt(0.64::DOUBLE + 4.8::DOUBLE * (u * 1.025 - 0.325)) - 0.8) / 2.4 END END, 6) END AS first_position
+FROM k
 """
