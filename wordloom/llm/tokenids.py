@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,15 @@ from .common import scratch, staged, table
 
 END, LENGTH, BATCH = 0, 2048, 256
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 600_000  # chunks whose ids a worker keeps
-#: White space as the vocabulary's split pattern has it. A chunk is a run of other characters with
-#: the one space before it, or what the pattern makes of white space; no token crosses chunks.
-_WHITE = "\t-\r \x85\xa0  -     　"
+MEMO = 800_000  # words whose ids a worker keeps
+#: White space as the vocabulary's split pattern has it.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The vocabulary's split pattern in terms of `re`, right for texts without ODD characters: numerals
+#: that `re` counts as word characters but not as digits.
+WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{_WHITE}\w]|_)+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+ODD = regex.compile(r"[\p{Nl}\p{No}]")
+#: For other texts: runs of characters that aren't white space, with the one space before them, or what
+#: the pattern makes of white space. No token crosses these chunks.
 CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
@@ -44,35 +50,35 @@ def ids_type(path: str) -> str:
 
 @functools.cache
 def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids, little-endian, as wide as ids_type says. Ids of chunks are remembered, in bounded number.
+    """text -> its ids, little-endian, as wide as ids_type says.
 
-    A chunk of letters only is one word of the split pattern and goes to the vocabulary's model at
-    once; any other is encoded whole. Strings of special tokens are ordinary text.
+    Words of the split pattern go to the vocabulary's model one by one, and their ids are
+    remembered, in bounded number. Texts with odd numerals are encoded by chunks, whole.
+    Strings of special tokens are ordinary text.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    model, symbols = tokenizer.model, byte_symbols()
-    width = ids_type(path)
-    pack = lambda ids: np.array(ids, dtype=width).tobytes()
-
-    def encode(chunk: str) -> bytes:
-        if chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()):
-            return pack([t.id for t in model.tokenize(chunk.encode().decode("latin-1").translate(symbols))])
-        return pack(tokenizer.encode(chunk, add_special_tokens=False).ids)
+    tokenize, symbols, width = tokenizer.model.tokenize, byte_symbols(), ids_type(path)
 
     class Memo(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            got = encode(chunk)
-            if len(chunk) <= 64:
+        def __missing__(self, word: str) -> bytes:
+            got = np.array([t.id for t in tokenize(word.encode().decode("latin-1").translate(symbols))], dtype=width).tobytes()
+            if len(word) <= 64:
                 if len(self) >= MEMO:
                     self.clear()
-                self[chunk] = got
+                self[word] = got
             return got
 
     memo = Memo()
-    return lambda text: b"".join([memo[c] for c in CHUNK.findall(text)])
+
+    def encode(text: str) -> bytes:
+        if ODD.search(text):
+            return b"".join([np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype=width).tobytes() for c in CHUNK.findall(text)])
+        return b"".join([memo[w] for w in WORD.findall(text)])
+
+    return encode
 
 
 def byte_symbols() -> dict[int, str]:
