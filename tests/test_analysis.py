@@ -66,14 +66,10 @@ def test_prefix_guard(spark):
 
 
 def test_generated_forms_read_back(rules):
-    forms = generate.generated_forms(rules)
+    forms = generate.generated_forms(rules).cache()
     assert {"citation", "+PL", "irregular +PAST", "deriv -ness", "prefix un-"} <= {r[0] for r in forms.select("origin").distinct().collect()}
     left = generate.unread(rules, forms.where("not startswith(origin, 'prefix') and not startswith(origin, 'deriv')"))
     assert left.count() == 0
-    # What a spelling rule refuses, and prefixes that a part of speech doesn't take, are reported by cause.
-    assert all(len(r.examples) <= 3 for r in generate.selfcheck(rules).collect())
-
-
 
 
 def test_number_format(spark):

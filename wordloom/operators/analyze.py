@@ -229,3 +229,11 @@ def analysis_text(analyses: DataFrame) -> DataFrame:
     rows = analyses.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))), lambda x: x["s"]).alias("all"))
     several = F.concat(F.col("word"), F.lit(" →\n    "), F.array_join("all", "\n    "))
     return rows.select("word", F.size("all").alias("n"), F.when(F.size("all") == 1, F.concat(F.col("word"), F.lit(" → "), F.get("all", F.lit(0)))).otherwise(several).alias("text"))
+
+
+def compact_text(words: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(word, text): a tab-separated line a word, all readings, or NO_ANALYSIS."""
+    one = o.analysis_string(F.col("stem"), F.col("pos"), F.col("features"), F.col("prefix"), F.col("deriv"))
+    rows = analyses.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))), lambda x: x["s"]), "\t").alias("all"))
+    asked = words.select("word", o.ascii_lower(F.col("word")).alias("lower")).distinct()
+    return asked.join(rows.withColumnRenamed("word", "lower"), "lower", "left").select("word", F.concat_ws("\t", "word", F.coalesce("all", F.lit("NO_ANALYSIS"))).alias("text"))

@@ -56,6 +56,28 @@ def scored(predicted: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFra
     return pairs.groupBy("word").agg(F.coalesce(best, F.first(F.struct("gate", "pieces", "gold_pieces", "tp", "fp", "fn"))).alias("x"), F.max("exact").alias("exact")).select("word", "x.*", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
+def with_alternation(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """scored() twice: the strict columns, and tolerant_tp, _fp and _fn, which allow a boundary to be one letter
+    off in words whose cut displaced a letter (alt of the record)."""
+    strict = scored(records, gold)
+    moved = records.where("alt <> ''").select("word")
+    loose = scored(records, gold, 1).join(moved, "word", "left_semi").select("word", *(F.col(c).alias(f"t_{c}") for c in ("tp", "fp", "fn")))
+    rows = strict.join(loose, "word", "left")
+    return rows.select(*strict.columns, *(F.coalesce(f"t_{c}", c).alias(f"tolerant_{c}") for c in ("tp", "fp", "fn")))
+
+
+def labelled_gold(sets: dict[str, DataFrame]) -> DataFrame:
+    """(gold_set, word, pieces, prefix_offsets) of several gold sets; prefix_offsets are the ends of first
+    pieces that are prefixes of the inventory."""
+    out = None
+    for name, df in sets.items():
+        first = F.get("pieces", F.lit(0))
+        ends = F.collect_set(F.when((F.size("pieces") > 1) & first.isin([p for p, _ in r.PREFIXES]), F.length(first)))
+        df = df.join(df.groupBy("word").agg(ends.alias("prefix_offsets")), "word").select(F.lit(name).alias("gold_set"), "word", "pieces", "prefix_offsets")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def _rates(rows: DataFrame) -> DataFrame:
     p, q = precision(F.col("tp"), F.col("fp")), recall(F.col("tp"), F.col("fn"))
     return rows.withColumns({"precision": F.round(p, 6), "recall": F.round(q, 6), "f1": F.round(f1(p, q), 6), "exact_rate": F.round(F.coalesce(F.try_divide(F.col("exact").cast("double"), F.col("n")), F.lit(0.0)), 6)})

@@ -209,16 +209,24 @@ def decode(pieces: Column) -> Column:
     return F.array_join(pieces, "")
 
 
-def jsonl(records: DataFrame, nbest: int = 1) -> DataFrame:
-    """(word, value): the record as a JSON line in a fixed field order, with `, ` and `: `, and its
-    alternatives when nbest is over 1."""
-    q = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-    qs = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, q), ", "), F.lit("]"))
-    one = F.concat(
-        F.lit('"word": '), q(F.col("word")), F.lit(', "pieces": '), qs(F.col("pieces")), F.lit(', "offsets": ['), F.array_join(F.col("offsets").cast("array<string>"), ", "), F.lit('], "labels": '), qs(F.col("labels")),
-        F.lit(', "lemma": '), q(F.col("lemma")), F.lit(', "alt": '), q(F.col("alt")), F.lit(', "source": '), q(F.col("source")), F.lit(', "gate": '), q(F.col("gate")),
+def quoted(c: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def record_json(word: Column) -> Column:
+    """The fields of a record in fixed order, without braces."""
+    many = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ", "), F.lit("]"))
+    return F.concat(
+        F.lit('"word": '), quoted(word), F.lit(', "pieces": '), many(F.col("pieces")), F.lit(', "offsets": ['), F.array_join(F.col("offsets").cast("array<string>"), ", "), F.lit('], "labels": '), many(F.col("labels")),
+        F.lit(', "lemma": '), quoted(F.col("lemma")), F.lit(', "alt": '), quoted(F.col("alt")), F.lit(', "source": '), quoted(F.col("source")), F.lit(', "gate": '), quoted(F.col("gate")),
         F.lit(', "n_analyses": '), F.col("n_analyses").cast("string"), F.lit(', "weight": '), o.six_digits(F.col("weight")),
     )
+
+
+def jsonl(records: DataFrame, nbest: int = 1) -> DataFrame:
+    """(word, value): the record as a JSON line, with `, ` and `: `, and its alternatives when nbest is over 1."""
+    one = record_json(F.col("word"))
     if nbest == 1:
         return records.where("rank = 1").select("word", F.concat(F.lit("{"), one, F.lit("}")).alias("value"))
     rows = records.where(F.col("rank") <= nbest).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))).alias("all"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from wordloom.functions import orthography as o
 
 from .analyze import Ruleset, analyze
-from .segment import segment
+from .segment import quoted, record_json, segment
 
 #: Runs of letters (with the numerals that \w counts as letters), of digits, or of neither.
 UNIT = r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+|[^\s\p{L}\p{N}]+"
@@ -108,14 +108,23 @@ def analyzed_text(docs: DataFrame, rules: Ruleset, key: str = "doc_id") -> DataF
 
 
 def segmented_text(docs: DataFrame, rules: Ruleset, derived_first: bool = False, key: str = "doc_id") -> DataFrame:
-    """(key, pos, text, kind, ws_before, pieces, labels, lemma, gate, source, weight): every token; only
-    WORD tokens are analysed, over their distinct spellings, the others pass through whole."""
+    """Token records: key, pos, text, kind, ws_before, and the columns of the best segmentation. Every token
+    has one; only WORD tokens are analysed, over their distinct spellings, the others pass through
+    whole. A TAIL record has no pieces."""
     toks = tokens(docs, key)
     best = segment(toks.where("kind = 'WORD'").select(F.col("text").alias("word")), rules, derived_first, nbest=1)
-    best = best.select(F.col("word").alias("text"), F.lit("WORD").alias("kind"), "pieces", "labels", "lemma", "gate", "source", "weight")
-    some = F.col("text") != ""
-    none = F.array().cast("array<string>")
-    return toks.join(best, ["text", "kind"], "left").select(
-        key, "pos", "text", "kind", "ws_before", F.coalesce("pieces", F.when(some, F.array("text")).otherwise(none)).alias("pieces"), F.coalesce("labels", F.when(some, F.array(F.lit("UNK"))).otherwise(none)).alias("labels"),
-        F.coalesce("lemma", F.lit("")).alias("lemma"), F.coalesce("gate", F.lit("passthrough")).alias("gate"), F.coalesce("source", F.lit("passthrough")).alias("source"), F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"),
-    )
+    best = best.drop("rank", "demoted", "promotable").withColumnRenamed("word", "text").withColumn("kind", F.lit("WORD"))
+    some, none = F.col("text") != "", F.array().cast("array<string>")
+    plain = {
+        "pieces": F.when(some, F.array("text")).otherwise(none), "labels": F.when(some, F.array(F.lit("UNK"))).otherwise(none), "offsets": F.when(some, F.array(F.lit(0), F.length("text"))).otherwise(F.array(F.lit(0))),
+        "lemma": F.lit(""), "alt": F.lit(""), "gate": F.lit("passthrough"), "source": F.lit("passthrough"), "n_analyses": F.lit(0).cast("long"), "weight": F.lit(0.0).cast("float"),
+    }
+    rows = toks.join(best, ["text", "kind"], "left")
+    return rows.select(key, "pos", "text", "kind", "ws_before", *(F.coalesce(F.col(c), v).alias(c) for c, v in plain.items()))
+
+
+def token_jsonl(records: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, value): token records as JSON lines, like segmentation's with kind and ws_before at the end."""
+    one = record_json(F.col("text"))
+    tail = F.concat(F.lit(', "kind": '), quoted(F.col("kind")), F.lit(', "ws_before": '), quoted(F.col("ws_before")))
+    return records.select(key, "pos", F.concat(F.lit("{"), one, tail, F.lit("}")).alias("value"))

@@ -42,7 +42,7 @@ def encode_stream(words: DataFrame, rules: Ruleset, sink: Callable[[DataFrame, i
 CARRIED = "stream string, line_no long, text string, ws_before string"
 
 
-def carry_space(lines: DataFrame) -> DataFrame:
+def carry_space(lines: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """CARRIED rows of a stream of (stream, line_no, value): each line's text with the white space before it,
     which may have begun lines ago; kept as one string of state a stream. What is pending when a
     stream stops for good is given after the timeout as a row without text."""
@@ -63,7 +63,7 @@ def carry_space(lines: DataFrame) -> DataFrame:
             else:
                 pending += row.value + "\n"
         state.update((pending,))
-        state.setTimeoutDuration(60_000)
+        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=cols)
 
     return lines.groupBy("stream").applyInPandasWithState(step, CARRIED, "pending string", "append", GroupStateTimeout.ProcessingTimeTimeout)
