@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from wordloom.llm import decontamination, language, mixing, sharding, simhash
 from wordloom.llm.common import staged, table
 
-#: A document whose best language scores less is in none of the learned languages.
+#: A document whose best language scores less is in none of the learned languages. Alone it rejects
+#: nothing of four languages: the winner has a quarter at least.
 LEAST_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; those without a letter, or unlike all languages, go.
-    Where no language can be learned, only the letters count."""
+    """Keeps documents in a learned language; those without a letter, or unlike all languages, go:
+    too few of their 3-grams are in the landmarks. Where no language can be learned, only the letters count."""
     cols = docs.columns
     model = language.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn("__lang", language.predicted(F.col("text"), model, spark))
-    return found.where((F.col("__lang.lang_pred") != language.UNKNOWN) & (F.col("__lang.score") >= LEAST_SCORE)).select(*cols)
+    return found.where((F.col("__lang.lang_pred") != language.UNKNOWN) & (F.col("__lang.score") >= LEAST_SCORE) & (F.col("__lang.known") >= model.least_known)).select(*cols)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,23 @@ def test_stages(spark, tmp_path):
             assert abs(sum(len(r.text.split()) for r in docs.collect()) - 1.5 * sum(len(r.text.split()) for r in before.collect())) < 50
     assert {"shard", "slot", "size"} <= set(docs.columns)
     assert docs.agg({"shard": "max"}).first()[0] < sharding.SHARDS
+
+
+#: In none of the four languages.
+FOREIGN = [
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق.",
+    "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "bcdfg hjklm npqrs tvwxz qwrtp sdfgh zxcvb mnbvc lkjhg ptrwq xzvbn kjhgf dsqwr",
+    " ".join(f"{i * 2654435761 % 2**32:08x}" for i in range(1, 40)),
+]
+
+
+def test_language_id_drops_foreign_and_junk_texts(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(odd), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}

@@ -7,6 +7,10 @@ bounded labelled sample give a Nystroem map; ridge regression on it, one against
 gives a weight to each landmark and language. A text's scores are a product of its presence
 vector, the landmarks' presence matrix and the weights; the last two are multiplied once, so
 batches of texts take one matrix product.
+
+The scores of K languages sum to about 1 for any text, so a winner's score says which language,
+not whether it is one of them. That is said by `known`, the share of a text's distinct 3-grams
+that the landmarks hold.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from .common import table
 #: Bound of the labelled sample and the number of landmarks, both of each language.
 SAMPLE, LANDMARKS = 300, 48
 RIDGE, BLOCK = 0.05, 64
+#: A text of a learned language has at least this share of its 3-grams in the landmarks, or as much as
+#: all but a hundredth of the labelled sample have where that is less.
+LEAST_KNOWN = 0.7
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 _TO = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
@@ -50,6 +57,7 @@ class Model:
         self.vocab = np.unique(np.concatenate([np.unique(codes(texts[i])) for i in marks])) if marks else np.zeros(0, np.int32)
         z = self.presence([texts[i] for i in marks])
         z = z / np.sqrt(np.maximum(1, z.sum(axis=1, keepdims=True)))
+        self.least_known = self.calibrated(texts, marks)
         kernel = np.concatenate([self.kernel(texts[i : i + BLOCK], z) for i in range(0, len(texts), BLOCK)]) if texts else np.zeros((0, 0))
         if not len(self.languages):
             self.weights = np.zeros((0, 0), np.float32)
@@ -72,29 +80,54 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "place"}
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        p = np.zeros((len(texts), len(self.vocab) + 1), np.float32)
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Presence of vocab; roots of the numbers of distinct n-grams, those outside vocab too; known."""
+        p, size, known = np.zeros((len(texts), len(self.vocab) + 1), np.float32), np.zeros((len(texts), 1), np.float32), np.zeros(len(texts))
+        first = int(np.searchsorted(self.vocab, _BASE[2]))  # of 3-grams in vocab
         for i, t in enumerate(texts):
-            p[i, self.place[codes(t)]] = 1
-        return p[:, 1:]
+            c = codes(t)
+            at = self.place[c]
+            p[i, at] = 1
+            strange = np.unique(c[at == 0])
+            size[i] = p[i, 1:].sum() + len(strange)
+            have, lack = p[i, 1 + first :].sum(), (strange >= _BASE[2]).sum()
+            # Texts of one or two bytes have shorter n-grams only.
+            known[i] = have / (have + lack) if have + lack else 1 - len(strange) / max(1.0, size[i, 0])
+        return p[:, 1:], np.sqrt(np.maximum(1, size)), known
+
+    def calibrated(self, texts: list[str], marks: list[int]) -> float:
+        """The least share of known 3-grams: LEAST_KNOWN, or less where the sample's texts have less. A
+        landmark's 3-grams count as known where another landmark has them."""
+        if not texts:
+            return 0.0
+        own = [np.unique(codes(texts[i])) for i in marks]
+        holders = np.bincount(np.concatenate([self.place[u] for u in own]), minlength=len(self.vocab) + 1)
+        others = sorted(set(range(len(texts))) - set(marks))
+        shares = [float((holders[self.place[t]] > 1).mean()) for u in own if len(t := u[u >= _BASE[2]])]
+        for i in range(0, len(others), BLOCK):
+            shares += self.read([texts[j] for j in others[i : i + BLOCK]])[2].tolist()
+        return min(LEAST_KNOWN, float(np.quantile(shares, 0.01))) if shares else 0.0
+
+    def presence(self, texts: list[str]) -> np.ndarray:
+        return self.read(texts)[0]
 
     def kernel(self, texts: list[str], z: np.ndarray) -> np.ndarray:
-        p = self.presence(texts)
-        return (p @ z.T) / np.sqrt(np.maximum(1, p.sum(axis=1, keepdims=True)))
+        p, size, _ = self.read(texts)
+        return (p @ z.T) / size
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score): the score is the winner's regression value, from -1..1 to 0..1."""
-        out = [(UNKNOWN, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, known): the score is the winner's regression value, from -1..1 to 0..1."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not self.languages:
             return out
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         for i in range(0, len(known), BLOCK):
             part = known[i : i + BLOCK]
-            p = self.presence([texts[j] for j in part])
-            f = (p @ self.weights) / np.sqrt(np.maximum(1, p.sum(axis=1, keepdims=True))) + self.bias
+            p, size, share = self.read([texts[j] for j in part])
+            f = (p @ self.weights) / size + self.bias
             best = f.argmax(axis=1)
-            for j, b, v in zip(part, best, f[np.arange(len(part)), best]):
-                out[j] = (self.languages[b], float(min(1.0, max(0.0, (1 + v) / 2))))
+            for j, b, v, k in zip(part, best, f[np.arange(len(part)), best], share):
+                out[j] = (self.languages[b], float(min(1.0, max(0.0, (1 + v) / 2))), float(k))
         return out
 
 
@@ -120,10 +153,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
     def of(texts: pa.Array) -> pa.Array:
         got = sent.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), *(pa.array([g[i] for g in got], pa.float64()) for i in (1, 2))], ["lang_pred", "score", "known"])
 
     return of(text)
 
