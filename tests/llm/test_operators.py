@@ -264,6 +264,14 @@ def test_one_document_of_each_group_stays(docs):
     assert len(ids) == len(set(ids)) == len({x.component_id for x in simhash.near_duplicates(docs).collect()})
 
 
+def test_unlike_texts_of_null_or_repeated_ids_stay(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "blue", "green", "brown", "black")]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "a"), (1, texts[2], "a"), (1, texts[3], "b"), (2, texts[3], "b"), (None, texts[2], "a"), (3, texts[4], "a"), (3, texts[4], "a"), (None, None, "c"), (None, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert rows_of(simhash.distinct_documents(df).where("text <> ''")) == sorted([(None, texts[0], "a"), (None, texts[1], "a"), (1, texts[2], "a"), (1, texts[3], "b"), (3, texts[4], "a")], key=repr)
+    assert simhash.distinct_documents(df).count() == 6  # texts without words are one group
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     found = dict(map(tuple, components(edges).collect()))

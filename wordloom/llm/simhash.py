@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import components, row_key, staged, table
 
 BITS, WORDS = 2, 3
 SLICE = 100_000  # shingles whose bits are counted at once
@@ -99,24 +99,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return attach(docs.drop("fp", "component_id").withColumn("fp", fingerprints(F.col("text"), words)))
 
 
-def attach(docs: DataFrame) -> DataFrame:
-    """docs (with fp) and component_id. docs is read twice: pass a table that is cheap to read."""
+def groups(docs: DataFrame) -> DataFrame:
+    """(fp, root, component_id), staged: of each fingerprint in docs its group's smallest, and the group's smallest doc_id."""
     prints = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     found = components(links(prints))
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return staged(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
+def attach(docs: DataFrame) -> DataFrame:
+    """docs (with fp) and component_id. docs is read twice: pass a table that is cheap to read."""
     # A staged table: broadcast under Spark's threshold, else joined so that a hot fingerprint splits.
-    return docs.join(staged(rooted.join(least, "root").select("fp", "component_id"), "components"), "fp")
+    return docs.join(groups(docs).drop("root"), "fp")
 
 
 def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each group: a row with the group's smallest doc_id, in docs' columns.
-    Of rows that share that id one stays, the largest by text."""
+    Of a group's rows that share that id one stays, the largest by text.
+
+    A group is told by its root, not by an id: null ids, or one id of unlike texts, are in
+    as many groups as their texts, and each keeps a row.
+    """
     cols = docs.columns
-    light = staged(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "prints")
-    stay = attach(light).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return kept.groupBy("doc_id").agg(F.max_by(F.struct(*cols), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    light = staged(docs.select("doc_id", row_key().alias("__row"), fingerprints(F.col("text"), words).alias("fp")), "prints")
+    first = light.join(groups(light), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.select("__row", F.col("root").alias("__root")).distinct()
+    kept = docs.withColumn("__row", row_key()).join(stay, "__row")
+    return kept.groupBy("__root").agg(F.max_by(F.struct(*cols), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
