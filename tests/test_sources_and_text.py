@@ -5,6 +5,7 @@ import time
 import zipfile
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from wordloom.functions.local import local
@@ -77,6 +78,49 @@ def test_tokens_round_trip(spark):
     assert tokens.corpus_counts(local(spark, [("It @-@ don't 'tis A@.@b",)], "text string")).count() == 5
 
 
+#: Every kind of token.
+ALL_KINDS = [
+    "Mr. Smith's well-known dog, e.g. Rex, ate $3.50 or 12% of it... No. 7 didn't! Was it A.M.? Yes",
+    "  Prof. O’Neil-like re-entry\tcosts 1,000.5 in U.S. terms. Ça n’est rien; naïve x2 café-bar's\n",
+    "plain words only. And more", "'tis ’quoted’ rock'n'roll",
+]
+
+
+def brute_tokens(text):
+    out, at = [], 0
+    kinds = [(k, regex.compile(p)) for k, p in tokens.KINDS]
+    while at < len(text):
+        gap = regex.compile(r"\s*").match(text, at).end()
+        if gap == len(text):
+            break
+        kind, m = next((k, m) for k, p in kinds if (m := p.match(text, gap)))
+        out.append((len(out), m[0], kind, gap, text[at:gap]))
+        at = m.end()
+    return out
+
+
+def test_text_queries_read_every_text(spark, tmp_path):
+    from wordloom.plans import registry
+
+    for name, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        spark.createDataFrame(list(enumerate(ALL_KINDS)), f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = [(i, *x) for i, t in enumerate(ALL_KINDS) for x in brute_tokens(t)]
+    assert {x[3] for x in want} == {k for k, _ in tokens.KINDS}
+    words = []
+    for i in range(len(ALL_KINDS)):
+        sentence, seen = [], []
+        for _, pos, text, kind, _, _ in (x for x in want if x[0] == i):
+            if kind == "WORD" and text.isascii() and text.isalpha():
+                sentence.append((pos, text))
+            elif kind == "PUNCT" and text in ".!?":
+                seen, sentence = seen + [sentence], []
+        words += [(i, n, *x) for n, part in enumerate(filter(None, seen + [sentence])) for x in part]
+    for prefix in ("", "document_"):
+        run = lambda q: sorted(map(tuple, registry.QUERIES[q](spark, str(tmp_path)).collect()))  # noqa: E731, B023
+        assert run("text_tokens" if not prefix else "document_tokens") == sorted(want)
+        assert run(f"{prefix}sentence_words") == sorted(words)
+
+
 def test_build(spark, tmp_path):
     forms = lambda *fs: [{"form": f, "tags": t.split()} for f, t in fs]
     rows = [
