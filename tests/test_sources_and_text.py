@@ -1,8 +1,10 @@
 """Readers with their error rules, tokens, lexicon building, evaluation, automata and streams."""
 
 import json
+import re
 import time
 import zipfile
+from collections import Counter
 
 import pytest
 import regex
@@ -121,6 +123,16 @@ def test_text_queries_read_every_text(spark, tmp_path):
         assert run(f"{prefix}sentence_words") == sorted(words)
 
 
+def test_apostrophe_queries_read_every_text(spark, tmp_path):
+    from wordloom.plans import registry
+
+    counts = Counter(m.lower() for t in ALL_KINDS for m in re.findall(tokens.APOSTROPHE, t))
+    assert {"didn't", "o’neil", "rock'n'roll"} <= set(counts)
+    for prefix, name in (("", "benchmark"), ("document_", "documents")):
+        spark.createDataFrame([(t,) for t in ALL_KINDS], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+        assert dict(map(tuple, registry.QUERIES[f"{prefix}apostrophe_tokens"](spark, str(tmp_path)).collect())) == counts
+
+
 def test_build(spark, tmp_path):
     forms = lambda *fs: [{"form": f, "tags": t.split()} for f, t in fs]
     rows = [
