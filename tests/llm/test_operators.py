@@ -424,6 +424,17 @@ def test_chunks_encode_like_whole_texts(text):
     assert np.frombuffer(tokenids.encoder(path)(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>½ y", "a <|endoftext b", "plain 12 ½"])
+def test_added_tokens_are_read_as_the_file_says(spark, tmp_path, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path(tokenids.VOCABULARY)).encode(text, add_special_tokens=False).ids + [0]
+    df = spark.createDataFrame([(1, text), (2, "next")], "doc_id long, text string")
+    found = {x.doc_id: x for x in tokenids.read_documents(tokenids.write_sequences(df, f"file://{tmp_path}")).collect()}
+    assert (found[1].n_tokens, found[1].ids_crc32, found[2].start) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))
+
+
 # 9
 
 

@@ -41,11 +41,17 @@ CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
 @functools.cache
-def ids_type(path: str) -> str:
-    """The numpy type of stored ids: two bytes where every id fits."""
+def loaded(path: str):
+    """The tokenizer, once a process. Its users set encode_special_tokens before each call."""
     from tokenizers import Tokenizer
 
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def ids_type(path: str) -> str:
+    """The numpy type of stored ids: two bytes where every id fits."""
+    return "<u2" if loaded(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 @functools.cache
@@ -54,12 +60,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     Words of the split pattern go to the vocabulary's model one by one, and their ids are
     remembered, in bounded number. Texts with odd numerals are encoded by chunks, whole.
-    Strings of special tokens are ordinary text.
+    Strings of special tokens are ordinary text here; contract_encoder reads them as tokens.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer = loaded(path)
     tokenize, symbols, width = tokenizer.model.tokenize, byte_symbols(), ids_type(path)
 
     class Memo(dict):
@@ -75,12 +78,32 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         if ODD.search(text):
+            tokenizer.encode_special_tokens = True
             return b"".join([np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype=width).tobytes() for c in CHUNK.findall(text)])
         return b"".join([memo[w] for w in WORD.findall(text)])
 
     return encode
 
 
+@functools.cache
+def contract_encoder(path: str) -> Callable[[str], bytes]:
+    """text -> the ids of the file's own encode(text, add_special_tokens=False), as encoder gives them.
+
+    The library takes added tokens out of a text before anything else. A text that holds one's
+    content goes whole through the unmodified tokenizer; no other text is changed by that step.
+    """
+    tokenizer, words, width = loaded(path), encoder(path), ids_type(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        if any(a in text for a in added):
+            tokenizer.encode_special_tokens = False
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=width).tobytes()
+        return words(text)
+
+    return encode
+
+
 def byte_symbols() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves, and the others, in order, from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -210,7 +233,7 @@ def write_sequences(docs: DataFrame, base: str, vocabulary: str | None = None, l
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, out, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
+        encode, out, shard = contract_encoder(vocabulary), None, TaskContext.get().partitionId()
         end = np.array([END], ids_type(vocabulary)).tobytes()
         for batch in batches:
             out = out or SequenceFile(base, shard, ids_type(vocabulary), length)
