@@ -160,6 +160,19 @@ def test_blocks():
     assert extraction.blocks(None) == extraction.blocks("") == [] and extraction.blocks("a<b") != []
 
 
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<svg/>", "<math/>", '<svg><path d="x"/><use href="#a"/></svg>', "<svg><path>", "<svg><title>", "<select><option>", "<object data=x>", "<noscript>", "<template>"])
+def test_no_element_swallows_the_page(odd):
+    page = f"<body><article><p>First {odd}words.</p><p>Second.</p></article><footer>End</footer></body>"
+    found = extraction.blocks(page)
+    assert " ".join(t for _, t, _ in found) == "First words. Second. End"
+    assert found[-1][0][-1] == "footer" and (not odd.startswith(("<svg", "<math")) or found[-2][0][-2:] == ("article", "p"))
+
+
+def test_formulas_are_read_and_scripts_are_not():
+    page = "<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p><svg><style>p{}</style><title>No</title><circle r=1 /></svg><p>Next.</p><script>var t; <p>No</p>"
+    assert [t for _, t, _ in extraction.blocks(page)] == ["So E=m holds.", "Next."]
+
+
 def test_extraction_on_unseen_layouts(spark):
     wrong = blocks = 0
     model = extraction.trained()

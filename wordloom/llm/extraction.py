@@ -27,7 +27,12 @@ BLOCKS = 4000  # blocks whose features are held at once
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-RAW = frozenset("script style textarea title xmp iframe noframes noscript template svg math select object".split())
+#: Elements whose content is no markup, up to their closing tag or the end of the page.
+RAW = frozenset("script style textarea title xmp iframe noframes".split())
+#: Elements in which a tag may close itself, and RAW means nothing.
+FOREIGN = frozenset("svg math".split())
+#: Elements of these that hold HTML again.
+HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul label button".split()
@@ -36,12 +41,24 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCE = frozenset("ul ol dl table".split())
 
 
+def foreign_at(path: list[str]) -> int | None:
+    """Where on the path the svg or math begins that reads the next tag."""
+    for i in range(len(path) - 1, -1, -1):
+        name = path[i].split(" ", 1)[0]
+        if name in HTML_IN_FOREIGN:
+            return None
+        if name in FOREIGN:
+            return i
+    return None
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of each block with text, in page order. Markup, comments
-    and elements that hold no readable text are left out; references are decoded; white space
+    and RAW elements are left out; references are decoded; white space
     in a block, line-break tags too, becomes one space."""
     out, path, parts, links, at, page = [], [], [], 0, 0, page or ""
     in_link = in_head = 0
+    in_foreign = None  # True from the first svg or math on: other pages needn't look at their paths
 
     def end_block() -> None:
         nonlocal parts, links
@@ -65,11 +82,21 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
-        if not closing and name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            parts.append(" ")
-            continue
+        foreign = in_foreign and foreign_at(path)
+        if not closing:
+            if foreign is not None and name in BLOCK:  # HTML's own blocks end an svg or math that is still open
+                del path[foreign:]
+                foreign = None
+            if (name in FOREIGN or foreign is not None) and (m[3] or m[6] or "").endswith("/"):
+                continue
+            if name in FOREIGN:
+                in_foreign = True
+            if name in RAW:
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                if end or foreign is None:
+                    at = end.end() if end else len(page)
+                parts.append(" ")
+                continue
         if name == "br":
             parts.append(" ")
             continue
