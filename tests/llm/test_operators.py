@@ -1,5 +1,6 @@
 """The ten operators against brute force on small tables with nulls, ties, repeats and odd texts."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -374,6 +375,31 @@ def test_arc_files_are_converted(spark, tmp_path):
     assert [(x.page_id, x.payload_bytes) for x in warc.read_warc(spark, str(tmp_path / "out")).collect()] == [(8, 5)]
 
 
+def test_arc_files_of_any_bytes(spark, tmp_path):
+    image = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\xff\xfe\r\n\r\n" + bytes(range(256)) * 8
+    made = [
+        warc.ArcRecord("http://a.example/i.png", "1.2.3.4", "20190203040506", "image/png", image),
+        warc.ArcRecord("dns:a.example", "1.2.3.4", "20190203040505", "text/dns", b"20190203040505\na.example. 60 IN A 1.2.3.4\n"),
+        warc.ArcRecord("http://b.example/", "1.2.3.4", "20190203040507", "text/html", b"HTTP/1.0 200 OK\r\n\r\ncaf\xe9"),
+    ]
+    copy = [warc.ArcRecord("http://b.example/i.png", "1.2.3.4", "20200101000000", "image/png", image)]
+    (tmp_path / "in").mkdir()
+    for name, version, records in (("a.arc", 1, made), ("b.arc.gz", 2, copy)):
+        data = warc.arc_version_block(version, name) + b"".join(warc.arc_record(version, r) for r in records)
+        (tmp_path / "in" / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    warc.convert_arcs(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    found = {h.get("warc-target-uri", h.get("warc-filename")): (h, b) for p in (tmp_path / "out").glob("*.gz") for h, b in warc.parse_warc(gzip.decompress(p.read_bytes()))}
+    assert {k: h["warc-type"] for k, (h, _) in found.items()} == {
+        "a.arc": "warcinfo", "b.arc.gz": "warcinfo", "http://a.example/i.png": "response", "dns:a.example": "resource", "http://b.example/": "response", "http://b.example/i.png": "revisit",
+    }
+    assert all(found[r.url][1] == r.body for r in made) and found["dns:a.example"][0]["content-type"] == "text/dns"
+    head, block = found["http://b.example/i.png"]
+    assert block == image.split(b"\x89")[0] and head["warc-refers-to"] == found["http://a.example/i.png"][0]["warc-record-id"]
+    rows = {x.url: x for x in warc.read_warc(spark, str(tmp_path / "out")).collect()}
+    payload = image.partition(b"\r\n\r\n")[2]
+    assert len(rows) == 4 and all((rows[u].payload_bytes, rows[u].payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest()) for u in ("http://a.example/i.png", "http://b.example/i.png"))
+
+
 # 7
 
 

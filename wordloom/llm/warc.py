@@ -6,8 +6,8 @@ the fields of the header lines that follow. Version 1: URL IP date type length.
 URL IP date type result-code checksum location offset filename length. A record's body has the
 declared length; a line feed ends it.
 
-Archives are written by Spark's own text writer and read by its binaryFile reader, so they
-live wherever Spark can reach. All identifiers are derived from content: reruns agree.
+Archives of pages are written by Spark's own text writer; converted archives, which hold any bytes,
+by the tasks themselves. Both are read by binaryFile. All identifiers are derived from content: reruns agree.
 """
 
 from __future__ import annotations
@@ -79,6 +79,15 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         at += length
 
 
+def arc_version(data: bytes) -> ArcRecord | None:
+    """The version block of a file, if it begins with one, as a record."""
+    line, _, rest = data.lstrip(b"\r\n").partition(b"\n")
+    if not line.startswith(b"filedesc://"):
+        return None
+    parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
+    return ArcRecord(parts[0], parts[1], parts[2], parts[3], rest[: int(parts[-1])])
+
+
 def warc_date(date: str) -> str:
     """YYYYMMDDhhmmss, or its first digits, as an ISO time."""
     d = (date + EPOCH[len(date) :])[:14] if date.isdigit() else EPOCH
@@ -101,15 +110,24 @@ def record_id(r: ArcRecord, head: bytes, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join((r.url, r.date, head.decode('latin-1'), payload_digest)))}>"
 
 
-def to_warc(r: ArcRecord, revisit_of: str | None = None) -> bytes:
-    """The equivalent record, without the blank lines after it. revisit_of: the page that holds the
-    same payload; the record is then a revisit of it, with the HTTP head only."""
+class Original(NamedTuple):
+    """The record that holds a revisit's payload."""
+
+    id: str
+    url: str
+    date: str
+
+
+def to_warc(r: ArcRecord, revisit_of: str | Original | None = None) -> bytes:
+    """The equivalent record, without the blank lines after it: a response where the body has an HTTP
+    head, else (dns:, ftp:) a resource. revisit_of: the page or record that holds the same payload;
+    the record is then a revisit of it, with the HTTP head only."""
     head, payload = split_http(r.body)
     pd = digest(payload)
     block = r.body if revisit_of is None else head
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if revisit_of is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if revisit_of is not None else 'response' if head else 'resource'}",
         f"WARC-Record-ID: {record_id(r, head, pd)}",
         f"WARC-Date: {warc_date(r.date)}",
         f"WARC-Target-URI: {r.url}",
@@ -120,7 +138,27 @@ def to_warc(r: ArcRecord, revisit_of: str | None = None) -> bytes:
         "Content-Type: application/http; msgtype=response" if head else f"Content-Type: {r.mime}",
     ]
     if revisit_of is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{revisit_of}>"]
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if isinstance(revisit_of, Original):
+            lines += [f"WARC-Refers-To: {revisit_of.id}", f"WARC-Refers-To-Target-URI: {revisit_of.url}", f"WARC-Refers-To-Date: {warc_date(revisit_of.date)}", f"X-Payload-Length: {len(payload)}"]
+        else:
+            lines.append(f"WARC-Refers-To: <urn:page:{revisit_of}>")
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
+
+
+def to_warcinfo(version: ArcRecord) -> bytes:
+    """The record of an ARC file's version block, which it quotes."""
+    said = version.body.decode("utf-8", "replace").strip().splitlines()
+    block = "".join(f"{x}\r\n" for x in ("software: wordloom", "format: WARC File Format 1.1", *(f"description: ARC {x}" for x in said))).encode()
+    lines = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: {record_id(version, b'', digest(version.body))}",
+        f"WARC-Date: {warc_date(version.date)}",
+        f"WARC-Filename: {version.url.removeprefix('filedesc://')}",
+        f"WARC-Block-Digest: {digest(block)}",
+        "Content-Type: application/warc-fields",
+    ]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
@@ -199,43 +237,90 @@ def write(records: DataFrame, path: str) -> None:
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def unzipped(data: bytes) -> bytes:
+    import gzip
+
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def arc_revisits(files: DataFrame) -> DataFrame:
+    """(path, revisits: number in the file, id, url and date of the original) of files (path, content). Of
+    responses with equal payloads of at least LEAST bytes the earliest is the original. Contents are read
+    and not moved."""
+    schema = "path string, n long, digest string, id string, url string, date string"
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = []
+                for n, r in enumerate(parse_arc(unzipped(data.as_py()))):
+                    head, payload = split_http(r.body)
+                    if head and len(payload) >= LEAST:
+                        pd = digest(payload)
+                        rows.append((path, n, pd, record_id(r, head, pd), r.url, r.date))
+                if rows:
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["path", "n", "digest", "id", "url", "date"])
+
+    rows = staged(files.mapInArrow(light, schema), "arc-payloads")
+    first = rows.groupBy("digest").agg(F.count("*").alias("k"), F.min(F.struct("date", "path", "n", "id", "url")).alias("o")).where("k > 1").drop("k")
+    later = rows.select("path", "n", "digest").join(first, "digest").where((F.col("path") != F.col("o.path")) | (F.col("n") != F.col("o.n")))
+    return later.groupBy("path").agg(F.collect_list(F.struct("n", "o.id", "o.url", "o.date")).alias("revisits"))
+
+
 def convert_arcs(spark: SparkSession, arcs: str, path: str) -> None:
-    """Convert ARC files (plain or .gz), a file a task, to WARC files. Bodies that are not UTF-8 are
-    refused: the text writer would change them."""
+    """Convert ARC files (plain or .gz) to WARC files, a gzip member a record: the version block becomes a
+    warcinfo, bodies of any bytes responses or resources, repeated payloads revisits.
+
+    A task writes its files' bytes itself. A file is named after its source and gets its name when it
+    is complete, so a retried task replaces it by the same.
+    """
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        for batch in batches:
-            for data in batch.column(0):
-                raw = data.as_py()
-                for r in parse_arc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    yield pa.record_batch([pa.array([to_warc(r).decode("utf-8")], pa.string())], ["value"])
+        import pyarrow.fs as pafs
 
-    write(spark.read.format("binaryFile").load(arcs).select("content").mapInArrow(convert, "value string"), path)
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for source, data, later in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                raw, found = unzipped(data.as_py()), {x["n"]: Original(x["id"], x["url"], x["date"]) for x in later or []}
+                at = f"{root}/_{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(at) as out:
+                    put = lambda record: out.write(gzip.compress(record + b"\r\n\r\n", mtime=0))  # noqa: B023, E731
+                    if version := arc_version(raw):
+                        put(to_warcinfo(version))
+                    for n, r in enumerate(parse_arc(raw)):
+                        put(to_warc(r, found.get(n)))
+                fs.move(at, f"{root}/{hashlib.sha1(source.encode()).hexdigest()}.warc.gz")
+                yield pa.record_batch([pa.array([source])], ["path"])
+
+    files = spark.read.format("binaryFile").load(arcs).select("path", "content")
+    files.join(arc_revisits(files), "path", "left").select("path", "content", "revisits").mapInArrow(convert, "path string").write.format("noop").mode("overwrite").save()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record. Digests
-    of responses are taken anew from the payload and must agree with the header's."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record but warcinfo.
+    Digests of responses and resources are taken anew from the payload and must agree with the header's.
+    refers_to is a page: null for revisits of other records."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for data in batch.column(0):
-                raw, rows = data.as_py(), []
-                for head, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                rows = []
+                for head, block in parse_warc(unzipped(data.as_py())):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     http, payload = split_http(block)
                     said, kind = head["warc-payload-digest"], head["warc-type"]
-                    if kind == "response" and digest(payload) != said:
+                    if kind != "revisit" and digest(payload) != said:
                         raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
                     page, refers = http_field(http, b"x-page-id"), head.get("warc-refers-to")
                     rows.append({
                         "page_id": int(page) if page not in (None, "-") else None, "url": head["warc-target-uri"],
-                        "payload_bytes": len(payload) if kind == "response" else int(http_field(http, b"content-length") or 0),
+                        "payload_bytes": len(payload) if kind != "revisit" else int(head.get("x-payload-length") or http_field(http, b"content-length") or 0),
                         "payload_digest": base64.b32decode(said.removeprefix("sha1:")).hex(), "record_type": kind,
-                        "refers_to": int(refers.removeprefix("<urn:page:").rstrip(">")) if refers else None,
+                        "refers_to": int(refers.removeprefix("<urn:page:").rstrip(">")) if refers and refers.startswith("<urn:page:") else None,
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
