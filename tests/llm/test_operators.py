@@ -525,3 +525,11 @@ def test_line_dedup(docs, empty):
         kept = [s for s, k in zip(lines, keys(t)) if not (k in common and common[k] != i)]
         assert (x.doc_id, x.text, x.n_lines, x.n_dropped) == (i, "\n".join(kept), len(lines), len(lines) - len(kept))
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "a line of more than forty characters, in all rows"
+    few = spark.createDataFrame([(1, f"{line}\n{i}") for i in range(4)] + [(2, line)], "doc_id long, text string")
+    assert {x.n_dropped for x in line_dedup.dedup_lines(few).collect()} == {0}
+    five = few.union(spark.createDataFrame([(i, line) for i in (3, 4, 5)], "doc_id long, text string"))
+    assert sorted((x.doc_id, x.n_dropped) for x in line_dedup.dedup_lines(five).collect()) == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)]

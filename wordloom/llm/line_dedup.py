@@ -1,8 +1,8 @@
 """Line dedup: drop lines that recur in many documents, keep one copy of each.
 
-Lines are exploded once, reduced to a 128-bit key, and counted per key with map-side
-partial aggregation, so a line that a third of all documents share costs one row per
-task. Only (document, position, key) rows of long lines meet the frequent keys; the text
+Lines are exploded once, reduced to a 128-bit key, made one of each (key, document), and
+counted per key with map-side partial aggregation, so a line that a third of all documents
+share costs the count one row per task. Only (document, position, key) rows of long lines meet the frequent keys; the text
 itself moves once, with the positions that its document loses.
 """
 
@@ -27,10 +27,12 @@ def _keys(min_chars: int) -> Column:
 
 
 def frequent_lines(keys: DataFrame, min_docs: int) -> DataFrame:
-    """(key, keep): keys in at least min_docs documents, with the largest doc_id. Each
-    document gives a key once, so that counting combines before the exchange."""
+    """(key, keep): keys in at least min_docs documents, with the largest doc_id. Rows of one
+    doc_id are one document; a null id counts as one like any other. Pairs are reduced before
+    keys are counted, spread by both, so that a hot line is in no task alone."""
     return (
         keys.select("doc_id", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+        .distinct()
         .groupBy("key")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
         .where(F.col("n") >= min_docs)
@@ -41,8 +43,8 @@ def frequent_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with `text` rewritten, n_lines and n_dropped added (columns of these names are replaced).
 
-    A null or empty text is one empty line. Every row is a document, also where rows repeat.
-    Lines of a null doc_id count like any others; a null id is the largest only where no
+    A null or empty text is one empty line. Every row is rewritten by itself, but rows
+    that share a doc_id count as one document. Lines of a null doc_id count like any others; a null id is the largest only where no
     other document holds the line. The kept document may hold the line several times and
     keeps all of these.
     """
