@@ -29,6 +29,8 @@ from .common import table
 
 #: Bound of the labelled sample and the number of landmarks, both of each language.
 SAMPLE, LANDMARKS = 300, 48
+#: Bytes of the longest text that is learned from, so SAMPLE bounds the driver's memory too.
+LONGEST = 1 << 18
 RIDGE, BLOCK = 0.05, 64
 #: A text of a learned language has at least this share of its 3-grams in the landmarks, or as much as
 #: all but a hundredth of the labelled sample have where that is less.
@@ -137,16 +139,19 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` documents of each language, the first by a hash of the id, of those
-    with a text, a language and an id that is not held out. Ids and languages alone are ranked."""
-    light = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select("doc_id", "lang")
+    with a text of at most LONGEST bytes, a language and an id that is not held out. Ids and languages
+    alone are ranked. An id that repeats is one document: the largest of its rows by language and text."""
+    fit = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}") & ~held_out()
+    light = docs.where(fit).groupBy("doc_id").agg(F.max("lang").alias("lang"))
     # A share of each language that holds four samples of it goes on to be ranked, however large it is.
     share = light.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * sample / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     light = light.join(F.broadcast(share), "lang").where(place < F.col("share"))
     first = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ids = light.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
-    rows = sorted((str(r["lang"]), r["doc_id"], r["text"]) for r in rows if r["lang"] is not None and r["text"])
+    ids = light.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id", "lang")
+    chosen = docs.where(fit).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    rows = chosen.groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
+    rows = sorted((str(r["lang"]), r["doc_id"], r["text"]) for r in rows)
     return Model([(t, lang) for lang, _, t in rows if LETTER.search(t)])
 
 
