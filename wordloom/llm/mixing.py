@@ -21,6 +21,7 @@ from .common import WORD, staged, table
 
 SHARE, REPEATS = 1.5, 2
 WEIGHTS = (5, 2, 1)
+PLANNED = ["size", "source_size", "target", "taken", "weight", "before"]
 #: By weight: (time, rate) knots. Heavy sources come early, light ones late.
 SCHEDULES = {5: [(0.0, 1.5), (1.0, 0.5)], 2: [(0.0, 1.0), (1.0, 1.0)], 1: [(0.0, 0.5), (0.5, 0.8), (1.0, 2.0)]}
 BUCKET_ROWS, MOST_DIGITS = 2000, 5
@@ -67,38 +68,57 @@ def plan(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights:
     own, the last. Rows that repeat are documents of their own. The boundary document of a
     source is taken in part, so that the words taken add up to the floor of the target.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "weight", "before")
-    docs = docs.withColumns({
-        "size": F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long"),
+    docs = sized(docs.drop(*PLANNED))
+    return named(planned(docs, staged(docs.select("__s", "source", "__size", "__h"), "mix-sizes"), share, repeats, weights))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with __size (words), __s (the source, never null) and __h, the place in the shuffled order.
+
+    __h is of id and text, so a null or repeated id spreads over the buckets as far as its texts differ."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({
+        "__size": F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long"),
         "__s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")),
-        "__h": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":mix"))),
+        "__h": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":mix:"), F.md5(text))),
     })
-    light = staged(docs.select("__s", "source", "size", "__h"), "mix-sizes")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({f"__{c}": c for c in PLANNED})
+
+
+def planned(docs: DataFrame, light: DataFrame, share: float, repeats: int, weights: tuple) -> DataFrame:
+    """docs (of sized) with the columns PLANNED, each after two underscores. light: __s, source, __size and
+    __h of the same rows, cheap to read again."""
     rows, digits = light.count(), 1
     while rows > BUCKET_ROWS * 16**digits and digits < MOST_DIGITS:
         digits += 1
     bucket = F.col("__h").substr(1, digits)
-    buckets = light.groupBy("__s", "source", bucket.alias("__b")).agg(F.sum("size").alias("__n"))
+    buckets = light.groupBy("__s", "source", bucket.alias("__b")).agg(F.sum("__size").alias("__n"))
     sources = targets(buckets.groupBy("__s", "source").agg(F.sum("__n").alias("source_size")), share, repeats, weights)
     ahead = F.sum("__n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__n")
     frame = buckets.drop("source").withColumn("__ahead", ahead).join(sources.drop("source"), "__s").drop("__n")
-    inside = Window.partitionBy("__s", "__b").orderBy("__h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    t = F.floor("target")
+    frame = frame.withColumnsRenamed({c: f"__{c}" for c in ("source_size", "weight", "target")})
+    inside = Window.partitionBy("__s", "__b").orderBy("__h", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    t, size, whole = F.floor("__target"), F.col("__size"), F.col("__source_size")
+    taken = size * F.floor(t / whole) + F.greatest(F.lit(0), F.least(size, t % whole - F.col("__before")))
     return (
         docs.withColumn("__b", bucket)
-        .withColumn("__to", F.sum("size").over(inside))
+        .withColumn("__to", F.sum(size).over(inside))
         .join(staged(frame, "mix-buckets"), ["__s", "__b"])
-        .withColumn("before", F.col("__ahead") + F.col("__to") - F.col("size"))
-        .withColumn("taken", F.when(F.col("source_size") > 0, F.col("size") * F.floor(t / F.col("source_size")) + F.greatest(F.lit(0), F.least(F.col("size"), t % F.col("source_size") - F.col("before")))).otherwise(0).cast("long"))
+        .withColumn("__before", F.col("__ahead") + F.col("__to") - size)
+        .withColumn("__taken", F.when(whole > 0, taken).otherwise(0).cast("long"))
         .drop("__s", "__b", "__h", "__to", "__ahead")
     )
 
 
-def training_position(word: Column, schedules: dict = SCHEDULES) -> Column:
-    """When cumulative demand of a planned row's source reaches this word of its sequence."""
-    share, position = F.try_divide(word.cast("double"), F.col("target")), F.lit(None).cast("double")
+def training_position(word: Column, schedules: dict = SCHEDULES, mark: str = "") -> Column:
+    """When cumulative demand of a planned row's source reaches this word of its sequence. mark: what
+    stands before the planned columns' names."""
+    share, position = F.try_divide(word.cast("double"), F.col(f"{mark}target")), F.lit(None).cast("double")
     for w, knots in schedules.items():
-        position = F.when(F.col("weight") == w, due(share, knots)).otherwise(position)
+        position = F.when(F.col(f"{mark}weight") == w, due(share, knots)).otherwise(position)
     return position
 
 
@@ -107,33 +127,36 @@ def mix(docs: DataFrame, schedules: dict = SCHEDULES, **settings) -> DataFrame:
     range-sorted by `position` (0 to 1), then source, pass and order within the source.
 
     A document taken in part keeps the text up to its last taken word. Columns named position
-    or pass are replaced.
+    or pass are replaced; all others are the caller's own, those that plan would replace too.
     """
     own = [c for c in docs.columns if c not in ("position", "pass")]
-    p = plan(docs.select(own), **settings)
-    full = F.floor(F.col("taken") / F.col("size")).cast("int")
+    docs = sized(docs.select(own))
+    p = planned(docs, staged(docs.select("__s", "source", "__size", "__h"), "mix-sizes"), **{"share": SHARE, "repeats": REPEATS, "weights": WEIGHTS} | settings)
+    size, taken = F.col("__size"), F.col("__taken")
+    full = F.floor(taken / size).cast("int")
     rows = (
-        p.where((F.col("taken") > 0) & (F.col("size") > 0))
-        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-        .withColumn("__words", F.when(F.col("pass") < full, F.col("size")).otherwise(F.col("taken") % F.col("size")))
+        p.where((taken > 0) & (size > 0))
+        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)))
+        .withColumn("__words", F.when(F.col("pass") < full, size).otherwise(taken % size))
     )
-    position = training_position(F.col("pass") * F.col("source_size") + F.col("before"), schedules)
+    position = training_position(F.col("pass") * F.col("__source_size") + F.col("__before"), schedules, "__")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), "")
-    text = F.when(F.col("__words") < F.col("size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("position", position).withColumn("text", text).orderBy("position", "source", "pass", "before", "doc_id").select(*own, "position", "pass")
+    text = F.when(F.col("__words") < size, cut).otherwise(F.col("text"))
+    return rows.withColumn("position", position).withColumn("text", text).orderBy("position", "source", "pass", "__before", "doc_id").select(*own, "position", "pass")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Texts are read once, for their sizes; the rest works on the small rows.
+    light = staged(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"), "mix-sizes")
     first = F.when(F.col("taken") > 0, F.round(training_position(F.col("before")), 6)).alias("first_position")
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
+    return named(planned(light, light, SHARE, REPEATS, WEIGHTS)).select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '-') || ':mix') AS h FROM documents),
+    md5(coalesce(doc_id::VARCHAR, '-') || ':mix:' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
