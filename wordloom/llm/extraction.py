@@ -14,6 +14,7 @@ import functools
 import html as htmllib
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 PATH, WORDS, MEASURES, HIDDEN = 768, 32, 10, 20
-BLOCKS = 4000  # blocks whose features are held at once
+#: Blocks whose features are held at once: of pages that go side by side, padded to the longest, and
+#: of one longer page, which goes alone, a stretch at a time.
+BLOCKS = 4000
+#: Elements that an open head may hold; any other, or text, ends it.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -69,9 +74,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             parts, links = [], 0
 
     def text(upto: int) -> None:
-        nonlocal links
-        if upto > at and not in_head:
+        nonlocal links, in_head
+        if upto > at:
             t = htmllib.unescape(page[at:upto])
+            if in_head and t.strip():
+                in_head = False
+            elif in_head:
+                return
             parts.append(t)
             links += len(t.strip()) if in_link else 0
 
@@ -104,8 +113,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             end_block()
         if name == "head":
             in_head = not closing
-        elif name == "body":
-            in_head = 0
+        elif not closing and name not in IN_HEAD:
+            in_head = False
         if name == "a":
             in_link = not closing
         elif name in BLOCK:
@@ -136,7 +145,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(8_000)  # of 3 kB each
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Hashed tokens of the path: of all elements, and once more of the two nearest."""
     v = np.zeros(PATH, np.float32)
@@ -154,9 +163,12 @@ def word_slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    x = np.zeros((len(page), PATH + WORDS + MEASURES), np.float32)
-    for i, (path, text, linked) in enumerate(page):
+def features(page: list[tuple[tuple[str, ...], str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
+    """Of the page's blocks from start to end a row each."""
+    part = page[start:end]
+    x = np.zeros((len(part), PATH + WORDS + MEASURES), np.float32)
+    for i, (path, text, linked) in enumerate(part):
+        at = start + i
         words, n = text.split(" "), len(text)
         x[i, :PATH] = path_vector(path)
         h = np.bincount(np.fromiter(map(word_slot, words), np.int64, len(words)), minlength=WORDS)
@@ -164,7 +176,7 @@ def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         marks = sum(map(text.count, ".,;:!?"))
         x[i, PATH + WORDS :] = (
             np.log1p(n) / 6, np.log1p(len(words)) / 5, min(1.0, linked / n), min(1.0, 10 * marks / n), text[-1] in ".!?…\"”»",
-            text[0].isupper(), i / len(page), i == 0, i == len(page) - 1, "©" in text,
+            text[0].isupper(), at / len(page), at == 0, at == len(page) - 1, "©" in text,
         )
     return x
 
@@ -188,11 +200,12 @@ class Labeller:
         self.w["o"] = (r.standard_normal(2 * hidden) * 0.1).astype(np.float32)
         self.w["k"] = np.zeros(1, np.float32)
 
-    def one_way(self, x: np.ndarray, lengths: np.ndarray, d: str):
-        """Hidden states (page, step, unit) of pages sorted by falling length; and what training needs."""
+    def one_way(self, x: np.ndarray, lengths: np.ndarray, d: str, carried: tuple[np.ndarray, np.ndarray] | None = None, training: bool = True):
+        """Hidden states (page, step, unit) of pages sorted by falling length; what training needs, if
+        it is; and the last state and cell, which may be carried into the stretch that follows."""
         h, (pages, steps, _) = self.h, x.shape
         gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        state, cell = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
+        state, cell = carried or (np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32))
         out, kept = np.zeros((pages, steps, h), np.float32), []
         for t in range(steps):
             n = int(np.searchsorted(-lengths, -t, side="left"))  # pages with a block t
@@ -204,18 +217,19 @@ class Labeller:
             tc = np.tanh(cell[:n])
             state[:n] = o * tc
             out[:n, t] = state[:n]
-            kept.append((n, i, f, o, u, before, old, tc))
-        return out, kept
+            if training:
+                kept.append((n, i, f, o, u, before, old, tc))
+        return out, kept, (state, cell)
 
-    def forward(self, pages: list[np.ndarray]):
+    def forward(self, pages: list[np.ndarray], training: bool = True):
         """Pages must be sorted by falling length."""
         lengths = np.array([len(p) for p in pages])
         x = np.zeros((len(pages), lengths[0], pages[0].shape[1]), np.float32)
         r = np.zeros_like(x)
         for i, p in enumerate(pages):
             x[i, : len(p)], r[i, : len(p)] = p, p[::-1]
-        f, kf = self.one_way(x, lengths, "f")
-        b, kb = self.one_way(r, lengths, "b")
+        f, kf, _ = self.one_way(x, lengths, "f", training=training)
+        b, kb, _ = self.one_way(r, lengths, "b", training=training)
         back = np.zeros_like(b)
         for i, n in enumerate(lengths):
             back[i, :n] = b[i, :n][::-1]
@@ -267,14 +281,39 @@ class Labeller:
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: -len(pages[i]))
-        out = [np.zeros(0, np.float32)] * len(pages)
-        for i in range(0, len(order), 128):
-            part = order[i : i + 128]
-            for j, p in zip(part, self.forward([pages[j] for j in part])[0]):
-                out[j] = p[: len(pages[j])]
+        """Of each page's features the blocks' probabilities to be main."""
+        return self.labelled(list(map(len, pages)), lambda i, a, b: pages[i][a:b])
+
+    def labelled(self, lengths: list[int], read: Callable[[int, int, int], np.ndarray]) -> list[np.ndarray]:
+        """The same where read gives the features of page i from block a to b. Pages of like length go
+        side by side, at most BLOCKS blocks with the padding; a longer page goes alone."""
+        order = sorted((i for i, n in enumerate(lengths) if n), key=lambda i: -lengths[i])
+        out, at = [np.zeros(0, np.float32)] * len(lengths), 0
+        while at < len(order):
+            longest = lengths[order[at]]
+            if longest > BLOCKS:
+                out[order[at]] = self.alone(longest, functools.partial(read, order[at]))
+                at += 1
+                continue
+            part = order[at : at + BLOCKS // longest]
+            for j, p in zip(part, self.forward([read(j, 0, lengths[j]) for j in part], training=False)[0]):
+                out[j] = p[: lengths[j]]
+            at += len(part)
         return out
 
+    def alone(self, n: int, read: Callable[[int, int], np.ndarray]) -> np.ndarray:
+        """One page, BLOCKS blocks at a time, first back to front, then front to back."""
+        score, starts = np.zeros(n, np.float32), range(0, n, BLOCKS)
+        for d, order in (("b", reversed(starts)), ("f", starts)):
+            carried, weights = None, self.w["o"][self.h :] if d == "b" else self.w["o"][: self.h]
+            for a in order:
+                x = read(a, min(n, a + BLOCKS))
+                x = x[::-1] if d == "b" else x
+                h, _, carried = self.one_way(x[None], np.array([len(x)]), d, carried, training=False)
+                got = h[0] @ weights
+                score[a : a + len(x)] += got[::-1] if d == "b" else got
+        return sigmoid(score + self.w["k"])
+
 
 #: Layouts of the parts of a page that are no main text, by kind: (opening, closing, inner elements).
 OUTSIDE = {
@@ -398,14 +437,18 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
     waiting: list[list] = []
 
     def done() -> None:
-        for found, p in zip(waiting, model.label([features(x) for x in waiting])):
+        labels = model.labelled(list(map(len, waiting)), lambda i, a, b: features(waiting[i], a, b))
+        for found, p in zip(waiting, labels):
             out.append("\n".join(t for (_, t, _), y in zip(found, p) if y > 0.5))
         waiting.clear()
 
+    held = 0
     for page in pages:
         waiting.append(blocks(page))
-        if sum(map(len, waiting[-50:])) > BLOCKS or len(waiting) >= 200:
+        held += len(waiting[-1])
+        if held > 4 * BLOCKS or len(waiting) >= 500:
             done()
+            held = 0
     done()
     return out
 
