@@ -1,13 +1,14 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 Two fingerprints within 2 bits differ in at most 2 of their 8 bytes, so they share at least
-6 bytes at equal positions: the guaranteed minimum of matches. The index lists each distinct
-fingerprint under every choice of 6 positional bytes, so a pair meets in a list exactly when
-its tally of shared positional bytes reaches 6. A list's members differ in two bytes only,
-which bounds it to 65,536 fingerprints however many documents there are. Each list verifies
-its pairs by bit distance (by looking up the flips of the free bits, not by trying all
-pairs) and gives a spanning forest of its links. Copies share a fingerprint and are one
-member.
+6 bytes at equal positions: the guaranteed minimum of matches. Lists of single positional
+bytes would hold a 256th of all fingerprints each, so the index lists each distinct
+fingerprint under every choice of 6 positional bytes. A list's members differ in two bytes
+only, which bounds it to 65,536 fingerprints however many documents there are. A list gives
+candidate pairs (found by looking up the flips of the free bits, not by trying all pairs),
+of which it keeps a spanning forest, each with the positions that the list vouches for.
+Over all lists the positions of a pair are tallied; pairs that reach 6 are kept and verified
+by bit distance. Copies share a fingerprint and are one member.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .common import components, row_key, staged, table
 
 BITS, WORDS = 2, 3
 SLICE = 100_000  # shingles whose bits are counted at once
-MASKS = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), 8 - BITS)]
+INDEX_ROWS = 50_000  # fingerprints of an index task, each listed under every choice
+CHOICES = list(combinations(range(8), 8 - BITS))  # positions of a choice
+MASKS = [sum(0xFF << 8 * i for i in kept) for kept in CHOICES]
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -49,14 +52,12 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
 
 
 def forest(members: list[int], bits: int = BITS) -> list[tuple[int, int]]:
-    """Links (member, smallest member of its group) of one list, groups joined by `bits` flips or fewer."""
-    a = np.sort(np.array(members, np.int64)).view(np.uint64)
-    free = np.bitwise_or.reduce(a ^ a[0])
-    if len(a) == 2:
+    """Of one list's pairs within `bits` flips, a spanning forest: it joins the same groups."""
+    s = np.sort(np.array(members, np.int64).view(np.uint64))
+    free = np.bitwise_or.reduce(s ^ s[0])
+    if len(s) == 2:
         return [(members[0], members[1])] if int(free).bit_count() <= bits else []
     ones = [1 << i for i in range(64) if int(free) >> i & 1]
-    order = np.argsort(a)
-    s, label = a[order], np.arange(len(a))
     left, right = [], []
     for k in range(1, bits + 1):
         for flip in combinations(ones, k):
@@ -66,27 +67,46 @@ def forest(members: list[int], bits: int = BITS) -> list[tuple[int, int]]:
             left.append(hit)
             right.append(at[hit])
     left, right = np.concatenate(left), np.concatenate(right)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, right, label[left])
-        np.minimum.at(label, left, label[right])
-        label = label[label]
-        if (before == label).all():
-            break
+    kept = spanning(left, right, len(s))
     s = s.view(np.int64)
-    return [(int(s[i]), int(s[j])) for i, j in enumerate(label) if i != j]
+    return list(zip(s[left[kept]].tolist(), s[right[kept]].tolist()))
+
+
+def spanning(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the edges of a spanning forest, by rounds: each tree takes its first edge to another."""
+    label, edge, kept = np.arange(n), np.arange(len(left)), []
+    while len(edge):
+        a, b = label[left[edge]], label[right[edge]]
+        across = a != b
+        edge, a, b = edge[across], a[across], b[across]
+        first = np.full(n, len(left))
+        np.minimum.at(first, a, edge)
+        np.minimum.at(first, b, edge)
+        taken = np.unique(first[first < len(left)])
+        kept.append(taken)
+        x, y = left[taken], right[taken]
+        while not (label[x] == label[y]).all():
+            low = np.minimum(label[x], label[y])
+            top = np.concatenate([label[x], label[y]])
+            np.minimum.at(label, top, np.concatenate([low, low]))
+            label = label[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that join the same groups as all pairs of distinct fingerprints (fp) within 2 bits."""
     @F.arrow_udf("array<struct<a:long,b:long>>")
-    def verified(lists: pa.Array) -> pa.Array:
-        return pa.array([[{"a": a, "b": b} for a, b in forest(x)] for x in lists.to_pylist()], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    def candidates(lists: pa.Array) -> pa.Array:
+        return pa.array([[{"a": min(x), "b": max(x)} for x in forest(y)] for y in lists.to_pylist()], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in MASKS))).alias("choice", "bytes")
-    lists = prints.select("fp", keys).groupBy("choice", "bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return lists.select(F.inline(verified("members"))).distinct()
+    spread = prints.select("fp").repartition(1 + prints.count() // INDEX_ROWS, "fp")
+    lists = spread.select("fp", keys).groupBy("choice", "bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    at = F.element_at(F.array(*(F.lit(sum(1 << i for i in kept)) for kept in CHOICES)), F.col("choice") + 1)
+    pairs = lists.select(at.alias("at"), F.inline(candidates("members")))
+    tallied = pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or("at")).alias("shared"))
+    return tallied.where((F.col("shared") >= 8 - BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
