@@ -1,6 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is the documents of one Arrow batch. Words are numbered by the benchmark's own
+A shard is the documents of one Arrow batch, or a stretch of SHARD_WORDS of their words, which
+bounds the index. Words are numbered by the benchmark's own
 vocabulary; a word outside it can be in no occurrence, so a shard's text for the index is
 its runs of in-vocabulary words at least as long as the shortest window. The index is a
 suffix array's Burrows-Wheeler transform in a wavelet matrix, with sampled suffix positions.
@@ -10,18 +11,23 @@ to a sampled position, and overlapping occurrences merge into removal spans.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ascii_lower, row_key, staged, table
 
 WINDOW, SAMPLE = 10, 16
-#: Benchmark text in one block of windows, in bytes; more makes more blocks, each searched.
-BLOCK_BYTES = 32_000_000
+#: Benchmark text in one block of windows, in bytes; more makes more blocks, searched one after
+#: another. A block of this size takes some 100 MB of the driver and of each worker.
+BLOCK_BYTES = 8_000_000
+SHARD_WORDS = 500_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TO = bytes(32 if i < 128 and not chr(i).isalnum() else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -35,17 +41,26 @@ class Windows:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
+        found: dict[int, list[tuple[np.ndarray, int | None]]] = {}
         for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 2) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        keys = sorted(found, key=len)
-        self.by_length = [(n, np.array(k, np.int64).reshape(-1, n)) for n in sorted({len(k) for k in keys}) for k in [[x for x in keys if len(x) == n]]]
-        ids = [sorted(x for x in found[k] if x is not None) for k in keys]
-        self.item_at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        self.items = np.array([x for y in ids for x in y], np.int64)
-        self.shortest = self.by_length[0][0] if self.by_length else 0
+            w = np.array([self.number.setdefault(x, len(self.number) + 2) for x in words_of(text)], np.int32)
+            if len(w):
+                n = min(window, len(w))
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(w, n), item))
+        self.by_length, holders, base = [], [], 0
+        for n, parts in sorted(found.items()):
+            keys, number = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
+            many = [len(p) for p, _ in parts]
+            null = np.repeat([i is None for _, i in parts], many)
+            pairs = np.stack([number.reshape(-1) + base, np.repeat([i or 0 for _, i in parts], many)], axis=1)
+            holders.append(np.unique(pairs[~null], axis=0))
+            self.by_length.append((n, keys))
+            base += len(keys)
+        pairs = np.concatenate(holders) if holders else np.zeros((0, 2), np.int64)
+        self.item_at = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=base))]).astype(np.int64)
+        self.items = pairs[:, 1]
+        self.shortest = min(found, default=0)
+        self.longest = max(found, default=0)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -120,8 +135,17 @@ class FMIndex:
         return at
 
 
-def occurrences(w: Windows, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(window, place of its first word in ids, its length) of all occurrences; 0 in ids is a word of no item, and ends a document."""
+def occurrences(w: Windows, ids: np.ndarray, most: int = SHARD_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(window, place of its first word in ids, its length) of all occurrences, from stretches of `most`
+    words; a stretch reads on for as long as a window that begins in it may go."""
+    for start in range(0, len(ids), most):
+        for window, at, n in indexed(w, ids[start : start + most + max(0, w.longest - 1)]):
+            own = at < most
+            yield window[own], at[own] + start, n
+
+
+def indexed(w: Windows, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Occurrences in one index; 0 in ids is a word of no item, and ends a document."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     long = end - start >= max(1, w.shortest)
@@ -190,9 +214,8 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list]:
     yield block
 
 
-def hits(text: Column, block: list, spark: SparkSession, window: int = WINDOW) -> Column:
-    sent = spark.sparkContext.broadcast(Windows(block, window))
-
+def hits(text: Column, sent: Broadcast) -> Column:
+    """n_words, items and spans by the Windows that were sent."""
     @F.arrow_udf("struct<n_words:long,items:array<long>,spans:array<struct<start:long,end:long>>>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(search_shard(sent.value, texts.to_pylist()), HIT)
@@ -206,22 +229,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     A null or empty text has no words and no hits; an item without words no windows. An item of
     fewer words than the window is one window. Items with a null id hit but are not listed;
     items that repeat are listed once. Spans count words, merged in a document.
+
+    A benchmark of one block is searched in one pass. Of a larger one each block is searched in a
+    pass of its own, whose hits are written before the next begins.
     """
     docs = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
-    found = []
-    for i, block in enumerate(blocks(benchmark, block_bytes)):
-        docs = docs.withColumn(f"__hit{i}", hits(F.col("text"), block, docs.sparkSession, window))
-        found.append(f"__hit{i}")
-    at = lambda x: F.sort_array(F.flatten(F.array(*(F.col(c)[x] for c in found))))
+    spark, text = docs.sparkSession, F.col("text")
+    several, found = blocks(benchmark, block_bytes), []
+    block, after = next(several), next(several, None)
+    if after is None:
+        docs = docs.withColumn("__hit", hits(text, spark.sparkContext.broadcast(Windows(block, window))))
+    else:
+        keyed = docs.withColumn("__row", row_key())
+        while block is not None:
+            sent = spark.sparkContext.broadcast(Windows(block, window))
+            hit = keyed.select("__row", hits(text, sent).alias("hit"))
+            found.append(staged(hit.where(F.size("hit.spans") > 0), f"hits-{len(found)}"))
+            sent.destroy()
+            block, after = after, next(several, None)
+        docs = joined(keyed, found)
+    docs = docs.withColumns({"n_words": F.col("__hit.n_words"), "items": F.col("__hit.items"), "spans": F.col("__hit.spans")})
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return docs.withColumn("n_hit", n).withColumn("contaminated", F.col("n_hit") > 0).drop("__hit")
+
+
+def joined(keyed: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """keyed with __hit, the hits that several blocks found in a row of the same __row. Rows alike in id
+    and text have the same hits, so of each block one row a key goes on."""
+    rows = functools.reduce(DataFrame.unionByName, (x.groupBy("__row").agg(F.any_value("hit").alias("hit")) for x in found))
+    all_of = lambda x: F.sort_array(F.flatten(F.collect_list(f"hit.{x}")))
+    rows = rows.groupBy("__row").agg(F.array_distinct(all_of("items")).alias("items"), all_of("spans").alias("all"))
     # Sorted spans of all blocks, merged where they touch.
+    last = lambda a: F.get(a, F.size(a) - 1)
+    longer = lambda a, s: F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))
+    none = F.array().cast("array<struct<start:long,end:long>>")
     merged = F.aggregate(
-        at("spans"), F.array().cast("array<struct<start:long,end:long>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] >= s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))),
+        "all", none,
+        lambda a, s: F.when((F.size(a) > 0) & (last(a)["end"] >= s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer(a, s)))).otherwise(F.concat(a, F.array(s))),
     )
-    spans = at("spans") if len(found) == 1 else merged
-    docs = docs.withColumns({"n_words": F.col(found[0])["n_words"], "items": F.array_distinct(at("items")), "spans": spans})
-    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return docs.withColumn("n_hit", n).withColumn("contaminated", F.col("n_hit") > 0).drop(*found)
+    rows = rows.select("__row", "items", merged.alias("spans"))
+    n_words = F.size(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).cast("long")
+    hit = F.struct(n_words.alias("n_words"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("spans", none).alias("spans"))
+    return keyed.join(rows, "__row", "left").withColumn("__hit", hit).drop("__row", "items", "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
