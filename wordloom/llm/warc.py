@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import scratch, staged, table
 
 LEAST = 1000  # payload bytes from which equal payloads become revisits
+FILE_RECORDS = 20_000  # of a file, which is read whole
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -49,7 +50,7 @@ def arc_version_block(version: int, name: str = "archive.arc") -> bytes:
 
 def arc_record(version: int, r: ArcRecord, offset: int = 0, name: str = "archive.arc") -> bytes:
     """A record; white space in the URL is percent-encoded, as a header line is split by it."""
-    url = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in r.url) or "-"
+    url = percent_encoded(r.url)
     tail = "" if version == 1 else f"200 {hashlib.md5(r.body).hexdigest()} - {offset} {name} "
     return f"{url} {r.ip} {r.date} {r.mime} {tail}{len(r.body)}\n".encode() + r.body + b"\n"
 
@@ -111,17 +112,17 @@ def record_id(r: ArcRecord, head: bytes, payload_digest: str) -> str:
 
 
 class Original(NamedTuple):
-    """The record that holds a revisit's payload."""
+    """The record that holds a revisit's payload. All three go into the revisit's header."""
 
     id: str
     url: str
     date: str
 
 
-def to_warc(r: ArcRecord, revisit_of: str | Original | None = None) -> bytes:
+def to_warc(r: ArcRecord, revisit_of: Original | None = None) -> bytes:
     """The equivalent record, without the blank lines after it: a response where the body has an HTTP
-    head, else (dns:, ftp:) a resource. revisit_of: the page or record that holds the same payload;
-    the record is then a revisit of it, with the HTTP head only."""
+    head, else (dns:, ftp:) a resource. revisit_of: the record that holds the same payload; this one
+    is then a revisit of it, with the HTTP head only."""
     head, payload = split_http(r.body)
     pd = digest(payload)
     block = r.body if revisit_of is None else head
@@ -138,11 +139,13 @@ def to_warc(r: ArcRecord, revisit_of: str | Original | None = None) -> bytes:
         "Content-Type: application/http; msgtype=response" if head else f"Content-Type: {r.mime}",
     ]
     if revisit_of is not None:
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if isinstance(revisit_of, Original):
-            lines += [f"WARC-Refers-To: {revisit_of.id}", f"WARC-Refers-To-Target-URI: {revisit_of.url}", f"WARC-Refers-To-Date: {warc_date(revisit_of.date)}", f"X-Payload-Length: {len(payload)}"]
-        else:
-            lines.append(f"WARC-Refers-To: <urn:page:{revisit_of}>")
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {revisit_of.id}",
+            f"WARC-Refers-To-Target-URI: {revisit_of.url}",
+            f"WARC-Refers-To-Date: {warc_date(revisit_of.date)}",
+            f"X-Payload-Length: {len(payload)}",
+        ]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
@@ -187,17 +190,34 @@ def http_field(head: bytes, name: bytes) -> str | None:
     return None
 
 
+def page_head(page_id: int | None, length: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'-' if page_id is None else page_id}\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def percent_encoded(url: str | None) -> str:
+    """A URL as it stands in an ARC header line, which white space splits."""
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "") or "-"
+
+
 def page_to_arc(page_id: int | None, url: str | None, html: str | None) -> ArcRecord:
     payload = (html or "").encode("utf-8", "surrogatepass")
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'-' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    return ArcRecord(url or "-", "0.0.0.0", EPOCH, "text/html", head + payload)
+    return ArcRecord(url or "-", "0.0.0.0", EPOCH, "text/html", page_head(page_id, len(payload)) + payload)
+
+
+def page_original(page_id: int, url: str | None, payload: bytes) -> Original:
+    """What a revisit says of the record that page_to_arc and to_warc make of a page with this payload."""
+    r = ArcRecord(percent_encoded(url), "0.0.0.0", EPOCH, "text/html", b"")
+    return Original(record_id(r, page_head(page_id, len(payload)), digest(payload)), r.url, r.date)
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """(__row, refers_to) of the pages that are revisits. Only ids and digests move."""
-    light = pages.select("__row", "page_id", F.sha1(F.encode(html(), "utf-8")).alias("d")).where(F.octet_length(html()) >= LEAST)
-    most = staged(light.groupBy("d").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1 and refers_to is not null").select("d", "refers_to"), "copies")
-    return light.join(most, "d").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).groupBy("__row").agg(F.max("refers_to").alias("refers_to"))
+    """(__row, refers_to: page_id and url of the response) of the pages that are revisits, staged: where they
+    are few, Spark can send them to the pages. Only ids, URLs and digests move."""
+    light = pages.select("__row", "page_id", "url", F.sha1(F.encode(html(), "utf-8")).alias("d")).where(F.octet_length(html()) >= LEAST)
+    said = F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    most = staged(light.groupBy("d").agg(F.count("*").alias("n"), F.max(said).alias("refers_to")).where("n > 1 and refers_to.page_id is not null").select("d", "refers_to"), "copies")
+    later = light.select("__row", "page_id", "d").join(most, "d").where(~F.col("page_id").eqNullSafe(F.col("refers_to.page_id")))
+    return staged(later.groupBy("__row").agg(F.max("refers_to").alias("refers_to")), "revisits")
 
 
 def html() -> Column:
@@ -214,6 +234,7 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
 
     A null html is an empty payload, a null id or url is '-'. Of equal payloads of at least LEAST
     bytes the page with the largest id is the response; rows that repeat it are responses too.
+    Rows alike in id, URL and html are one record, written as often, under one identifier.
     """
     rows = with_row(pages.select("page_id", "url", "html"))
     rows = rows.join(decisions(rows), "__row", "left").select("page_id", "url", "html", "refers_to")
@@ -227,14 +248,14 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
             for i in range(0, len(ids), 200):
                 part = slice(i, i + 200)
                 arc = b"".join([arc_version_block(version), *(arc_record(version, page_to_arc(*x)) for x in zip(ids[part], urls[part], texts[part]))])
-                records = [to_warc(r, None if x is None else str(x)) for r, x in zip(parse_arc(arc), refers[part], strict=True)]
+                records = [to_warc(r, None if x is None else page_original(x["page_id"], x["url"], split_http(r.body)[1])) for r, x in zip(parse_arc(arc), refers[part], strict=True)]
                 yield pa.record_batch([pa.array([x.decode("utf-8") for x in records], pa.string())], ["value"])
 
     write(rows.mapInArrow(convert, "value string"), path)
 
 
 def write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -301,8 +322,9 @@ def convert_arcs(spark: SparkSession, arcs: str, path: str) -> None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record but warcinfo.
     Digests of responses and resources are taken anew from the payload and must agree with the header's.
-    refers_to is a page: null for revisits of other records."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    refers_to is the page of the record that a revisit names: null where that is none of these archives'
+    or no page."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("original", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,17 +337,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     said, kind = head["warc-payload-digest"], head["warc-type"]
                     if kind != "revisit" and digest(payload) != said:
                         raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
-                    page, refers = http_field(http, b"x-page-id"), head.get("warc-refers-to")
+                    page = http_field(http, b"x-page-id")
                     rows.append({
                         "page_id": int(page) if page not in (None, "-") else None, "url": head["warc-target-uri"],
                         "payload_bytes": len(payload) if kind != "revisit" else int(head.get("x-payload-length") or http_field(http, b"content-length") or 0),
                         "payload_digest": base64.b32decode(said.removeprefix("sha1:")).hex(), "record_type": kind,
-                        "refers_to": int(refers.removeprefix("<urn:page:").rstrip(">")) if refers and refers.startswith("<urn:page:") else None,
+                        "record_id": head["warc-record-id"], "original": head.get("warc-refers-to"),
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = staged(files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id string, original string"), "warc-records")
+    # Each original once, with its page; revisits meet them by identifier.
+    named = rows.where("original is not null").select("original").distinct()
+    pages = rows.select(F.col("record_id").alias("original"), F.col("page_id").alias("refers_to")).join(named, "original").groupBy("original").agg(F.max("refers_to").alias("refers_to"))
+    return rows.join(staged(pages, "originals"), "original", "left").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
