@@ -12,6 +12,7 @@ ranges of doc_id; a manifest lists them in order with their ids' counts.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import uuid
 import zlib
@@ -54,16 +55,30 @@ def ids_type(path: str) -> str:
     return "<u2" if loaded(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+@functools.cache
+def split_as_known(path: str) -> bool:
+    """Whether the file is a byte-level model with the usual split pattern and nothing before or besides it."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    pre, model = said.get("pre_tokenizer") or {}, said["model"]
+    usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return bool(usual and plain and not said.get("normalizer") and not said.get("truncation"))
+
+
 @functools.cache
 def encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids, little-endian, as wide as ids_type says.
 
     Words of the split pattern go to the vocabulary's model one by one, and their ids are
     remembered, in bounded number. Texts with odd numerals are encoded by chunks, whole.
-    Strings of special tokens are ordinary text here; contract_encoder reads them as tokens.
+    Strings of special tokens are ordinary text here; contract_encoder reads them as tokens. A file of
+    another kind than WORD is made for goes to the library, text by text.
     """
     tokenizer = loaded(path)
     tokenize, symbols, width = tokenizer.model.tokenize, byte_symbols(), ids_type(path)
+    if not split_as_known(path):
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=width).tobytes()
 
     class Memo(dict):
         def __missing__(self, word: str) -> bytes:
@@ -151,7 +166,8 @@ class SequenceFile:
 
     def flush(self, last: bool = False) -> None:
         ids, width = np.frombuffer(b"".join(self.waiting), self.width), self.length
-        whole = len(ids) // width * width
+        unit = width if last else width * BATCH  # all batches but a file's last are full
+        whole = len(ids) // unit * unit
         for i in range(0, whole, width * BATCH):
             self.put(ids[i : min(whole, i + width * BATCH)], None)
         rest = ids[whole:]
@@ -191,28 +207,33 @@ class Reader:
         self.at, self.batch = -1, None
         with fs.open_input_file(path.removesuffix(".arrow") + ".index.arrow") as f:
             self.index = pa.ipc.open_file(f).read_all()
-        # All batches but the last of a flush may be short; their starts are few and are kept.
-        self.starts = np.concatenate([[0], np.cumsum([self.file.get_batch(i).num_rows for i in range(self.file.num_record_batches)])]).astype(np.int64)
 
     def _batch(self, i: int) -> pa.RecordBatch:
         if self.at != i:
             self.at, self.batch = i, self.file.get_batch(i)
         return self.batch
 
+    def _place(self, at: int) -> tuple[int, int]:
+        """The batch of an id, and its place there. A file has full batches, then at most two short
+        ones: the rest, and the padded last sequence."""
+        full = self.length * BATCH
+        b, lo = divmod(at, full)
+        last = self.file.num_record_batches - 1
+        if b == last - 1 and lo >= (held := self._batch(b).num_rows * self.length):
+            return last, lo - held
+        return b, lo
+
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and mask of sequence i; the ids are a view of the file, the mask's bits are unpacked."""
-        b = int(np.searchsorted(self.starts, i, side="right")) - 1
-        lo = (i - int(self.starts[b])) * self.length
+        b, lo = self._place(i * self.length)
         ids, mask = (c.values for c in self._batch(b).columns)
         return ids.to_numpy(zero_copy_only=True)[lo : lo + self.length], mask[lo : lo + self.length].to_numpy(zero_copy_only=False)
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start to start + n, in views of one batch each."""
         while n > 0:
-            seq = start // self.length
-            b = int(np.searchsorted(self.starts, seq, side="right")) - 1
+            b, lo = self._place(start)
             flat = self._batch(b).column(0).values.to_numpy(zero_copy_only=True)
-            lo = start - int(self.starts[b]) * self.length
             got = flat[lo : lo + n]
             yield got
             start, n = start + len(got), n - len(got)
@@ -221,8 +242,9 @@ class Reader:
 def write_sequences(docs: DataFrame, base: str, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """Write documents (doc_id, text) under base and return the manifest (shard, file, n_ids, n_docs), staged.
 
-    A null text is empty and gives END alone. Null ids come first. Rows that repeat are
-    documents of their own. A task writes one range of doc_id; a retried task writes a new
+    A null text is empty and gives END alone. Null ids come first. Rows of one id, or of none, stand
+    in the order of their texts and may fall into several ranges where the texts' first 64
+    characters differ. Rows that repeat are documents of their own. A task writes one range of doc_id; a retried task writes a new
     file, and the manifest names the one of the attempt that counted.
     """
     if vocabulary is None:
@@ -243,7 +265,7 @@ def write_sequences(docs: DataFrame, base: str, vocabulary: str | None = None, l
             uri, n, k = out.close()
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([k], pa.int64())], ["shard", "file", "n_ids", "n_docs"])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     return staged(ranged.mapInArrow(write, "shard long, file string, n_ids long, n_docs long"), "manifest")
 
 
