@@ -110,7 +110,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """docs' other columns without text, the measures, base_failed and kept (columns of these names are replaced).
 
     labels: (doc_id, quality); good means quality 1 in some row. Null ids and null qualities
-    are no labels. A null stratum is one of its own. Empty labels certify nothing. Every row
+    are no labels. Rows of one id and stratum are one trial. A null stratum is one of its own. Empty labels certify nothing. Every row
     is judged by itself, so repeated rows get the same verdict.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_with_words", "base_failed", "kept"]
@@ -118,6 +118,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     own = [c for c in docs.columns if c != "text"]
     m = staged(measured(docs).withColumn("base_failed", base_failed()).withColumns({f"__{k}": v for k, v in ratios().items()}).drop("text"), "quality")
     good = m.where(~F.col("base_failed")).join(labels.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    # A document is one trial, however often its row repeats; of unlike rows the one that is rejected first counts.
+    good = good.groupBy("doc_id", "__stratum").agg(*(F.max(f"__{rule}").alias(f"__{rule}") for rule in CUTOFFS))
     cuts = staged(certified(good, alpha, delta), "cutoffs")
     over = F.lit(False)
     for rule in CUTOFFS:
