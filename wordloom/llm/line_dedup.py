@@ -53,13 +53,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # A table of known size: Spark broadcasts it under its threshold, and else joins two
     # exchanges, of which adaptive execution splits the partition of a hot line.
     common = staged(frequent_lines(keys, min_docs), "frequent-lines")
-    lost = (
+    # Few documents lose lines; their table is staged, so its size is known and all texts needn't be
+    # shuffled to it where it is small.
+    lost = staged(
         keys.select("__row", "doc_id", F.posexplode("keys").alias("pos", "key"))
         .where(F.col("key").isNotNull())
         .join(common, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("keep")))
         .groupBy("__row")
-        .agg(F.collect_set("pos").alias("__gone"))
+        .agg(F.collect_set("pos").alias("__gone")),
+        "lost-lines",
     )
     lines, gone = F.col("__lines"), F.coalesce("__gone", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
