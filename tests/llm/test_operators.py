@@ -533,3 +533,200 @@ def test_line_dedup_counts_documents_not_rows(spark):
     assert {x.n_dropped for x in line_dedup.dedup_lines(few).collect()} == {0}
     five = few.union(spark.createDataFrame([(i, line) for i in (3, 4, 5)], "doc_id long, text string"))
     assert sorted((x.doc_id, x.n_dropped) for x in line_dedup.dedup_lines(five).collect()) == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)]
+
+
+# Odd tables: hot and repeated keys, long texts, clashing names, empty inputs
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    rows = [(1, f"the and {i}", "xx") for i in range(400)] + [(2, "x" * (language.LONGEST + 1), "yy"), (4, "le eau", "yy")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["xx", "yy"]
+    assert language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == len(rows)
+
+
+def test_mix_keeps_the_callers_columns(spark, docs):
+    names = ["size", "weight", "target", "taken", "before", "source_size"]
+    out = mixing.mix(clashing(docs, *names)).collect()
+    assert out and all(x[n] == "theirs" for x in out for n in names)
+    assert [(x.doc_id, x.text, x.position) for x in out] == [(x.doc_id, x.text, x.position) for x in mixing.mix(docs.repartition(2)).collect()]
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} " * 9, "a") for i in range(50)] + [(7, f"v{i} " * 9, "a") for i in range(50)] + [(7, "same", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.sized(df).select("__h").distinct().count() == 101
+    a, b = (rows_of(mixing.plan(d).select("doc_id", "text", "taken", "before")) for d in (df, df.repartition(7)))
+    assert a == b and sum(x[2] for x in a) == math.floor(1.5 * (50 * 18 + 5))
+
+
+def test_a_long_page_among_others_is_read_in_stretches(monkeypatch):
+    model = extraction.Labeller()
+    page = extraction.blocks("<body><nav>Menu</nav>" + "<p>Some words here.</p>" * 300 + "<footer>End</footer>")
+    other = extraction.blocks(PAGE)
+    want = [model.label([extraction.features(p)])[0] for p in (other, page)]
+    monkeypatch.setattr(extraction, "BLOCKS", 64)
+    seen = []
+    read = lambda i, a, b: (seen.append(b - a), extraction.features([other, page, other][i], a, b))[1]
+    got = model.labelled([len(other), len(page), len(other)], read)
+    assert max(seen) <= 64 and np.allclose(got[1], want[1], atol=1e-6) and np.allclose(got[0], want[0], atol=1e-6) and np.allclose(got[2], want[0], atol=1e-6)
+
+
+@pytest.mark.parametrize("page", ["<html><head><title>T</title><p>First", "<head><meta charset=x>First", "<head><link rel=a><div>First</div></head>", "<title>T</title><p>First", "<head><noscript><img src=a></noscript>First"])
+def test_text_ends_an_open_head(page):
+    assert [t for _, t, _ in extraction.blocks(page)] == ["First"]
+
+
+def test_extraction_recall_on_given_pages():
+    """The given pages mark their main text by an article element, which the labeller isn't told."""
+    import pyarrow.parquet as pq
+
+    model, found, missed, extra = extraction.trained(), 0, 0, 0
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page, text in zip(pages, extraction.main_texts(model, pages)):
+        want, got = [t for _, t, _ in extraction.blocks(re.search("<article>.*?</article>", page, re.S)[0])], text.split("\n")
+        found += len(set(want) & set(got))
+        missed += len(set(want) - set(got))
+        extra += len(set(got) - set(want) - {""})
+    assert found / (found + missed) > 0.98 and found / (found + extra) > 0.98
+
+
+def test_extraction_of_an_empty_table(spark):
+    assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_spanning_forest_joins_what_all_edges_join():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (40, 60), (200, 150)):
+        left, right = r.integers(0, n, m), r.integers(0, n, m)
+        kept = simhash.spanning(left, right, n)
+
+        def labels(a, b, n=n):
+            x = list(range(n))
+            for i, j in [*zip(a, b)] * n:
+                x[i] = x[j] = min(x[i], x[j])
+            return x
+
+        assert labels(left[kept], right[kept]) == labels(left, right) and len(kept) == n - len(set(labels(left, right)))
+
+
+def test_links_are_pairs_within_two_bits(spark):
+    r = random.Random(8)
+    base = r.getrandbits(63)
+    df = spark.createDataFrame([(base ^ sum(1 << k for k in r.sample(range(63), r.randint(0, 3))),) for _ in range(200)], "fp long").distinct()
+    assert all((x.a ^ x.b).bit_count() <= 2 and x.a < x.b for x in simhash.links(df).collect())
+
+
+def test_windows_are_alive_one_block_at_a_time(spark, docs, monkeypatch):
+    alive, most = [], []
+    made = decontamination.Windows.__init__
+
+    def counted(self, *a, **k):
+        made(self, *a, **k)
+        alive.append(1)
+        most.append(len(alive))
+
+    real = type(spark.sparkContext.broadcast(1)).destroy
+    monkeypatch.setattr(decontamination.Windows, "__init__", counted)
+    monkeypatch.setattr(type(spark.sparkContext.broadcast(1)), "destroy", lambda self, *a: (alive.pop(), real(self, *a))[1])
+    bench = spark.createDataFrame([(i, corpus()[i + 1][1]) for i in range(6)], "item_id long, text string")
+    several = decontamination.contamination(docs, bench, block_bytes=10)
+    assert len(most) >= 5 and max(most) == 1
+    assert rows_of(several) == rows_of(decontamination.contamination(docs, bench).select(several.columns))
+
+
+def test_stretches_of_a_long_text_are_searched_as_one():
+    r = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in r.integers(0, 4, 900))
+    w = decontamination.Windows([(1, text[30:90]), (2, text[600:700]), (3, "w1")], 5)
+    ids = np.array([w.number.get(x, 0) for x in decontamination.words_of(text)], np.int64)
+    flat = lambda most: sorted((int(k), int(p), n) for which, at, n in decontamination.occurrences(w, ids, most) for k, p in zip(which, at))
+    assert flat(10**6) == flat(37) == flat(1) and flat(37)
+
+
+def test_revisits_name_a_record_of_the_archive(spark, tmp_path):
+    big = "<p>é" + "x" * 1200
+    df = spark.createDataFrame([(1, "http://a", big), (2, "http://b c", big), (3, None, "small"), (2, "http://b c", big)], "page_id long, url string, html string")
+    warc.pages_to_warc(df, str(tmp_path / "w"))
+    heads = [h for p in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse_warc(gzip.decompress(p.read_bytes()))]
+    by_id = {h["warc-record-id"]: h for h in heads}
+    later = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(later) == 1 and by_id[later[0]["warc-refers-to"]]["warc-target-uri"] == later[0]["warc-refers-to-target-uri"] == "http://b%20c"
+    assert len(by_id) == 3  # a row that repeats is the same record again
+
+
+def test_warc_of_an_empty_table_and_of_a_long_page(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    warc.pages_to_warc(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+    warc.pages_to_warc(spark.createDataFrame([(1, "u", "é" * 3_000_000)], schema), str(tmp_path / "long"))
+    assert [x.payload_bytes for x in warc.read_warc(spark, str(tmp_path / "long")).collect()] == [6_000_000]
+
+
+def test_repeated_rows_are_cut_by_shards(spark):
+    df = spark.createDataFrame([(1, "copy " * 20)] * 900 + [(None, None)] * 50 + [(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    out = sharding.shard(df, n=10).collect()
+    by = {}
+    for x in out:
+        by.setdefault(x.shard, []).append(x)
+    sizes = [sum(x.size for x in rows) for rows in by.values()]
+    assert len(out) == 1000 and len(sizes) == 10 and max(sizes) - min(sizes) <= 2 * 116
+    assert all(sorted(x.slot for x in rows) == list(range(len(rows))) for rows in by.values())
+
+
+def test_token_files_of_equal_ids_and_of_none(spark, tmp_path):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(30)] + [(5, f"text {i}") for i in range(30)], "doc_id long, text string")
+    out = tokenids.read_documents(tokenids.write_sequences(df, f"file://{tmp_path}/a", length=8)).orderBy("start").collect()
+    assert [x.doc_id for x in out] == [None] * 30 + [5] * 30
+    assert [x.start for x in out] == np.cumsum([0, *(x.n_tokens for x in out)])[:-1].tolist()
+    assert tokenids.read_documents(tokenids.write_sequences(df.where("false"), f"file://{tmp_path}/b")).count() == 0
+
+
+def test_random_access_over_many_batches(tmp_path):
+    out, r = tokenids.SequenceFile(f"file://{tmp_path}", 0, "<u2", length=4), np.random.default_rng(0)
+    parts = [r.integers(0, 60_000, n).astype("<u2") for n in (3, 5000, 1, 2047, 4096)]
+    for i, x in enumerate(parts):
+        out.add(i, x.tobytes())
+    uri, n, docs = out.close()
+    flat, reader = np.concatenate(parts), tokenids.Reader(uri)
+    assert (n, docs) == (len(flat), len(parts)) and len({reader.file.get_batch(i).num_rows for i in range(reader.file.num_record_batches - 2)}) == 1
+    for at in (0, 1, 1023, 1024, 5000, n - 1):
+        assert np.concatenate(list(reader.span(at, n - at))).tolist() == flat[at:].tolist()
+    last = -(-n // 4) - 1
+    assert all(reader.sequence(i)[0][: n - 4 * i].tolist() == flat[4 * i : 4 * i + 4].tolist() for i in (0, 255, 256, last - 1, last))
+
+
+def test_other_vocabularies_go_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not tokenids.split_as_known(path) and tokenids.split_as_known(public_tokenizers.path(tokenids.VOCABULARY))
+    ids = Tokenizer.from_file(path).encode("Some Text, 12½ <|endoftext|>", add_special_tokens=False).ids
+    assert np.frombuffer(tokenids.contract_encoder(path)("Some Text, 12½ <|endoftext|>"), tokenids.ids_type(path)).tolist() == ids
+
+
+def test_verdicts_against_brute_force(spark):
+    """Every labelled document is one trial, however often its row stands there."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    text = lambda share: " ".join(word() + ("#" * 6 if r.random() < share else "") for _ in range(40))
+    rows = [(i, text(0.9 if i % 60 == 0 else 0.0), ["en", "fr"][i % 7 == 0]) for i in range(2400)]
+    rows += [rows[0]] * 400 + [(5000 + i, text(0.6), "en") for i in range(20)] + [(None, text(0.9), "en")]
+    good = set(range(0, 2400, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(2400)] * 2, "doc_id long, quality int")
+    tail = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    measures = lambda t: {"symbols": t.count("#") / len(t.replace(" ", "")), "dup_lines": 0.0, "repeats": 0.0}
+    cuts = {}
+    for lang in ("en", "fr"):
+        trials = {i: measures(t) for i, t, x in rows if i in good and x == lang}
+        for rule, cs in quality.CUTOFFS.items():
+            for c in cs:
+                if tail(sum(m[rule] > c for m in trials.values()), len(trials), quality.ALPHA / 3) > quality.DELTA / 6:
+                    break
+                cuts[lang, rule] = c
+    assert ("en", "symbols") in cuts
+    for x in quality.judge(df, labels).join(df.distinct(), ["doc_id", "lang"], "left").collect():
+        if x.text:
+            assert x.kept == (not any(v > cuts.get((x.lang, k), 2) for k, v in measures(x.text).items())), x

@@ -58,3 +58,32 @@ def test_language_id_drops_foreign_and_junk_texts(spark):
     odd = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(FOREIGN)], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(odd), SF).collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, spans string"
+
+
+def test_each_stage_takes_odd_rows(spark):
+    """Null cells, empty and long texts, ties, repeated rows, other columns with an operator's names."""
+    prose = [r for r in table(spark, SF, "documents").where("length(text) between 200 and 2000").orderBy("doc_id").limit(60).collect()]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, "theirs", "theirs") for r in prose]
+    rows += rows[:5] + [(None, prose[0].text, None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (7, "", "en", "s", 0, 0, "", "")]
+    rows += [(10**9, prose[1].text * 60, "en", "s", 0, 0, "", ""), (prose[2].doc_id, prose[3].text + " more", "en", None, 0, 0, "", "")]
+    docs = spark.createDataFrame(rows, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert len(got) > 0 and stage(spark, docs.where("false"), SF).count() == 0, name
+        if name != "sharding":
+            assert out.columns == docs.columns and all(x.shard in ("theirs", "", None) and x.spans in ("theirs", "", None) for x in got), name
+        if name == "language_id":
+            assert sorted(map(repr, got)) == sorted(repr(x) for x in docs.collect() if x.text)
+        if name == "simhash_near_dedup":
+            of = simhash.near_duplicates(docs.select("doc_id", "text")).select("fp").distinct().count()
+            assert len(got) <= of and sum(not (x.text or "").strip() for x in got) == 1
+        if name == "benchmark_decontamination":
+            assert {x.text for x in got} <= {x[1] for x in rows} and None in {x.text for x in got}
+        if name == "mixing":
+            assert sum(len(x.text.split()) for x in got) > 0 and all(x.text for x in got)
+        if name == "sharding":
+            assert len(got) == len(rows) and {"slot", "size"} <= set(out.columns)
