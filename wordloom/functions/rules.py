@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .local import local
+from .orthography import E_DELETION, FEATURES, POS
 
 _ANY: list[str] = []
 _MOST = ["REG", "Y_FINAL", "SILENT_E", "UNKNOWN"]
@@ -47,6 +50,7 @@ PREFIXES = [
 ]
 
 _KNOWN = ["REG", "Y_FINAL", "SIBILANT", "DOUBLE_CONS", "SILENT_E"]
+# Fixed values, here and in OUTER and PARADIGM.
 #: How the end of a word is read: how the stem was recovered from the rest, the ending, part of
 #: speech, effective classes, tag, and a guard. kinds: 0 as it stands, 1 i for y, 2 doubled, 3 e lost.
 INFLECTION = [
@@ -81,24 +85,60 @@ PARADIGM = [
 ]
 # Limits of stacking and splitting.
 MAX_TAIL, STACK_ROOT, STACK_SUFFIX, LAYER = 3, 4, 2, 0.9
+#: How a word is read: an ending on a stem, one on a derived form, a stored form, not at all.
+INFLECTED, DERIVED, STORED, NOTHING = range(4)
+
+
+@dataclasses.dataclass(frozen=True)
+class Language:
+    """A language's rules as data. ENGLISH has the tables above; others give their own in the same form."""
+
+    derivation: tuple = tuple(DERIVATION)
+    prefixes: tuple = tuple(PREFIXES)
+    inflection: tuple = tuple(INFLECTION)
+    outer: tuple = tuple(OUTER)
+    paradigm: tuple = tuple(PARADIGM)
+    pos: tuple = tuple(POS)
+    tags: tuple = tuple(FEATURES.values())
+    e_deletion: tuple = tuple(E_DELETION)
+    max_tail: int = MAX_TAIL
+    stack_root: int = STACK_ROOT
+    stack_suffix: int = STACK_SUFFIX
+    layer: float = LAYER
 
 
-def derivation(spark: SparkSession) -> DataFrame:
-    rows = [(s, src, d, c, y, m, "FREQUENT_STEM" in r, "NOT_CLOSED_CLASS" in r, i) for i, (s, src, d, c, y, m, r) in enumerate(DERIVATION)]
+ENGLISH = Language()
+
+
+def derivation(spark: SparkSession, language: Language = ENGLISH, with_none: bool = False) -> DataFrame:
+    """A row a rule; with_none: and one for no suffix."""
+    rows = [("", [], "", [], False, 0, False, False, -1)] if with_none else []
+    rows += [(s, src, d, c, y, m, "FREQUENT_STEM" in r, "NOT_CLOSED_CLASS" in r, i) for i, (s, src, d, c, y, m, r) in enumerate(language.derivation)]
     return local(spark, rows, "suffix string, sources array<string>, derived string, classes array<string>, y_restoration boolean, min_stem int, frequent_stem boolean, not_closed boolean, rule_ord int")
 
 
-def prefixes(spark: SparkSession) -> DataFrame:
-    return local(spark, [(p, a, i) for i, (p, a) in enumerate(PREFIXES)], "prefix string, attaches array<string>, prefix_ord int")
+def prefixes(spark: SparkSession, language: Language = ENGLISH) -> DataFrame:
+    """A row a prefix, and one for none."""
+    return local(spark, [("", None, -1), *((p, a, i) for i, (p, a) in enumerate(language.prefixes))], "prefix string, attaches array<string>, prefix_ord int")
+
+
+def tails(spark: SparkSession, language: Language = ENGLISH) -> DataFrame:
+    """(route, tail, kind): how endings are taken off, outside an inflected stem (INFLECTED) or a derived form (DERIVED)."""
+    rows = {(INFLECTED, x[1], x[0]) for x in language.inflection} | {(DERIVED, x[1], x[0]) for x in language.outer if len(x[1]) <= language.max_tail}
+    return local(spark, sorted(rows | {(INFLECTED, "", 0), (DERIVED, "", 0)}), "route int, tail string, kind int")
 
 
-def inflection(spark: SparkSession) -> DataFrame:
-    return local(spark, [(*r, i) for i, r in enumerate(INFLECTION)], "kind int, tail string, pos string, classes array<string>, tag string, guard string, tag_ord int")
+def endings(spark: SparkSession, language: Language = ENGLISH) -> DataFrame:
+    """(route, kind, tail, pos, classes, tag, guard, tag_ord): what an ending says of a stem or a derived form.
+    Without an ending, and for stored forms (STORED), nothing is asked; NOTHING keeps a word without a reading."""
+    rows = [(INFLECTED, *x, i) for i, x in enumerate(language.inflection)] + [(DERIVED, *x, "", i) for i, x in enumerate(language.outer)]
+    rows += [(route, 0, "", p, None, None, "", 0) for route in (INFLECTED, DERIVED, STORED) for p in language.pos] + [(NOTHING, 0, "", "", None, None, "", 0)]
+    return local(spark, rows, "route int, kind int, tail string, pos string, classes array<string>, tag string, guard string, tag_ord int")
 
 
-def outer(spark: SparkSession) -> DataFrame:
-    return local(spark, [(*r, i) for i, r in enumerate(OUTER)], "alternation int, tail string, derived_pos string, o_classes array<string>, tag string, tag_ord int")
+def inflection(spark: SparkSession, language: Language = ENGLISH) -> DataFrame:
+    return local(spark, [(*x, i) for i, x in enumerate(language.inflection)], "kind int, tail string, pos string, classes array<string>, tag string, guard string, tag_ord int")
 
 
-def paradigm(spark: SparkSession) -> DataFrame:
-    return local(spark, PARADIGM, "pos string, eff string, tag string, ending string, cut int, doubles boolean")
+def paradigm(spark: SparkSession, language: Language = ENGLISH) -> DataFrame:
+    return local(spark, list(language.paradigm), "pos string, eff string, tag string, ending string, cut int, doubles boolean")

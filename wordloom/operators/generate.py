@@ -19,7 +19,7 @@ def generated_forms(rules: Ruleset) -> DataFrame:
     last, cut = F.substring("stem", -1, 1), F.substring(F.col("stem"), F.lit(1), F.length("stem") - 1)
     row = lambda df, surface, origin: df.select("lex_id", surface.alias("surface"), "lemma", "pos", "stem_class", origin.alias("origin"))
     out = row(lex, F.col("stem"), F.lit("citation"))
-    par = lex.join(F.broadcast(r.paradigm(lex.sparkSession)), ["pos", "eff"]).where(~F.map_contains_key("irregular", F.col("tag")))
+    par = lex.join(F.broadcast(r.paradigm(lex.sparkSession, rules.language)), ["pos", "eff"]).where(~F.map_contains_key("irregular", F.col("tag")))
     # A verb or a regular adjective whose doubling is unknown has no form that would show it.
     shows = F.col("tag").isin("+PAST", "+PRES_PART") & (F.col("pos") == "V") & F.col("eff").isin("REG", "SIBILANT", "SILENT_E") | (F.col("pos") == "ADJ") & F.col("eff").isin("REG", "SIBILANT")
     par = par.where(F.col("doubling_known") | ~shows)

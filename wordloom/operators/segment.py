@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
-from wordloom.functions import rules as r
 
-from .analyze import Ruleset, analyze
+from .analyze import Ruleset, heaviest, readings
 
 # Labels by tag, in order of preference.
 LABELS = [("+PL", "SUFFIX_PL"), ("+PAST", "SUFFIX_PAST"), ("+PAST_PART", "SUFFIX_PAST"), ("+PRES_PART", "SUFFIX_ING"), ("+3SG", "SUFFIX_3SG"), ("+COMP", "SUFFIX_COMP"), ("+SUP", "SUFFIX_SUP")]
@@ -17,28 +16,6 @@ ALL_CAPS = 6
 OUT = ["word", "rank", "pieces", "offsets", "labels", "lemma", "alt", "source", "gate", "n_analyses", "weight", "demoted", "promotable"]
 
 
-def lexical_facts(rules: Ruleset) -> DataFrame:
-    """(key, best, by_pos, sibilant, closed, stored): what the guards ask of a spelling, one row each.
-
-    best and the values of by_pos are the heaviest lexeme, the first of equals: (w, first, known).
-    """
-    lex = rules.lexeme.select(F.col("stem").alias("key"), "pos", F.struct(F.col("weight").alias("w"), (-F.col("lex_id")).alias("first"), F.col("weight_known").alias("known")).alias("x"), (F.col("stem_class") == "SIBILANT").alias("s"))
-    by_pos = lex.groupBy("key", "pos").agg(F.max("x").alias("x"), F.max("s").alias("s"))
-    lex = by_pos.groupBy("key").agg(F.max("x").alias("best"), F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("by_pos"), F.max("s").alias("sibilant"))
-    flags = (
-        rules.closed.select(F.col("word").alias("key"), F.lit(True).alias("closed"), F.lit(False).alias("stored"))
-        .union(rules.irregular_forms().select("form", F.lit(False), F.lit(True)))
-        .groupBy("key").agg(F.max("closed").alias("closed"), F.max("stored").alias("stored"))
-    )
-    return lex.join(flags, "key", "full_outer").fillna(False, ["sibilant", "closed", "stored"])
-
-
-def _facts(rows: DataFrame, facts: DataFrame, key: Column, name: str, cols: list[str]) -> DataFrame:
-    """rows with the facts of a spelling as name_col; the spelling may be null."""
-    own = facts.select(F.col("key").alias(f"{name}_key"), *(F.col(c).alias(f"{name}_{c}") for c in cols))
-    return rows.join(own, key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
-
-
 def _at(s: Column, i: Column) -> Column:
     """The character at 0-based i, or ''."""
     return F.substring(s, i + 1, F.lit(1))
@@ -53,7 +30,7 @@ def _cut(rest: Column, suffix: Column, may_skip: bool) -> Column:
 
 
 def cut_up(rows: DataFrame) -> DataFrame:
-    """rows (word, lower, prefix, stem, features, deriv, whole, lemma_sibilant) with pieces, labels, alt and gate."""
+    """rows (word, lower, prefix, stem, features, deriv, whole, lemma_sibilant) with parts, pieces, labels, alt and gate."""
     rows = rows.withColumn("p", F.length("prefix")).withColumn("region", F.expr("substring(lower, p + 1)"))
     rows = rows.withColumn("lcp", o.common_prefix(F.col("region"), F.col("stem"))).withColumn("whole", F.col("whole") | (F.col("lcp") == 0))
     rows = rows.withColumn("tail", F.expr("substring(word, p + lcp + 1)"))
@@ -104,38 +81,100 @@ def shortest_affix(parts: Column, alt: Column) -> Column:
     return F.aggregate(parts, state, step, lambda a: a["least"])
 
 
-def guarded(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def heaviest_of(lexemes: Column, pos: Column) -> Column:
+    """The heaviest lexeme of a part of speech, or of one of several."""
+    return heaviest(lexemes, lambda x: F.array_contains(pos, x["pos"]))
+
+
+def some_of(lexemes: Column, pos: str) -> Column:
+    return F.coalesce(F.exists(lexemes, lambda x: x["pos"] == pos), F.lit(False))
+
+
+def guarded(rows: DataFrame, rules: Ruleset) -> DataFrame:
     """rows with demoted and promotable, by what the lexicon says of word, lemma, base and prefixed lemma."""
     has = F.col("prefix") != ""
+    # Without a prefix nothing is asked of base and joint; the word and its stem stand for them, so that no null is a hot key.
     rows = rows.withColumn("base", F.when(has, F.expr("substring(lower, p + 1)")))
-    rows = _facts(rows, facts, F.col("base"), "base", ["by_pos", "closed", "stored"])
-    rows = _facts(rows, facts, F.when(has, F.concat("prefix", "stem")), "joint", ["best"])
-    attaches = F.lit(None).cast("array<string>")
-    for p, a in r.PREFIXES:
-        attaches = F.when(F.col("prefix") == p, F.array(*map(F.lit, a))).otherwise(attaches)
-    pick = lambda m: F.array_max(F.transform(attaches, lambda x: F.try_element_at(m, x)))
-    func = lambda m: F.coalesce(F.map_contains_key(m, F.lit("FUNC")), F.lit(False))
-    rows = rows.withColumn("direct", pick(F.col("base_by_pos"))).withColumn("through", pick(F.col("lemma_by_pos")))
-    source = F.coalesce("direct", F.when((F.col("stem") != F.col("base")) & F.col("through").isNotNull(), F.col("joint_best")))
-    rows = rows.withColumn("attached", source)
-    heavier = F.col("attached.known") & F.coalesce(F.col("whole_best.w") > F.col("attached.w") - F.lit(o.WEIGHT_PER_ZIPF * o.MARGIN_ZIPF).cast("float"), F.lit(False))
+    rows = rules.looked_up(rows, F.coalesce("base", "lower"), "base")
+    rows = rules.looked_up(rows, F.when(has, F.concat("prefix", "stem")).otherwise(F.coalesce("stem", "lower")), "joint")
+    attaches = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for p in rules.language.prefixes for x in p))
+    rows = rows.withColumn("attaches", F.try_element_at(attaches, F.col("prefix")))
+    direct, through = heaviest_of(F.col("base_lexemes"), F.col("attaches")), heaviest_of(F.col("lemma_lexemes"), F.col("attaches"))
+    joint = F.when((F.col("stem") != F.col("base")) & through.isNotNull(), heaviest(F.col("joint_lexemes")))
+    whole = heaviest(F.col("whole_lexemes"))["weight"]
+    rows = rows.withColumn("attached", F.coalesce(direct, joint)).withColumn("own", heaviest_of(F.col("lemma_lexemes"), F.array("pos")))
+    rows = rows.withColumns({"attached_weight": F.col("attached.weight"), "attached_known": F.col("attached.known"), "own_weight": F.col("own.weight"), "own_known": F.col("own.known"), "whole_weight": whole})
+    margin = F.lit(o.WEIGHT_PER_ZIPF * o.MARGIN_ZIPF).cast("float")
+    heavier = F.col("attached_known") & F.coalesce(F.col("whole_weight") > F.col("attached_weight") - margin, F.lit(False))
     licensed = ~has | (
-        (F.length("base") >= 3) & ~F.coalesce("base_closed", F.lit(False)) & ~func(F.col("base_by_pos")) & F.col("attached").isNotNull() & ~F.coalesce(heavier, F.lit(False))
+        (F.length("base") >= 3) & ~F.coalesce("base_closed", F.lit(False)) & ~some_of(F.col("base_lexemes"), "FUNC") & F.col("attached_weight").isNotNull() & ~F.coalesce(heavier, F.lit(False))
     )
     long_plural = ~F.array_contains("features", "+PL") | (F.length("stem") >= 3)
     rows = rows.withColumn("demoted", (F.col("gate") == "decomposed") & (~licensed | ~long_plural))
-    own = F.try_element_at("lemma_by_pos", F.col("pos"))
     affix = shortest_affix(F.col("parts"), F.col("alt"))
-    commoner = (affix > 0) & (affix <= 2) & own["known"] & F.coalesce(F.col("whole_best.w") > own["w"], F.lit(False))
-    verb = F.coalesce(F.map_contains_key("whole_by_pos", F.lit("V")), F.lit(False))
-    doubled_verb = (F.col("alt") == "consonant_doubling") & (F.size("deriv") > 0) & (F.col("derived_pos") != "V") & verb
+    commoner = (affix > 0) & (affix <= 2) & F.col("own_known") & F.coalesce(F.col("whole_weight") > F.col("own_weight"), F.lit(False))
+    doubled_verb = (F.col("alt") == "consonant_doubling") & (F.size("deriv") > 0) & (F.col("derived_pos") != "V") & some_of(F.col("whole_lexemes"), "V")
+    is_stored = lambda name: F.coalesce(F.size(f"{name}_stored") > 0, F.lit(False))
     promotable = (
-        ~F.col("demoted") & (F.col("gate") == "decomposed") & ~F.coalesce("whole_closed", F.lit(False)) & (F.col("pos") != "FUNC") & ~func(F.col("whole_by_pos"))
-        & (F.length("stem") >= 3) & own.isNotNull() & ~F.coalesce(commoner, F.lit(False)) & ~F.coalesce("whole_stored", F.lit(False)) & ~F.coalesce("base_stored", F.lit(False)) & ~doubled_verb
+        ~F.col("demoted") & (F.col("gate") == "decomposed") & ~F.coalesce("whole_closed", F.lit(False)) & (F.col("pos") != "FUNC") & ~some_of(F.col("whole_lexemes"), "FUNC")
+        & (F.length("stem") >= 3) & F.col("own_weight").isNotNull() & ~F.coalesce(commoner, F.lit(False)) & ~is_stored("whole") & ~(has & is_stored("base")) & ~doubled_verb
     )
     return rows.withColumn("promotable", F.coalesce(promotable, F.lit(False)))
 
 
+#: What a word is ranked by, of its readings: see segment().
+ORDER = ["demoted", "light", "fewer", "lemma", "labels", "gate", "alt"]
+
+
+def cuts(words: DataFrame, rules: Ruleset) -> DataFrame:
+    """Every distinct segmentation of each distinct word, unranked: OUT without rank and offsets, `flat` for the
+    one record of a word that has no reading, and promoted (0 or 1), light and fewer, which ranks are made of."""
+    words = words.where(F.col("word").isNotNull()).select("word").distinct().withColumn("lower", o.ascii_lower(F.col("word")))
+    letters = F.col("word").rlike("[A-Za-z]")
+    rows = readings(words, rules, when=letters)
+    rows = rules.looked_up(rows, F.coalesce("stem", "lower"), "lemma")
+    rows = rules.looked_up(rows, F.col("lower"), "whole")
+    stored = F.exists("whole_stored", lambda x: (x["stem"] == F.col("stem")) & (x["stored_tag"] == F.get("features", F.lit(0))))
+    rows = rows.withColumns({
+        "whole": F.coalesce((F.size("features") == 1) & stored, F.lit(False)),
+        "lemma_sibilant": F.coalesce(F.exists("lemma_lexemes", lambda x: x["stem_class"] == "SIBILANT"), F.lit(False)),
+    })
+    rows = guarded(cut_up(rows), rules)
+    # Words without a reading are one piece, or none.
+    flat = F.col("stem").isNull()
+    bare = F.when(F.col("word") != "", F.array(F.struct(F.col("word").alias("text"), F.lit("UNK").alias("label")))).otherwise(F.slice("parts", 1, 0))
+    parts = F.when(flat, bare).otherwise(F.col("parts"))
+    own = lambda c, other: F.when(flat, other).otherwise(F.col(c)).alias(c)
+    rows = rows.select(
+        "word", flat.alias("flat"), F.transform(parts, lambda x: x["text"]).alias("pieces"), F.transform(parts, lambda x: x["label"]).alias("labels"),
+        F.coalesce("stem", F.lit("")).alias("lemma"), own("alt", F.lit("")), F.when(~flat, "fst").when(letters, "fallback").otherwise("passthrough").alias("source"),
+        F.when(~flat, F.col("gate")).when(letters, "no_analysis").otherwise("passthrough").alias("gate"),
+        F.coalesce("weight", F.lit(0.0)).cast("float").alias("weight"), own("demoted", F.lit(False)), own("promotable", F.lit(False)),
+    )
+    by_word = Window.partitionBy("word")
+    rows = rows.withColumn("n_analyses", F.count_if(~F.col("flat")).over(by_word)).where(~F.col("flat") | (F.col("n_analyses") == 0))
+    return rows.withColumns({"promoted": F.when((F.size("pieces") > 1) & F.col("promotable"), 0).otherwise(1), "light": -F.col("weight"), "fewer": -F.size("pieces")})
+
+
+def ranked(rows: DataFrame, derived_first: bool = False) -> DataFrame:
+    """The distinct segmentations of cuts() in order, and before them the whole of a word in capitals that
+    none of them is good for."""
+    by_word, same = Window.partitionBy("word"), ["word", "lemma", "gate", "alt", "pieces", "labels", "n_analyses", "source", "flat"]
+    order = F.struct(*(["promoted"] if derived_first else []), *ORDER)
+    rows = rows.withColumn("order", order).groupBy(*same).agg(F.min("order").alias("order"), F.min_by(F.struct("weight", "demoted", "promotable"), "order").alias("x"))
+    rows = rows.select(*same, "order", "x.*").withColumn("rank", F.row_number().over(by_word.orderBy("order")))
+    # A short word in capitals whose readings are all demoted stands for itself first.
+    caps = (F.length("word") <= ALL_CAPS) & ~F.col("word").rlike("[a-z]") & F.col("word").rlike("[A-Z]") & ~F.col("flat")
+    rows = rows.withColumn("capped", caps & F.min("demoted").over(by_word))
+    fields = ["pieces", "labels", "lemma", "alt", "source", "gate", "weight", "demoted", "promotable", "rank"]
+    unk, empty, no = F.array(F.lit("UNK")), F.lit(""), F.lit(False)
+    itself = [F.array("word"), unk, empty, empty, F.lit("fallback"), F.lit("no_analysis"), F.lit(0.0).cast("float"), no, no, F.lit(1)]
+    one = F.struct(*(F.col(c) for c in fields[:-1]), (F.col("rank") + F.col("capped").cast("int")).alias("rank"))
+    first = F.struct(*(v.alias(c) for c, v in zip(fields, itself)))
+    both = F.when(F.col("capped") & (F.col("rank") == 1), F.array(first, one)).otherwise(F.array(one))
+    return rows.select("word", "n_analyses", F.inline(both))
+
+
 def segment(words: DataFrame, rules: Ruleset, derived_first: bool = False, nbest: int | None = None) -> DataFrame:
     """All segmentations (OUT) of each distinct word, best at rank 1; nbest keeps that many.
 
@@ -143,48 +182,12 @@ def segment(words: DataFrame, rules: Ruleset, derived_first: bool = False, nbest
     piece. Ranking: readings that a guard demotes last; with derived_first, promotable cuts
     first; then weight, number of pieces, lemma, labels, gate, alternation.
     """
-    words = words.where(F.col("word").isNotNull()).select("word").distinct().withColumn("lower", o.ascii_lower(F.col("word")))
-    letters = F.col("word").rlike("[A-Za-z]")
-    facts = lexical_facts(rules)
-    found = analyze(words.where(letters).select(F.col("word")), rules).withColumnRenamed("word", "lower")
-    rows = words.where(letters).join(found, "lower", "left")
-    flat = _flat(words.where(~letters), "passthrough", F.lit(0)).unionByName(_flat(rows.where(F.col("stem").isNull()), "fallback", F.lit(0)))
-    index = rules.irregular_forms().select(F.col("form").alias("lower"), "stem", F.col("tag").alias("tag0"), F.lit(True).alias("whole")).distinct()
-    rows = rows.where(F.col("stem").isNotNull()).withColumn("tag0", F.when(F.size("features") == 1, F.try_element_at("features", F.lit(1))))
-    rows = rows.join(index, ["lower", "stem", "tag0"], "left").fillna(False, ["whole"])
-    rows = _facts(rows, facts, F.col("stem"), "lemma", ["by_pos", "sibilant"]).fillna(False, ["lemma_sibilant"])
-    rows = _facts(rows, facts, F.col("lower"), "whole", ["best", "by_pos", "closed", "stored"])
-    rows = guarded(cut_up(rows), facts)
-    promoted = F.when((F.size("pieces") > 1) & F.col("promotable"), 0).otherwise(1)
-    order = F.struct(*([promoted.alias("promoted")] if derived_first else []), "demoted", (-F.col("weight")).alias("w"), (-F.size("pieces")).alias("n"), F.col("stem").alias("lemma"), "labels", "gate", "alt")
-    # One exchange by word serves the count, the deduplication and the ranks.
-    by_word = Window.partitionBy("word")
-    rows = rows.withColumn("n_analyses", F.count("*").over(by_word)).withColumn("order", order)
-    same = rows.groupBy("word", F.col("stem").alias("lemma"), "gate", "alt", "pieces", "labels", "n_analyses").agg(F.min("order").alias("order"), F.min_by(F.struct("weight", "demoted", "promotable"), "order").alias("x"))
-    same = same.select("word", "lemma", "gate", "alt", "pieces", "labels", "n_analyses", "order", "x.*").withColumn("source", F.lit("fst"))
-    # A short word in capitals whose readings are all demoted stands for itself first.
-    caps = (F.length("word") <= ALL_CAPS) & ~F.col("word").rlike("[a-z]") & F.col("word").rlike("[A-Z]")
-    capped = same.where(caps).groupBy("word", "n_analyses").agg(F.min("demoted").alias("all")).where("all")
-    ranked = same.withColumn("first", F.lit(1)).unionByName(_flat(capped, "fallback", F.col("n_analyses")).withColumn("order", F.lit(None).cast(same.schema["order"].dataType)).withColumn("first", F.lit(0)))
-    ranked = ranked.withColumn("rank", F.row_number().over(by_word.orderBy("first", "order"))).drop("first", "order")
-    out = ranked.unionByName(flat.withColumn("rank", F.lit(1)))
+    out = ranked(cuts(words, rules), derived_first)
     if nbest is not None:
         out = out.where(F.col("rank") <= nbest)
     return out.withColumn("offsets", o.offsets(F.col("pieces"))).select(*OUT)
 
 
-def _flat(words: DataFrame, source: str, n: Column) -> DataFrame:
-    """Records of one UNK piece; of none for the empty word."""
-    gate = "passthrough" if source == "passthrough" else "no_analysis"
-    some = F.col("word") != ""
-    none = F.array().cast("array<string>")
-    return words.select(
-        "word", F.lit("").alias("lemma"), F.lit(gate).alias("gate"), F.lit("").alias("alt"), F.when(some, F.array("word")).otherwise(none).alias("pieces"),
-        F.when(some, F.array(F.lit("UNK"))).otherwise(none).alias("labels"), n.cast("long").alias("n_analyses"), F.lit(0.0).cast("float").alias("weight"),
-        F.lit(False).alias("demoted"), F.lit(False).alias("promotable"), F.lit(source).alias("source"),
-    )
-
-
 def violations(records: DataFrame) -> DataFrame:
     """Records that break an invariant, with the reason; a sound table gives no row."""
     n = F.size("pieces")

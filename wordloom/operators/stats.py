@@ -41,7 +41,8 @@ def zipf_table(counts: DataFrame) -> DataFrame:
 def sample_lines(docs: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n lines of all, the same for the same seed."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.orderBy(F.xxhash64("doc_id", "line_no", F.lit(seed)), "doc_id", "line_no").limit(n)
+    place = F.md5(F.concat_ws(":", "doc_id", "line_no", F.lit(seed)).cast("binary"))
+    return lines.orderBy(place, "doc_id", "line_no").limit(n)
 
 
 def splits(docs: DataFrame, test_share: int = 10) -> DataFrame:
