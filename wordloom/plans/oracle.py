@@ -6,6 +6,7 @@ from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
 from wordloom.operators.segment import LABELS
 
+from . import tables as t
 from .tables import CLOSED, STEMS
 
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -36,13 +37,28 @@ def doubled(x: str) -> str:
 KINDS = sorted({(x[0], x[1]) for x in r.INFLECTION} | {(0, "")})
 OUTS = sorted({(x[0], x[1]) for x in r.OUTER} | {(0, "")})
 
+_MADE = [x[0] for x in r.DERIVATION]
+#: What is built around a mined lexeme: what stands before it and after it.
+AROUND = [("", x) for x in [*_MADE, *t.BUILT_ENDINGS, *(a + _MADE[(i + t.SECOND) % len(_MADE)] for i, a in enumerate(_MADE)), *(x + "s" for x in _MADE), "t", "en"]] + [(p, x) for p, _ in r.PREFIXES for x in ("", "s", "t", "ness")]
+
+#: The lexemes that words of a table give by rule, from counts(item).
+MINED = f"""
+mst AS (SELECT DISTINCT item AS stem, md5(item) AS h FROM counts WHERE regexp_matches(item, '{t.MINED_WORD}')),
+ms AS (SELECT *, {t.MINED_POS} AS pos FROM mst WHERE {t.MINED}),
+mined AS (SELECT ('0x' || substr(h, 6, 11))::BIGINT + 1000 AS lex_id, stem, pos, CASE WHEN substr(h, 3, 1) = '0' THEN 'UNKNOWN' WHEN substr(h, 3, 1) = '1' AND pos = 'V' THEN 'IRR_SING' WHEN pos = 'ADV' THEN 'REG'
+  WHEN pos IN ('V', 'ADJ') AND regexp_matches(stem, '[^aeiou][aeiou][^aeiouywx]$') AND substr(h, 3, 1) < '8' THEN 'DOUBLE_CONS' ELSE {implied('stem')} END AS sc, ({t.MINED_WEIGHT})::DOUBLE AS w, {t.MINED_KNOWN} AS known,
+  CASE WHEN {t.MINED_STORED} AND pos = 'V' THEN '+PAST' WHEN {t.MINED_STORED} AND pos = 'N' THEN '+PL' END AS tag, {t.BUILT} AS built FROM ms),
+made AS (SELECT a.before || stem || a.after AS word FROM mined, ({values(AROUND, 'before, after')}) a WHERE built),
+words AS (SELECT item AS word FROM counts UNION SELECT word FROM made UNION SELECT upper(word) FROM made WHERE substr(md5(word), 1, 1) = '0'),
+"""
+
 #: CTEs of the lexicon and the rule tables.
 TABLES = f"""
-lex0 AS ({values([(i, s, p, c, 1.0 if w is None else w, w is not None) for i, (s, p, c, w, _) in enumerate(STEMS)], 'lex_id, stem, pos, sc, w, known')}),
+lex0 AS ({values([(i, s, p, c, 1.0 if w is None else w, w is not None) for i, (s, p, c, w, _) in enumerate(STEMS)], 'lex_id, stem, pos, sc, w, known')}@LEX@),
 lex AS (SELECT lex_id::BIGINT AS lex_id, stem, pos, sc, w::FLOAT AS weight, known, CASE WHEN sc LIKE 'IRR_%' THEN {implied('stem')} ELSE sc END AS eff,
   CASE WHEN sc LIKE 'IRR_%' OR sc = 'UNKNOWN' THEN {implied('stem')} ELSE sc END AS dcl,
   NOT (sc LIKE 'IRR_%' AND regexp_matches(stem, '[^aeiou][aeiou][^aeiouywx]$')) AS dknown FROM lex0),
-irr AS ({values([(i, t, f) for i, x in enumerate(STEMS) for t, f in x[4].items()], 'lex_id, tag, form')}),
+irr AS ({values([(i, t, f) for i, x in enumerate(STEMS) for t, f in x[4].items()], 'lex_id, tag, form')}@IRR@),
 closed AS ({values([(w,) for w in CLOSED], 'word')}),
 deriv AS ({values([(s, src, d, c, y, m, 'FREQ' in z, 'NOT_CL' in z, i) for i, (s, src, d, c, y, m, z) in enumerate(r.DERIVATION)], 'suffix, sources, derived, classes, yrest, min_stem, freq, notcl, rule_ord')}),
 pref AS ({values([(p, a, i) for i, (p, a) in enumerate(r.PREFIXES)], 'prefix, attaches, prefix_ord')}),
@@ -50,6 +66,9 @@ infl AS ({values([(*x, i) for i, x in enumerate(r.INFLECTION)], 'kind, tail, pos
 outr AS ({values([(*x, i) for i, x in enumerate(r.OUTER)], 'alternation, tail, pos, classes, tag, tag_ord')}),
 kinds AS ({values(KINDS, 'kind, tail')}),
 outs AS ({values(OUTS, 'alternation, tail')})"""
+#: The fixed cases alone, and with the mined lexemes.
+SMALL = TABLES.replace("@LEX@", "").replace("@IRR@", "")
+LARGE = TABLES.replace("@LEX@", " UNION ALL SELECT lex_id, stem, pos, sc, w, known FROM mined").replace("@IRR@", " UNION ALL SELECT lex_id, tag, stem || CASE tag WHEN '+PAST' THEN 't' ELSE 'en' END FROM mined WHERE tag IS NOT NULL")
 
 
 def _stripped(name: str, forms: str) -> str:
@@ -129,16 +148,21 @@ def _cut(rest: str, suf: str, may_skip: bool) -> str:
 _LABEL = "CASE " + " ".join(f"WHEN list_contains(features, '{t}') THEN '{n}'" for t, n in LABELS) + " WHEN len(features) = 0 THEN 'SUFFIX_DERIV' ELSE 'SUFFIX_INFL' END"
 
 
-def _best(name: str, key: str, where: str = "TRUE") -> str:
-    return f"(SELECT arg_max({name}, [weight::DOUBLE, -lex_id]) FROM lex WHERE stem = {key} AND {where})"
+#: The heaviest lexeme's weight, and whether it is known; of equals the first.
+_TOP = "arg_max(l.weight, [l.weight::DOUBLE, -l.lex_id]) AS w, arg_max(l.known, [l.weight::DOUBLE, -l.lex_id]) AS k"
 
 
 #: From analyses, and words(word) as they are written, to segs(word, rank, ...).
 SEGMENTS = f"""
+facts AS (SELECT l.stem, {_TOP}, bool_or(l.sc = 'SIBILANT') AS sib, bool_or(l.pos = 'FUNC') AS func, bool_or(l.pos = 'V') AS verb FROM lex l GROUP BY l.stem),
+fpos AS (SELECT l.stem, l.pos, {_TOP} FROM lex l GROUP BY l.stem, l.pos),
+att AS (SELECT prefix, unnest(attaches) AS pos FROM pref),
+index AS (SELECT DISTINCT irr.form, lex.stem, irr.tag FROM irr JOIN lex USING (lex_id)),
+kept AS (SELECT DISTINCT form FROM irr),
 raw AS (SELECT DISTINCT word, translate(word, {FOLD}) AS lower FROM words),
 a0 AS (SELECT r.word, r.lower, a.* EXCLUDE (word, rank, emit), length(a.prefix) AS p, r.lower[length(a.prefix) + 1:] AS region,
-    len(a.features) = 1 AND EXISTS (SELECT 1 FROM irr JOIN lex USING (lex_id) WHERE irr.form = r.lower AND lex.stem = a.stem AND irr.tag = a.features[1]) AS is_irr
-  FROM raw r JOIN analyses a ON r.lower = a.word WHERE regexp_matches(r.word, '[A-Za-z]')),
+    len(a.features) = 1 AND x.tag IS NOT NULL AS is_irr, coalesce(f.sib, FALSE) AS sib
+  FROM raw r JOIN analyses a ON r.lower = a.word LEFT JOIN index x ON x.form = r.lower AND x.stem = a.stem AND x.tag = a.features[1] LEFT JOIN facts f ON f.stem = a.stem WHERE regexp_matches(r.word, '[A-Za-z]')),
 a1 AS (SELECT *, {lcp('region', 'stem')} AS lcp FROM a0),
 a2 AS (SELECT *, is_irr OR lcp = 0 AS whole, word[p + lcp + 1:] AS tail, deriv[1][2:] AS suf1, deriv[2][2:] AS suf2 FROM a1),
 a3 AS (SELECT *, {_cut('tail', 'suf1', True)} AS m1a FROM a2),
@@ -150,16 +174,17 @@ a8 AS (SELECT *, list_transform(parts, lambda x: x[1]) AS pieces, list_transform
   CASE WHEN whole OR lcp >= length(region) THEN '' WHEN lcp < length(stem) AND stem[lcp + 1:lcp + 1] = 'y' AND region[lcp + 1:lcp + 1] = 'i' THEN 'y_to_i'
     WHEN lcp + 1 = length(stem) AND stem[lcp + 1:lcp + 1] = 'e' THEN 'e_deletion'
     WHEN lcp = length(stem) AND region[lcp + 1:lcp + 1] = stem[lcp:lcp] AND region[lcp + 1:lcp + 1] NOT IN ('a','e','i','o','u') THEN 'consonant_doubling'
-    WHEN lcp = length(stem) AND region[lcp + 1:lcp + 2] = 'es' AND (regexp_matches(stem, '([szxj]|ch|sh)$') OR EXISTS (SELECT 1 FROM lex WHERE lex.stem = a7.stem AND sc = 'SIBILANT')) THEN 'epenthesis' ELSE '' END AS alt,
+    WHEN lcp = length(stem) AND region[lcp + 1:lcp + 2] = 'es' AND (regexp_matches(stem, '([szxj]|ch|sh)$') OR sib) THEN 'epenthesis' ELSE '' END AS alt,
   CASE WHEN whole THEN 'irregular' WHEN len(parts) >= 2 THEN 'decomposed' ELSE 'lexicon_stem' END AS gate,
-  CASE WHEN prefix <> '' THEN lower[p + 1:] END AS base, (SELECT attaches FROM pref WHERE pref.prefix = a7.prefix) AS att FROM a7),
-a9 AS (SELECT *, {_best('weight', 'a8.lower')} AS whole_w, {_best('weight', 'a8.base', 'list_contains(a8.att, lex.pos)')} AS dir_w, {_best('known', 'a8.base', 'list_contains(a8.att, lex.pos)')} AS dir_k,
-  {_best('weight', 'a8.stem', 'list_contains(a8.att, lex.pos)')} AS thr_w, {_best('weight', "a8.prefix || a8.stem")} AS joint_w, {_best('known', "a8.prefix || a8.stem")} AS joint_k,
-  {_best('weight', 'a8.stem', 'lex.pos = a8.pos')} AS own_w, {_best('known', 'a8.stem', 'lex.pos = a8.pos')} AS own_k,
-  EXISTS (SELECT 1 FROM lex WHERE lex.stem = a8.base AND lex.pos = 'FUNC') AS base_func, EXISTS (SELECT 1 FROM lex WHERE lex.stem = a8.lower AND lex.pos = 'FUNC') AS whole_func,
-  EXISTS (SELECT 1 FROM lex WHERE lex.stem = a8.lower AND lex.pos = 'V') AS whole_verb, lower IN (SELECT word FROM closed) AS whole_closed, coalesce(base IN (SELECT word FROM closed), FALSE) AS base_closed,
-  lower IN (SELECT form FROM irr) AS whole_stored, coalesce(base IN (SELECT form FROM irr), FALSE) AS base_stored FROM a8),
-b0 AS (SELECT *, CASE WHEN dir_w IS NOT NULL THEN dir_w WHEN stem <> base AND thr_w IS NOT NULL THEN joint_w END AS att_w, CASE WHEN dir_w IS NOT NULL THEN dir_k WHEN stem <> base AND thr_w IS NOT NULL THEN joint_k END AS att_k,
+  CASE WHEN prefix <> '' THEN lower[p + 1:] END AS base FROM a7),
+direct AS (SELECT d.base, d.prefix, {_TOP} FROM (SELECT DISTINCT base, prefix FROM a8 WHERE prefix <> '') d JOIN lex l ON l.stem = d.base JOIN att ON att.prefix = d.prefix AND att.pos = l.pos GROUP BY d.base, d.prefix),
+through AS (SELECT DISTINCT d.stem, d.prefix FROM (SELECT DISTINCT stem, prefix FROM a8 WHERE prefix <> '') d JOIN lex l ON l.stem = d.stem JOIN att ON att.prefix = d.prefix AND att.pos = l.pos),
+a9 AS (SELECT a8.*, wf.w AS whole_w, d.w AS dir_w, d.k AS dir_k, t.stem IS NOT NULL AS thr, jf.w AS joint_w, jf.k AS joint_k, own.w AS own_w, own.k AS own_k,
+  coalesce(bf.func, FALSE) AS base_func, coalesce(wf.func, FALSE) AS whole_func, coalesce(wf.verb, FALSE) AS whole_verb, wc.word IS NOT NULL AS whole_closed, bc.word IS NOT NULL AS base_closed, wk.form IS NOT NULL AS whole_stored, bk.form IS NOT NULL AS base_stored
+  FROM a8 LEFT JOIN facts wf ON wf.stem = a8.lower LEFT JOIN facts bf ON bf.stem = a8.base LEFT JOIN facts jf ON a8.prefix <> '' AND jf.stem = a8.prefix || a8.stem LEFT JOIN fpos own ON own.stem = a8.stem AND own.pos = a8.pos
+  LEFT JOIN direct d ON d.base = a8.base AND d.prefix = a8.prefix LEFT JOIN through t ON t.stem = a8.stem AND t.prefix = a8.prefix
+  LEFT JOIN closed wc ON wc.word = a8.lower LEFT JOIN closed bc ON bc.word = a8.base LEFT JOIN kept wk ON wk.form = a8.lower LEFT JOIN kept bk ON bk.form = a8.base),
+b0 AS (SELECT *, CASE WHEN dir_w IS NOT NULL THEN dir_w WHEN stem <> base AND thr THEN joint_w END AS att_w, CASE WHEN dir_w IS NOT NULL THEN dir_k WHEN stem <> base AND thr THEN joint_k END AS att_k,
   list_transform(list_filter(parts, lambda x: x[2] <> 'STEM'), lambda x: length(x[1])) AS affixes, list_position(labels, 'STEM') AS stem_at, list_transform(parts, lambda x: length(x[1])) AS lens FROM a9),
 b1 AS (SELECT *, gate = 'decomposed' AND (NOT (prefix = '' OR (length(base) >= 3 AND NOT base_closed AND NOT base_func AND att_w IS NOT NULL AND NOT (att_k AND coalesce(whole_w > att_w - 0.01875::FLOAT, FALSE))))
     OR (list_contains(features, '+PL') AND length(stem) < 3)) AS demoted,
@@ -167,12 +192,15 @@ b1 AS (SELECT *, gate = 'decomposed' AND (NOT (prefix = '' OR (length(base) >= 3
     lambda i: CASE WHEN lens[i] > 1 AND len(list_filter(lens[stem_at + 1:i - 1], lambda y: y > 1)) = 0 THEN lens[i] - 1 ELSE lens[i] END)) ELSE affixes END) AS affix FROM b0),
 b2 AS (SELECT *, NOT demoted AND gate = 'decomposed' AND NOT whole_closed AND pos <> 'FUNC' AND NOT whole_func AND length(stem) >= 3 AND own_w IS NOT NULL
   AND NOT (affix <= 2 AND own_k AND coalesce(whole_w > own_w, FALSE)) AND NOT whole_stored AND NOT base_stored
-  AND NOT (alt = 'consonant_doubling' AND len(deriv) > 0 AND derived_pos <> 'V' AND whole_verb) AS promotable, count(*) OVER (PARTITION BY word) AS n_analyses FROM b1),
-b3 AS (SELECT *, row_number() OVER (PARTITION BY word, stem, gate, alt, pieces, labels ORDER BY @PROMOTED@ demoted, weight DESC) AS copy FROM b2),
-b4 AS (SELECT word, pieces, labels, stem AS lemma, alt, 'fst' AS source, gate, n_analyses, weight, demoted, promotable, 1 AS first FROM b3 WHERE copy = 1),
-b5 AS (SELECT * FROM b4 UNION ALL SELECT word, [word], ['UNK'], '', '', 'fallback', 'no_analysis', n_analyses, 0.0::FLOAT, FALSE, FALSE, 0 FROM b4
+  AND NOT (alt = 'consonant_doubling' AND len(deriv) > 0 AND derived_pos <> 'V' AND whole_verb) AS promotable, count(*) OVER (PARTITION BY word) AS n_analyses FROM b1)"""
+
+#: From b2 to @N@segs, by one of the orders.
+RANKED = """
+@N@b3 AS (SELECT *, row_number() OVER (PARTITION BY word, stem, gate, alt, pieces, labels ORDER BY @PROMOTED@ demoted, weight DESC) AS copy FROM b2),
+@N@b4 AS (SELECT word, pieces, labels, stem AS lemma, alt, 'fst' AS source, gate, n_analyses, weight, demoted, promotable, 1 AS first FROM @N@b3 WHERE copy = 1),
+@N@b5 AS (SELECT * FROM @N@b4 UNION ALL SELECT word, [word], ['UNK'], '', '', 'fallback', 'no_analysis', n_analyses, 0.0::FLOAT, FALSE, FALSE, 0 FROM @N@b4
   WHERE length(word) <= 6 AND NOT regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') GROUP BY word, n_analyses HAVING bool_and(demoted)),
-segs AS (SELECT * EXCLUDE (first), row_number() OVER (PARTITION BY word ORDER BY first, @PROMOTED@ demoted, weight DESC, len(pieces) DESC, lemma, labels, gate, alt) AS rank FROM b5
+@N@segs AS (SELECT * EXCLUDE (first), row_number() OVER (PARTITION BY word ORDER BY first, @PROMOTED@ demoted, weight DESC, len(pieces) DESC, lemma, labels, gate, alt) AS rank FROM @N@b5
   UNION ALL SELECT word, CASE WHEN word = '' THEN [] ELSE [word] END, CASE WHEN word = '' THEN [] ELSE ['UNK'] END, '', '', CASE WHEN regexp_matches(word, '[A-Za-z]') THEN 'fallback' ELSE 'passthrough' END,
     CASE WHEN regexp_matches(word, '[A-Za-z]') THEN 'no_analysis' ELSE 'passthrough' END, 0, 0.0::FLOAT, FALSE, FALSE, 1 FROM raw WHERE word NOT IN (SELECT word FROM a0))"""
 
@@ -186,10 +214,19 @@ def counted(name: str = "documents") -> str:
 counts AS (SELECT item, count(*) AS cnt FROM units WHERE regexp_matches(item, '^[\p{{L}}\p{{Nl}}\p{{No}}]+$') GROUP BY item)"""
 
 
-def analysis(select: str, words: str, more: str = "") -> str:
-    return f"WITH {counted()}, words AS ({words}), {TABLES}, {ANALYSES}{more} {select}"
+def analysis(select: str, more: str = "") -> str:
+    """Over query_words and the mined lexicon."""
+    return f"WITH {counted()}, {MINED}{LARGE}, {ANALYSES}{more} {select}"
+
+
+def ranked(derived_first: bool, name: str = "") -> str:
+    return RANKED.replace("@PROMOTED@", PROMOTED if derived_first else "").replace("@N@", name)
+
+
+def segments(derived_first: bool) -> str:
+    return f"{SEGMENTS}, {ranked(derived_first)}"
 
 
-def segmentation(select: str, words: str, derived_first: bool = False, more: str = "") -> str:
-    s = SEGMENTS.replace("@PROMOTED@", PROMOTED if derived_first else "")
-    return f"WITH {counted()}, words AS ({words}), {TABLES}, {ANALYSES}, {s}{more} {select}"
+def segmentation(select: str, derived_first: bool = False, more: str = "") -> str:
+    """Over query_words and the mined lexicon."""
+    return f"WITH {counted()}, {MINED}{LARGE}, {ANALYSES}, {segments(derived_first)}{more} {select}"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import orthography as o
 from wordloom.functions.local import local
+from wordloom.functions.staging import staged
 from wordloom.operators import analyze as an
 from wordloom.operators import automata, baselines, build, evaluate, generate, stats, tokens
 from wordloom.operators import segment as sg
 
 from . import oracle as q
-from .tables import CLOSED, lexeme, rules
+from .tables import CLOSED, lexeme, mined_rules, query_words, rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,8 +37,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.word_counts(docs(spark, sf_dir))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts(spark, sf_dir).select(F.col("item").alias("word"))
+def mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, an.Ruleset]:
+    """Counts of the table's words, written once; the words to read; and the rules with the mined lexicon."""
+    c = staged(counts(spark, sf_dir), "counts")
+    w = c.select(F.col("item").alias("word"))
+    return c, query_words(w), mined_rules(w)
 
 
 def text_of(c: str, sep: str = "|"):
@@ -48,11 +52,10 @@ def weight():
     return F.round(F.col("weight").cast("double"), 5).alias("weight")
 
 
-WORDS = "SELECT item AS word FROM counts"
 U = rf"WITH {q.counted()}"
 FOLD = q.FOLD
 _ANALYSIS = "word, stem, pos, array_to_string(features, ' ') AS features, round(weight::DOUBLE, 5) AS weight, prefix, array_to_string(deriv, ' ') AS deriv, derived_pos, rank"
-_RECORD = "word, rank, array_to_string(pieces, '|') AS pieces, array_to_string(labels, '|') AS labels, lemma, alt, source, gate, n_analyses, round(weight::DOUBLE, 5) AS weight, demoted, promotable"
+_RECORD = "word, rank, array_to_string(pieces, '|') AS pieces, array_to_string(list_transform(range(0, len(pieces) + 1), lambda i: length(array_to_string(pieces[:i], ''))), '|') AS offsets, array_to_string(labels, '|') AS labels, lemma, alt, source, gate, n_analyses, round(weight::DOUBLE, 5) AS weight, demoted, promotable"
 
 
 def analysis_columns(df: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def analysis_columns(df: DataFrame) -> DataFrame:
 
 
 def record_columns(df: DataFrame) -> DataFrame:
-    return df.select("word", "rank", text_of("pieces"), text_of("labels"), "lemma", "alt", "source", "gate", "n_analyses", weight(), "demoted", "promotable")
+    return df.select("word", "rank", text_of("pieces"), text_of("offsets"), text_of("labels"), "lemma", "alt", "source", "gate", "n_analyses", weight(), "demoted", "promotable")
 
 
 # Corpus statistics
@@ -102,13 +105,18 @@ def closed_class_share(spark, sf_dir):
     return rows.groupBy(F.coalesce("closed", F.lit(False)).alias("closed")).agg(F.sum("cnt").alias("tokens"), F.count("*").alias("types"))
 
 
-@query(r"SELECT lower(t) AS item, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM benchmark WHERE NOT regexp_matches(text, '[''’]')) GROUP BY 1")
+def _apostrophes(table: str) -> str:
+    """A letter right after an apostrophe begins no token; the one after it may."""
+    text = "replace(replace(replace(text, '@-@', '-'), '@.@', '.'), '@,@', ',')"
+    return rf"""SELECT lower(t) AS item, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all({text}, '[''’][A-Za-z]|[A-Za-z]+(?:[''’][A-Za-z]+)*')) AS t FROM {table}) WHERE NOT regexp_matches(t, '^[''’]') GROUP BY 1"""
+
+
+@query(_apostrophes("benchmark"))
 def apostrophe_tokens(spark, sf_dir):
-    """Every text counts. Its SQL leaves out texts with apostrophes, of which the given benchmark has none."""
     return tokens.corpus_counts(docs(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(_apostrophes("documents"))
 def document_apostrophe_tokens(spark, sf_dir):
     return tokens.corpus_counts(docs(spark, sf_dir))
 
@@ -129,7 +137,8 @@ def vocabulary_sets(spark, sf_dir):
     return sides.agg(F.count_if("a").alias("documents"), F.count_if("b").alias("benchmark"), F.count_if(F.col("a") & F.col("b")).alias("both_sides"), F.count_if(~F.col("a")).alias("benchmark_only"), F.count("*").alias("any_side"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, g.i - 1 AS line_no, g.line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d, LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) g)
+SELECT doc_id, line_no::INT AS line_no, line FROM l ORDER BY md5(doc_id || ':' || line_no || ':1'), doc_id, line_no LIMIT 200""")
 def line_sample(spark, sf_dir):
     """A sampling operator: exactly 200 lines, the same each time."""
     return stats.sample_lines(docs(spark, sf_dir), 200, seed=1)
@@ -138,108 +147,133 @@ def line_sample(spark, sf_dir):
 # Analysis and segmentation
 
 
-@query(q.analysis("SELECT h.word, h.stem, h.pos, h.tail FROM hits h WHERE kind = 0", WORDS))
+@query(q.analysis("SELECT h.word, h.stem, h.pos, h.tail FROM hits h WHERE kind = 0"))
 def stem_lookup(spark, sf_dir):
-    low = words(spark, sf_dir).select(o.ascii_lower(F.col("word")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
-    # The oracle reads remainders under prefixes too.
-    starts = [F.when(F.col("word").startswith(p) & (F.length("word") >= len(p) + 2), F.substring(F.col("word"), F.lit(len(p) + 1), F.length("word"))) for p, _ in q.r.PREFIXES]
-    every = low.select(F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("word")).distinct()
-    return an.endings(every).where("kind = 0").join(rules(spark).lexeme, F.col("cand") == F.col("stem")).select("word", "stem", "pos", "tail")
+    _, w, rules = mined(spark, sf_dir)
+    return an.stem_lookup(w, rules)
 
 
-@query(q.analysis("SELECT word, stem, pos, features[1] AS tag FROM stored", WORDS))
+@query(q.analysis("SELECT word, stem, pos, features[1] AS tag FROM stored"))
 def irregular_lookup(spark, sf_dir):
-    low = words(spark, sf_dir).select(o.ascii_lower(F.col("word")).alias("word")).distinct()
-    starts = [F.when(F.col("word").startswith(p) & (F.length("word") >= len(p) + 2) & F.col("word").rlike("^[a-z]+$"), F.substring(F.col("word"), F.lit(len(p) + 1), F.length("word"))) for p, _ in q.r.PREFIXES]
-    every = low.select(F.explode(F.array_compact(F.array(F.col("word"), *starts))).alias("word")).distinct()
-    return an.stored(every, rules(spark)).select("word", "stem", "pos", F.element_at("features", 1).alias("tag"))
+    _, w, rules = mined(spark, sf_dir)
+    return an.irregular_lookup(w, rules)
 
 
-@query(q.analysis(f"SELECT {_ANALYSIS} FROM analyses", WORDS))
+@query(q.analysis(f"SELECT {_ANALYSIS} FROM analyses"))
 def analyses(spark, sf_dir):
-    return analysis_columns(an.analyze(words(spark, sf_dir), rules(spark)))
+    c, w, rules = mined(spark, sf_dir)
+    return analysis_columns(an.analyze(w, rules))
 
 
-@query(q.analysis("SELECT word, stem, array_to_string(features, ' ') AS features, array_to_string(deriv, ' ') AS deriv FROM analyses WHERE len(features) = 1 AND prefix = '' AND len(deriv) = 0", WORDS))
+@query(q.analysis("SELECT word, stem, array_to_string(features, ' ') AS features, array_to_string(deriv, ' ') AS deriv FROM analyses WHERE len(features) = 1 AND prefix = '' AND len(deriv) = 0"))
 def inflections(spark, sf_dir):
-    found = an.analyze(words(spark, sf_dir), rules(spark), allow_prefix=False)
+    c, w, rules = mined(spark, sf_dir)
+    found = an.analyze(w, rules, allow_prefix=False)
     return found.where("size(features) = 1 and size(deriv) = 0").select("word", "stem", text_of("features", " "), text_of("deriv", " "))
 
 
-@query(q.analysis("SELECT len(deriv) AS layers, array_to_string(deriv, ' ') AS deriv, derived_pos, count(*) AS n FROM analyses WHERE len(deriv) > 0 GROUP BY ALL", WORDS))
+@query(q.analysis("SELECT len(deriv) AS layers, array_to_string(deriv, ' ') AS deriv, derived_pos, count(*) AS n FROM analyses WHERE len(deriv) > 0 GROUP BY ALL"))
 def derivations(spark, sf_dir):
-    return an.analyze(words(spark, sf_dir), rules(spark)).where("size(deriv) > 0").groupBy(F.size("deriv").alias("layers"), text_of("deriv", " "), "derived_pos").agg(F.count("*").alias("n"))
+    c, w, rules = mined(spark, sf_dir)
+    found = an.analyze(w, rules).where("size(deriv) > 0")
+    return found.groupBy(F.size("deriv").alias("layers"), text_of("deriv", " "), "derived_pos").agg(F.count("*").alias("n"))
 
 
-@query(q.analysis("SELECT prefix, pos, count(*) AS n, count(DISTINCT word) AS types FROM analyses WHERE prefix <> '' GROUP BY prefix, pos", WORDS))
+@query(q.analysis("SELECT prefix, pos, count(*) AS n, count(DISTINCT word) AS types FROM analyses WHERE prefix <> '' GROUP BY prefix, pos"))
 def prefix_strip(spark, sf_dir):
-    return an.analyze(words(spark, sf_dir), rules(spark)).where("prefix <> ''").groupBy("prefix", "pos").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
+    c, w, rules = mined(spark, sf_dir)
+    found = an.analyze(w, rules).where("prefix <> ''")
+    return found.groupBy("prefix", "pos").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
 
 
 @query(q.analysis("""SELECT word, count(*) AS n, CASE count(*) WHEN 1 THEN word || ' → ' || min(s) ELSE word || ' →' || chr(10) || '    ' || string_agg(s, chr(10) || '    ' ORDER BY rank) END AS text
-FROM (SELECT word, rank, CASE WHEN prefix <> '' THEN prefix || '+' ELSE '' END || array_to_string(list_concat(list_concat(list_concat([stem], deriv), ['+' || pos]), features), ' ') AS s FROM analyses) GROUP BY word""", WORDS))
+FROM (SELECT word, rank, CASE WHEN prefix <> '' THEN prefix || '+' ELSE '' END || array_to_string(list_concat(list_concat(list_concat([stem], deriv), ['+' || pos]), features), ' ') AS s FROM analyses) GROUP BY word"""))
 def analysis_text(spark, sf_dir):
-    return an.analysis_text(an.analyze(words(spark, sf_dir), rules(spark)))
+    c, w, rules = mined(spark, sf_dir)
+    return an.analysis_text(an.analyze(w, rules))
 
 
-@query(q.segmentation(f"SELECT {_RECORD} FROM segs", WORDS))
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs"))
 def segment_default(spark, sf_dir):
-    return record_columns(sg.segment(words(spark, sf_dir), rules(spark)))
+    c, w, rules = mined(spark, sf_dir)
+    return record_columns(sg.segment(w, rules))
 
 
-@query(q.segmentation(f"SELECT {_RECORD} FROM segs", WORDS, derived_first=True))
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs", derived_first=True))
 def segment_derived_first(spark, sf_dir):
-    return record_columns(sg.segment(words(spark, sf_dir), rules(spark), derived_first=True))
+    c, w, rules = mined(spark, sf_dir)
+    return record_columns(sg.segment(w, rules, derived_first=True))
 
 
-@query(q.segmentation(f"SELECT {_RECORD} FROM segs WHERE rank <= 3", WORDS))
+@query(q.segmentation(f"SELECT {_RECORD} FROM segs WHERE rank <= 3"))
 def nbest(spark, sf_dir):
-    return record_columns(sg.segment(words(spark, sf_dir), rules(spark), nbest=3))
+    c, w, rules = mined(spark, sf_dir)
+    return record_columns(sg.segment(w, rules, nbest=3))
 
 
 _COVER = """SELECT gate, sum(cnt)::BIGINT AS tokens, count(*) AS types, round(sum(cnt) / (SELECT sum(cnt) FROM counts), 6) AS token_share, round(count(*) / (SELECT count(*) FROM counts), 6) AS type_share
 FROM counts JOIN segs ON item = word WHERE rank = 1 GROUP BY gate"""
 
 
-@query(q.segmentation(_COVER, WORDS))
+@query(q.segmentation(_COVER))
 def coverage_by_gate(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    return stats.coverage(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+    c, w, rules = mined(spark, sf_dir)
+    return stats.coverage(c, sg.segment(c.select(F.col("item").alias("word")), rules, nbest=1))
 
 
-@query(q.segmentation("SELECT item, cnt FROM counts JOIN segs ON item = word WHERE gate = 'no_analysis' ORDER BY cnt DESC, item LIMIT 20", WORDS))
+@query(q.segmentation("SELECT item, cnt FROM counts JOIN segs ON item = word WHERE gate = 'no_analysis' ORDER BY cnt DESC, item LIMIT 20"))
 def top_fallback(spark, sf_dir):
     """A top-k report."""
-    c = counts(spark, sf_dir)
-    return stats.top_fallback(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+    c, w, rules = mined(spark, sf_dir)
+    return stats.top_fallback(c, sg.segment(c.select(F.col("item").alias("word")), rules, nbest=1))
 
 
-@query("SELECT NULL::VARCHAR AS word, NULL::VARCHAR AS why LIMIT 0")
+@query(q.segmentation("""SELECT word, why FROM (SELECT word, CASE WHEN array_to_string(pieces, '') <> word THEN 'pieces' WHEN list_contains(pieces, '') THEN 'empty' WHEN len(labels) <> len(pieces) THEN 'labels'
+  WHEN source = 'fallback' AND (len(pieces) <> 1 OR lemma <> '' OR weight <> 0) THEN 'fallback' WHEN gate = 'decomposed' AND len(pieces) < 2 THEN 'decomposed' END AS why FROM segs) WHERE why IS NOT NULL"""))
 def invariant_violations(spark, sf_dir):
-    return sg.violations(sg.segment(words(spark, sf_dir), rules(spark))).select("word", "why")
+    c, w, rules = mined(spark, sf_dir)
+    return sg.violations(sg.segment(w, rules)).select("word", "why")
 
 
-@query()
+def _json(word: str = "word") -> str:
+    """A record's fields as JSON."""
+    many = lambda c: f"'[' || coalesce(array_to_string(list_transform({c}, lambda x: to_json(x)::VARCHAR), ', '), '') || ']'"
+    return f"""'"word": ' || to_json({word})::VARCHAR || ', "pieces": ' || {many('pieces')} || ', "offsets": [' || array_to_string(list_transform(range(0, len(pieces) + 1), lambda i: length(array_to_string(pieces[:i], ''))), ', ') || '], "labels": ' || {many('labels')}
+  || ', "lemma": "' || lemma || '", "alt": "' || alt || '", "source": "' || source || '", "gate": "' || gate || '", "n_analyses": ' || n_analyses || ', "weight": ' || printf('%.6g', weight::DOUBLE)"""
+
+
+@query(q.segmentation(f"""SELECT word, '{{' || min(j) FILTER (rank = 1) || ', "alternatives": [' || coalesce(min('{{' || j || '}}') FILTER (rank = 2), '') || ']}}' AS value FROM (SELECT word, rank, {_json()} AS j FROM segs WHERE rank <= 2) GROUP BY word"""))
 def segment_jsonl(spark, sf_dir):
-    return sg.jsonl(sg.segment(words(spark, sf_dir), rules(spark), nbest=2), nbest=2)
+    c, w, rules = mined(spark, sf_dir)
+    return sg.jsonl(sg.segment(w, rules, nbest=2), nbest=2)
 
 
 # Text mode
 
-_T = r"""t AS (SELECT item_id, text, regexp_extract_all(text, '(\s*)([\p{L}\p{M}]+|\S)', 2) AS toks, regexp_extract_all(text, '(\s*)([\p{L}\p{M}]+|\S)', 1) AS gaps FROM b)"""
-#: Texts in which no token has more than a word or a mark in it, so one RE2 alternation reads them alike. All
-#: of the given benchmark are; the queries themselves read every text.
-_PLAIN = r"NOT regexp_matches(text, '[0-9]|\p{L}[-''’]\p{L}|\.\p{L}|\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|Inc|Ltd|Co|No|Vol|Fig)\.')"
+_WHITE = r"\t-\r\x{85}\p{Z}"  # what \s is in Unicode
+_TOKEN = tokens.TOKEN.replace(r"\S", f"[^{_WHITE}]").replace("'", "''")
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in tokens.KINDS[:-1]) + " ELSE 'PUNCT' END"
+
+
+def _tokens(table: str, key: str) -> str:
+    """toks(key, pos, text, kind, start, ws_before) of a table's texts, without the white space at the end."""
+    pattern = f"([{_WHITE}]*)({_TOKEN})"
+    return rf"""t AS (SELECT {key}, regexp_extract_all(text, '{pattern}', 2) AS toks, regexp_extract_all(text, '{pattern}', 1) AS gaps FROM {table}),
+e AS (SELECT {key}, unnest(toks) AS text, unnest(gaps) AS ws_before, unnest(range(len(toks))) AS pos FROM t),
+toks AS (SELECT {key}, pos, text, {_KIND} AS kind, (sum(length(ws_before) + length(text)) OVER (PARTITION BY {key} ORDER BY pos) - length(text))::INT AS start, ws_before FROM e)"""
+
 
+def _sentences(key: str) -> str:
+    return f"""s AS (SELECT *, sum(CASE WHEN kind = 'PUNCT' AND text IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM toks)
+SELECT {key}, dense_rank() OVER (PARTITION BY {key} ORDER BY coalesce(n, 0)) - 1 AS sentence, pos, text AS word FROM s WHERE kind = 'WORD' AND regexp_matches(text, '^[A-Za-z]+$')"""
 
-@query(rf"""WITH b AS (SELECT * FROM benchmark WHERE {_PLAIN}), {_T}, e AS (SELECT item_id, unnest(toks) AS text, unnest(gaps) AS ws_before, unnest(range(len(toks))) AS pos FROM t)
-SELECT item_id, pos, text, CASE WHEN regexp_matches(text, '^[\p{{L}}\p{{M}}]+$') THEN 'WORD' ELSE 'PUNCT' END AS kind,
-  (sum(length(ws_before) + length(text)) OVER (PARTITION BY item_id ORDER BY pos) - length(text))::INT AS start, ws_before FROM e""")
+
+@query(f"WITH {_tokens('benchmark', 'item_id')} SELECT item_id, pos, text, kind, start, ws_before FROM toks")
 def text_tokens(spark, sf_dir):
     return tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id").where("kind <> 'TAIL'")
 
 
-@query()
+@query(f"WITH {_tokens('documents', 'doc_id')} SELECT doc_id, pos, text, kind, start, ws_before FROM toks")
 def document_tokens(spark, sf_dir):
     return tokens.tokens(docs(spark, sf_dir)).where("kind <> 'TAIL'")
 
@@ -249,35 +283,38 @@ def whitespace_roundtrip(spark, sf_dir):
     return tokens.rebuilt(tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id"), "item_id")
 
 
-@query(rf"""WITH b AS (SELECT * FROM benchmark WHERE {_PLAIN}), {_T}, e AS (SELECT item_id, unnest(toks) AS text, unnest(range(len(toks))) AS pos FROM t),
-s AS (SELECT *, sum(CASE WHEN text IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM e)
-SELECT item_id, dense_rank() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0)) - 1 AS sentence, pos, text AS word FROM s WHERE regexp_matches(text, '^[A-Za-z]+$')""")
+@query(f"WITH {_tokens('benchmark', 'item_id')}, {_sentences('item_id')}")
 def sentence_words(spark, sf_dir):
     return tokens.sentences(tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id"), "item_id")
 
 
-@query()
+@query(f"WITH {_tokens('documents', 'doc_id')}, {_sentences('doc_id')}")
 def document_sentence_words(spark, sf_dir):
     return tokens.sentences(tokens.tokens(docs(spark, sf_dir)))
 
 
-@query()
+@query(rf"""WITH {q.counted()}, {q.MINED.replace('words AS (', 'unused AS (')}turns AS (SELECT conv_id || ':' || turn AS doc_id, text FROM conversations), {_tokens('turns', 'doc_id').replace('t AS (', 'tt AS (', 1).replace('FROM t)', 'FROM tt)')},
+words AS (SELECT DISTINCT text AS word FROM toks WHERE kind = 'WORD'), {q.LARGE}, {q.ANALYSES}, {q.segments(False)},
+closing AS (SELECT doc_id, regexp_extract(text, '[{_WHITE}]*\z') AS ws FROM turns), last AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id)
+SELECT k.doc_id, k.pos, k.text, k.kind, k.ws_before, coalesce(array_to_string(g.pieces, '|'), k.text) AS pieces, coalesce(g.gate, 'passthrough') AS gate FROM toks k LEFT JOIN segs g ON g.word = k.text AND g.rank = 1 AND k.kind = 'WORD'
+UNION ALL SELECT e.doc_id, coalesce(n, 0), '', 'TAIL', ws, '', 'passthrough' FROM closing e LEFT JOIN last l ON e.doc_id = l.doc_id WHERE ws <> ''""")
 def segmented_text(spark, sf_dir):
-    out = tokens.segmented_text(docs(spark, sf_dir, "conversations").selectExpr("concat(conv_id, ':', turn) doc_id", "text"), rules(spark))
+    _, _, rules = mined(spark, sf_dir)
+    out = tokens.segmented_text(docs(spark, sf_dir, "conversations").selectExpr("concat(conv_id, ':', turn) doc_id", "text"), rules)
     return out.select("doc_id", "pos", "text", "kind", "ws_before", text_of("pieces"), "gate")
 
 
 # Lexicon
 
 
-@query(f"WITH {q.TABLES} SELECT (SELECT count(*) FROM lex) AS lexemes, count(DISTINCT p) + 1 AS states, count(DISTINCT p) AS transitions FROM (SELECT unnest(list_transform(range(1, length(stem) + 1), lambda i: stem[:i])) AS p FROM lex)")
+@query(f"WITH {q.SMALL} SELECT (SELECT count(*) FROM lex) AS lexemes, count(DISTINCT p) + 1 AS states, count(DISTINCT p) AS transitions FROM (SELECT unnest(list_transform(range(1, length(stem) + 1), lambda i: stem[:i])) AS p FROM lex)")
 def trie_size(spark, sf_dir):
     from wordloom.sources.lexicon import load_stats
 
     return load_stats(lexeme(spark))
 
 
-@query(f"""WITH {q.TABLES}, par AS ({q.values(q.r.PARADIGM, 'pos, eff, tag, ending, cut, doubles')}),
+_FORMS = f"""par AS ({q.values(q.r.PARADIGM, 'pos, eff, tag, ending, cut, doubles')}),
 forms AS (
   SELECT lex_id, stem AS surface, 'citation' AS origin FROM lex
   UNION ALL SELECT l.lex_id, l.stem[:length(l.stem) - p.cut] || CASE WHEN p.doubles THEN l.stem[-1:] ELSE '' END || p.ending, p.tag FROM lex l JOIN par p ON l.pos = p.pos AND l.eff = p.eff
@@ -288,16 +325,21 @@ forms AS (
       CASE WHEN sc = 'SILENT_E' AND stem[-1:] = 'e' AND (suffix[1] IN ('a','e','i','o','u') OR stem[:-2] || suffix IN ({', '.join(map(q.lit, o.E_DELETION))})) THEN stem[:-2] || suffix END,
       CASE WHEN sc = 'DOUBLE_CONS' AND suffix[1] IN ('a','e','i','o','u') THEN stem || stem[-1:] || suffix END], lambda x: x IS NOT NULL)), 'deriv -' || suffix
     FROM lex l JOIN deriv d ON list_contains(d.sources, l.pos) AND (len(d.classes) = 0 OR list_contains(d.classes, l.sc)) AND length(l.stem) >= d.min_stem
-  UNION ALL SELECT lex_id, unnest(['un' || stem, 're' || stem]), unnest(['prefix un-', 'prefix re-']) FROM lex WHERE pos <> 'FUNC' AND length(stem) >= 2)
-SELECT lex_id, surface, origin FROM forms""")
+  UNION ALL SELECT lex_id, unnest(['un' || stem, 're' || stem]), unnest(['prefix un-', 'prefix re-']) FROM lex WHERE pos <> 'FUNC' AND length(stem) >= 2)"""
+
+
+@query(f"WITH {q.SMALL}, {_FORMS} SELECT lex_id, surface, origin FROM forms")
 def generated_forms(spark, sf_dir):
     return generate.generated_forms(rules(spark)).select("lex_id", "surface", "origin")
 
 
-@query()
+@query(f"""WITH {q.counted()}, {q.MINED.replace('words AS (', 'unused AS (')}{q.LARGE.replace('FROM mined', 'FROM mined WHERE built').replace('WHERE built WHERE', 'WHERE built AND')}, {_FORMS}, words AS (SELECT DISTINCT surface AS word FROM forms), {q.ANALYSES}
+SELECT origin, count(*) AS n, array_to_string(list_sort(list(DISTINCT surface))[:3], ' ') AS examples FROM forms WHERE lower(surface) NOT IN (SELECT word FROM analyses) GROUP BY origin""")
 def selfcheck(spark, sf_dir):
-    """Unread forms by cause. Stems of three letters or less and classes that a spelling contradicts leave some."""
-    return generate.selfcheck(rules(spark)).select("origin", "n", text_of("examples", " "))
+    """Unread forms by cause, of the fixed lexemes and those that words are built of. Stems of three letters or
+    less and classes that a spelling contradicts leave some."""
+    w = counts(spark, sf_dir).select(F.col("item").alias("word"))
+    return generate.selfcheck(mined_rules(w, built=True)).select("origin", "n", text_of("examples", " "))
 
 
 def entries(spark, sf_dir) -> DataFrame:
@@ -377,23 +419,27 @@ def gold_of(c: DataFrame) -> DataFrame:
 
 
 def scored_gold(spark, sf_dir) -> DataFrame:
-    c = counts(spark, sf_dir)
-    best = sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1)
+    c, w, rules = mined(spark, sf_dir)
+    best = sg.segment(c.select(F.col("item").alias("word")), rules, nbest=1)
     return evaluate.scored(best, gold_of(c))
 
 
-@query(q.segmentation(f"SELECT gate, {_RATES} FROM one WHERE k = 1 GROUP BY gate UNION ALL SELECT 'ALL', {_RATES} FROM one WHERE k = 1", WORDS, more=f", {_GOLD}{_SCORED}"))
+@query(q.segmentation(f"SELECT gate, {_RATES} FROM one WHERE k = 1 GROUP BY gate UNION ALL SELECT 'ALL', {_RATES} FROM one WHERE k = 1", more=f", {_GOLD}{_SCORED}"))
 def boundary_scores(spark, sf_dir):
     return evaluate.boundary_scores(scored_gold(spark, sf_dir))
 
 
-@query(q.segmentation(f"SELECT gp[2] AS suffix, {_RATES} FROM one WHERE k = 1 GROUP BY 1", WORDS, more=f", {_GOLD}{_SCORED}"))
+@query(q.segmentation(f"SELECT gp[2] AS suffix, {_RATES} FROM one WHERE k = 1 GROUP BY 1", more=f", {_GOLD}{_SCORED}"))
 def suffix_report(spark, sf_dir):
     rows = scored_gold(spark, sf_dir).withColumn("suffix", F.element_at("gold_pieces", 2))
     return evaluate.suffix_scores(rows)
 
 
-@query()
+@query(q.segmentation("""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN lf.w IS NOT NULL AND rf.w IS NOT NULL AND length(m.l) >= 3 AND length(m.r) >= 3 AND NOT known THEN 'compound' WHEN gate = 'no_analysis' THEN 'no_analysis_of_the_word'
+  WHEN NOT known THEN 'affix_the_rules_do_not_have' WHEN layers > 2 AND own > 0 THEN 'inner_layer_of_a_multi_layer_form' ELSE 'known_affix_not_stripped' END AS bucket FROM missed m LEFT JOIN free lf ON lf.w = m.l LEFT JOIN free rf ON rf.w = m.r) GROUP BY bucket""",
+    more=f""", {_GOLD}{_SCORED}, free AS (SELECT DISTINCT lower(item) AS w FROM counts),
+  missed AS (SELECT word, gate, word[:b1] AS l, word[b1 + 1:] AS r, len(gp) AS layers, len(a) AS own, gp[list_position(b, b1) + 1] IN ({', '.join(map(q.lit, ENDINGS))}) AS known
+    FROM (SELECT *, unnest(b) AS b1 FROM one WHERE k = 1) WHERE NOT list_contains(a, b1))"""))
 def recall_gap(spark, sf_dir):
     free = counts(spark, sf_dir).select(F.lower("item").alias("word"))
     return evaluate.recall_gap(scored_gold(spark, sf_dir), free, local(spark, [(e,) for e in ENDINGS], "affix string"))
@@ -408,26 +454,28 @@ def gold_filter(spark, sf_dir):
 
 
 @query(q.segmentation("""SELECT sum(cnt)::BIGINT AS tokens, count(*) AS types, round(sum(len(pieces) * cnt) / sum(cnt), 6) AS pieces_per_token, round(avg(len(pieces)), 6) AS pieces_per_type, round(sum(length(item) * cnt) / sum(len(pieces) * cnt), 6) AS chars_per_piece,
-  round(1000 * sum(len(pieces) * cnt) / sum(octet_length(encode(item)) * cnt), 6) AS pieces_per_kb, 1.0::DOUBLE AS round_trip, (SELECT count(DISTINCT p) FROM (SELECT unnest(pieces) AS p FROM segs WHERE rank = 1)) AS distinct_pieces
-FROM counts JOIN segs ON item = word WHERE rank = 1""", WORDS))
+  round(1000 * sum(len(pieces) * cnt) / sum(octet_length(encode(item)) * cnt), 6) AS pieces_per_kb, round(count(*) FILTER (array_to_string(pieces, '') = item) / count(*), 6) AS round_trip, (SELECT count(DISTINCT p) FROM (SELECT unnest(pieces) AS p FROM segs JOIN counts ON item = word WHERE rank = 1)) AS distinct_pieces
+FROM counts JOIN segs ON item = word WHERE rank = 1"""))
 def compression_metrics(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    return evaluate.compression(c, sg.segment(c.select(F.col("item").alias("word")), rules(spark), nbest=1))
+    c, w, rules = mined(spark, sf_dir)
+    return evaluate.compression(c, sg.segment(c.select(F.col("item").alias("word")), rules, nbest=1))
 
 
-@query(q.segmentation("""SELECT count(*) AS words, 1.0::DOUBLE AS round_trip, round(count(*) FILTER (source = 'fst') / count(*), 6) AS covered, round(sum(len(pieces)) / count(*), 6) AS fertility, round(sum(length(word)) / sum(len(pieces)), 6) AS chars_per_piece,
-  round(sum(octet_length(encode(word))) / sum(len(pieces)), 6) AS bytes_per_piece, round(avg(length(word)), 6) AS chars_per_word FROM segs WHERE rank = 1""", WORDS))
+@query(q.segmentation("""SELECT count(*) AS words, round(count(*) FILTER (array_to_string(pieces, '') = word) / count(*), 6) AS round_trip, round(count(*) FILTER (source = 'fst') / count(*), 6) AS covered, round(sum(len(pieces)) / count(*), 6) AS fertility, round(sum(length(word)) / sum(len(pieces)), 6) AS chars_per_piece,
+  round(sum(octet_length(encode(word))) / sum(len(pieces)), 6) AS bytes_per_piece, round(avg(length(word)), 6) AS chars_per_word FROM segs WHERE rank = 1"""))
 def intrinsic_metrics(spark, sf_dir):
-    return evaluate.intrinsic(sg.segment(words(spark, sf_dir), rules(spark), nbest=1))
+    c, w, rules = mined(spark, sf_dir)
+    return evaluate.intrinsic(sg.segment(w, rules, nbest=1))
 
 
-@query()
+@query(q.segmentation("""SELECT CASE WHEN x.pieces = y.pieces THEN 'same' WHEN list_contains(g.alts, y.pieces) THEN 'gain' WHEN list_contains(g.alts, x.pieces) THEN 'loss' ELSE 'neither' END AS verdict, count(*) AS n
+FROM (SELECT word, list(pieces) AS alts FROM gold GROUP BY word) g JOIN segs x ON x.word = g.word AND x.rank = 1 JOIN other_segs y ON y.word = g.word AND y.rank = 1 GROUP BY 1""", more=f", {q.ranked(True, 'other_')}, {_GOLD}"))
 def policy_diff(spark, sf_dir):
-    """Words of the gold by what the other ranking policy makes of them."""
-    c = counts(spark, sf_dir)
-    w, r = c.select(F.col("item").alias("word")), rules(spark)
-    rows = evaluate.policy_verdicts(sg.segment(w, r, nbest=1), sg.segment(w, r, derived_first=True, nbest=1), gold_of(c))
-    return rows.groupBy("verdict").agg(F.count("*").alias("n"))
+    """Words of the gold by what the other ranking policy makes of them. Words are cut once and ranked twice."""
+    c, w, rules = mined(spark, sf_dir)
+    cuts = staged(sg.cuts(c.select(F.col("item").alias("word")), rules), "cuts")
+    best = lambda derived_first: sg.ranked(cuts, derived_first).where("rank = 1")
+    return evaluate.policy_verdicts(best(False), best(True), gold_of(c)).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -435,9 +483,9 @@ def system_ranking(spark, sf_dir):
     """Segmentation and a public vocabulary, ranked by compression figures."""
     import public_tokenizers
 
-    c = counts(spark, sf_dir)
+    c, _, rules = mined(spark, sf_dir)
     w = c.select(F.col("item").alias("word"))
-    systems = {"segmentation": sg.segment(w, rules(spark), nbest=1), "byte_bpe_50k": baselines.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")).encode(w)}
+    systems = {"segmentation": sg.segment(w, rules, nbest=1), "byte_bpe_50k": baselines.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")).encode(w)}
     rows = None
     for name, pieces in systems.items():
         df = evaluate.compression(c, pieces).select(F.lit(name).alias("system"), "pieces_per_token", "chars_per_piece", "round_trip")
@@ -445,7 +493,7 @@ def system_ranking(spark, sf_dir):
     return evaluate.rankings(rows, ["pieces_per_token", "chars_per_piece", "round_trip"], rising=("pieces_per_token",))
 
 
-@query(f"WITH {q.TABLES}, w AS (SELECT DISTINCT translate(p_name, ' ', '') AS word FROM part) SELECT word, word IN (SELECT stem FROM lex) AS accepted FROM w")
+@query(f"WITH {q.SMALL}, w AS (SELECT DISTINCT translate(p_name, ' ', '') AS word FROM part) SELECT word, word IN (SELECT stem FROM lex) AS accepted FROM w")
 def trie_accepts(spark, sf_dir):
     """Words run through the lexicon's trie as an automaton of arcs."""
     w = docs(spark, sf_dir, "part").select(F.translate("p_name", " ", "").alias("word")).distinct()

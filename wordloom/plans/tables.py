@@ -1,9 +1,17 @@
-"""The small lexicon and gold that the registered queries use over the driver's tables."""
+"""The lexicons and words that the registered queries use over the driver's tables.
+
+STEMS is a small list of fixed cases. MINED adds, by a rule, a quarter of a table's own words as
+lexemes, thousands of them, so that the rules are met by what the table holds; and query_words adds to the
+table's words some that are built of these by every prefix, suffix and ending.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wordloom.functions import orthography as o
+from wordloom.functions import rules as r
 from wordloom.functions.local import local
 from wordloom.operators.analyze import LEXEME, Ruleset
 
@@ -17,6 +25,16 @@ STEMS = [
 ]
 CLOSED = ["the", "of", "and", "to", "in", "that", "it", "is", "was", "for", "on", "with", "as", "be", "by", "an", "at", "are", "from", "this"]
 
+#: What the digits h of md5(word) say, in words that Spark and DuckDB share: which words are lexemes, their part
+#: of speech, whether the class is unknown or irregular, whether a last consonant doubles, weight, stored forms, id.
+MINED_WORD, MINED = "^[a-z]{3,9}$", "substr(h, 1, 1) < '4'"
+MINED_POS = "CASE WHEN substr(h, 2, 1) < '6' THEN 'N' WHEN substr(h, 2, 1) < 'b' THEN 'V' WHEN substr(h, 2, 1) < 'f' THEN 'ADJ' ELSE 'ADV' END"
+MINED_KNOWN, MINED_STORED, BUILT = "substr(h, 4, 1) >= '4'", "substr(h, 5, 1) < '2'", "substr(h, 17, 2) = '00'"
+MINED_WEIGHT = "CASE WHEN substr(h, 4, 1) >= '4' THEN 0.7 + 0.04 * (instr('0123456789abcdef', substr(h, 4, 1)) - 1) ELSE 1.0 END"
+#: Endings of built words, besides the suffixes; some follow a suffix.
+BUILT_ENDINGS = ["s", "es", "ed", "d", "ing", "er", "est"]
+SECOND = 7  # the suffix that stands outside another is this many rules further on
+
 
 def lexeme(spark: SparkSession) -> DataFrame:
     rows = [(i, s, p, c, 1.0 if w is None else w, w is not None, list(f.items())) for i, (s, p, c, w, f) in enumerate(STEMS)]
@@ -24,4 +42,40 @@ def lexeme(spark: SparkSession) -> DataFrame:
 
 
 def rules(spark: SparkSession) -> Ruleset:
+    """The fixed cases alone."""
     return Ruleset.of(lexeme(spark), local(spark, [(w,) for w in CLOSED], "word string"))
+
+
+def mined_stems(words: DataFrame) -> DataFrame:
+    """(stem, h) of words (word) that are lexemes by rule."""
+    return words.where(F.col("word").rlike(MINED_WORD)).select(F.col("word").alias("stem")).distinct().withColumn("h", F.md5(F.col("stem").cast("binary"))).where(MINED)
+
+
+def mined(words: DataFrame, built: bool = False) -> DataFrame:
+    """Lexemes that words (word) give by rule; built: those alone that words are built of."""
+    h3, stem = F.substring("h", 3, 1), F.col("stem")
+    stems = mined_stems(words)
+    rows = (stems.where(BUILT) if built else stems).withColumn("pos", F.expr(MINED_POS))
+    doubles = F.col("pos").isin("V", "ADJ") & o.may_double(stem)
+    stem_class = F.when(h3 == "0", "UNKNOWN").when((h3 == "1") & (F.col("pos") == "V"), "IRR_SING").when(F.col("pos") == "ADV", "REG").when(doubles & (h3 < "8"), "DOUBLE_CONS").otherwise(o.implied_class(stem))
+    stored = F.when(F.expr(MINED_STORED) & (F.col("pos") == "V"), F.create_map(F.lit("+PAST"), F.concat("stem", F.lit("t")))).when(F.expr(MINED_STORED) & (F.col("pos") == "N"), F.create_map(F.lit("+PL"), F.concat("stem", F.lit("en"))))
+    lex_id = F.conv(F.substring("h", 6, 11), 16, 10).cast("long") + 1000
+    return rows.select(lex_id.alias("lex_id"), "stem", "pos", stem_class.alias("stem_class"), F.expr(MINED_WEIGHT).cast("float").alias("weight"), F.expr(MINED_KNOWN).alias("weight_known"), stored.alias("irregular"))
+
+
+def mined_rules(words: DataFrame, built: bool = False) -> Ruleset:
+    """The fixed cases and the mined lexemes."""
+    spark = words.sparkSession
+    return Ruleset.of(lexeme(spark).unionByName(mined(words, built)), local(spark, [(w,) for w in CLOSED], "word string"))
+
+
+def query_words(words: DataFrame) -> DataFrame:
+    """words, and those that are built of some of the mined lexemes."""
+    spark = words.sparkSession
+    n = len(r.DERIVATION)
+    after = [x[0] for x in r.DERIVATION] + BUILT_ENDINGS + [f"{r.DERIVATION[i][0]}{r.DERIVATION[(i + SECOND) % n][0]}" for i in range(n)] + [f"{x[0]}s" for x in r.DERIVATION] + ["t", "en"]
+    around = local(spark, [("", x) for x in after] + [(p, x) for p, _ in r.PREFIXES for x in ("", "s", "t", "ness")], "before string, after string")
+    some = mined_stems(words).where(BUILT).select("stem", F.lit(1).alias("k"))
+    made = some.join(F.broadcast(around.withColumn("k", F.lit(1))), "k").select(F.concat("before", "stem", "after").alias("word"))
+    capital = made.where("substr(md5(cast(word as binary)), 1, 1) = '0'")
+    return words.select("word").union(made).union(capital.select(F.upper("word"))).distinct()
