@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from wordloom.functions import orthography as o
 from wordloom.functions.local import local
 from wordloom.operators import analyze as an
 from wordloom.operators import automata, build, evaluate, stats, tokens
@@ -147,9 +148,9 @@ def test_build(spark, tmp_path):
     made = build.build_lexicon(entries, freq).cache()
     got = {(r.word, r.pos): (r.stem_class, r.irregular, r.weight) for r in made.collect()}
     assert got == {
-        ("city", "noun"): ("Y_FINAL", {}, 1.08), ("stop", "verb"): ("DOUBLE_CONS", {}, 0.7), ("go", "verb"): ("SIBILANT", {"PAST": "went"}, 1.3), ("soon", "adv"): ("REG", {}, 0.7),
+        ("city", "noun"): ("Y_FINAL", {}, 1.07), ("stop", "verb"): ("DOUBLE_CONS", {}, 0.7), ("go", "verb"): ("SIBILANT", {"PAST": "went"}, 1.3), ("soon", "adv"): ("REG", {}, 0.7),
         ("mouse", "noun"): ("REG", {"PLURAL": "mice"}, 0.7), ("rock", "noun"): ("UNKNOWN", {}, 0.7),
-    } or got[("city", "noun")][2] in (1.07, 1.08)
+    }
     assert ("cities", "noun") not in got and ("cities", "noun") in {(r.word, r.pos) for r in build.build_lexicon(entries, freq, keep_form_of=True).collect()}
     chosen = build.chosen_forms(build.listed_forms(entries), freq, build.predicted(build.headwords(entries)))
     r = build.regenerated(made, chosen).first()
@@ -248,3 +249,40 @@ def test_command_line_conflicts():
         with pytest.raises(SystemExit) as e:
             arguments(bad)
         assert e.value.code == 2
+
+
+def test_weights_round_by_the_exact_value(spark):
+    zipfs = [i / 100 for i in range(0, 900)]
+    df = local(spark, [(z,) for z in zipfs], "zipf double").select("zipf", o.weight_of_zipf(F.col("zipf")).alias("w"))
+    assert {r.zipf: r.w for r in df.collect()} == {z: round(max(0.7, min(1.3, 0.7 + 0.075 * z)), 2) for z in zipfs}
+
+
+def test_starts_of_long_texts_and_repeated_keys(spark):
+    rows = [(1, "ab  cd. " * 700), (1, "x y"), (None, " z\n"), (None, ""), (2, None), (3, "  \t ")]
+    got = tokens.tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for key, text in rows:
+        mine = [r for r in got if r.doc_id == key and (text or "")[r.start : r.start + len(r.text)] == r.text]
+        assert {(r.pos, r.text) for r in mine} >= {(i, t) for i, t in enumerate(re.findall(r"\w+|\S", text or ""))}
+    first = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.pos)
+    assert len(first) == 700 * 3 + 1 + 2 and max(r.start for r in first) == len("ab  cd. " * 700)
+    assert [(r.kind, r.ws_before) for r in got if r.doc_id == 3] == [("TAIL", "  \t ")]
+
+
+def test_transducers_spell_the_paradigm(spark):
+    cases = [("+PL", "N", "Y_FINAL", "city", "cities"), ("+PL", "N", "REG", "cat", "cats"), ("+PL", "N", "SIBILANT", "bus", "buses"), ("+PAST", "V", "DOUBLE_CONS", "stop", "stopped"), ("+PRES_PART", "V", "SILENT_E", "hope", "hoping"), ("+SUP", "ADJ", "SILENT_E", "large", "largest")]
+    for tag, pos, stem_class, stem, form in cases:
+        arcs, finals = automata.inflection_transducer(spark, tag, pos, stem_class)
+        inputs = local(spark, [(1, [*stem, tag]), (2, [*stem])], "id int, symbols array<string>")
+        found = [("".join(r.output), r.id) for r in automata.transduce(inputs, arcs, finals).collect()]
+        assert found == [(form, 1)], (stem, found)
+    arcs, finals = automata.inflection_transducer(spark, "+PL", "N", "Y_FINAL")
+    assert [r.output for r in automata.transduce(local(spark, [(1, ["y", "+PL"]), (2, ["t", "+PL"])], "id int, symbols array<string>"), arcs, finals).collect()] == [["ies"]]
+    assert len(automata.TRANSDUCERS) >= 18
+
+
+def test_numbers_run_over_partitions(spark):
+    from wordloom.functions.staging import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    assert all(r.number == r.x + 1 for r in numbered(df, F.col("x")).collect())
+    assert numbered(df.where("false"), F.col("x")).count() == 0

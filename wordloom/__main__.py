@@ -47,6 +47,12 @@ def main(argv: list[str]) -> int:
         return 2
     rules = an.Ruleset.of(lexeme, lx.builtin_closed(spark))
 
+    def ask() -> str:
+        try:
+            return input("> ").strip()
+        except EOFError:
+            return ":quit"
+
     def show(words: list[str]) -> None:
         df = local(spark, [(w,) for w in words], "word string")
         found = an.analyze(df, rules)
@@ -59,7 +65,7 @@ def main(argv: list[str]) -> int:
     if a.mode == "analyze" and a.inputs:
         show(a.inputs)
     elif a.mode == "analyze":
-        while (line := input("> ").strip()) != ":quit":
+        while (line := ask()) != ":quit":
             if line == ":help":
                 print(":stats :quit, or words")
             elif line == ":stats":

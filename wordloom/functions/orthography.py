@@ -71,8 +71,18 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(n < 1, F.lit(0)).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))))
 
 
+def two_digits(x: Column) -> Column:
+    """A double of 0 up to 20 to two decimals by its exact binary value, halves to even: whether it is over the
+    middle is asked of integers, since the decimal text of a double may lie on the other side."""
+    one = 1 << 52
+    m = (x * float(one)).cast("long")
+    n = F.shiftright(m * 100, 52)
+    over = m * 200 - (2 * n + 1) * F.lit(one)
+    return (n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)) / F.lit(100.0)
+
+
 def weight_of_zipf(zipf: Column) -> Column:
-    return F.round(F.least(F.lit(1.3), F.greatest(F.lit(0.7), F.lit(0.7) + F.lit(WEIGHT_PER_ZIPF) * zipf.cast("double"))), 2)
+    return two_digits(F.least(F.lit(1.3), F.greatest(F.lit(0.7), F.lit(0.7) + F.lit(WEIGHT_PER_ZIPF) * zipf.cast("double"))))
 
 
 def zipf(n: Column, total: Column) -> Column:

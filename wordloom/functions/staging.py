@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +40,14 @@ def discard(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `number`, 1 and on in this order. The rows are range-sorted and written; a number is the place
+    in a partition and the count of those before, so that no task holds all rows."""
+    rows = staged(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # A row a partition.
+    ahead = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
+    return rows.withColumn("__part", part).join(ahead, "__part").withColumn("number", F.col("__ahead") + place + 1).drop("__at", "__part", "__ahead")

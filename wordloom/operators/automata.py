@@ -1,33 +1,38 @@
 """Finite automata as arc tables, run as joins: one join a symbol, over all inputs at once.
 
 arcs: (src, dst, in_sym, out_sym); in_sym '' reads nothing. finals: (state). Inputs are
-(id, symbols). Runs are bounded by the longest input plus `slack` steps that read nothing.
+(id, symbols). Runs are bounded by the longest input plus `slack` steps that read nothing. Each step
+is written and read by the next, so that none is computed twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import rules as r
 from wordloom.functions.local import local
+from wordloom.functions.staging import numbered, staged
 
 ARCS = "src int, dst int, in_sym string, out_sym string"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def transduce(inputs: DataFrame, arcs: DataFrame, finals: DataFrame, start: int = 0, slack: int = 2) -> DataFrame:
     """(id, output): all outputs (arrays of symbols) of accepted inputs. Configurations are told apart by the
     whole output, not its length."""
-    arcs, finals = F.broadcast(arcs), F.broadcast(finals.select(F.col("state")))
     longest = (inputs.agg(F.max(F.size("symbols"))).first()[0] or 0) + slack
-    now = inputs.select("id", "symbols", F.lit(start).alias("state"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("output"))
-    every = now
+    now = inputs.select("id", "symbols", F.lit(start).cast(arcs.schema["src"].dataType).alias("state"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("output"))
+    ended = now.where(F.col("at") == F.size("symbols"))
+    output = F.when(F.col("out_sym") == "", F.col("output")).otherwise(F.concat("output", F.array("out_sym")))
     for _ in range(longest):
-        moved = now.join(arcs, F.col("state") == F.col("src")).where((F.col("in_sym") == "") | (F.col("in_sym") == F.get("symbols", F.col("at"))))
-        output = F.when(F.col("out_sym") == "", F.col("output")).otherwise(F.concat("output", F.array("out_sym")))
-        now = moved.select("id", "symbols", F.col("dst").alias("state"), (F.col("at") + F.when(F.col("in_sym") == "", 0).otherwise(1)).alias("at"), output.alias("output")).distinct()
-        every = every.union(now)
-    return every.where(F.col("at") == F.size("symbols")).join(finals, "state", "left_semi").select("id", "output").distinct()
+        reads = (F.col("in_sym") == "") | (F.col("in_sym") == F.get("symbols", F.col("at")))
+        moved = now.join(arcs, (F.col("state") == F.col("src")) & reads)
+        now = staged(moved.select("id", "symbols", F.col("dst").alias("state"), (F.col("at") + F.when(F.col("in_sym") == "", 0).otherwise(1)).alias("at"), output.alias("output")).distinct(), "configurations")
+        if now.isEmpty():
+            break
+        ended = ended.union(now.where(F.col("at") == F.size("symbols")))
+    return ended.join(finals.select("state"), "state", "left_semi").select("id", "output").distinct()
 
 
 def accepts(inputs: DataFrame, arcs: DataFrame, finals: DataFrame, start: int = 0) -> DataFrame:
@@ -43,18 +48,32 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return arcs, w.select(F.col("word").alias("state"))
 
 
-def inflection_transducer(spark, tag: str, pos: str, stem_class: str) -> tuple[DataFrame, DataFrame]:
-    """Arcs and finals of the transducer that spells a tag on stems of a class."""
-    rows, states = [], 0
-    for p, c, t, ending, cut, doubles in r.PARADIGM:
-        if (p, c, t) == (pos, stem_class, tag):
-            rows.append((0, 1, tag, ending))
-            states = 1
-    return local(spark, rows, ARCS), local(spark, [(1,)] if states else [], "state int")
+#: The paradigm's transducers: (part of speech, class, tag).
+TRANSDUCERS = sorted({x[:3] for x in r.PARADIGM})
+
+
+def inflection_transducer(spark: SparkSession, tag: str, pos: str, stem_class: str, language: r.Language = r.ENGLISH) -> tuple[DataFrame, DataFrame]:
+    """Arcs and finals of the transducer that spells a tag after stems of a class. It copies the stem's
+    letters, drops the last where the paradigm cuts it or writes it twice where it doubles, and writes the
+    ending for the tag: y +PL to ies, s t o p +PAST to s t o p p e d."""
+    rows, states, done = [(0, 0, c, c) for c in LETTERS], 1, []
+    for p, c, t, ending, cut, doubles in language.paradigm:
+        if (p, c, t) != (pos, stem_class, tag):
+            continue
+        # What must stand last: (letter, what is written for it, what the tag writes); '' if any may.
+        if cut:
+            lasts = [({"Y_FINAL": "y", "SILENT_E": "e"}[stem_class], "", ending)]
+        else:
+            lasts = [(x, x, x + ending) for x in LETTERS if x not in "aeiouywx"] if doubles else [("", "", ending)]
+        for letter, kept, written in lasts:
+            if letter:
+                rows.append((0, states, letter, kept))
+            rows.append((states if letter else 0, states + 1, tag, written))
+            done.append((states + 1,))
+            states += 2
+    return local(spark, rows, ARCS), local(spark, done, "state int")
 
 
 def symbol_ids(symbols: DataFrame) -> DataFrame:
     """(symbol, id): dense ids in order of the symbols."""
-    from pyspark.sql.window import Window
-
-    return symbols.select("symbol").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("symbol")) - 1)
+    return numbered(symbols.select("symbol").distinct(), F.col("symbol")).select("symbol", (F.col("number") - 1).alias("id"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
 from wordloom.functions.local import local
+from wordloom.functions.staging import numbered
 
 # Dictionary names of parts of speech, and the tag sets that name one feature exactly.
 DICTIONARY_POS = {"noun": "N", "verb": "V", "adj": "ADJ", "adv": "ADV"}
@@ -97,10 +97,12 @@ def build_lexicon(entries: DataFrame, freq: DataFrame, keep_form_of: bool = Fals
 
 def as_lexeme(entries: DataFrame) -> DataFrame:
     """Built entries as lexemes, in order of frequency, then word."""
-    order = Window.orderBy(F.desc("zipf"), "word", "pos")
     tag = F.create_map(*(F.lit(x) for kv in o.FEATURES.items() for x in kv))
     pos = F.create_map(*(F.lit(x) for kv in DICTIONARY_POS.items() for x in kv))
-    return entries.select(F.row_number().over(order).cast("long").alias("lex_id"), F.col("word").alias("stem"), F.element_at(pos, F.col("pos")).alias("pos"), "stem_class", F.col("weight").cast("float").alias("weight"), F.lit(True).alias("weight_known"), F.transform_keys("irregular", lambda k, v: F.element_at(tag, k)).alias("irregular"))
+    return numbered(entries, F.desc("zipf"), F.col("word"), F.col("pos")).select(
+        F.col("number").alias("lex_id"), F.col("word").alias("stem"), F.element_at(pos, F.col("pos")).alias("pos"), "stem_class", F.col("weight").cast("float").alias("weight"),
+        F.lit(True).alias("weight_known"), F.transform_keys("irregular", lambda k, v: F.element_at(tag, k)).alias("irregular"),
+    )
 
 
 def top_words(entries: DataFrame, n: int) -> DataFrame:

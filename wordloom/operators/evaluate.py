@@ -165,7 +165,7 @@ def suffix_of(records: DataFrame, suffixes: DataFrame) -> DataFrame:
     """records (word, pieces) with `suffix`: of the last piece, exactly or after one displaced letter, the longest first."""
     last = F.element_at("pieces", -1)
     tries = records.where(F.size("pieces") > 1).select("word", F.posexplode(F.array(last, F.expr("substring(element_at(pieces, -1), 2)"))).alias("shift", "suffix"))
-    found = tries.join(F.broadcast(suffixes.select("suffix").distinct()), "suffix").groupBy("word").agg(F.min_by("suffix", F.struct("shift", -F.length("suffix"))).alias("suffix"))
+    found = tries.join(suffixes.select("suffix").distinct(), "suffix").groupBy("word").agg(F.min_by("suffix", F.struct("shift", -F.length("suffix"))).alias("suffix"))
     return records.join(found, "word", "left")
 
 
@@ -183,7 +183,7 @@ def recall_gap(rows: DataFrame, free_words: DataFrame, affixes: DataFrame) -> Da
     piece = F.get("gold_pieces", F.array_position(o.offsets(F.col("gold_pieces")), F.col("at")).cast("int") - 1)
     missed = missed.withColumn("piece", piece)
     flag = lambda df, key, col: df.select(F.col(key).alias(col), F.lit(True).alias(f"is_{col}")).distinct()
-    missed = missed.join(flag(free_words, "word", "left"), "left", "left").join(flag(free_words, "word", "right"), "right", "left").join(F.broadcast(flag(affixes, "affix", "piece")), "piece", "left")
+    missed = missed.join(flag(free_words, "word", "left"), "left", "left").join(flag(free_words, "word", "right"), "right", "left").join(flag(affixes, "affix", "piece"), "piece", "left")
     known = F.coalesce("is_piece", F.lit(False))
     compound = F.coalesce("is_left", F.lit(False)) & F.coalesce("is_right", F.lit(False)) & (F.length("left") >= 3) & (F.length("right") >= 3) & ~known
     bucket = (

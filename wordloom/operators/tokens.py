@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
+from wordloom.functions.staging import staged
 
 from .analyze import Ruleset, analyze
 from .segment import quoted, record_json, segment
@@ -71,18 +72,40 @@ def kind_of(token: Column) -> Column:
     return out
 
 
+STRETCH = 128  # tokens whose lengths are summed in one array
+
+
+def starts(lengths: Column) -> Column:
+    """Running sums of an array, without its own item: sums of stretches first, then inside each, so that long
+    arrays cost little more than short ones."""
+    stretches = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(lengths) - 1) / STRETCH).cast("int"))
+    part = lambda k: F.slice(lengths, k * STRETCH + 1, STRETCH)
+    running = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    sums = F.transform(stretches, lambda k: F.aggregate(part(k), F.lit(0), lambda a, n: a + n))
+    before = running(sums, F.lit(0))
+    inside = lambda k: F.slice(running(part(k), F.element_at(before, k + 1)), 1, F.size(part(k)))
+    return F.flatten(F.transform(stretches, inside))
+
+
 def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, text, kind, start, ws_before): starts count code points. A row of kind TAIL, without
-    text, holds the white space that ends a document."""
-    pair = F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(rf"(?U)(\s*)({TOKEN})"), F.lit(1)).alias("ws_before"),
-        F.regexp_extract_all("text", F.lit(rf"(?U)(\s*)({TOKEN})"), F.lit(2)).alias("token"),
-    )
-    tail = F.regexp_extract("text", r"(?U)\s*\z", 0)
-    ended = F.concat(pair, F.when(tail != "", F.array(F.struct(tail.alias("ws_before"), F.lit("").alias("token")))).otherwise(F.array().cast("array<struct<ws_before:string,token:string>>")))
-    rows = docs.where("text is not null").select(key, F.posexplode(ended).alias("pos", "t")).select(key, "pos", F.col("t.token").alias("text"), F.col("t.ws_before").alias("ws_before"))
-    at = F.sum(F.length("ws_before") + F.length("text")).over(Window.partitionBy(key).orderBy("pos")) - F.length("text")
-    return rows.select(key, "pos", "text", F.when(F.col("text") == "", "TAIL").otherwise(kind_of(F.col("text"))).alias("kind"), at.cast("int").alias("start"), "ws_before")
+    text, holds the white space that ends a document. Every row of docs is read by itself, whatever its key."""
+    rows = docs.where("text is not null").select(key, "text", F.regexp_extract_all("text", F.lit(rf"(?U)\s*(?:{TOKEN})"), F.lit(0)).alias("found"))
+    # Matches lie side by side from the start of the text; what they leave is its last white space.
+    rows = rows.withColumn("lengths", F.transform("found", F.length))
+    total = F.aggregate("lengths", F.lit(0), lambda a, n: a + n)
+    tail = F.expr("substring(text, total + 1)")
+    rows = rows.withColumn("total", total).withColumn("at", starts(F.col("lengths")))
+    ended = F.when(F.col("total") < F.length("text"), F.array(F.struct(F.lit("").alias("token"), tail.alias("ws_before"), F.length("text").alias("start")))).otherwise(F.array().cast("array<struct<token:string,ws_before:string,start:int>>"))
+
+    def split(x: Column, i: Column) -> Column:
+        token = F.regexp_extract(x, r"(?sU)^\s*(.*)$", 1)
+        n = F.length(x) - F.length(token)
+        return F.struct(token.alias("token"), F.left(x, n).alias("ws_before"), (F.get("at", i) + n).alias("start"))
+
+    rows = rows.select(key, F.posexplode(F.concat(F.transform("found", split), ended)).alias("pos", "t"))
+    kind = F.when(F.col("t.token") == "", "TAIL").otherwise(kind_of(F.col("t.token")))
+    return rows.select(key, "pos", F.col("t.token").alias("text"), kind.alias("kind"), F.col("t.start").alias("start"), F.col("t.ws_before").alias("ws_before"))
 
 
 def rebuilt(records: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -114,6 +137,8 @@ def segmented_text(docs: DataFrame, rules: Ruleset, derived_first: bool = False,
     toks = tokens(docs, key)
     best = segment(toks.where("kind = 'WORD'").select(F.col("text").alias("word")), rules, derived_first, nbest=1)
     best = best.drop("rank", "demoted", "promotable").withColumnRenamed("word", "text").withColumn("kind", F.lit("WORD"))
+    # A row a spelling, of known size: broadcast where it is small, else joined so that a hot word's tokens split.
+    best = staged(best, "best")
     some, none = F.col("text") != "", F.array().cast("array<string>")
     plain = {
         "pieces": F.when(some, F.array("text")).otherwise(none), "labels": F.when(some, F.array(F.lit("UNK"))).otherwise(none), "offsets": F.when(some, F.array(F.lit(0), F.length("text"))).otherwise(F.array(F.lit(0))),

@@ -342,9 +342,10 @@ def selfcheck(spark, sf_dir):
     return generate.selfcheck(mined_rules(w, built=True)).select("origin", "n", text_of("examples", " "))
 
 
-def entries(spark, sf_dir) -> DataFrame:
-    """Dictionary entries made of the words that a table holds with and without an ending."""
-    low = counts(spark, sf_dir).groupBy(F.lower("item").alias("word")).agg(F.sum("cnt").alias("cnt")).where(F.col("word").rlike("^[a-z]{2,}$"))
+def entries(c: DataFrame) -> DataFrame:
+    """Dictionary entries made of the words that a table holds with and without an ending, from their counts."""
+    spark = c.sparkSession
+    low = c.groupBy(F.lower("item").alias("word")).agg(F.sum("cnt").alias("cnt")).where(F.col("word").rlike("^[a-z]{2,}$"))
     pairs = low.select("word").crossJoin(F.broadcast(local(spark, [("s", ["plural"], "noun"), ("ed", ["past"], "verb"), ("ing", ["present", "participle"], "verb"), ("er", ["comparative"], "adj")], "ending string, tags array<string>, pos string")))
     pairs = pairs.withColumn("form", F.concat("word", "ending")).join(low.select(F.col("word").alias("form")), "form", "left_semi")
     listed = pairs.groupBy("word", "pos").agg(F.collect_list(F.struct("form", "tags")).alias("forms"))
@@ -367,12 +368,16 @@ scored AS (SELECT c.word, c.pos, c.stem_class, c.ord, count(*) FILTER (l.form =
     coalesce(string_agg(l.feature || '=' || l.form, ' ' ORDER BY l.feature) FILTER (m.predicted IS NULL OR l.form <> m.predicted), '') AS stored
   FROM cls c JOIN listed l ON c.word = l.word AND c.pos = l.pos LEFT JOIN made m ON m.word = c.word AND m.pos = c.pos AND m.stem_class = c.stem_class AND m.feature = l.feature GROUP BY ALL),
 best AS (SELECT word, pos, arg_max(stem_class, hits * 10 - ord) AS stem_class, arg_max(stored, hits * 10 - ord) AS stored FROM scored GROUP BY word, pos),
-built AS (SELECT h.word, h.pos, coalesce(b.stem_class, 'UNKNOWN') AS stem_class, coalesce(b.stored, '') AS stored, coalesce(f.zipf, 0) AS zipf, round(least(1.3::DOUBLE, greatest(0.7::DOUBLE, 0.7::DOUBLE + 0.075::DOUBLE * coalesce(f.zipf, 0))), 2) AS weight
-  FROM heads h LEFT JOIN best b ON h.word = b.word AND h.pos = b.pos LEFT JOIN freq f ON h.word = f.word)"""
+built0 AS (SELECT h.word, h.pos, coalesce(b.stem_class, 'UNKNOWN') AS stem_class, coalesce(b.stored, '') AS stored, coalesce(f.zipf, 0) AS zipf, least(1.3::DOUBLE, greatest(0.7::DOUBLE, 0.7::DOUBLE + 0.075::DOUBLE * coalesce(f.zipf, 0))) AS w
+  FROM heads h LEFT JOIN best b ON h.word = b.word AND h.pos = b.pos LEFT JOIN freq f ON h.word = f.word),
+-- To two decimals by the double's exact value, a whole number of 2^-52.
+built1 AS (SELECT *, (w * 4503599627370496)::BIGINT AS m FROM built0), built2 AS (SELECT *, m * 100 // 4503599627370496 AS k FROM built1),
+built AS (SELECT word, pos, stem_class, stored, zipf, (k + CASE WHEN m * 200 > (2 * k + 1) * 4503599627370496 OR (m * 200 = (2 * k + 1) * 4503599627370496 AND k % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS weight FROM built2)"""
 
 
 def built(spark, sf_dir) -> DataFrame:
-    return build.build_lexicon(entries(spark, sf_dir), stats.zipf_table(counts(spark, sf_dir)).select("word", "zipf"))
+    c = staged(counts(spark, sf_dir), "counts")
+    return build.build_lexicon(staged(entries(c), "entries"), stats.zipf_table(c).select("word", "zipf"))
 
 
 @query(f"{U}, {_BUILD} SELECT word, pos, stem_class, stored, zipf, weight FROM built")
@@ -383,7 +388,7 @@ def lexicon_build(spark, sf_dir):
 
 @query(f"{U}, {_BUILD} SELECT word, pos FROM heads0 EXCEPT SELECT word, pos FROM heads")
 def form_of_drop(spark, sf_dir):
-    e = entries(spark, sf_dir)
+    e = staged(entries(counts(spark, sf_dir)), "entries")
     return build.form_of(build.headwords(e), build.listed_forms(e))
 
 

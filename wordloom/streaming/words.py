@@ -45,7 +45,7 @@ CARRIED = "stream string, line_no long, text string, ws_before string"
 def carry_space(lines: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """CARRIED rows of a stream of (stream, line_no, value): each line's text with the white space before it,
     which may have begun lines ago; kept as one string of state a stream. What is pending when a
-    stream stops for good is given after the timeout as a row without text."""
+    stream stops for good is given after the timeout as a row without text. A null line is an empty one."""
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = state.get[0] if state.exists else ""
         cols = ["stream", "line_no", "text", "ws_before"]
@@ -55,13 +55,14 @@ def carry_space(lines: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
             return
         out = []
         for row in pd.concat(list(batches)).sort_values("line_no").itertuples():
-            body = row.value.strip()
-            lead = row.value[: len(row.value) - len(row.value.lstrip())]
+            value = row.value or ""
+            body = value.strip()
+            lead = value[: len(value) - len(value.lstrip())]
             if body:
                 out.append((key[0], row.line_no, body, pending + lead))
-                pending = row.value[len(lead) + len(body) :] + "\n"
+                pending = value[len(lead) + len(body) :] + "\n"
             else:
-                pending += row.value + "\n"
+                pending += value + "\n"
         state.update((pending,))
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=cols)
