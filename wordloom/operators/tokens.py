@@ -75,16 +75,18 @@ def kind_of(token: Column) -> Column:
 STRETCH = 128  # tokens whose lengths are summed in one array
 
 
-def starts(lengths: Column) -> Column:
-    """Running sums of an array, without its own item: sums of stretches first, then inside each, so that long
-    arrays cost little more than short ones."""
-    stretches = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(lengths) - 1) / STRETCH).cast("int"))
-    part = lambda k: F.slice(lengths, k * STRETCH + 1, STRETCH)
+def with_starts(rows: DataFrame) -> DataFrame:
+    """rows (lengths) with `at`, the running sums without the own length, and `total`: sums of stretches
+    first, then inside each, so that long arrays cost little more than short ones. Each step is a
+    column of its own: inside a lambda it would be taken anew for every token."""
+    add, none = (lambda a, n: a + n), F.lit(0)
     running = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    sums = F.transform(stretches, lambda k: F.aggregate(part(k), F.lit(0), lambda a, n: a + n))
-    before = running(sums, F.lit(0))
-    inside = lambda k: F.slice(running(part(k), F.element_at(before, k + 1)), 1, F.size(part(k)))
-    return F.flatten(F.transform(stretches, inside))
+    count = F.floor((F.size("lengths") + (STRETCH - 1)) / STRETCH).cast("int")
+    parts = F.transform(F.when(count > 0, F.sequence(none, count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice("lengths", k * STRETCH + 1, STRETCH))
+    rows = rows.withColumn("parts", parts)
+    rows = rows.withColumn("before", running(F.transform("parts", lambda x: F.aggregate(x, none, add)), none))
+    at = F.flatten(F.zip_with("parts", F.slice("before", 1, F.size("parts")), lambda x, first: F.slice(running(x, first), 1, F.size(x))))
+    return rows.withColumns({"at": at, "total": F.element_at("before", -1)})
 
 
 def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -92,10 +94,8 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text, holds the white space that ends a document. Every row of docs is read by itself, whatever its key."""
     rows = docs.where("text is not null").select(key, "text", F.regexp_extract_all("text", F.lit(rf"(?U)\s*(?:{TOKEN})"), F.lit(0)).alias("found"))
     # Matches lie side by side from the start of the text; what they leave is its last white space.
-    rows = rows.withColumn("lengths", F.transform("found", F.length))
-    total = F.aggregate("lengths", F.lit(0), lambda a, n: a + n)
+    rows = with_starts(rows.withColumn("lengths", F.transform("found", F.length)))
     tail = F.expr("substring(text, total + 1)")
-    rows = rows.withColumn("total", total).withColumn("at", starts(F.col("lengths")))
     ended = F.when(F.col("total") < F.length("text"), F.array(F.struct(F.lit("").alias("token"), tail.alias("ws_before"), F.length("text").alias("start")))).otherwise(F.array().cast("array<struct<token:string,ws_before:string,start:int>>"))
 
     def split(x: Column, i: Column) -> Column:
