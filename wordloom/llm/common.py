@@ -1,13 +1,14 @@
-"""Shared plumbing: table access, the shared folder, and ASCII-only text helpers."""
+"""Shared plumbing: table access, staged tables, components of links, and ASCII-only text helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.staging import discard, scratch, staged
+
+__all__ = ["ascii_lower", "components", "discard", "row_key", "scratch", "staged", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space of the word and line contracts: [\x20\x09-\x0D].
@@ -19,36 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it in
-    spark.checkpoint.dir; only where that is unset (tests, a laptop) is one made."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs only the tasks that read from it."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -58,11 +29,6 @@ def row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")))
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most limit rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b), the root being the smallest node that
     links reach. Rounds of large-star and small-star contraction; each is written to the

@@ -39,7 +39,8 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def splitters(keyed: DataFrame, n: int, tolerance: float = TOLERANCE, key: int = KEY) -> tuple[list[tuple[str, int, int]], bool]:
     """Leaves of the histogram in key order, (prefix, bytes, rows), and whether one of them is too
-    large or ill-placed though its prefix is a whole key."""
+    large or ill-placed though its prefix is a whole key. A boundary misses two equal rows by no more
+    than one of them, as it may any document."""
     def count(prefix_length: int, of: list[str] | None) -> list[tuple[str, int, int]]:
         rows = keyed
         if of is not None:
@@ -54,14 +55,15 @@ def splitters(keyed: DataFrame, n: int, tolerance: float = TOLERANCE, key: int =
     total = sum(x[1] for x in leaves)
     near = tolerance * total / n
     while True:
-        below, wide = 0, []
+        below, wide, tied = 0, [], False
         for p, size, k in leaves:
             cut = total and k > 1 and size > near and (below * n // total) != ((below + size) * n // total)
             if len(p) == length and (cut or k > most):
                 wide.append(p)
+                tied = tied or k > (2 if cut else most)
             below += size
         if not wide or length == key:
-            return leaves, bool(wide)
+            return leaves, tied
         length = min(key, length + STEP)
         at = set(wide)
         leaves = sorted([x for x in leaves if x[0] not in at] + count(length, wide))
