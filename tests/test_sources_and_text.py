@@ -286,3 +286,65 @@ def test_numbers_run_over_partitions(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
     assert all(r.number == r.x + 1 for r in numbered(df, F.col("x")).collect())
     assert numbered(df.where("false"), F.col("x")).count() == 0
+
+
+def test_tables_of_gold_and_lemmas(spark, tmp_path):
+    (tmp_path / "i.tsv").write_text("walk\twalked\tV|PST\twalk|ed\nwalk\twalks\tV|3\twalk|s\nonly\nempty\t\n")
+    (tmp_path / "d.tsv").write_text("kind\tunkind\tADJ\tADJ\tun\tprefix\nshort\tline\n")
+    got = lx.inflection_gold(lx.read_inflections(spark, str(tmp_path / "i.tsv"))).collect()
+    assert [(r.form, r.measured, r.kind, r.pieces, r.reason) for r in got] == [("walked", "walk", "V", ["walk", "ed"], None), ("walks", "walk", "V", ["walk", "s"], None)]
+    assert [(r.form, r.pieces) for r in lx.derivation_gold(lx.read_derivations(spark, str(tmp_path / "d.tsv"))).collect()] == [("unkind", ["un", "kind"])]
+    assert [r.word for r in lx.read_lemmas(spark, str(tmp_path / "i.tsv")).collect()] == ["walk"]
+    rows = local(spark, [("unhappy", "<un<{(happy)}"), ("workman", "{(work)}(man)")], "word string, parse string")
+    both = [{r.form: r.pieces for r in lx.parsed_gold(rows, x).collect()} for x in (False, True)]
+    assert both == [{"unhappy": ["un", "happy"], "workman": ["work", "man"]}, {"workman": ["work", "man"]}]
+
+
+def test_comparisons_of_systems(spark, tmp_path):
+    schema = "word string, pieces array<string>, suffix string, gate string"
+    a = local(spark, [("cats", ["cats"], None, "x"), ("dogs", ["dog", "s"], "s", "x")], schema)
+    b = local(spark, [("cats", ["cat", "s"], "s", "x"), ("dogs", ["dog", "s"], "s", "x")], schema)
+    counts = local(spark, [("cats", 3), ("dogs", 2)], "item string, cnt long")
+    assert [tuple(r) for r in evaluate.before_and_after(a, b, counts).collect()] == [("cats", "s", 3, "cats", "cat|s")]
+    gold = local(spark, [("cats", ["cat", "s"])], "word string, pieces array<string>")
+    rows = evaluate.differences(a, b, counts, gold)
+    assert [tuple(r) for r in rows.collect()] == [("cats", "cats", "cat|s", 3, "cat|s")]
+    lx.write_differences(rows, str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")).splitlines() == ["word\ta\tb\tcnt\tgold", "cats\tcats\tcat|s\t3\tcat|s"]
+    use = evaluate.vocabulary_use(b, local(spark, [("cat",), ("s",), ("x",)], "item string")).first()
+    assert (use.emitted, use.used, use.outside) == (3, 2, 1)
+    verdicts = local(spark, [("a", "gain", 5), ("b", "gain", 7), ("c", "same", 9), ("d", "loss", 1)], "word string, verdict string, cnt long")
+    assert {(r.word, r.place) for r in evaluate.top_per_bucket(verdicts, 1).collect()} == {("b", 1), ("d", 1)}
+    curve = evaluate.size_curve([("small", a), ("large", b)], counts).collect()
+    assert {(r.lexicon, r.gate, r.tokens) for r in curve} == {("small", "x", 5), ("large", "x", 5)}
+
+
+def test_pieces_are_put_together(spark):
+    from wordloom.operators import baselines
+
+    rows = [(1, ["\u2581Hel", "lo", "\u2581w", "\u00f6"]), (2, ["play", "##ing"]), (3, ["a", "<0xC3>", "<0xA9>", "b"]), (4, ["<0xFF>", "x"]), (5, [])]
+    got = {r.id: r.t for r in local(spark, rows, "id int, pieces array<string>").select("id", baselines.decoded(F.col("pieces")).alias("t")).collect()}
+    assert got == {1: " Hello w\u00f6", 2: "playing", 3: "a\u00e9b", 4: "\ufffdx", 5: ""}
+    import pandas as pd
+
+    assert baselines.printable_bytes(pd.Series(["\u0120caf\u00c3\u00a9"])).tolist() == [" caf\u00e9"]
+    counts = local(spark, [("ab", 3), ("cd", 2)], "item string, cnt long")
+    encoded = local(spark, [("ab", ["a", "b"]), ("cd", ["c", "x"])], "word string, pieces array<string>")
+    r = evaluate.round_trips(counts, encoded, F.array_join("pieces", "")).first()
+    assert (r.types, r.types_exact, r.tokens, r.tokens_exact, r.rate, r.example) == (2, 1, 5, 3, 0.6, "cd")
+
+
+def test_views_for_sql(spark):
+    from wordloom.plans import views
+
+    rules = an.Ruleset.of(local(spark, [(0, "cat", "N", "REG", 1.0, False, [])], an.LEXEME))
+    assert views.register(local(spark, [("cats",)], "word string"), rules, "t") == ["t_analyses", "t_segments", "t_derived", "t_lexemes"]
+    assert spark.sql("SELECT array_join(pieces, '|') AS p FROM t_segments WHERE rank = 1").first().p == "cat|s"
+
+
+def test_merged_lexicons_and_lines(spark):
+    docs = local(spark, [(1, "One two3, four!")], "doc_id int, text string")
+    assert tokens.spaced_lines(docs).first().text == "One two 3 , four !"
+    rules = an.Ruleset.of(local(spark, [(0, "cat", "N", "REG", 1.0, False, [])], an.LEXEME))
+    got = {(r.word, r.stem) for r in tokens.analyzed_text(local(spark, [(1, "Cats sit. A cat!")], "doc_id int, text string"), rules).collect()}
+    assert got == {("Cats", "cat"), ("sit", None), ("A", None), ("cat", "cat")}

@@ -125,9 +125,9 @@ def matched(predicted: Column, gold: Column, tolerance: int = 0) -> Column:
     return F.aggregate(F.array_sort(predicted), state, step, lambda a: a["n"])
 
 
-def flat_parse(parse: Column) -> Column:
-    """Morphemes of a bracketed parse; empty if one isn't of a-z."""
-    parts = F.filter(F.transform(F.split(parse, "[<>{}()]+"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+def flat_parse(parse: Column, suffixes_only: bool = False) -> Column:
+    """Morphemes of a bracketed parse; empty if one isn't of a-z, as < isn't with suffixes_only."""
+    parts = F.filter(F.transform(F.split(parse, "[>{}()]+" if suffixes_only else "[<>{}()]+"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
     return F.when(F.exists(parts, lambda x: ~x.rlike("^[a-z]+$")), F.array().cast("array<string>")).otherwise(parts)
 
 

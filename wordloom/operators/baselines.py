@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,9 @@ def printable_bytes(pieces: pd.Series) -> pd.Series:
     return pieces.map(lambda s: bytes(back[c] for c in s).decode("utf-8", "replace"))
 
 
-def decoded(pieces):
-    """Column: surfaces of word-piece, sentence-piece and byte-fallback vocabularies put together:
-    ## continues, the low line U+2581 is a space, <0xNN> a byte."""
-    joined = F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, "^##", "")), "")
-    return F.replace(joined, F.lit("▁"), F.lit(" "))
+def decoded(pieces: Column) -> Column:
+    """Surfaces of word-piece, sentence-piece and byte-fallback vocabularies put together: ## continues,
+    the low line U+2581 is a space, <0xNN> a byte. Bytes that make no character become U+FFFD."""
+    hexed = lambda p: F.when(p.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.upper(F.substring(p, 4, 2))).otherwise(F.hex(F.encode(F.regexp_replace(p, "^##", ""), "utf-8")))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, hexed), "")).cast("string"))
+    return F.replace(text, F.lit("\u2581"), F.lit(" "))

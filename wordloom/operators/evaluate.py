@@ -148,6 +148,23 @@ def policy_verdicts(a: DataFrame, b: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("word", "a", "b", verdict.alias("verdict"))
 
 
+def before_and_after(before: DataFrame, after: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, suffix, cnt, before, after): words whose pieces changed between two runs (word, pieces, suffix)."""
+    rows = before.select("word", F.array_join("pieces", "|").alias("before")).join(after.select("word", "suffix", F.array_join("pieces", "|").alias("after")), "word").where("before <> after")
+    rows = rows.join(counts.select(F.col("item").alias("word"), "cnt"), "word", "left")
+    return rows.select("word", "suffix", F.coalesce("cnt", F.lit(0)).alias("cnt"), "before", "after")
+
+
+def round_trips(counts: DataFrame, encoded: DataFrame, decoded: Column) -> DataFrame:
+    """One row over (item, cnt) and (word, pieces): strings, tokens and types that `decoded` (of pieces) gives back, and examples of others."""
+    rows = counts.join(encoded.select(F.col("word").alias("item"), "pieces"), "item").withColumn("exact", F.coalesce(decoded == F.col("item"), F.lit(False)))
+    tokens = F.sum(F.when(F.col("exact"), F.col("cnt")).otherwise(0))
+    return rows.agg(
+        F.count("*").alias("types"), F.count_if("exact").alias("types_exact"), F.sum("cnt").alias("tokens"), tokens.alias("tokens_exact"),
+        F.round(F.coalesce(F.try_divide(tokens.cast("double"), F.sum("cnt")), F.lit(0.0)), 6).alias("rate"), F.min(F.when(~F.col("exact"), F.col("item"))).alias("example"),
+    )
+
+
 def top_per_bucket(rows: DataFrame, k: int = 25) -> DataFrame:
     """The k commonest words of each verdict but `same`, in falling order of count, then word."""
     order = Window.partitionBy("verdict").orderBy(F.desc("cnt"), F.desc("word"))

@@ -66,9 +66,11 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 
 def kind_of(token: Column) -> Column:
+    """The kinds exclude each other, so the commonest is asked for first."""
+    patterns = dict(KINDS)
     out = F.lit("PUNCT")
-    for kind, pattern in reversed(KINDS[:-1]):
-        out = F.when(token.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+    for kind in ("ABBREVIATION", "NUMBER", "HYPHENATED", "CONTRACTION", "WORD"):
+        out = F.when(token.rlike(f"^(?:{patterns[kind]})$"), kind).otherwise(out)
     return out
 
 
@@ -95,13 +97,13 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.where("text is not null").select(key, "text", F.regexp_extract_all("text", F.lit(rf"(?U)\s*(?:{TOKEN})"), F.lit(0)).alias("found"))
     # Matches lie side by side from the start of the text; what they leave is its last white space.
     rows = with_starts(rows.withColumn("lengths", F.transform("found", F.length)))
+    rows = rows.withColumn("spaces", F.transform("found", lambda x: F.length(F.regexp_extract(x, r"(?U)^\s*", 0))))
     tail = F.expr("substring(text, total + 1)")
     ended = F.when(F.col("total") < F.length("text"), F.array(F.struct(F.lit("").alias("token"), tail.alias("ws_before"), F.length("text").alias("start")))).otherwise(F.array().cast("array<struct<token:string,ws_before:string,start:int>>"))
 
     def split(x: Column, i: Column) -> Column:
-        token = F.regexp_extract(x, r"(?sU)^\s*(.*)$", 1)
-        n = F.length(x) - F.length(token)
-        return F.struct(token.alias("token"), F.left(x, n).alias("ws_before"), (F.get("at", i) + n).alias("start"))
+        n = F.get("spaces", i)
+        return F.struct(F.substring(x, n + 1, F.length(x)).alias("token"), F.left(x, n).alias("ws_before"), (F.get("at", i) + n).alias("start"))
 
     rows = rows.select(key, F.posexplode(F.concat(F.transform("found", split), ended)).alias("pos", "t"))
     kind = F.when(F.col("t.token") == "", "TAIL").otherwise(kind_of(F.col("t.token")))

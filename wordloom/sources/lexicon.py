@@ -253,9 +253,32 @@ def derivation_gold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stem", stem).select(F.col("target").alias("form"), F.col("source").alias("measured"), "kind", pieces.alias("pieces"), reason.alias("reason"))
 
 
-def parsed_gold(rows: DataFrame) -> DataFrame:
-    """(form, pieces) of (word, parse): bracketed parses whose morphemes concatenate to the word."""
-    pieces = o.flat_parse(F.col("parse"))
+def columns(source: DataFrame, *names: str) -> DataFrame:
+    """The first fields of tab-separated lines (value) by name; lines with fewer don't count."""
+    parts = F.split("value", "\t", -1)
+    return source.where(F.size(parts) >= len(names)).select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def read_inflections(spark: SparkSession, *paths: str) -> DataFrame:
+    """(lemma, form, feature, segmentation) of inflection tables, for inflection_gold."""
+    return columns(lines(spark, *paths), "lemma", "form", "feature", "segmentation")
+
+
+def read_derivations(spark: SparkSession, *paths: str) -> DataFrame:
+    """(source, target, source_pos, target_pos, affix, kind) of derivation tables, for derivation_gold."""
+    return columns(lines(spark, *paths), "source", "target", "source_pos", "target_pos", "affix", "kind")
+
+
+def read_lemmas(spark: SparkSession, *paths: str) -> DataFrame:
+    """(word): the distinct first fields of the lines of an inflection table that have more than one."""
+    parts = F.split("value", "\t", 2)
+    return lines(spark, *paths).where((F.size(parts) == 2) & (F.get(parts, F.lit(1)) != "")).select(F.get(parts, F.lit(0)).alias("word")).distinct()
+
+
+def parsed_gold(rows: DataFrame, suffixes_only: bool = False) -> DataFrame:
+    """(form, pieces) of (word, parse): bracketed parses whose morphemes concatenate to the word. suffixes_only:
+    the opening bracket of a prefix isn't read as one, so that parses with prefixes give nothing."""
+    pieces = o.flat_parse(F.col("parse"), suffixes_only)
     return rows.select(F.lower("word").alias("form"), pieces.alias("pieces")).where((F.size("pieces") > 0) & (F.array_join("pieces", "") == F.col("form")))
 
 
@@ -318,6 +341,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.json(path)
 
 
+def write_differences(rows: DataFrame, path: str) -> None:
+    """evaluate.differences() as tab-separated lines with a head, the commonest words first."""
+    rows.orderBy(F.desc("cnt"), "word").write.option("sep", "\t").option("header", True).csv(path)
+
+
 def load_stats(lexeme: DataFrame) -> DataFrame:
     """(lexemes, states, transitions): of the trie that the stems would make."""
     stems = lexeme.select("stem").distinct().where("stem <> ''")
