@@ -131,3 +131,26 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_RULES = {"symbols": "n_symbols / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
+_TRIES = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cs in CUTOFFS.items() for i, c in enumerate(cs))
+_LONG = " UNION ALL ".join(f"SELECT doc_id, stratum, '{rule}' AS rule, coalesce({ratio}, 0.0::DOUBLE) AS ratio FROM judged" for rule, ratio in _RULES.items())
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '-') AS stratum, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM s, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY doc_id),
+m AS (SELECT s.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '{SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(cover.n, 0) AS n_repeat_words FROM s LEFT JOIN cover ON cover.doc_id = s.doc_id),
+judged AS (SELECT * REPLACE (nullif(word_chars, 0) AS word_chars, nullif(n_words, 0) AS n_words, nullif(n_lines, 0) AS n_lines), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m),
+ratios AS ({_LONG}),
+good AS (SELECT r.stratum, r.rule, r.doc_id, max(ratio) AS ratio FROM ratios r JOIN judged j ON j.doc_id = r.doc_id WHERE NOT base_failed AND r.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+tries AS (SELECT * FROM (VALUES {_TRIES}) AS t(rule, i, cut)),
+k AS (SELECT stratum, rule, i, cut, count(*) AS n, count(*) FILTER (ratio > cut) AS k, {ALPHA / len(CUTOFFS)}::DOUBLE AS p, {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM good) * {len(CUTOFFS)}) AS level FROM good JOIN tries USING (rule) GROUP BY ALL),
+ok AS (SELECT *, CASE WHEN k >= n * p THEN FALSE ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)))) <= level END AS ok FROM k),
+cuts AS (SELECT stratum, rule, min(cut) AS cut FROM ok WHERE NOT EXISTS (SELECT 1 FROM ok o WHERE o.stratum = ok.stratum AND o.rule = ok.rule AND o.i <= ok.i AND NOT o.ok) GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM ratios r JOIN cuts c ON c.stratum = r.stratum AND c.rule = r.rule WHERE ratio > cut)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, base_failed, NOT base_failed AND m.doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m JOIN judged j ON j.doc_id = m.doc_id
+"""

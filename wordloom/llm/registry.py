@@ -19,5 +19,6 @@ ORACLES = {
     "op2_mixing": mixing.SQL,
     "op5_decontamination": decontamination.SQL,
     "op6_warc": warc.SQL,
+    "op9_quality": quality.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
