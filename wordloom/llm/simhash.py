@@ -136,7 +136,7 @@ def attach(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each group: a row with the group's smallest doc_id, in docs' columns.
-    Of a group's rows that share that id one stays, the largest by text.
+    Of a group's rows that share that id one stays, the last by a hash of the text.
 
     A group is told by its root, not by an id: null ids, or one id of unlike texts, are in
     as many groups as their texts, and each keeps a row.
@@ -144,9 +144,9 @@ def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     cols = docs.columns
     light = staged(docs.select("doc_id", row_key().alias("__row"), fingerprints(F.col("text"), words).alias("fp")), "prints")
     first = light.join(groups(light), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.select("__row", F.col("root").alias("__root")).distinct()
-    kept = docs.withColumn("__row", row_key()).join(stay, "__row")
-    return kept.groupBy("__root").agg(F.max_by(F.struct(*cols), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    stay = staged(first.groupBy("root").agg(F.max("__row").alias("__row")).select("__row"), "staying")
+    # Texts move once: rows alike in id and text meet where the join has put them.
+    return docs.withColumn("__row", row_key()).join(stay, "__row").dropDuplicates(["__row"]).select(*cols)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
