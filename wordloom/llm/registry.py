@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
-from . import decontamination, extraction, language, line_dedup, mixing, quality, sharding, simhash, tokenids, warc
+from . import alignment, decontamination, exact_dedup, extraction, fim, language, line_dedup, mixing, quality, sharding, simhash, tokenids, warc
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_token_ids": tokenids.op8_token_ids,
     "op9_quality": quality.op9_quality,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_fim": fim.op11_fim,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op6_warc": warc.SQL,
     "op9_quality": quality.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_fim": fim.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }

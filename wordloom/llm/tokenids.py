@@ -2,9 +2,9 @@
 
 Documents, in ascending doc_id, become one stream of ids, each document followed by END. The
 stream is cut into sequences of equal length, stored as a fixed-size list of ids (uint16 where
-the vocabulary fits, else uint32) with a fixed-size list of mask bits (1 for an id, 0 for the
-padding that ends a file), so sequence i of a memory-mapped file is found by multiplication,
-without a copy. Beside each file an
+the vocabulary fits, else uint32) with a fixed-size list of mask bytes (1 for an id, 0 for the
+padding that ends a file), so ids and mask of sequence i of a memory-mapped file are found by
+multiplication, without a copy. Beside each file an
 index file names the documents, their starts in it and their lengths. Files hold ascending
 ranges of doc_id; a manifest lists them in order with their ids' counts.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +32,37 @@ VOCABULARY = "byte_bpe_50k.json"
 MEMO = 800_000  # words whose ids a worker keeps
 #: White space as the vocabulary's split pattern has it.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's split pattern in terms of `re`, right for texts without ODD characters: numerals
-#: that `re` counts as word characters but not as digits.
+#: The vocabulary's split pattern in terms of `re`, right for texts without odd characters.
 WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{_WHITE}\w]|_)+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-ODD = regex.compile(r"[\p{Nl}\p{No}]")
 #: For other texts: runs of characters that aren't white space, with the one space before them, or what
 #: the pattern makes of white space. No token crosses these chunks.
 CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _is_odd(c: str) -> bool:
+    """Numerals that `re` counts as word characters but not as digits, and characters that this Python's
+    Unicode doesn't have yet, of which the library may know better."""
+    return unicodedata.category(c) in ("Nl", "No", "Cn")
+
+
+@functools.cache
+def _odd_pattern() -> re.Pattern:
+    """A class of the odd characters below U+10000; one with those above too would try each range at each character."""
+    odd, spans = [i for i in range(128, 0x10000) if _is_odd(chr(i))], []
+    for i in odd:
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]")
+
+
+def is_odd(text: str) -> bool:
+    """Whether a text has characters that WORD may read otherwise than the library."""
+    if text.isascii():
+        return False
+    return bool(_odd_pattern().search(text)) or any(map(_is_odd, set(_ASTRAL.findall(text))))
 
 
 @functools.cache
@@ -71,7 +95,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids, little-endian, as wide as ids_type says.
 
     Words of the split pattern go to the vocabulary's model one by one, and their ids are
-    remembered, in bounded number. Texts with odd numerals are encoded by chunks, whole.
+    remembered, in bounded number. Texts with odd characters are encoded by chunks, whole.
     Strings of special tokens are ordinary text here; contract_encoder reads them as tokens. A file of
     another kind than WORD is made for goes to the library, text by text.
     """
@@ -92,7 +116,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     memo = Memo()
 
     def encode(text: str) -> bytes:
-        if ODD.search(text):
+        if is_odd(text):
             tokenizer.encode_special_tokens = True
             return b"".join([np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype=width).tobytes() for c in CHUNK.findall(text)])
         return b"".join([memo[w] for w in WORD.findall(text)])
@@ -127,7 +151,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 def schema(length: int, width: str) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -177,9 +201,9 @@ class SequenceFile:
         self.waiting, self.held = [rest.tobytes()], len(rest)
 
     def put(self, ids: np.ndarray, real: int | None) -> None:
-        mask = np.ones(len(ids), np.bool_)
+        mask = np.ones(len(ids), np.uint8)
         if real is not None:
-            mask[real:] = False
+            mask[real:] = 0
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=schema(self.length, self.width)))
 
@@ -224,10 +248,10 @@ class Reader:
         return b, lo
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence i; the ids are a view of the file, the mask's bits are unpacked."""
+        """ids and mask of sequence i, views of the file."""
         b, lo = self._place(i * self.length)
-        ids, mask = (c.values for c in self._batch(b).columns)
-        return ids.to_numpy(zero_copy_only=True)[lo : lo + self.length], mask[lo : lo + self.length].to_numpy(zero_copy_only=False)
+        ids, mask = (c.values.to_numpy(zero_copy_only=True)[lo : lo + self.length] for c in self._batch(b).columns)
+        return ids, mask
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start to start + n, in views of one batch each."""
