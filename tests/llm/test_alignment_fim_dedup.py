@@ -161,10 +161,11 @@ def test_spans_are_the_groups(docs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.sets(st.integers(1, 300), max_size=120), st.sets(st.integers(1, 300), max_size=120), st.integers(1, 40))
-def test_galloping_ranks_and_overlaps(x, y, stretch):
+@given(st.sets(st.integers(1, 300), max_size=120), st.sets(st.integers(1, 300), max_size=120), st.booleans())
+def test_galloping_ranks_and_overlaps(x, y, sparse):
+    x = {i for i in x if not sparse or i % 29 == 0}
     a, b = (np.array(sorted(s | {301})) for s in (x, y))
-    assert alignment.ranks(a, b, stretch).tolist() == np.searchsorted(b, a).tolist()
+    assert alignment.ranks(a, b).tolist() == np.searchsorted(b, a).tolist()
     i, j = alignment.common(a, b)
     assert a[i].tolist() == b[j].tolist() == sorted((x & y) | {301})
     low, high = alignment.overlaps(a, b)
@@ -173,15 +174,6 @@ def test_galloping_ranks_and_overlaps(x, y, stretch):
         assert list(range(low[k], high[k])) == [m for m in range(len(b)) if begins[m] < end and b[m] > start]
 
 
-def test_chunks_of_pieces_encode_like_whole_texts():
-    import public_tokenizers as p
-
-    encode, whole, r = alignment.piece_encoder(p.path(alignment.VOCABULARY_B)), library()[1], random.Random(2)
-    for _ in range(3000):
-        text = "".join(r.choice([" ", "  ", "\n", "\t", "▁", "ab", "the", "é", "\r\n", "}", ";", "<s>", "一", "　", "x" * 70]) for _ in range(r.randint(1, 30)))
-        assert encode(text).tolist() == whole.encode(text), repr(text)
-
-
 # 13
 
 

@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text.
 
-Tokens end at byte offsets. The shorter list of ends gallops through the longer one: from a known place
-each end doubles its reach until it is passed, then halves the bracket, a stretch of ends at once. This
+Tokens end at byte offsets. The shorter list of ends gallops through the longer one: from the place of the
+end before, an end doubles its reach until it is passed, then halves the bracket. This
 gives the rank of every end of the shorter list in the longer; ends that both lists have cut the text into
 groups, and differences of ranks say which tokens of one list a token of the other overlaps.
 
@@ -12,8 +12,8 @@ inside each document, and the counts go back to the documents.
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,10 @@ from .common import staged, table
 from .tokenids import byte_symbols, encoder, ids_type, loaded
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-STRETCH = 1024  # ends that gallop at once
-MEMO = 400_000  # chunks whose ids a worker keeps
+END = 1 << 62  # behind all ends
 #: Counted pairs that are broadcast, 24 bytes each; beyond, pairs are joined by a shuffle, apart from hot ones.
 BROADCAST_PAIRS = 500_000
 HOT_SHARE = 1000  # a pair with this part of all rows is hot: there are no more than this many
-CHUNK = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 OUTPUTS = {"groups": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), "a_ids": pa.list_(pa.int32()), "b_ids": pa.list_(pa.int32()), "a_upto": pa.list_(pa.int32()), "b_upto": pa.list_(pa.int32()), "bytes_upto": pa.list_(pa.int64())}
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 DDL = {"groups": "string", "pairs": "array<long>", "times": "array<int>", "bytes_upto": "array<long>"}
@@ -76,55 +74,25 @@ def bytes_b(path: str) -> Bytes:
     return Bytes([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(said)])
 
 
-@functools.cache
-def piece_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> the model's ids. Where no piece has a space after another character, nor a line end beside
-    one, no merge crosses the CHUNKs of a text (one space, which the model puts first, included): they are
-    encoded one by one and remembered, in bounded number. Other models get whole texts."""
-    model = pieces(path)
-    said = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    lead = model.encode("\n")
-    if any(re.search("[^▁]▁|\n.|.\n", p, re.S) for p in said) or [model.id_to_piece(i) for i in lead] != ["▁", "<0x0A>"] or model.encode(" x") != [lead[0], *model.encode("x")]:
-        return lambda text: np.array(model.encode(text), np.int32)
-
-    class Memo(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            got = np.array(model.encode("\n" + chunk)[2:], np.int32).tobytes()
-            if len(chunk) <= 64:
-                if len(self) >= MEMO:
-                    self.clear()
-                self[chunk] = got
-            return got
-
-    memo = Memo()
-    return lambda text: np.frombuffer(b"".join([memo[c] for c in CHUNK.findall(" " + text)]), np.int32)
-
-
 # Ranks, groups, links
 
 
-def ranks(short: np.ndarray, long: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+def ranks(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """Of each end of the rising list `short`, how many of the rising list `long` are less."""
-    out, n, base = np.empty(len(short), np.int64), len(long), 0
-    for i in range(0, len(short), stretch):
-        x = short[i : i + stretch]
-        low, high, reach = np.full(len(x), base), np.full(len(x), base), 1
-        going = np.arange(len(x))
-        while len(going):
-            going = going[high[going] < n]
-            going = going[long[high[going]] < x[going]]
-            low[going] = high[going] + 1
-            high[going] += reach
-            reach *= 2
-        high = np.minimum(high, n)
-        while (apart := np.flatnonzero(low < high)).size:
-            middle = (low[apart] + high[apart]) >> 1
-            less = long[middle] < x[apart]
-            low[apart[less]] = middle[less] + 1
-            high[apart[~less]] = middle[~less]
-        out[i : i + stretch] = low
-        base = int(low[-1])
-    return out
+    ends, out, at, last = [*long.tolist(), END], [], 0, len(long)
+    for x in short.tolist():
+        if ends[at] < x:
+            at += 1
+            reach = 1
+            low = at
+            while ends[at] < x:
+                low = at + 1
+                at = min(at + reach, last)
+                reach += reach
+            if low < at:
+                at = bisect_left(ends, x, low, at)
+        out.append(at)
+    return np.array(out, np.int64)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +136,7 @@ class Aligner:
     """Two vocabularies at work in a task."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.encode_a, self.encode_b, self.width = encoder(path_a), piece_encoder(path_b), ids_type(path_a)
+        self.encode_a, self.encode_b, self.width = encoder(path_a), pieces(path_b).encode, ids_type(path_a)
         self.bytes_a, self.bytes_b = bytes_a(path_a), bytes_b(path_b)
         self.words = id_words(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))
         self.nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -180,7 +148,7 @@ class Aligner:
             return self.nothing
         data = (" " + text).encode("utf-8", "surrogatepass")
         whole, found = np.frombuffer(data, np.uint8), []
-        for ids, table in ((np.frombuffer(self.encode_a(" " + text), self.width), self.bytes_a), (self.encode_b(text), self.bytes_b)):
+        for ids, table in ((np.frombuffer(self.encode_a(" " + text), self.width), self.bytes_a), (np.array(self.encode_b(text), np.int32), self.bytes_b)):
             ends = np.cumsum(table.sizes[ids])
             if not len(ends) or ends[-1] != len(whole) or not np.array_equal(table.joined(ids, ends), whole):
                 return self.nothing
