@@ -25,12 +25,17 @@ BROADCAST_LEXEMES = 200_000
 
 @dataclasses.dataclass
 class Ruleset:
-    """A language at work: lexemes, closed-class words, rules as data, and whether the lexicon is small."""
+    """A language at work: lexemes, closed-class words, rules as data, and whether the lexicon is small.
+
+    Lexemes may have a `level`, from 1 on: lexicon n of several nested ones has the lexemes of levels 1 to n. Words are
+    then read by all of them at once: each reading has a row for every level at which the lexicon has it,
+    and what is asked of the lexicon is answered by level."""
 
     lexeme: DataFrame
     closed: DataFrame
     language: r.Language
     small: bool
+    levels: int = 0
 
     @staticmethod
     def of(lexeme: DataFrame, closed: DataFrame | None = None, language: r.Language = r.ENGLISH, broadcast_lexemes: int = BROADCAST_LEXEMES) -> Ruleset:
@@ -38,7 +43,13 @@ class Ruleset:
         if closed is None:
             closed = local(lexeme.sparkSession, [], "word string")
         small = all(x.limit(broadcast_lexemes + 1).count() <= broadcast_lexemes for x in (lexeme, closed))
-        return Ruleset(enriched(lexeme), closed, language, small)
+        levels = (lexeme.agg(F.max("level")).first()[0] or 1) if "level" in lexeme.columns else 0
+        return Ruleset(enriched(lexeme), closed, language, small, levels)
+
+    @property
+    def by(self) -> list[str]:
+        """What readings are ranked and counted by."""
+        return ["word", "level"] if self.levels else ["word"]
 
     @property
     def spark(self) -> SparkSession:
@@ -55,7 +66,7 @@ class Ruleset:
     def spellings(self) -> DataFrame:
         """(spelling, lexemes, stored, closed), a row each: its lexemes, the heaviest first, of equals the first;
         the lexemes that it is a stored form of, each with the tag; and whether it is of a closed class."""
-        entry = ["-weight as light", "lex_id", "stem", "pos", "stem_class", "weight", "weight_known as known", "map_keys(irregular) as own_tags", "eff", "deriv_class", "takes_es", "doubling_known"]
+        entry = ["-weight as light", "lex_id", "stem", "pos", "stem_class", "weight", "weight_known as known", "map_keys(irregular) as own_tags", "eff", "deriv_class", "takes_es", "doubling_known", *(["level"] if self.levels else [])]
         one = self.lexeme.selectExpr("stem as spelling", f"struct({', '.join(entry)}, cast(null as string) as stored_tag) as entry", "false as closed")
         forms = self.lexeme.selectExpr("*", "explode(irregular) as (stored_tag, form)").selectExpr("form as spelling", f"struct({', '.join(entry)}, stored_tag) as entry", "false as closed")
         words = self.closed.select(F.col("word").alias("spelling"), F.lit(None).cast(one.schema["entry"].dataType).alias("entry"), F.lit(True).alias("closed"))
@@ -66,12 +77,17 @@ class Ruleset:
     def looked_up(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
         """rows with what the lexicon knows of a spelling, as name_lexemes, name_stored and name_closed, or nulls."""
         own = self.spellings().select(*(F.col(c).alias(f"{name}_{c}") for c in ("spelling", "lexemes", "stored", "closed")))
-        return rows.join(own, key == F.col(f"{name}_spelling"), "left").drop(f"{name}_spelling")
+        at_level = "level" in rows.columns
+        rows = rows.join(own, key == F.col(f"{name}_spelling"), "left").drop(f"{name}_spelling")
+        if self.levels and at_level:
+            rows = rows.withColumns({c: F.filter(c, lambda x: x["level"] <= F.col("level")) for c in (f"{name}_lexemes", f"{name}_stored")})
+        return rows
 
 
 def enriched(lexeme: DataFrame) -> DataFrame:
     s, c = F.col("stem"), F.col("stem_class")
     return lexeme.withColumns({
+        **({"level": F.col("level").cast("int")} if "level" in lexeme.columns else {}),
         "eff": o.effective_class(s, c), "deriv_class": o.derivational_class(s, c), "takes_es": o.takes_es(s) | (o.effective_class(s, c) == "SIBILANT"),
         "doubling_known": ~(o.is_irregular(c) & o.may_double(s)), "irregular": F.coalesce("irregular", F.create_map().cast("map<string,string>")),
     })
@@ -143,7 +159,7 @@ def candidates(words: DataFrame, rules: Ruleset, allow_prefix: bool = True) -> D
 def found(words: DataFrame, rules: Ruleset, allow_prefix: bool = True, when: Column | None = None) -> DataFrame:
     """candidates() that meet a lexeme, or a stored form, a row for each: its columns, and the route
     STORED for stored forms. A word whose own spelling has neither, or for which `when` is false, keeps
-    one row of route NOTHING."""
+    one row of route NOTHING; with levels every word has one at each level."""
     rows = candidates(words, rules, allow_prefix)
     rows = rules.looked_up(rows, F.col("stem"), "found").drop("found_closed")
     own = F.col("is_self") & (F.col("prefix") == "")
@@ -152,8 +168,14 @@ def found(words: DataFrame, rules: Ruleset, allow_prefix: bool = True, when: Col
     entries = F.when(F.col("is_self"), F.concat(lexemes, "found_stored")).otherwise(F.col("found_lexemes"))
     if when is not None:
         entries = F.when(when, entries)
+    if rules.levels:
+        none = F.slice("found_lexemes", 1, 0)
+        nothing = F.array(F.lit(None).cast(rows.schema["found_lexemes"].dataType.elementType))
+        entries = F.when(own, F.concat(F.coalesce(entries, none, F.array().cast(rows.schema["found_lexemes"].dataType)), nothing)).otherwise(entries)
     rows = rows.withColumn("entries", entries).drop("stem", "found_lexemes", "found_stored")
     rows = rows.selectExpr("*", "inline_outer(entries)").drop("entries", "light").where(own | F.col("pos").isNotNull())
+    if rules.levels:
+        rows = rows.withColumn("level", F.explode(F.sequence(F.coalesce("level", F.lit(1)), F.lit(rules.levels))))
     route = F.when(F.col("stored_tag").isNotNull(), r.STORED).when(F.col("pos").isNull(), r.NOTHING).otherwise(F.col("route"))
     return rows.withColumn("route", route)
 
@@ -234,7 +256,7 @@ def readings(words: DataFrame, rules: Ruleset, allow_prefix: bool = True, when:
     )
     tag = F.coalesce("stored_tag", "tag")
     rows = rows.withColumns({"features": F.when(tag.isNotNull(), F.array(tag)).otherwise(_none()), "emit": emit})
-    rows = rows.groupBy(*KEY, "prefix_ord").agg(F.max("weight").alias("weight"), F.min("emit").alias("emit"), F.min_by("derived_pos", "emit").alias("derived_pos"))
+    rows = rows.groupBy(*KEY, *rules.by[1:], "prefix_ord").agg(F.max("weight").alias("weight"), F.min("emit").alias("emit"), F.min_by("derived_pos", "emit").alias("derived_pos"))
     prefixed = F.concat(long(F.lit(3), F.col("prefix_ord"), -F.col("weight") * 1e6), "emit")
     return rows.withColumn("emit", F.when(F.col("prefix") == "", F.col("emit")).otherwise(prefixed)).drop("prefix_ord")
 
@@ -247,8 +269,8 @@ def analyze(words: DataFrame, rules: Ruleset, allow_prefix: bool = True) -> Data
     """
     words = words.where(F.col("word").isNotNull()).select(o.ascii_lower(F.col("word")).alias("word")).distinct()
     rows = readings(words.withColumn("lower", F.col("word")), rules, allow_prefix).where(F.col("stem").isNotNull())
-    order = Window.partitionBy("word").orderBy(F.col("weight").desc(), "emit", "stem", "pos")
-    return rows.withColumn("rank", F.row_number().over(order)).select("word", "stem", "pos", "features", "weight", "prefix", "deriv", "derived_pos", "rank")
+    order = Window.partitionBy(*rules.by).orderBy(F.col("weight").desc(), "emit", "stem", "pos")
+    return rows.withColumn("rank", F.row_number().over(order)).select(*rules.by, "stem", "pos", "features", "weight", "prefix", "deriv", "derived_pos", "rank")
 
 
 def stem_lookup(words: DataFrame, rules: Ruleset) -> DataFrame:

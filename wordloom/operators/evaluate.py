@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
+from wordloom.functions.staging import staged
+
+from .analyze import Ruleset
+from .segment import segment
 
 
 def precision(tp: Column, fp: Column) -> Column:
@@ -46,14 +50,16 @@ def reasons(rows: DataFrame) -> DataFrame:
 
 def scored(predicted: DataFrame, gold: DataFrame, tolerance: int = 0) -> DataFrame:
     """(word, gate, pieces, gold_pieces, tp, fp, fn, exact): the best alternative of each gold word: most
-    true positives, then least missed, then first by spelling. Words without a prediction have null tp."""
-    pairs = gold.withColumnRenamed("pieces", "gold_pieces").join(predicted.select("word", "pieces", "gate"), "word", "left")
+    true positives, then least missed, then first by spelling. Words without a prediction have null tp. Where predictions
+    have a `level`, each level is scored by itself."""
+    by = ["word", *(["level"] if "level" in predicted.columns else [])]
+    pairs = gold.withColumnRenamed("pieces", "gold_pieces").join(predicted.select(*by, "pieces", "gate"), "word", "left")
     a, b = o.inner(o.offsets(F.col("pieces"))), o.inner(o.offsets(F.col("gold_pieces")))
     pairs = pairs.withColumns({"a": a, "b": b}).withColumn("tp", o.matched(F.col("a"), F.col("b"), tolerance))
     pairs = pairs.withColumns({"fp": F.size("a") - F.col("tp"), "fn": F.size("b") - F.col("tp"), "exact": F.col("pieces") == F.col("gold_pieces")})
     pairs = pairs.withColumns({c: F.when(F.col("pieces").isNotNull(), F.col(c)) for c in ("tp", "fp", "fn")})
     best = F.min_by(F.struct("gate", "pieces", "gold_pieces", "tp", "fp", "fn"), F.struct((-F.col("tp")).alias("t"), "fn", "gold_pieces"))
-    return pairs.groupBy("word").agg(F.coalesce(best, F.first(F.struct("gate", "pieces", "gold_pieces", "tp", "fp", "fn"))).alias("x"), F.max("exact").alias("exact")).select("word", "x.*", F.coalesce("exact", F.lit(False)).alias("exact"))
+    return pairs.groupBy(*by).agg(F.coalesce(best, F.first(F.struct("gate", "pieces", "gold_pieces", "tp", "fp", "fn"))).alias("x"), F.max("exact").alias("exact")).select(*by, "x.*", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def with_alternation(records: DataFrame, gold: DataFrame) -> DataFrame:
@@ -225,12 +231,27 @@ def gate(records: DataFrame) -> DataFrame:
     return records
 
 
-def size_curve(parts: list[tuple[str, DataFrame]], counts: DataFrame) -> DataFrame:
-    """(lexicon, gate, tokens, types, token_share, type_share): coverage at each of several lexicons' records."""
-    from .stats import coverage
-
-    out = None
-    for name, best in parts:
-        df = coverage(counts, best).withColumn("lexicon", F.lit(name))
-        out = df if out is None else out.unionByName(df)
-    return out
+def size_curve(counts: DataFrame, rules: Ruleset, gold: DataFrame | None = None) -> DataFrame:
+    """(level, lexemes, token_fst, type_fst, token_decomposed, and with gold f1 of the analysed words, f1_with_misses
+    and covered): figures of nested lexicons, from one segmentation by all of them (see Ruleset). Gold is
+    (word, pieces), of words in counts."""
+    best = segment(counts.select(F.col("item").alias("word")), rules, nbest=1)
+    if gold is not None:
+        best = staged(best.select("word", "level", "pieces", "source", "gate"), "curve")
+    rows = counts.join(best.select(F.col("word").alias("item"), "level", "source", "gate"), "item")
+    share = lambda when, of: F.round(F.sum(F.when(when, of).otherwise(0)) / F.sum(of), 6)
+    fst = F.col("source") == "fst"
+    out = rows.groupBy("level").agg(share(fst, F.col("cnt")).alias("token_fst"), share(fst, F.lit(1)).alias("type_fst"), share(F.col("gate") == "decomposed", F.col("cnt")).alias("token_decomposed"))
+    upto = F.explode(F.sequence(F.col("level"), F.lit(rules.levels))).alias("level")
+    sizes = rules.lexeme.select(upto).groupBy("level").agg(F.count("*").alias("lexemes"))
+    # Both have a row a level.
+    out = out.join(F.broadcast(sizes), "level", "left").select("level", F.coalesce("lexemes", F.lit(0)).alias("lexemes"), "token_fst", "type_fst", "token_decomposed")
+    if gold is None:
+        return out
+    told = ~F.col("gate").isin("no_analysis", "passthrough")
+    rows = scored(best, gold).where("level is not null")
+    sums = {c: F.sum(F.when(told, F.col(c)).otherwise(0)) for c in ("tp", "fp", "fn")}
+    rate = lambda fn: F.round(f1(precision(sums["tp"], sums["fp"]), recall(sums["tp"], fn)), 6)
+    missed = F.sum(F.when(told, F.col("fn")).otherwise(F.size("gold_pieces") - 1))
+    scores = rows.groupBy("level").agg(rate(sums["fn"]).alias("f1"), rate(missed).alias("f1_with_misses"), F.round(F.count_if(told) / F.count("*"), 6).alias("covered"))
+    return out.join(F.broadcast(scores), "level", "left")

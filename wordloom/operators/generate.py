@@ -13,16 +13,21 @@ from .analyze import Ruleset, analyze
 COLS = ["lex_id", "surface", "lemma", "pos", "stem_class", "origin"]
 
 
+def regular_forms(rules: Ruleset) -> DataFrame:
+    """Lexemes with each row of the paradigm that spells a form of theirs: not where a stored form stands for the tag."""
+    par = rules.lexeme.join(F.broadcast(r.paradigm(rules.spark, rules.language)), ["pos", "eff"]).where(~F.map_contains_key("irregular", F.col("tag")))
+    # A verb or a regular adjective whose doubling is unknown has no form that would show it.
+    shows = F.col("tag").isin("+PAST", "+PRES_PART") & (F.col("pos") == "V") & F.col("eff").isin("REG", "SIBILANT", "SILENT_E") | (F.col("pos") == "ADJ") & F.col("eff").isin("REG", "SIBILANT")
+    return par.where(F.col("doubling_known") | ~shows)
+
+
 def generated_forms(rules: Ruleset) -> DataFrame:
     """COLS: citation, paradigm, stored forms, derivations with their spelling variants, un- and re-."""
     lex = rules.lexeme.withColumn("lemma", F.col("stem"))
     last, cut = F.substring("stem", -1, 1), F.substring(F.col("stem"), F.lit(1), F.length("stem") - 1)
     row = lambda df, surface, origin: df.select("lex_id", surface.alias("surface"), "lemma", "pos", "stem_class", origin.alias("origin"))
     out = row(lex, F.col("stem"), F.lit("citation"))
-    par = lex.join(F.broadcast(r.paradigm(lex.sparkSession, rules.language)), ["pos", "eff"]).where(~F.map_contains_key("irregular", F.col("tag")))
-    # A verb or a regular adjective whose doubling is unknown has no form that would show it.
-    shows = F.col("tag").isin("+PAST", "+PRES_PART") & (F.col("pos") == "V") & F.col("eff").isin("REG", "SIBILANT", "SILENT_E") | (F.col("pos") == "ADJ") & F.col("eff").isin("REG", "SIBILANT")
-    par = par.where(F.col("doubling_known") | ~shows)
+    par = regular_forms(rules).withColumn("lemma", F.col("stem"))
     body = F.concat(F.substring(F.col("stem"), F.lit(1), F.length("stem") - F.col("cut")), F.when(F.col("doubles"), last).otherwise(""), "ending")
     out = out.unionByName(row(par, body, F.col("tag")))
     out = out.unionByName(row(lex.select("*", F.explode("irregular").alias("tag", "form")), F.col("form"), F.concat(F.lit("irregular "), "tag")))

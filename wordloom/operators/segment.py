@@ -146,12 +146,12 @@ def cuts(words: DataFrame, rules: Ruleset) -> DataFrame:
     parts = F.when(flat, bare).otherwise(F.col("parts"))
     own = lambda c, other: F.when(flat, other).otherwise(F.col(c)).alias(c)
     rows = rows.select(
-        "word", flat.alias("flat"), F.transform(parts, lambda x: x["text"]).alias("pieces"), F.transform(parts, lambda x: x["label"]).alias("labels"),
+        *rules.by, flat.alias("flat"), F.transform(parts, lambda x: x["text"]).alias("pieces"), F.transform(parts, lambda x: x["label"]).alias("labels"),
         F.coalesce("stem", F.lit("")).alias("lemma"), own("alt", F.lit("")), F.when(~flat, "fst").when(letters, "fallback").otherwise("passthrough").alias("source"),
         F.when(~flat, F.col("gate")).when(letters, "no_analysis").otherwise("passthrough").alias("gate"),
         F.coalesce("weight", F.lit(0.0)).cast("float").alias("weight"), own("demoted", F.lit(False)), own("promotable", F.lit(False)),
     )
-    by_word = Window.partitionBy("word")
+    by_word = Window.partitionBy(*rules.by)
     rows = rows.withColumn("n_analyses", F.count_if(~F.col("flat")).over(by_word)).where(~F.col("flat") | (F.col("n_analyses") == 0))
     return rows.withColumns({"promoted": F.when((F.size("pieces") > 1) & F.col("promotable"), 0).otherwise(1), "light": -F.col("weight"), "fewer": -F.size("pieces")})
 
@@ -159,7 +159,8 @@ def cuts(words: DataFrame, rules: Ruleset) -> DataFrame:
 def ranked(rows: DataFrame, derived_first: bool = False) -> DataFrame:
     """The distinct segmentations of cuts() in order, and before them the whole of a word in capitals that
     none of them is good for."""
-    by_word, same = Window.partitionBy("word"), ["word", "lemma", "gate", "alt", "pieces", "labels", "n_analyses", "source", "flat"]
+    by = ["word", "level"] if "level" in rows.columns else ["word"]
+    by_word, same = Window.partitionBy(*by), [*by, "lemma", "gate", "alt", "pieces", "labels", "n_analyses", "source", "flat"]
     order = F.struct(*(["promoted"] if derived_first else []), *ORDER)
     rows = rows.withColumn("order", order).groupBy(*same).agg(F.min("order").alias("order"), F.min_by(F.struct("weight", "demoted", "promotable"), "order").alias("x"))
     rows = rows.select(*same, "order", "x.*").withColumn("rank", F.row_number().over(by_word.orderBy("order")))
@@ -172,7 +173,7 @@ def ranked(rows: DataFrame, derived_first: bool = False) -> DataFrame:
     one = F.struct(*(F.col(c) for c in fields[:-1]), (F.col("rank") + F.col("capped").cast("int")).alias("rank"))
     first = F.struct(*(v.alias(c) for c, v in zip(fields, itself)))
     both = F.when(F.col("capped") & (F.col("rank") == 1), F.array(first, one)).otherwise(F.array(one))
-    return rows.select("word", "n_analyses", F.inline(both))
+    return rows.select(*by, "n_analyses", F.inline(both))
 
 
 def segment(words: DataFrame, rules: Ruleset, derived_first: bool = False, nbest: int | None = None) -> DataFrame:
@@ -180,12 +181,13 @@ def segment(words: DataFrame, rules: Ruleset, derived_first: bool = False, nbest
 
     A word without an ASCII letter passes through; a word without a reading falls back to one
     piece. Ranking: readings that a guard demotes last; with derived_first, promotable cuts
-    first; then weight, number of pieces, lemma, labels, gate, alternation.
+    first; then weight, number of pieces, lemma, labels, gate, alternation. Of nested lexicons (Ruleset) each
+    gives records of its own, with their `level`.
     """
     out = ranked(cuts(words, rules), derived_first)
     if nbest is not None:
         out = out.where(F.col("rank") <= nbest)
-    return out.withColumn("offsets", o.offsets(F.col("pieces"))).select(*OUT)
+    return out.withColumn("offsets", o.offsets(F.col("pieces"))).select(*OUT, *rules.by[1:])
 
 
 def violations(records: DataFrame) -> DataFrame:

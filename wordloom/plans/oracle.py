@@ -47,7 +47,7 @@ mst AS (SELECT DISTINCT item AS stem, md5(item) AS h FROM counts WHERE regexp_ma
 ms AS (SELECT *, {t.MINED_POS} AS pos FROM mst WHERE {t.MINED}),
 mined AS (SELECT ('0x' || substr(h, 6, 11))::BIGINT + 1000 AS lex_id, stem, pos, CASE WHEN substr(h, 3, 1) = '0' THEN 'UNKNOWN' WHEN substr(h, 3, 1) = '1' AND pos = 'V' THEN 'IRR_SING' WHEN pos = 'ADV' THEN 'REG'
   WHEN pos IN ('V', 'ADJ') AND regexp_matches(stem, '[^aeiou][aeiou][^aeiouywx]$') AND substr(h, 3, 1) < '8' THEN 'DOUBLE_CONS' ELSE {implied('stem')} END AS sc, ({t.MINED_WEIGHT})::DOUBLE AS w, {t.MINED_KNOWN} AS known,
-  CASE WHEN {t.MINED_STORED} AND pos = 'V' THEN '+PAST' WHEN {t.MINED_STORED} AND pos = 'N' THEN '+PL' END AS tag, {t.BUILT} AS built FROM ms),
+  CASE WHEN {t.MINED_STORED} AND pos = 'V' THEN '+PAST' WHEN {t.MINED_STORED} AND pos = 'N' THEN '+PL' END AS tag, {t.BUILT} AS built, {t.LEVEL} AS level FROM ms),
 made AS (SELECT a.before || stem || a.after AS word FROM mined, ({values(AROUND, 'before, after')}) a WHERE built),
 words AS (SELECT item AS word FROM counts UNION SELECT word FROM made UNION SELECT upper(word) FROM made WHERE substr(md5(word), 1, 1) = '0'),
 """
@@ -219,6 +219,13 @@ def analysis(select: str, more: str = "") -> str:
     return f"WITH {counted()}, {MINED}{LARGE}, {ANALYSES}{more} {select}"
 
 
+def at_level(n: int, select: str, more: str = "") -> str:
+    """segmentation() with the n-th of the nested lexicons."""
+    large = LARGE.replace("known FROM mined", f"known FROM mined WHERE level <= {n}").replace("FROM mined WHERE tag IS NOT NULL", f"FROM mined WHERE tag IS NOT NULL AND level <= {n}")
+    words = MINED.replace("words AS (", "unused AS (") + "words AS (SELECT item AS word FROM counts),"
+    return f"WITH {counted()}, {words}{large}, {ANALYSES}, {segments(False)}{more} {select}"
+
+
 def ranked(derived_first: bool, name: str = "") -> str:
     return RANKED.replace("@PROMOTED@", PROMOTED if derived_first else "").replace("@N@", name)
 

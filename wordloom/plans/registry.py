@@ -13,7 +13,7 @@ from wordloom.operators import automata, baselines, build, evaluate, generate, s
 from wordloom.operators import segment as sg
 
 from . import oracle as q
-from .tables import CLOSED, lexeme, mined_rules, query_words, rules
+from .tables import CLOSED, lexeme, mined_rules, nested_rules, query_words
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -307,11 +307,15 @@ def segmented_text(spark, sf_dir):
 # Lexicon
 
 
-@query(f"WITH {q.SMALL} SELECT (SELECT count(*) FROM lex) AS lexemes, count(DISTINCT p) + 1 AS states, count(DISTINCT p) AS transitions FROM (SELECT unnest(list_transform(range(1, length(stem) + 1), lambda i: stem[:i])) AS p FROM lex)")
+#: The mined lexicon without the words to read.
+_LEXICON = f"WITH {q.counted()}, {q.MINED.replace('words AS (', 'unused AS (')}{q.LARGE}"
+
+
+@query(_LEXICON + " SELECT (SELECT count(*) FROM lex) AS lexemes, count(DISTINCT p) + 1 AS states, count(DISTINCT p) AS transitions FROM (SELECT unnest(list_transform(range(1, length(stem) + 1), lambda i: stem[:i])) AS p FROM lex)")
 def trie_size(spark, sf_dir):
     from wordloom.sources.lexicon import load_stats
 
-    return load_stats(lexeme(spark))
+    return load_stats(mined(spark, sf_dir)[2].lexeme)
 
 
 _FORMS = f"""par AS ({q.values(q.r.PARADIGM, 'pos, eff, tag, ending, cut, doubles')}),
@@ -328,9 +332,22 @@ forms AS (
   UNION ALL SELECT lex_id, unnest(['un' || stem, 're' || stem]), unnest(['prefix un-', 'prefix re-']) FROM lex WHERE pos <> 'FUNC' AND length(stem) >= 2)"""
 
 
-@query(f"WITH {q.SMALL}, {_FORMS} SELECT lex_id, surface, origin FROM forms")
+@query(f"{_LEXICON}, {_FORMS} SELECT lex_id, surface, origin FROM forms")
 def generated_forms(spark, sf_dir):
-    return generate.generated_forms(rules(spark)).select("lex_id", "surface", "origin")
+    return generate.generated_forms(mined(spark, sf_dir)[2]).select("lex_id", "surface", "origin")
+
+
+@query(f"{_LEXICON}, {_FORMS} SELECT DISTINCT lex_id, origin AS tag, surface FROM forms WHERE starts_with(origin, '+')")
+def lexical_forms(spark, sf_dir):
+    """The forms that the transducer of lexemes, composed with that of the paradigm, spells."""
+    return automata.lexical_forms(mined(spark, sf_dir)[2])
+
+
+@query(f"WITH {q.counted()}, {q.MINED}{q.LARGE}, {_FORMS} SELECT DISTINCT word, lex_id, origin AS tag FROM words JOIN forms ON surface = word WHERE starts_with(origin, '+')")
+def lexical_analyses(spark, sf_dir):
+    """Words read by the same transducer, inverted."""
+    _, w, rules = mined(spark, sf_dir)
+    return automata.lexical_analyses(w, rules)
 
 
 @query(f"""WITH {q.counted()}, {q.MINED.replace('words AS (', 'unused AS (')}{q.LARGE.replace('FROM mined', 'FROM mined WHERE built').replace('WHERE built WHERE', 'WHERE built AND')}, {_FORMS}, words AS (SELECT DISTINCT surface AS word FROM forms), {q.ANALYSES}
@@ -434,6 +451,21 @@ def boundary_scores(spark, sf_dir):
     return evaluate.boundary_scores(scored_gold(spark, sf_dir))
 
 
+_CURVE = """SELECT @N@ AS level, (SELECT count(*) FROM lex) AS lexemes, round(sum(cnt) FILTER (source = 'fst') / sum(cnt), 6) AS token_fst, round(count(*) FILTER (source = 'fst') / count(*), 6) AS type_fst,
+  round(sum(cnt) FILTER (gate = 'decomposed') / sum(cnt), 6) AS token_decomposed, min(f.f1) AS f1, min(f.f1_with_misses) AS f1_with_misses, min(f.covered) AS covered
+FROM counts JOIN segs ON item = word AND rank = 1, f"""
+_CURVE_GOLD = f""", {_GOLD}{_SCORED}, told AS (SELECT *, gate NOT IN ('no_analysis', 'passthrough') AS told FROM one WHERE k = 1),
+f AS (SELECT round(2 * sum(tp) FILTER (told) / (2 * sum(tp) FILTER (told) + sum(fp) FILTER (told) + sum(fn) FILTER (told)), 6) AS f1,
+  round(2 * sum(tp) FILTER (told) / (2 * sum(tp) FILTER (told) + sum(fp) FILTER (told) + coalesce(sum(fn) FILTER (told), 0) + sum(len(gp) - 1) FILTER (NOT told)), 6) AS f1_with_misses, round(count(*) FILTER (told) / count(*), 6) AS covered FROM told)"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({q.at_level(n, _CURVE.replace('@N@', str(n)), _CURVE_GOLD)})" for n in (1, 2, 3, 4)))
+def size_curve(spark, sf_dir):
+    """Four nested lexicons, read in one pass."""
+    c = staged(counts(spark, sf_dir), "counts")
+    return evaluate.size_curve(c, nested_rules(c.select(F.col("item").alias("word"))), gold_of(c))
+
+
 @query(q.segmentation(f"SELECT gp[2] AS suffix, {_RATES} FROM one WHERE k = 1 GROUP BY 1", more=f", {_GOLD}{_SCORED}"))
 def suffix_report(spark, sf_dir):
     rows = scored_gold(spark, sf_dir).withColumn("suffix", F.element_at("gold_pieces", 2))

@@ -31,6 +31,8 @@ MINED_WORD, MINED = "^[a-z]{3,9}$", "substr(h, 1, 1) < '4'"
 MINED_POS = "CASE WHEN substr(h, 2, 1) < '6' THEN 'N' WHEN substr(h, 2, 1) < 'b' THEN 'V' WHEN substr(h, 2, 1) < 'f' THEN 'ADJ' ELSE 'ADV' END"
 MINED_KNOWN, MINED_STORED, BUILT = "substr(h, 4, 1) >= '4'", "substr(h, 5, 1) < '2'", "substr(h, 17, 2) = '00'"
 MINED_WEIGHT = "CASE WHEN substr(h, 4, 1) >= '4' THEN 0.7 + 0.04 * (instr('0123456789abcdef', substr(h, 4, 1)) - 1) ELSE 1.0 END"
+#: The smallest of four nested lexicons that has a lexeme: an eighth of them, a quarter, a half, all; the fixed cases are in the first.
+LEVEL = "CASE WHEN substr(h, 19, 1) < '2' THEN 1 WHEN substr(h, 19, 1) < '4' THEN 2 WHEN substr(h, 19, 1) < '8' THEN 3 ELSE 4 END"
 #: Endings of built words, besides the suffixes; some follow a suffix.
 BUILT_ENDINGS = ["s", "es", "ed", "d", "ing", "er", "est"]
 SECOND = 7  # the suffix that stands outside another is this many rules further on
@@ -63,6 +65,14 @@ def mined(words: DataFrame, built: bool = False) -> DataFrame:
     return rows.select(lex_id.alias("lex_id"), "stem", "pos", stem_class.alias("stem_class"), F.expr(MINED_WEIGHT).cast("float").alias("weight"), F.expr(MINED_KNOWN).alias("weight_known"), stored.alias("irregular"))
 
 
+def nested_rules(words: DataFrame) -> Ruleset:
+    """The same lexemes as four nested lexicons."""
+    spark = words.sparkSession
+    h = F.md5(F.col("stem").cast("binary"))
+    own = mined(words).withColumn("h", h).withColumn("level", F.expr(LEVEL)).drop("h")
+    return Ruleset.of(lexeme(spark).withColumn("level", F.lit(1)).unionByName(own), local(spark, [(w,) for w in CLOSED], "word string"))
+
+
 def mined_rules(words: DataFrame, built: bool = False) -> Ruleset:
     """The fixed cases and the mined lexemes."""
     spark = words.sparkSession
