@@ -6,17 +6,25 @@ word. Boundaries are the inner offsets of pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+import time
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
+from wordloom.functions.ledger import Ledger, fingerprint
 from wordloom.functions.staging import staged
 
 from .analyze import Ruleset
 from .segment import segment
 
+log = logging.getLogger(__name__)
+
 
 def precision(tp: Column, fp: Column) -> Column:
     return F.coalesce(F.try_divide(tp.cast("double"), tp + fp), F.lit(0.0))
@@ -184,6 +192,20 @@ def rankings(metrics: DataFrame, names: list[str], rising: tuple[str, ...] = ())
     return long.withColumn("place", F.rank().over(Window.partitionBy("metric").orderBy(value))).where("place <= 5").select("metric", "place", "system", "value")
 
 
+def scored_systems(systems: dict[str, Callable[[], DataFrame]], base: str, settings: Any = None, inputs: tuple[DataFrame, ...] = (), force: bool = False) -> DataFrame:
+    """(system, ...): the figures that each system's function gives, one system after another, each kept under base when it
+    is finished. A run that was interrupted goes on with the first unfinished system; other inputs or settings are
+    other runs."""
+    spark = SparkSession.active()
+    ledger, mark, out = Ledger(spark, base), fingerprint(settings, *inputs), None
+    for name, figures in systems.items():
+        began = time.time()
+        rows = ledger.made(f"system-{name}", mark, figures, force=force).select(F.lit(name).alias("system"), "*")
+        log.info("%s: %.1f s", name, time.time() - began)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def suffix_of(records: DataFrame, suffixes: DataFrame) -> DataFrame:
     """records (word, pieces) with `suffix`: of the last piece, exactly or after one displaced letter, the longest first."""
     last = F.element_at("pieces", -1)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
+from wordloom.functions.ledger import Ledger, fingerprint
+from wordloom.functions.staging import staged
 
 from .tokens import is_word, unit_stream, units
 
@@ -38,11 +43,65 @@ def zipf_table(counts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(total)).select("word", "cnt", o.zipf(F.col("cnt"), F.col("total")).alias("zipf"))
 
 
-def sample_lines(docs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n lines of all, the same for the same seed."""
+#: Hex digits of a line's place that are counted at once, and lines that one task may put in order.
+DIGITS, LEAF_LINES = 4, 100_000
+
+
+def sample_lines(docs: DataFrame, n: int, seed: int = 0, leaf: int = LEAF_LINES) -> DataFrame:
+    """(doc_id, line_no, line): exactly n lines of all, or all where there are fewer; the same for the same seed however
+    the table is partitioned.
+
+    A line's place is a digest of its document, number and the seed; the n first are the sample. Lines are
+    counted by the first digits of their places, which says where the n-th stands; only the lines with the very digits of the
+    n-th are counted on by more, until they are few enough to be put in order. So texts are read twice, and no
+    task holds the sample.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    place = F.md5(F.concat_ws(":", "doc_id", "line_no", F.lit(seed)).cast("binary"))
-    return lines.orderBy(place, "doc_id", "line_no").limit(n)
+    lines = lines.withColumn("__place", F.md5(F.concat_ws(":", "doc_id", "line_no", F.lit(seed)).cast("binary")))
+    columns = ["doc_id", "line_no", "line"]
+
+    def split(rows: DataFrame, wanted: int, digits: int) -> tuple[str | None, int, int]:
+        """The digits that the wanted-th line begins with, how many are before them, and of them."""
+        below = 0
+        for x in sorted(rows.groupBy(F.substring("__place", 1, digits).alias("d")).agg(F.count("*").alias("k")).collect()):
+            if below + x.k > wanted:
+                return x.d, below, x.k
+            below += x.k
+        return None, below, 0
+
+    if n <= 0:
+        return lines.where("false").select(columns)
+    digits, wanted = DIGITS, n
+    edge, below, k = split(lines, wanted, digits)
+    if edge is None:
+        return lines.select(columns)
+    prefix = F.substring("__place", 1, digits)
+    kept = staged(lines.where(prefix <= edge), "sample")
+    parts = [kept.where(prefix < edge)]
+    rest, wanted = kept.where(prefix == edge), wanted - below
+    while k > leaf and digits < 32:
+        digits += DIGITS
+        edge, below, k = split(rest, wanted, digits)
+        prefix = F.substring("__place", 1, digits)
+        parts.append(rest.where(prefix < edge) if edge is not None else rest)
+        rest, wanted = rest.where(prefix == (edge or "")), wanted - below
+    last = rest.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__place", "doc_id", "line_no", "line"))).where(F.col("__k") <= wanted).drop("__k")
+    return functools.reduce(DataFrame.union, [*parts, last]).select(columns)
+
+
+def kept_sample(docs: DataFrame, n: int, base: str, seed: int = 0) -> DataFrame:
+    """sample_lines(), kept under base and read again for the same documents, number and seed. Its record says
+    how many lines were sampled, with which seed."""
+    rows = docs.select("doc_id", "text")
+    note = {"wanted": n, "seed": seed}
+    return Ledger(docs.sparkSession, base).made("sample", fingerprint(note, rows), lambda: sample_lines(rows, n, seed), note)
+
+
+def kept_splits(docs: DataFrame, base: str, test_share: int = 10) -> DataFrame:
+    """splits(), kept under base in the same way."""
+    rows = docs.select("doc_id", "text")
+    note = {"test_share": test_share}
+    return Ledger(docs.sparkSession, base).made("splits", fingerprint(note, rows), lambda: splits(rows, test_share), note)
 
 
 def splits(docs: DataFrame, test_share: int = 10) -> DataFrame:
