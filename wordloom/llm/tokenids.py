@@ -4,7 +4,7 @@ Documents, in ascending doc_id, become one stream of ids, each document followed
 stream is cut into sequences of equal length, stored as a fixed-size list of ids (uint16 where
 the vocabulary fits, else uint32) with a fixed-size list of mask bytes (1 for an id, 0 for the
 padding that ends a file), so ids and mask of sequence i of a memory-mapped file are found by
-multiplication, without a copy. Beside each file an
+multiplication, without a copy. Masks are a dictionary's entries: all sequences but a file's last have the same. Beside each file an
 index file names the documents, their starts in it and their lengths. Files hold ascending
 ranges of doc_id; a manifest lists them in order with their ids' counts.
 """
@@ -151,7 +151,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 def schema(length: int, width: str) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(width)), length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -167,7 +167,7 @@ class SequenceFile:
         self.uri, self.length = f"{base}/{self.path.rsplit('/', 1)[1]}", length
         self.out = self.fs.open_output_stream(f"{self.path}.tmp")
         self.width, self.bytes = width, np.dtype(width).itemsize
-        self.writer = pa.ipc.new_file(self.out, schema(length, width))
+        self.writer = pa.ipc.new_file(self.out, schema(length, width), options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.waiting: list[bytes] = []
         self.size = self.held = 0
         self.docs: list[pa.RecordBatch] = []
@@ -201,11 +201,13 @@ class SequenceFile:
         self.waiting, self.held = [rest.tobytes()], len(rest)
 
     def put(self, ids: np.ndarray, real: int | None) -> None:
-        mask = np.ones(len(ids), np.uint8)
+        masks = np.ones(self.length * (1 if real is None else 2), np.uint8)
         if real is not None:
-            mask[real:] = 0
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.writer.write_batch(pa.record_batch(lists, schema=schema(self.length, self.width)))
+            masks[self.length + real :] = 0
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, masks)]
+        which = pa.array([int(real is not None)] * len(lists[0]), pa.int8())
+        columns = [lists[0], pa.DictionaryArray.from_arrays(which, lists[1])]
+        self.writer.write_batch(pa.record_batch(columns, schema=schema(self.length, self.width)))
 
     def close(self) -> tuple[str, int, int]:
         self.flush(last=True)
@@ -250,8 +252,9 @@ class Reader:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and mask of sequence i, views of the file."""
         b, lo = self._place(i * self.length)
-        ids, mask = (c.values.to_numpy(zero_copy_only=True)[lo : lo + self.length] for c in self._batch(b).columns)
-        return ids, mask
+        ids, mask = self._batch(b).columns
+        at = mask.indices[lo // self.length].as_py() * self.length
+        return ids.values.to_numpy(zero_copy_only=True)[lo : lo + self.length], mask.dictionary.values.to_numpy(zero_copy_only=True)[at : at + self.length]
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start to start + n, in views of one batch each."""
