@@ -2,7 +2,6 @@
 
 import json
 import re
-import time
 import zipfile
 from collections import Counter
 
@@ -15,7 +14,6 @@ from wordloom.functions.local import local
 from wordloom.operators import analyze as an
 from wordloom.operators import automata, build, evaluate, stats, tokens
 from wordloom.sources import lexicon as lx
-from wordloom.streaming import words as sw
 
 TEXTS = ["One. Two! three", "a\n\n b\t", "  lead", "Dr. Smith isn't well-known.", "x\r\ny\r\n", "", "no end", "$3.50, 12%!", "—dash…é", "   "]
 
@@ -198,25 +196,6 @@ def test_automata(spark):
     assert automata.transduce(local(spark, [(0, ["+PL"])], "id int, symbols array<string>"), arcs, finals).first().output == ["es"]
 
 
-def test_streams(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("cats\nwalked\r\ncats\n\n")
-    rules = an.Ruleset.of(lx.builtin(spark).cache(), lx.builtin_closed(spark))
-    got = []
-    sw.segment_stream(sw.read_lines(spark, str(tmp_path / "in")), rules, lambda df, n: got.extend(df.collect())).awaitTermination(300)
-    assert sorted(r.word for r in got) == ["", "cats", "cats", "walked"] and all(json.loads(r.value)["word"] == r.word for r in got)
-    (tmp_path / "l").mkdir()
-    spark.createDataFrame([("s", 0, "  One two "), ("s", 1, "  "), ("s", 2, "three")], "stream string, line_no long, value string").coalesce(1).write.mode("append").json(str(tmp_path / "l"))
-    lines = spark.readStream.schema("stream string, line_no long, value string").json(str(tmp_path / "l"))
-    query = sw.carry_space(lines).writeStream.format("memory").queryName("carried").outputMode("append").start()
-    for _ in range(120):  # state that may time out keeps the query alive
-        if spark.table("carried").where("text <> ''").count() == 2:
-            break
-        time.sleep(0.5)
-    query.stop()
-    assert [(r.text, r.ws_before) for r in spark.table("carried").where("text <> ''").orderBy("line_no").collect()] == [("One two", "  "), ("three", " \n  \n")]
-
-
 def test_entry_without_the_optional_part(spark):
     import __spark_entry__
 
