@@ -1,9 +1,10 @@
 """The pipeline's stages, each judged on its own input."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
-from wordloom.llm import registry, sharding, simhash
+from wordloom.llm import mixing, registry, sharding, simhash
 from wordloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,38 @@ def test_stages(spark, tmp_path):
     assert docs.agg({"shard": "max"}).first()[0] < sharding.SHARDS
 
 
+def test_shards_follow_the_curriculum(spark, tmp_path):
+    """In each shard the takings of documents stand in the order of the mix, and those of one document apart."""
+    docs = table(spark, SF, "documents").where("doc_id % 2 = 0")
+    want = [(r.doc_id, r.text) for r in mixing.mix(docs).collect()]
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+    places, at = {}, {}
+    for i, x in enumerate(want):
+        places.setdefault(x, []).append(i)
+    side_by_side = several = 0
+    for s in sorted({r.shard for r in got}):
+        rows = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        found = []
+        for r in rows:  # the k-th taking in a shard is the k-th of the mix: equal texts share a shard
+            k = at.get((r.doc_id, r.text), 0)
+            at[r.doc_id, r.text] = k + 1
+            found.append(places[r.doc_id, r.text][k])
+        assert found == sorted(found)
+        several += sum(len(places[r.doc_id, r.text]) > 1 for r in rows)
+        side_by_side += sum(a.doc_id == b.doc_id for a, b in zip(rows, rows[1:]) if len(rows) > 4)
+    assert several > 20 and side_by_side < several / 8
+
+
+def test_the_same_row_of_equal_texts_stays(spark):
+    rows = [(1, "one and the same text here", lang, source, 1) for lang in ("en", "fr") for source in ("a", "b", None)] + [(2, "quite another text it is", "en", "a", 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {tuple(sorted(map(repr, simhash.distinct_documents(df.repartition(k)).collect()))) for k in (1, 2, 7)}
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
 #: In none of the four languages.
 FOREIGN = [
     "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",

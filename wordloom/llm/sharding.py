@@ -12,7 +12,7 @@ cuts them, the rows are written with some more digits of key, dealt by row, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,18 +69,21 @@ def splitters(keyed: DataFrame, n: int, tolerance: float = TOLERANCE, key: int =
         leaves = sorted([x for x in leaves if x[0] not in at] + count(length, wide))
 
 
-def shard(docs: DataFrame, n: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+def shard(docs: DataFrame, n: int = SHARDS, tolerance: float = TOLERANCE, order: list[Column] | None = None) -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null); columns of these names are replaced.
+    Slots follow `order` in each shard, columns of docs' rows, if it is given, and else the key.
 
     A null text counts as no bytes, so 16 and a crc of 0. Null ids are ordinary keys. Rows equal in doc_id
     and text lie side by side, in any order among each other. An empty table gives no rows.
     Fewer documents than shards leave shards empty.
     """
-    keyed = with_key(docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard"))
-    return dealt(keyed, staged(keyed.select("__key", "__size"), "shard-keys"), n, tolerance)
+    ordered = [c.alias(f"__o{i}") for i, c in enumerate(order or [])]
+    made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    keyed = with_key(docs.select(*(c for c in docs.columns if c not in made), *ordered))
+    return dealt(keyed, staged(keyed.select("__key", "__size"), "shard-keys"), n, tolerance, [f"__o{i}" for i in range(len(ordered))])
 
 
-def dealt(keyed: DataFrame, light: DataFrame, n: int, tolerance: float) -> DataFrame:
+def dealt(keyed: DataFrame, light: DataFrame, n: int, tolerance: float, order: list[str] | None = None) -> DataFrame:
     """keyed (of with_key) with its shards. light: __key and __size of the same rows, cheap to read again."""
     leaves, tied = splitters(light, n, tolerance)
     if tied:
@@ -106,11 +109,21 @@ def dealt(keyed: DataFrame, light: DataFrame, n: int, tolerance: float) -> DataF
         length = F.when(~F.col("__key").substr(1, cut).isin(sorted(set(lengths[cut]))), cut).otherwise(length)
     keyed = keyed.withColumn("__leaf", F.col("__key").substr(F.lit(1), length))
     columns = [c for c in keyed.columns if not c.startswith("__")]
+    made = {"size": F.col("__size"), "text_crc32": F.col("__crc"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    if order:
+        # Rows are exchanged once, into the order of shards and of `order` in each; a slot is a row's place in
+        # its partition and the shard's rows in those before.
+        rows = keyed.join(F.broadcast(leaf.select("__leaf", "shard")), "__leaf").orderBy("shard", *order, "__key").withColumn("__at", F.monotonically_increasing_id())
+        rows = staged(rows, "shard-slots").withColumn("__part", F.shiftright("__at", 33))
+        parts = rows.groupBy("shard", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+        ahead = F.sum("__n").over(Window.partitionBy("shard").orderBy("__part")) - F.col("__n")
+        rows = rows.join(F.broadcast(parts.select("shard", "__part", "__first", ahead.alias("__ahead"))), ["shard", "__part"])  # a row a partition and shard
+        return rows.withColumns(made | {"slot": F.col("__ahead") + F.col("__at") - F.col("__first")}).select(*columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     slot = F.row_number().over(Window.partitionBy("__leaf").orderBy("__key", "doc_id")) - 1
     return (
         keyed.withColumn("__slot", slot)
         .join(F.broadcast(leaf), "__leaf")
-        .withColumns({"size": F.col("__size"), "text_crc32": F.col("__crc"), "law": F.lit("bytes"), "slot": F.col("__start") + F.col("__slot"), "grown_shard": F.lit(None).cast("int")})
+        .withColumns(made | {"slot": F.col("__start") + F.col("__slot")})
         .select(*columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     )
 

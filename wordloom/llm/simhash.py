@@ -136,17 +136,19 @@ def attach(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each group: a row with the group's smallest doc_id, in docs' columns.
-    Of a group's rows that share that id one stays, the last by a hash of the text.
+    Of a group's rows that share that id one stays, the last by hashes of the text and of all columns, the same in every run.
 
     A group is told by its root, not by an id: null ids, or one id of unlike texts, are in
     as many groups as their texts, and each keeps a row.
     """
     cols = docs.columns
-    light = staged(docs.select("doc_id", row_key().alias("__row"), fingerprints(F.col("text"), words).alias("fp")), "prints")
+    tie = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))
+    docs = docs.withColumns({"__row": row_key(), "__tie": tie})
+    light = staged(docs.select("doc_id", "__row", "__tie", fingerprints(F.col("text"), words).alias("fp")), "prints")
     first = light.join(groups(light), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = staged(first.groupBy("root").agg(F.max("__row").alias("__row")).select("__row"), "staying")
-    # Texts move once: rows alike in id and text meet where the join has put them.
-    return docs.withColumn("__row", row_key()).join(stay, "__row").dropDuplicates(["__row"]).select(*cols)
+    stay = staged(first.groupBy("root").agg(F.max(F.struct("__row", "__tie")).alias("x")).select("x.*"), "staying")
+    # Texts move once: rows alike in all columns meet where the join has put them.
+    return docs.join(stay, ["__row", "__tie"]).dropDuplicates(["__row"]).select(*cols)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
