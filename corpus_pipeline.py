@@ -35,13 +35,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequence in order: a document as often as the mix takes it."""
+    """The training sequence in order: a document as often as the mix takes it. The stage returns documents' own
+    columns, so a row's place in the sequence is that of its file and its place in it, which are range-sorted."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot."""
-    return sharding.shard(docs)
+    """Documents with shard and slot. Equal texts share a shard; in each shard slots follow the order in which
+    docs' files were written, so reading all shards side by side follows the curriculum."""
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")] if docs.inputFiles() else None
+    return sharding.shard(docs, order=order)
 
 
 STAGES = [
