@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
+from wordloom.functions import utf8
 
 from .analyze import Ruleset, heaviest, readings
 
@@ -219,11 +220,15 @@ def quoted(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def record_json(word: Column) -> Column:
-    """The fields of a record in fixed order, without braces."""
+def record_json(word: Column, said: Column | None = None) -> Column:
+    """The fields of a record in fixed order, without braces. said: the word as JSON, where that isn't null; such a
+    word is its only piece."""
     many = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ", "), F.lit("]"))
+    own, pieces = quoted(word), many(F.col("pieces"))
+    if said is not None:
+        own, pieces = F.coalesce(said, own), F.coalesce(F.concat(F.lit("["), said, F.lit("]")), pieces)
     return F.concat(
-        F.lit('"word": '), quoted(word), F.lit(', "pieces": '), many(F.col("pieces")), F.lit(', "offsets": ['), F.array_join(F.col("offsets").cast("array<string>"), ", "), F.lit('], "labels": '), many(F.col("labels")),
+        F.lit('"word": '), own, F.lit(', "pieces": '), pieces, F.lit(', "offsets": ['), F.array_join(F.col("offsets").cast("array<string>"), ", "), F.lit('], "labels": '), many(F.col("labels")),
         F.lit(', "lemma": '), quoted(F.col("lemma")), F.lit(', "alt": '), quoted(F.col("alt")), F.lit(', "source": '), quoted(F.col("source")), F.lit(', "gate": '), quoted(F.col("gate")),
         F.lit(', "n_analyses": '), F.col("n_analyses").cast("string"), F.lit(', "weight": '), o.six_digits(F.col("weight")),
     )
@@ -237,3 +242,13 @@ def jsonl(records: DataFrame, nbest: int = 1) -> DataFrame:
     rows = records.where(F.col("rank") <= nbest).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))).alias("all"))
     others = F.array_join(F.transform(F.slice("all", 2, nbest), lambda x: F.concat(F.lit("{"), x["s"], F.lit("}"))), ", ")
     return rows.select("word", F.concat(F.lit("{"), F.get("all", F.lit(0))["s"], F.lit(', "alternatives": ['), others, F.lit("]}")).alias("value"))
+
+
+def bytes_jsonl(lines: DataFrame, rules: Ruleset, derived_first: bool = False) -> DataFrame:
+    """lines (value binary, a word) with `record`: the best record of each as a JSON line, one character a byte that is
+    no UTF-8. Such a word is never cut: it is one piece, counted and written by characters and stray bytes."""
+    rows = lines.withColumn("__word", utf8.text(F.col("value")))
+    best = segment(rows.select(F.col("__word").alias("word")), rules, derived_first, nbest=1)
+    said = F.when(~utf8.is_valid(F.col("value")), utf8.json_string(F.col("value")))
+    met = rows.join(best.withColumnRenamed("word", "__word"), "__word")
+    return met.select(*lines.columns, F.concat(F.lit("{"), record_json(F.col("__word"), said), F.lit("}")).alias("record"))
