@@ -745,3 +745,30 @@ def test_verdicts_against_brute_force(spark):
     for x in quality.judge(df, labels).join(df.distinct(), ["doc_id", "lang"], "left").collect():
         if x.text:
             assert x.kept == (not any(v > cuts.get((x.lang, k), 2) for k, v in measures(x.text).items())), x
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Files have a bounded size whatever the pages', and are read a record at a time."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "CLASSES", [1 << 10, 64 << 10])
+    noise = random.Random(1)
+    sizes = [100] * 300 + [20_000] * 60 + [300_000] * 9 + [3_000_000, 0]
+    rows = [(i, f"http://x.example/{i}", "".join(noise.choices("abcdefgh", k=n))) for i, n in enumerate(sizes)]
+    warc.pages_to_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"))
+    files = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert len(files) > 8 and sorted(files)[-2] < 1.5 * (1 << 20) and max(files) < 3_010_000
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+    assert list(warc.stretches([5, 5, 50, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)] and list(warc.stretches([], 10)) == []
+
+
+def test_an_archive_is_read_as_it_is_inflated():
+    """Of an archive of 200 MB no more than some records are in memory."""
+    import tracemalloc
+
+    record = warc.to_warc(warc.ArcRecord("http://a.example/", "0.0.0.0", "2024", "text/plain", b"x" * 2_000_000)) + b"\r\n\r\n"
+    packed = gzip.compress(record, 1) * 100
+    tracemalloc.start()
+    assert sum(len(block) for _, block in warc.parse_warc(packed)) == 200_000_000
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()

@@ -7,25 +7,32 @@ URL IP date type result-code checksum location offset filename length. A record'
 declared length; a line feed ends it.
 
 Archives of pages are written by Spark's own text writer; converted archives, which hold any bytes,
-by the tasks themselves. Both are read by binaryFile. All identifiers are derived from content: reruns agree.
+by the tasks themselves. Both are read by binaryFile, packed, and unpacked a record at a time. All identifiers are derived from content: reruns agree.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, staged, table
 
 LEAST = 1000  # payload bytes from which equal payloads become revisits
-FILE_RECORDS = 20_000  # of a file, which is read whole
+#: Records of a file by the most bytes of a page in it, so that a file has 256 MB before it is packed; larger pages have as
+#: many as fit, or one. A file is read packed, and unpacked record by record.
+FILE_BYTES = 256 << 20
+CLASSES = [64 << 10, 4 << 20]
+ARC_BYTES = 8 << 20  # pages that a task lays out as one ARC file, or a single larger one
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -55,38 +62,35 @@ def arc_record(version: int, r: ArcRecord, offset: int = 0, name: str = "archive
     return f"{url} {r.ip} {r.date} {r.mime} {tail}{len(r.body)}\n".encode() + r.body + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of a file, without its version block. Lengths are trusted, not line ends: a
-    body may hold lines that look like headers. A truncated last body is given as far as it goes."""
-    at, fields = 0, 5
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
+def opened(source: bytes | pa.Buffer | BinaryIO) -> BinaryIO:
+    """A stream of an archive's bytes, inflated as they are read where it is gzip, of one member or many."""
+    if not hasattr(source, "read"):
+        source = pa.BufferReader(source)
+    start = source.read(2)
+    source.seek(0)
+    return io.BufferedReader(gzip.GzipFile(fileobj=source) if start == b"\x1f\x8b" else source, 1 << 16)
+
+
+def parse_arc(source: bytes | pa.Buffer | BinaryIO, with_version: bool = False) -> Iterator[ArcRecord]:
+    """The records of a file, one in memory at a time; its version block first, if that is asked for. Lengths are trusted, not line
+    ends: a body may hold lines that look like headers. A truncated last body is given as far as it goes."""
+    stream, fields = opened(source), 5
+    while line := stream.readline():
+        if not line.endswith(b"\n"):
             return
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        at = end + 1
+        line = line.decode("utf-8", "replace").rstrip("\r\n")
         if not line.strip():
             continue
         parts = line.split(" ")
         if line.startswith("filedesc://"):
-            length = int(parts[-1])
-            version = data[at : at + length].split(b"\n", 1)[0].split()[0]
-            fields = len(FIELDS[2 if version == b"2" else 1].split())
+            body = stream.read(int(parts[-1]))
+            fields = len(FIELDS[2 if body.split(b"\n", 1)[0].split()[:1] == [b"2"] else 1].split())
+            if with_version:
+                yield ArcRecord(*parts[:4], body)
         elif len(parts) < fields or not parts[-1].isdigit():
             raise ValueError(f"not an ARC header line of {fields} fields: {line[:200]!r}")
         else:
-            length = int(parts[-1])
-            yield ArcRecord(parts[0], parts[1], parts[2], parts[3], data[at : at + length])
-        at += length
-
-
-def arc_version(data: bytes) -> ArcRecord | None:
-    """The version block of a file, if it begins with one, as a record."""
-    line, _, rest = data.lstrip(b"\r\n").partition(b"\n")
-    if not line.startswith(b"filedesc://"):
-        return None
-    parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
-    return ArcRecord(parts[0], parts[1], parts[2], parts[3], rest[: int(parts[-1])])
+            yield ArcRecord(*parts[:4], stream.read(int(parts[-1])))
 
 
 def warc_date(date: str) -> str:
@@ -165,21 +169,19 @@ def to_warcinfo(version: ArcRecord) -> bytes:
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record, by declared lengths."""
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not version.startswith("WARC/"):
+def parse_warc(source: bytes | pa.Buffer | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record, by declared lengths, one in memory at a time."""
+    stream = opened(source)
+    while version := stream.readline():
+        if not version.strip():
+            continue
+        if not version.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {version[:100]!r}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(head["content-length"])
-        yield head, data[end + 4 : at]
+        head = {}
+        while (line := stream.readline()).strip():
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            head[k.strip().lower()] = v.strip()
+        yield head, stream.read(int(head["content-length"]))
 
 
 def http_field(head: bytes, name: bytes) -> str | None:
@@ -244,24 +246,30 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
 
         version = 1 + TaskContext.get().partitionId() % 2
         for batch in batches:
-            ids, urls, texts, refers = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(ids), 200):
-                part = slice(i, i + 200)
-                arc = b"".join([arc_version_block(version), *(arc_record(version, page_to_arc(*x)) for x in zip(ids[part], urls[part], texts[part]))])
-                records = [to_warc(r, None if x is None else page_original(x["page_id"], x["url"], split_http(r.body)[1])) for r, x in zip(parse_arc(arc), refers[part], strict=True)]
+            for low, high in stretches(pc.coalesce(pc.binary_length(batch.column(2)), pa.scalar(0, pa.int32())).to_pylist()):
+                ids, urls, texts, refers = (c.to_pylist() for c in batch.slice(low, high - low).columns)
+                arc = b"".join([arc_version_block(version), *(arc_record(version, page_to_arc(*x)) for x in zip(ids, urls, texts))])
+                records = [to_warc(r, None if x is None else page_original(x["page_id"], x["url"], split_http(r.body)[1])) for r, x in zip(parse_arc(arc), refers, strict=True)]
                 yield pa.record_batch([pa.array([x.decode("utf-8") for x in records], pa.string())], ["value"])
 
-    write(rows.mapInArrow(convert, "value string"), path)
-
-
-def write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    of = F.when(size <= CLASSES[0], 0).when(size <= CLASSES[1], 1).otherwise(2)
+    held = pages.select(of.alias("c"), size.alias("n")).groupBy("c").agg(F.max("n").alias("n")).collect()  # three rows at most
+    for c, n in sorted(tuple(x) for x in held) or [(0, 0)]:
+        records = max(1, FILE_BYTES // max([*CLASSES, n][c], 1))
+        rows.where(of == c).mapInArrow(convert, "value string").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def unzipped(data: bytes) -> bytes:
-    import gzip
-
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def stretches(sizes: list[int], most: int = ARC_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of items that together have at most so many bytes, or one item each."""
+    low = held = 0
+    for i, n in enumerate(sizes):
+        if i > low and held + n > most:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if sizes:
+        yield low, len(sizes)
 
 
 def arc_revisits(files: DataFrame) -> DataFrame:
@@ -274,7 +282,7 @@ def arc_revisits(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for n, r in enumerate(parse_arc(unzipped(data.as_py()))):
+                for n, r in enumerate(parse_arc(data.as_buffer())):
                     head, payload = split_http(r.body)
                     if head and len(payload) >= LEAST:
                         pd = digest(payload)
@@ -296,22 +304,22 @@ def convert_arcs(spark: SparkSession, arcs: str, path: str) -> None:
     is complete, so a retried task replaces it by the same.
     """
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         import pyarrow.fs as pafs
 
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         fs.create_dir(root, recursive=True)
         for batch in batches:
             for source, data, later in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw, found = unzipped(data.as_py()), {x["n"]: Original(x["id"], x["url"], x["date"]) for x in later or []}
+                found, n = {x["n"]: Original(x["id"], x["url"], x["date"]) for x in later or []}, 0
                 at = f"{root}/_{uuid.uuid4().hex}.tmp"
                 with fs.open_output_stream(at) as out:
                     put = lambda record: out.write(gzip.compress(record + b"\r\n\r\n", mtime=0))  # noqa: B023, E731
-                    if version := arc_version(raw):
-                        put(to_warcinfo(version))
-                    for n, r in enumerate(parse_arc(raw)):
+                    for r in parse_arc(data.as_buffer(), with_version=True):
+                        if r.url.startswith("filedesc://"):
+                            put(to_warcinfo(r))
+                            continue
                         put(to_warc(r, found.get(n)))
+                        n += 1
                 fs.move(at, f"{root}/{hashlib.sha1(source.encode()).hexdigest()}.warc.gz")
                 yield pa.record_batch([pa.array([source])], ["path"])
 
@@ -330,7 +338,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for head, block in parse_warc(unzipped(data.as_py())):
+                for head, block in parse_warc(data.as_buffer()):
                     if head["warc-type"] == "warcinfo":
                         continue
                     http, payload = split_http(block)
