@@ -772,3 +772,18 @@ def test_an_archive_is_read_as_it_is_inflated():
     assert sum(len(block) for _, block in warc.parse_warc(packed)) == 200_000_000
     assert tracemalloc.get_traced_memory()[1] < 20_000_000
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("bit", ["<div><p>word word.", "<font>", "<ul><li>item", "<svg><g>", "<b><i>x</b>", "</div></p></li>", "<table><tr><td>cell", "<span class=a>word "])
+def test_unclosed_elements_take_linear_time(bit):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    found = extraction.blocks(bit * 50_000)
+    assert time.process_time() - began < 5
+    tracemalloc.start()
+    assert len(extraction.blocks(bit * 5_000)) <= 10_000
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert bool(found) == (re.sub("<[^>]*>", "", bit) != "")

@@ -46,31 +46,107 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCE = frozenset("ul ol dl table".split())
 
 
-def foreign_at(path: list[str]) -> int | None:
-    """Where on the path the svg or math begins that reads the next tag."""
-    for i in range(len(path) - 1, -1, -1):
-        name = path[i].split(" ", 1)[0]
-        if name in HTML_IN_FOREIGN:
-            return None
-        if name in FOREIGN:
-            return i
-    return None
-
-
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each block with text, in page order. Markup, comments
+ELEMENTS = PATH * 3 // 4  # features of all elements of a path; the others are of the two nearest
+
+
+def tokens_of(element: str) -> set[str]:
+    tag, _, said = element.partition(" ")
+    return {f"<{tag}>", *(x for x in re.split(r"[^a-z]+", said) if x)}
+
+
+@functools.lru_cache(50_000)
+def element_slots(element: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(t.encode()) % ELEMENTS for t in tokens_of(element))
+
+
+@functools.lru_cache(50_000)
+def near_vector(near: tuple[str, ...]) -> np.ndarray:
+    """Hashed tokens of the two nearest elements."""
+    v = np.zeros(PATH - ELEMENTS, np.float32)
+    for token in (t for element in near for t in tokens_of(element)):
+        v[zlib.crc32(token.encode()) % (PATH - ELEMENTS)] += 1.0
+    return np.minimum(v, 2)
+
+
+class Place:
+    """Where a block stands: its nearest elements, at most two, and the hashed tokens of all elements, counted up to 2."""
+
+    __slots__ = ("near", "counts")
+
+    def __init__(self, near: tuple[str, ...], counts: bytes):
+        self.near, self.counts = near, counts
+
+    def __getitem__(self, k):
+        return self.near[k]
+
+
+class Path:
+    """The open elements. Each step costs what it adds or takes off, however many are open."""
+
+    def __init__(self) -> None:
+        self.elements: list[str] = []
+        self.tags: list[str] = []
+        self.at: dict[str, list[int]] = {}  # of each tag where it is open
+        self.foreign: list[int] = []  # where svg and math, and elements that hold HTML in them, are open
+        self.counts = [0] * ELEMENTS
+        self.seen = bytearray(ELEMENTS)
+        self.here: Place | None = None
+
+    def push(self, tag: str, element: str) -> None:
+        i = len(self.tags)
+        self.elements.append(element)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(i)
+        if tag in FOREIGN or tag in HTML_IN_FOREIGN:
+            self.foreign.append(i)
+        for k in element_slots(element):
+            self.counts[k] += 1
+            self.seen[k] = min(self.counts[k], 2)
+        self.here = None
+
+    def cut(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if self.foreign and self.foreign[-1] == len(self.tags):
+                self.foreign.pop()
+            for k in element_slots(self.elements.pop()):
+                self.counts[k] -= 1
+                self.seen[k] = min(self.counts[k], 2)
+            self.here = None
+
+    def last(self, *tags: str) -> int:
+        """Where the nearest open element of these tags is, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def first(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[0] if found else -1
+
+    def foreign_at(self) -> int | None:
+        """Where the svg or math begins that reads the next tag."""
+        return self.foreign[-1] if self.foreign and self.tags[self.foreign[-1]] in FOREIGN else None
+
+    def place(self) -> Place:
+        if self.here is None:
+            self.here = Place(tuple(self.elements[-2:]), bytes(self.seen))
+        return self.here
+
+
+def blocks(page: str | None) -> list[tuple[Place, str, int]]:
+    """(place, text, characters inside links) of each block with text, in page order. Markup, comments
     and RAW elements are left out; references are decoded; white space
-    in a block, line-break tags too, becomes one space."""
-    out, path, parts, links, at, page = [], [], [], 0, 0, page or ""
+    in a block, line-break tags too, becomes one space. Time and memory grow with the page's length, however deep
+    its elements are nested and however many are left open."""
+    out, path, parts, links, at, page = [], Path(), [], 0, 0, page or ""
     in_link = in_head = 0
-    in_foreign = None  # True from the first svg or math on: other pages needn't look at their paths
 
     def end_block() -> None:
         nonlocal parts, links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(path), text, links))
+                out.append((path.place(), text, links))
             parts, links = [], 0
 
     def text(upto: int) -> None:
@@ -91,15 +167,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
-        foreign = in_foreign and foreign_at(path)
+        foreign = path.foreign_at()
         if not closing:
             if foreign is not None and name in BLOCK:  # HTML's own blocks end an svg or math that is still open
-                del path[foreign:]
+                path.cut(foreign)
                 foreign = None
             if (name in FOREIGN or foreign is not None) and (m[3] or m[6] or "").endswith("/"):
                 continue
-            if name in FOREIGN:
-                in_foreign = True
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 if end or foreign is None:
@@ -122,55 +196,34 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(path) - 1, -1, -1):
-                if path[i].split(" ", 1)[0] == name:
-                    del path[i:]
-                    break
+            if (i := path.last(name)) >= 0:
+                path.cut(i)
             continue
-        tags = [x.split(" ", 1)[0] for x in path]
-        if name in BLOCK and name not in ("button", "label", "option") and "p" in tags:
-            del path[tags.index("p") :]
-        elif name in CLOSES:
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] in FENCE:
-                    break
-                if tags[i] in CLOSES[name]:
-                    del path[i:]
-                    break
+        if name in BLOCK and name not in ("button", "label", "option") and (i := path.first("p")) >= 0:
+            path.cut(i)
+        elif name in CLOSES and (i := path.last(*CLOSES[name])) > path.last(*FENCE):
+            path.cut(i)
         attrs = m[3] or m[6] or ""
         said = " ".join(v.strip("\"'").lower() for _, v in ATTR.findall(attrs)) if "=" in attrs else ""
-        path.append(f"{name} {said}" if said else name)
+        path.push(name, f"{name} {said}" if said else name)
     text(len(page))
     end_block()
     return out
 
 
-@functools.lru_cache(8_000)  # of 3 kB each
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tokens of the path: of all elements, and once more of the two nearest."""
-    v = np.zeros(PATH, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        tag, _, said = element.partition(" ")
-        for token in {f"<{tag}>", *(x for x in re.split(r"[^a-z]+", said) if x)}:
-            v[zlib.crc32(token.encode()) % (PATH * 3 // 4)] += 1.0
-            if depth < 2:
-                v[PATH * 3 // 4 + zlib.crc32(token.encode()) % (PATH // 4)] += 1.0
-    return np.minimum(v, 2)
-
-
 @functools.lru_cache(200_000)
 def word_slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
+def features(page: list[tuple[Place, str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
     """Of the page's blocks from start to end a row each."""
     part = page[start:end]
     x = np.zeros((len(part), PATH + WORDS + MEASURES), np.float32)
-    for i, (path, text, linked) in enumerate(part):
+    for i, (place, text, linked) in enumerate(part):
         at = start + i
         words, n = text.split(" "), len(text)
-        x[i, :PATH] = path_vector(path)
+        x[i, :ELEMENTS], x[i, ELEMENTS:PATH] = np.frombuffer(place.counts, np.uint8), near_vector(place.near)
         h = np.bincount(np.fromiter(map(word_slot, words), np.int64, len(words)), minlength=WORDS)
         x[i, PATH : PATH + WORDS] = h / np.sqrt((h * h).sum())
         marks = sum(map(text.count, ".,;:!?"))
