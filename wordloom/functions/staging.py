@@ -34,6 +34,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of files under which a table may be one row group, and so one task, however many cores there are.
+FEW_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, read from path, dealt out over the cores if its files are small. Larger tables have row groups enough, and
+    aren't shuffled."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < FEW_BYTES else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
 from wordloom.functions.local import local
+from wordloom.functions.staging import staged
 
 LEXEME = "lex_id long, stem string, pos string, stem_class string, weight float, weight_known boolean, irregular map<string,string>"
 #: Lexemes, and closed-class words, up to which the lexicon is broadcast: some 100 MB.
@@ -36,6 +37,7 @@ class Ruleset:
     language: r.Language
     small: bool
     levels: int = 0
+    table: DataFrame | None = None
 
     @staticmethod
     def of(lexeme: DataFrame, closed: DataFrame | None = None, language: r.Language = r.ENGLISH, broadcast_lexemes: int = BROADCAST_LEXEMES) -> Ruleset:
@@ -65,14 +67,19 @@ class Ruleset:
 
     def spellings(self) -> DataFrame:
         """(spelling, lexemes, stored, closed), a row each: its lexemes, the heaviest first, of equals the first;
-        the lexemes that it is a stored form of, each with the tag; and whether it is of a closed class."""
+        the lexemes that it is a stored form of, each with the tag; and whether it is of a closed class. Written
+        when it is first asked for: every lookup of every plan then reads it."""
+        if self.table is None:
+            self.table = staged(self._spellings(), "spellings")
+        return F.broadcast(self.table) if self.small else self.table
+
+    def _spellings(self) -> DataFrame:
         entry = ["-weight as light", "lex_id", "stem", "pos", "stem_class", "weight", "weight_known as known", "map_keys(irregular) as own_tags", "eff", "deriv_class", "takes_es", "doubling_known", *(["level"] if self.levels else [])]
         one = self.lexeme.selectExpr("stem as spelling", f"struct({', '.join(entry)}, cast(null as string) as stored_tag) as entry", "false as closed")
         forms = self.lexeme.selectExpr("*", "explode(irregular) as (stored_tag, form)").selectExpr("form as spelling", f"struct({', '.join(entry)}, stored_tag) as entry", "false as closed")
         words = self.closed.select(F.col("word").alias("spelling"), F.lit(None).cast(one.schema["entry"].dataType).alias("entry"), F.lit(True).alias("closed"))
         kept = lambda stored: F.array_sort(F.collect_list(F.when(F.col("entry.stored_tag").isNotNull() == stored, F.col("entry"))))
-        table = one.unionByName(forms).unionByName(words).groupBy("spelling").agg(kept(False).alias("lexemes"), kept(True).alias("stored"), F.max("closed").alias("closed"))
-        return F.broadcast(table) if self.small else table
+        return one.unionByName(forms).unionByName(words).groupBy("spelling").agg(kept(False).alias("lexemes"), kept(True).alias("stored"), F.max("closed").alias("closed"))
 
     def looked_up(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
         """rows with what the lexicon knows of a spelling, as name_lexemes, name_stored and name_closed, or nulls."""
@@ -296,7 +303,7 @@ def _lines(analyses: DataFrame) -> DataFrame:
 
 def analysis_text(analyses: DataFrame) -> DataFrame:
     """(word, n, text): a line for one reading, an indented list for several."""
-    several = F.concat(F.col("word"), F.lit(" →\n    "), F.array_join("all", "\n    "))
+    several = F.concat(F.col("word"), F.lit(" →\n  "), F.array_join("all", "\n  "))
     text = F.when(F.size("all") == 1, F.concat(F.col("word"), F.lit(" → "), F.get("all", F.lit(0)))).otherwise(several)
     return _lines(analyses).select("word", F.size("all").alias("n"), text.alias("text"))
 
@@ -306,3 +313,14 @@ def compact_text(words: DataFrame, analyses: DataFrame) -> DataFrame:
     rows = _lines(analyses).select(F.col("word").alias("lower"), F.array_join("all", "\t").alias("all"))
     asked = words.select("word", o.ascii_lower(F.col("word")).alias("lower")).distinct()
     return asked.join(rows, "lower", "left").select("word", F.concat_ws("\t", "word", F.coalesce("all", F.lit("NO_ANALYSIS"))).alias("text"))
+
+
+def detailed_text(words: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(word, text): of each distinct word its number of readings and the readings, numbered, a line each."""
+    rows = _lines(analyses).withColumnRenamed("word", "lower")
+    asked = words.select("word", o.ascii_lower(F.col("word")).alias("lower")).distinct().join(rows, "lower", "left")
+    n = F.coalesce(F.size("all"), F.lit(0))
+    n = F.when(F.col("all").isNull(), 0).otherwise(n).cast("string")
+    numbered = F.transform("all", lambda x, i: F.concat(F.lit("  ["), (i + 1).cast("string"), F.lit("] "), x))
+    readings_ = F.coalesce(F.array_join(numbered, "\n"), F.lit("  (no analysis found)"))
+    return asked.select("word", F.concat(F.lit("Analysis of: "), "word", F.lit("\nFound "), n, F.lit(" reading(s):\n"), readings_).alias("text"))

@@ -169,13 +169,17 @@ def before_and_after(before: DataFrame, after: DataFrame, counts: DataFrame) ->
     return rows.select("word", "suffix", F.coalesce("cnt", F.lit(0)).alias("cnt"), "before", "after")
 
 
-def round_trips(counts: DataFrame, encoded: DataFrame, decoded: Column) -> DataFrame:
-    """One row over (item, cnt) and (word, pieces): strings, tokens and types that `decoded` (of pieces) gives back, and examples of others."""
+def round_trips(counts: DataFrame, encoded: DataFrame, decoded: Column, other: Column | None = None) -> DataFrame:
+    """One row over (item, cnt) and (word, pieces): strings, tokens and types that `decoded` (of pieces) gives back, and an example
+    of others; with another decoder, on how many strings it disagrees with the string, and an example."""
     rows = counts.join(encoded.select(F.col("word").alias("item"), "pieces"), "item").withColumn("exact", F.coalesce(decoded == F.col("item"), F.lit(False)))
-    tokens = F.sum(F.when(F.col("exact"), F.col("cnt")).otherwise(0))
+    tokens, more = F.sum(F.when(F.col("exact"), F.col("cnt")).otherwise(0)), []
+    if other is not None:
+        rows = rows.withColumn("differs", ~F.coalesce(other == F.col("item"), F.lit(False)))
+        more = [F.count_if("differs").alias("other_disagrees"), F.min(F.when(F.col("differs"), F.col("item"))).alias("other_example")]
     return rows.agg(
         F.count("*").alias("types"), F.count_if("exact").alias("types_exact"), F.sum("cnt").alias("tokens"), tokens.alias("tokens_exact"),
-        F.round(F.coalesce(F.try_divide(tokens.cast("double"), F.sum("cnt")), F.lit(0.0)), 6).alias("rate"), F.min(F.when(~F.col("exact"), F.col("item"))).alias("example"),
+        F.round(F.coalesce(F.try_divide(tokens.cast("double"), F.sum("cnt")), F.lit(0.0)), 6).alias("rate"), F.min(F.when(~F.col("exact"), F.col("item"))).alias("example"), *more,
     )
 
 
@@ -219,25 +223,41 @@ def suffix_scores(rows: DataFrame) -> DataFrame:
     return _rates(rows.where("tp is not null and suffix is not null").groupBy("suffix").agg(*_sums()))
 
 
-def recall_gap(rows: DataFrame, free_words: DataFrame, affixes: DataFrame) -> DataFrame:
-    """(bucket, n) of the gold boundaries that are missed: at a compound, in a word without analysis, at an affix
-    that no rule has, at an inner layer, or at a known affix that wasn't stripped."""
-    gold = o.inner(o.offsets(F.col("gold_pieces")))
-    missed = rows.where("pieces is not null").select("word", "gate", "gold_pieces", o.inner(o.offsets(F.col("pieces"))).alias("own"), F.explode(gold).alias("at")).where(~F.array_contains("own", F.col("at")))
-    missed = missed.withColumns({"left": F.expr("substring(word, 1, at)"), "right": F.expr("substring(word, at + 1)"), "layers": F.size("gold_pieces")})
-    piece = F.get("gold_pieces", F.array_position(o.offsets(F.col("gold_pieces")), F.col("at")).cast("int") - 1)
-    missed = missed.withColumn("piece", piece)
-    flag = lambda df, key, col: df.select(F.col(key).alias(col), F.lit(True).alias(f"is_{col}")).distinct()
-    missed = missed.join(flag(free_words, "word", "left"), "left", "left").join(flag(free_words, "word", "right"), "right", "left").join(flag(affixes, "affix", "piece"), "piece", "left")
-    known = F.coalesce("is_piece", F.lit(False))
-    compound = F.coalesce("is_left", F.lit(False)) & F.coalesce("is_right", F.lit(False)) & (F.length("left") >= 3) & (F.length("right") >= 3) & ~known
+def recall_gap(rows: DataFrame, free_words: DataFrame, suffixes: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """(bucket, n) of the gold boundaries that are missed, by the gold pieces before and after: between two free words, in
+    a word without analysis, at an affix (affix) that no rule has, at an inner layer, or at a known affix that wasn't stripped."""
+    gold = F.posexplode(F.slice("gold_pieces", 1, F.size("gold_pieces") - 1)).alias("i", "before")
+    missed = rows.where("pieces is not null and size(gold_pieces) > 1").select("gate", "pieces", "gold_pieces", gold)
+    at = F.get(o.offsets(F.col("gold_pieces")), F.col("i") + 1)
+    missed = missed.where(~F.array_contains(o.inner(o.offsets(F.col("pieces"))), at)).withColumn("after", F.get("gold_pieces", F.col("i") + 1))
+    flag = lambda df, key, col, name: df.select(F.col(key).alias(col), F.lit(True).alias(name)).distinct()
+    missed = missed.join(flag(free_words, "word", "before", "free_before"), "before", "left").join(flag(free_words, "word", "after", "free_after"), "after", "left")
+    missed = missed.join(flag(suffixes, "affix", "after", "is_suffix"), "after", "left")
+    if prefixes is not None:
+        missed = missed.join(flag(prefixes, "affix", "before", "is_prefix"), "before", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    known = yes("is_suffix") | (yes("is_prefix") if prefixes is not None else F.lit(False))
+    compound = yes("free_before") & yes("free_after") & (F.length("before") >= 3) & (F.length("after") >= 3) & ~known
     bucket = (
-        F.when(compound, "compound").when(F.col("gate") == "no_analysis", "no_analysis_of_the_word").when(~known, "affix_the_rules_do_not_have")
-        .when((F.col("layers") > 2) & (F.size("own") > 0), "inner_layer_of_a_multi_layer_form").otherwise("known_affix_not_stripped")
+        F.when(compound, "compound").when(F.col("gate").isin("no_analysis", "passthrough"), "no_analysis_of_the_word").when(~known, "affix_the_rules_do_not_have")
+        .when((F.size("gold_pieces") >= 3) & (F.size("pieces") < F.size("gold_pieces")), "inner_layer_of_a_multi_layer_form").otherwise("known_affix_not_stripped")
     )
     return missed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def layer_counts(rows: DataFrame) -> DataFrame:
+    """One row of scored rows: gold words of three pieces or more, those of them cut in three or more, and those cut as gold says."""
+    deep = rows.where("pieces is not null and size(gold_pieces) >= 3")
+    return deep.agg(F.count("*").alias("gold_three_or_more"), F.count_if(F.size("pieces") >= 3).alias("own_three_or_more"), F.count_if("exact").alias("exact"))
+
+
+def gate_shares(records: DataFrame) -> DataFrame:
+    """(gate, words, share) of best records."""
+    rows = records.groupBy("gate").agg(F.count("*").alias("words"))
+    total = rows.agg(F.sum("words").alias("all"))
+    return rows.join(F.broadcast(total)).select("gate", "words", F.round(F.col("words") / F.col("all"), 6).alias("share"))
+
+
 def prefix_recall(rows: DataFrame) -> DataFrame:
     """(n, found): gold words that begin with an inventory prefix, and those cut there."""
     first = F.get("gold_pieces", F.lit(0))

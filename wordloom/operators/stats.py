@@ -48,8 +48,8 @@ DIGITS, LEAF_LINES = 4, 100_000
 
 
 def sample_lines(docs: DataFrame, n: int, seed: int = 0, leaf: int = LEAF_LINES) -> DataFrame:
-    """(doc_id, line_no, line): exactly n lines of all, or all where there are fewer; the same for the same seed however
-    the table is partitioned.
+    """(doc_id, line_no, line): exactly n lines of all, or all where there are fewer; the same for the same seed, and in the
+    same order, however the table is partitioned.
 
     A line's place is a digest of its document, number and the seed; the n first are the sample. Lines are
     counted by the first digits of their places, which says where the n-th stands; only the lines with the very digits of the
@@ -58,7 +58,7 @@ def sample_lines(docs: DataFrame, n: int, seed: int = 0, leaf: int = LEAF_LINES)
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("__place", F.md5(F.concat_ws(":", "doc_id", "line_no", F.lit(seed)).cast("binary")))
-    columns = ["doc_id", "line_no", "line"]
+    columns, order = ["doc_id", "line_no", "line"], ["__place", "doc_id", "line_no", "line"]
 
     def split(rows: DataFrame, wanted: int, digits: int) -> tuple[str | None, int, int]:
         """The digits that the wanted-th line begins with, how many are before them, and of them."""
@@ -74,7 +74,7 @@ def sample_lines(docs: DataFrame, n: int, seed: int = 0, leaf: int = LEAF_LINES)
     digits, wanted = DIGITS, n
     edge, below, k = split(lines, wanted, digits)
     if edge is None:
-        return lines.select(columns)
+        return lines.orderBy(*order).select(columns)
     prefix = F.substring("__place", 1, digits)
     kept = staged(lines.where(prefix <= edge), "sample")
     parts = [kept.where(prefix < edge)]
@@ -85,8 +85,8 @@ def sample_lines(docs: DataFrame, n: int, seed: int = 0, leaf: int = LEAF_LINES)
         prefix = F.substring("__place", 1, digits)
         parts.append(rest.where(prefix < edge) if edge is not None else rest)
         rest, wanted = rest.where(prefix == (edge or "")), wanted - below
-    last = rest.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__place", "doc_id", "line_no", "line"))).where(F.col("__k") <= wanted).drop("__k")
-    return functools.reduce(DataFrame.union, [*parts, last]).select(columns)
+    last = rest.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("__k") <= wanted).drop("__k")
+    return functools.reduce(DataFrame.union, [*parts, last]).orderBy(*order).select(columns)
 
 
 def kept_sample(docs: DataFrame, n: int, base: str, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import orthography as o
 from wordloom.functions.local import local
-from wordloom.functions.staging import staged
+from wordloom.functions.staging import spread, staged
 from wordloom.operators import analyze as an
 from wordloom.operators import automata, baselines, build, evaluate, generate, stats, tokens
 from wordloom.operators import segment as sg
@@ -30,7 +30,8 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +187,7 @@ def prefix_strip(spark, sf_dir):
     return found.groupBy("prefix", "pos").agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
 
 
-@query(q.analysis("""SELECT word, count(*) AS n, CASE count(*) WHEN 1 THEN word || ' → ' || min(s) ELSE word || ' →' || chr(10) || '    ' || string_agg(s, chr(10) || '    ' ORDER BY rank) END AS text
+@query(q.analysis("""SELECT word, count(*) AS n, CASE count(*) WHEN 1 THEN word || ' → ' || min(s) ELSE word || ' →' || chr(10) || '  ' || string_agg(s, chr(10) || '  ' ORDER BY rank) END AS text
 FROM (SELECT word, rank, CASE WHEN prefix <> '' THEN prefix || '+' ELSE '' END || array_to_string(list_concat(list_concat(list_concat([stem], deriv), ['+' || pos]), features), ' ') AS s FROM analyses) GROUP BY word"""))
 def analysis_text(spark, sf_dir):
     c, w, rules = mined(spark, sf_dir)
@@ -472,14 +473,22 @@ def suffix_report(spark, sf_dir):
     return evaluate.suffix_scores(rows)
 
 
-@query(q.segmentation("""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN lf.w IS NOT NULL AND rf.w IS NOT NULL AND length(m.l) >= 3 AND length(m.r) >= 3 AND NOT known THEN 'compound' WHEN gate = 'no_analysis' THEN 'no_analysis_of_the_word'
-  WHEN NOT known THEN 'affix_the_rules_do_not_have' WHEN layers > 2 AND own > 0 THEN 'inner_layer_of_a_multi_layer_form' ELSE 'known_affix_not_stripped' END AS bucket FROM missed m LEFT JOIN free lf ON lf.w = m.l LEFT JOIN free rf ON rf.w = m.r) GROUP BY bucket""",
-    more=f""", {_GOLD}{_SCORED}, free AS (SELECT DISTINCT lower(item) AS w FROM counts),
-  missed AS (SELECT word, gate, word[:b1] AS l, word[b1 + 1:] AS r, len(gp) AS layers, len(a) AS own, gp[list_position(b, b1) + 1] IN ({', '.join(map(q.lit, ENDINGS))}) AS known
-    FROM (SELECT *, unnest(b) AS b1 FROM one WHERE k = 1) WHERE NOT list_contains(a, b1))"""))
+_MISSED = f""", {_GOLD}{_SCORED}, free AS (SELECT DISTINCT lower(item) AS w FROM counts), affixes AS (SELECT unnest([{', '.join(map(q.lit, ENDINGS))}]) AS e),
+  missed AS (SELECT gate, gp[i] AS l, gp[i + 1] AS r, len(gp) AS layers, len(pieces) AS own, gp[i + 1] IN (SELECT e FROM affixes) OR gp[i] IN (SELECT prefix FROM pref) AS known
+    FROM (SELECT *, unnest(range(1, len(gp))) AS i FROM one WHERE k = 1) WHERE NOT list_contains(a, length(array_to_string(gp[:i], ''))))"""
+
+
+@query(q.segmentation("""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN l IN (SELECT w FROM free) AND r IN (SELECT w FROM free) AND length(l) >= 3 AND length(r) >= 3 AND NOT known THEN 'compound'
+  WHEN gate IN ('no_analysis', 'passthrough') THEN 'no_analysis_of_the_word' WHEN NOT known THEN 'affix_the_rules_do_not_have' WHEN layers >= 3 AND own < layers THEN 'inner_layer_of_a_multi_layer_form' ELSE 'known_affix_not_stripped' END AS bucket FROM missed) GROUP BY bucket""", more=_MISSED))
 def recall_gap(spark, sf_dir):
     free = counts(spark, sf_dir).select(F.lower("item").alias("word"))
-    return evaluate.recall_gap(scored_gold(spark, sf_dir), free, local(spark, [(e,) for e in ENDINGS], "affix string"))
+    return evaluate.recall_gap(scored_gold(spark, sf_dir), free, local(spark, [(e,) for e in ENDINGS], "affix string"), local(spark, [(p,) for p, _ in q.r.PREFIXES], "affix string"))
+
+
+@query(q.segmentation("SELECT gate, count(*) AS words, round(count(*) / (SELECT count(*) FROM segs WHERE rank = 1), 6) AS share FROM segs WHERE rank = 1 GROUP BY gate"))
+def gate_shares(spark, sf_dir):
+    c, w, rules = mined(spark, sf_dir)
+    return evaluate.gate_shares(sg.segment(w, rules, nbest=1))
 
 
 @query(f"""{U}, {_GOLD}, closed AS ({q.values([(w,) for w in CLOSED], 'word')}), g AS (SELECT word, pieces[1] AS measured FROM gold)

@@ -351,3 +351,11 @@ def load_stats(lexeme: DataFrame) -> DataFrame:
     stems = lexeme.select("stem").distinct().where("stem <> ''")
     nodes = stems.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda i: F.substring(F.col("stem"), F.lit(1), i))).alias("p"))
     return lexeme.agg(F.count("*").alias("lexemes")).join(F.broadcast(nodes.agg((F.count_distinct("p") + 1).alias("states"), F.count_distinct("p").alias("transitions"))))
+
+
+def read_prefix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, attaches, prefix_ord) of a tab-separated file: a prefix and the parts of speech that it attaches to, separated
+    by spaces; lines that begin with # and blank ones are left out. Such rows make a Language's `prefixes`."""
+    rows = lines(spark, path).where(~F.col("value").rlike(r"^\s*(?:#|$)")).select(F.split("value", "\t", 2).alias("f"), "line_no")
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line_no")) - 1  # a few dozen rows
+    return rows.select(F.trim(F.get("f", F.lit(0))).alias("prefix"), F.split(F.trim(F.coalesce(F.get("f", F.lit(1)), F.lit(""))), r"\s+").alias("attaches"), order.alias("prefix_ord"))
