@@ -148,7 +148,7 @@ def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = light.join(groups(light), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = staged(first.groupBy("root").agg(F.max(F.struct("__row", "__tie")).alias("x")).select("x.*"), "staying")
     # Texts move once: rows alike in all columns meet where the join has put them.
-    return docs.join(stay, ["__row", "__tie"]).dropDuplicates(["__row"]).select(*cols)
+    return docs.join(stay, ["__row", "__tie"]).dropDuplicates(["__row", "__tie"]).select(*cols)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
