@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wordloom.operators import analyze as an
+from wordloom.operators import tokens
 from wordloom.sources import lexicon as lx
 from wordloom.sources import lines
 from wordloom.streaming import words as sw
@@ -70,6 +71,32 @@ def test_a_large_file_in_bounded_memory(tmp_path):
     assert total == n and most < 1 << 20
 
 
+TEXTS = ["one two\n  three\r\n\n\t\nfour\n \n\n", "", "\n\n", "  lead\nno end", "a\n", "x \u00a0\n\u3000\ny\n" * 30, " ", 'He said "stopped".\n\n'] + ["".join(random.Random(k).choices(["w ", "\n", " ", "end.", "\t", "\r\n", "Dr. "], k=90)) for k in range(6)]
+
+
+def test_tokens_of_lines_put_files_together(spark, tmp_path):
+    for i, t in enumerate(TEXTS):
+        (tmp_path / f"{i:03d}.txt").write_bytes(t.encode())
+    rows = tokens.line_tokens(lines.read(spark, str(tmp_path), split_bytes=50)).orderBy("line", "pos").collect()
+    got = {}
+    for x in rows:
+        got.setdefault(int(x.line.path[-7:-4]), []).append(x)
+    for i, t in enumerate(TEXTS):
+        mine = got.get(i, [])
+        assert "".join(x.ws_before + x.text for x in mine) == t, i
+        assert all(x.kind != "TAIL" for x in mine[:-1]) and all(x.text for x in mine[:-1])
+    whole = tokens.tokens(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.text, x.ws_before) for x in whole if x.kind != "TAIL") == sorted((i, x.text, x.ws_before) for i, xs in got.items() for x in xs if x.text)
+
+
+def test_text_mode_reads_lines(spark, tmp_path):
+    (tmp_path / "t.txt").write_text('He "stopped"\n\n  cats')
+    records = tokens.segmented_lines(lines.read(spark, str(tmp_path / "t.txt")), rules_of(spark))
+    said = [json.loads(x.value) for x in tokens.token_jsonl(records, "line").orderBy("line", "pos").collect()]
+    assert "".join(x["ws_before"] + "".join(x["pieces"]) for x in said) == 'He "stopped"\n\n  cats'
+    assert said[-1]["pieces"] == ["cat", "s"] and said[-1]["ws_before"] == "\n\n  "
+
+
 def rules_of(spark):
     return an.Ruleset.of(lx.builtin(spark).cache(), lx.builtin_closed(spark))
 

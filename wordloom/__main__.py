@@ -38,6 +38,7 @@ def main(argv: list[str]) -> int:
     from wordloom.operators import generate, tokens
     from wordloom.operators import segment as sg
     from wordloom.sources import lexicon as lx
+    from wordloom.sources import lines as raw
 
     spark = SparkSession.builder.appName("wordloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
@@ -78,8 +79,8 @@ def main(argv: list[str]) -> int:
         for r in out.select("value").toLocalIterator():
             print(r.value)
     elif a.mode == "text":
-        docs = spark.read.text(a.inputs[0], wholetext=True).select(F.lit(0).alias("doc_id"), F.col("value").alias("text"))
-        for r in tokens.token_jsonl(tokens.segmented_text(docs, rules, a.derived_first)).orderBy("pos").select("value").toLocalIterator():
+        records = tokens.segmented_lines(raw.read(spark, a.inputs[0]), rules, a.derived_first)
+        for r in tokens.token_jsonl(records, "line").orderBy("line", "pos").select("value").toLocalIterator():
             print(r.value)
     elif a.mode == "selfcheck":
         bad = generate.selfcheck(rules).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
+from wordloom.functions import utf8
 from wordloom.functions.staging import staged
 
 from .analyze import Ruleset, analyze
@@ -132,11 +133,48 @@ def analyzed_text(docs: DataFrame, rules: Ruleset, key: str = "doc_id") -> DataF
     return words.join(found, "lower", "left").drop("lower")
 
 
+def line_tokens(lines: DataFrame) -> DataFrame:
+    """tokens() of raw lines (path, start, value, ended), with `line`, a struct of path and start, as the key. White space at a
+    line's end, the line feed and blank lines stand before the next token of the file, so ws_before and text of all
+    tokens, in order of line and pos, put the file together again; what is left at a file's end is a TAIL.
+
+    Lines are counted by ranges of their order: no task holds a file.
+    """
+    text = F.concat(utf8.text(F.col("value")), F.when(F.col("ended"), "\n").otherwise(""))
+    toks = staged(tokens(lines.select(F.struct("path", "start").alias("line"), text.alias("text")), "line"), "line-tokens")
+    tail = F.col("kind") == "TAIL"
+    each = toks.groupBy("line").agg(F.max(F.when(tail, F.col("ws_before"))).alias("tail"), F.max(F.when(tail, 0).otherwise(1)).alias("has")).select("line", "line.path", "tail", "has")
+    rows = staged(each.orderBy("line").withColumn("at", F.monotonically_increasing_id()), "lines-in-order").withColumn("part", F.shiftright("at", 33))
+    # Lines with a token are numbered in each file; what ends line n, and blank lines behind it, stand before line n + 1.
+    parts = rows.groupBy("path", "part").agg(F.sum("has").alias("n"))
+    ahead = parts.select("path", "part", (F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n")).alias("ahead"))  # a row a file and range
+    inside = F.sum("has").over(Window.partitionBy("path", "part").orderBy("at"))
+    rows = staged(rows.withColumn("inside", inside).join(ahead, ["path", "part"]).select("line", "path", "tail", "has", "at", (F.col("ahead") + F.col("inside")).alias("n")), "lines-numbered")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tail"))), lambda x: x["tail"]), "")
+    gaps = rows.where("tail is not null").groupBy("path", (F.col("n") + 1).alias("n")).agg(joined.alias("carried"), F.max("line").alias("last"))
+    begun = rows.where("has = 1").select("path", "n", "line")
+    first = (~tail) & (F.col("pos") == 0)
+    carried = toks.where(first).join(begun.join(gaps.drop("last"), ["path", "n"]).select("line", "carried"), "line", "left")
+    carried = carried.withColumn("ws_before", F.concat(F.coalesce("carried", F.lit("")), "ws_before")).select(*toks.columns)
+    ends = gaps.join(begun.select("path", "n"), ["path", "n"], "left_anti")
+    # Behind all tokens of the line that it ends.
+    ends = ends.select(F.col("last").alias("line"), F.lit((1 << 31) - 1).alias("pos"), F.lit("").alias("text"), F.lit("TAIL").alias("kind"), F.lit(None).cast("int").alias("start"), F.col("carried").alias("ws_before"))
+    return toks.where(~tail & (F.col("pos") > 0)).unionByName(carried).unionByName(ends)
+
+
 def segmented_text(docs: DataFrame, rules: Ruleset, derived_first: bool = False, key: str = "doc_id") -> DataFrame:
     """Token records: key, pos, text, kind, ws_before, and the columns of the best segmentation. Every token
     has one; only WORD tokens are analysed, over their distinct spellings, the others pass through
     whole. A TAIL record has no pieces."""
-    toks = tokens(docs, key)
+    return segmented_tokens(tokens(docs, key), rules, derived_first, key)
+
+
+def segmented_lines(lines: DataFrame, rules: Ruleset, derived_first: bool = False) -> DataFrame:
+    """The same of raw lines, by line_tokens()."""
+    return segmented_tokens(line_tokens(lines), rules, derived_first, "line")
+
+
+def segmented_tokens(toks: DataFrame, rules: Ruleset, derived_first: bool = False, key: str = "doc_id") -> DataFrame:
     best = segment(toks.where("kind = 'WORD'").select(F.col("text").alias("word")), rules, derived_first, nbest=1)
     best = best.drop("rank", "demoted", "promotable").withColumnRenamed("word", "text").withColumn("kind", F.lit("WORD"))
     # A row a spelling, of known size: broadcast where it is small, else joined so that a hot word's tokens split.
