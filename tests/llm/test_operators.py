@@ -86,6 +86,56 @@ def test_language_kernel_is_the_intersection():
     assert [x[0] for x in m.predict(["abd abc", "xyw"])] == ["p", "q"]
 
 
+def test_language_scores_against_dense_kernel_ridge():
+    """Scores of the landmarks' map against kernel ridge in its dual form, with sets of n-grams."""
+    r = random.Random(8)
+    syllables = {"xx": "the and ing tion er", "yy": "le eau ment que ou", "zz": "ung sch keit ver äin"}
+    said = lambda k, n: " ".join("".join(r.choice(syllables[k].split()) for _ in range(3)) for _ in range(n))
+    sample = [(said(k, r.randint(1, 25)), k) for k in syllables for _ in range(30)]
+    asked = [said(k, r.randint(1, 40)) for k in syllables for _ in range(20)] + ["THE  And-ing", "qqq www", "é", "x", "naïve " * 300, "\n the \t"]
+
+    def grams(t):
+        b = re.sub(rb"[^a-zA-Z\x80-\xff]", b" ", t.lower().encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    kernel = lambda xs, ys: np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in ys] for a in xs])
+    ten, x, q = 10, [grams(t) for t, _ in sample], [grams(t) for t in asked]
+    z = [g for lang in sorted(syllables) for g in [x[i] for i, (_, k) in enumerate(sample) if k == lang][:ten]]
+    inner = np.linalg.pinv(kernel(z, z), rcond=1e-6, hermitian=True)
+    low = lambda a, b: kernel(a, z) @ inner @ kernel(z, b) + 1
+    y = np.where(np.array([k for _, k in sample])[:, None] == np.array(sorted(syllables)), 1.0, -1.0)
+    f = low(q, x) @ np.linalg.solve(low(x, x) + language.RIDGE * np.eye(len(x)), y)
+    got = language.Model(sample, landmarks=ten).predict(asked)
+    for (lang, score, _), row in zip(got, f):
+        top = np.sort(row)[::-1]
+        assert abs(score - min(1, max(0, (1 + top[0]) / 2))) < 2e-3
+        assert lang == sorted(syllables)[int(row.argmax())] or top[0] - top[1] < 4e-3
+
+
+def test_the_labelled_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"{k} words of {k} number {i}", k) for i, k in enumerate("abcdef" * 60)] + [(5000 + i, "long text " * 40_000, "only long") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda sample, landmarks: seen.append((sample, landmarks)))
+    language.train(df)
+    per = lambda k: [t for t, x in seen[-1][0] if x == k]
+    assert seen[-1][1] == language.LANDMARKS and all(30 < len(per(k)) <= 60 for k in "abcdef")
+    assert per("only long") and all(len(t) == language.LONGEST for t in per("only long"))
+    language.train(df, all_bytes=7 * 200)
+    assert all(1 <= len(per(k)) <= 10 and sum(map(len, per(k))) <= 200 for k in "abcdef") and len(per("only long")) == 1
+    monkeypatch.setattr(language, "ALL_SAMPLE", 14)
+    monkeypatch.setattr(language, "ALL_LANDMARKS", 7)
+    language.train(df)
+    assert seen[-1][1] == 1 and all(len(per(k)) == 2 for k in "abcdef")
+
+
+def test_a_long_text_is_predicted_whole(spark):
+    rows = [(i, "the and " * 5 if i % 2 else "le eau " * 5, "xx" if i % 2 else "yy") for i in range(80)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # Its first half alone is of the other language.
+    assert [x[0] for x in model.predict(["le eau " * 60_000, "le " + "the and " * 90_000])] == ["yy", "xx"]
+
+
 def test_language_without_labels(spark, empty):
     assert language.identify(empty).count() == 0
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import staged, table
 
-#: Bound of the labelled sample and the number of landmarks, both of each language.
+#: Bound of the labelled sample and the number of landmarks, both of each language, and both of all languages, which share
+#: them where they are many.
 SAMPLE, LANDMARKS = 300, 48
-#: Bytes of the longest text that is learned from, so SAMPLE bounds the driver's memory too.
+ALL_SAMPLE, ALL_LANDMARKS, ALL_BYTES = 15_000, 2_400, 128 << 20
+#: Bytes of the longest text that is learned from where there are shorter ones; of longer ones so many characters are.
 LONGEST = 1 << 18
 RIDGE, BLOCK = 0.05, 64
 #: A text of a learned language has at least this share of its 3-grams in the landmarks, or as much as
@@ -137,22 +139,30 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, all_bytes: int = ALL_BYTES) -> Model:
     """Learn from at most `sample` documents of each language, the first by a hash of the id, of those
-    with a text of at most LONGEST bytes, a language and an id that is not held out. Ids and languages
-    alone are ranked. An id that repeats is one document: the largest of its rows by language and text."""
-    fit = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}") & ~held_out()
-    light = docs.where(fit).groupBy("doc_id").agg(F.max("lang").alias("lang"))
+    with a text, a language and an id that is not held out. Texts over LONGEST bytes come last and are read up to so many
+    characters. Many languages share ALL_SAMPLE documents, ALL_LANDMARKS landmarks and all_bytes bytes, each at least one
+    document. Ids and languages alone are ranked. An id that repeats is one document: the largest of its rows by
+    language and text."""
+    fit = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()
+    size = F.octet_length("text").cast("long")
+    light = docs.where(fit).groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max(size).alias("bytes"))
+    counted = staged(light.groupBy("lang").agg(F.count("*").alias("k")), "languages")
+    languages = max(1, counted.count())
+    sample, landmarks = max(1, min(sample, ALL_SAMPLE // languages)), max(1, min(landmarks, ALL_LANDMARKS // languages))
     # A share of each language that holds four samples of it goes on to be ranked, however large it is.
-    share = light.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * sample / F.count("*")).alias("share"))
+    share = counted.select("lang", F.least(F.lit(1.0), 4.0 * sample / F.col("k")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     light = light.join(F.broadcast(share), "lang").where(place < F.col("share"))
-    first = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ids = light.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id", "lang")
-    chosen = docs.where(fit).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    rows = chosen.groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
+    first = Window.partitionBy("lang").orderBy(F.col("bytes") > LONGEST, place, "doc_id")
+    read = F.sum(F.least("bytes", F.lit(4 * LONGEST))).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = light.withColumn("n", F.row_number().over(first)).withColumn("read", read)
+    ids = ranked.where((F.col("n") == 1) | ((F.col("n") <= sample) & (F.col("read") <= all_bytes // languages))).select("doc_id", "lang")
+    chosen = docs.where(fit).select("doc_id", "lang", F.when(size <= LONGEST, F.col("text")).otherwise(F.left("text", F.lit(LONGEST))).alias("text"))
+    rows = chosen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
     rows = sorted((str(r["lang"]), r["doc_id"], r["text"]) for r in rows)
-    return Model([(t, lang) for lang, _, t in rows if LETTER.search(t)])
+    return Model([(t, lang) for lang, _, t in rows if LETTER.search(t)], landmarks)
 
 
 def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
