@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
+from wordloom.functions.staging import staged
 
 from .analyze import Ruleset, analyze
 
@@ -52,5 +54,8 @@ def unread(rules: Ruleset, forms: DataFrame | None = None) -> DataFrame:
 
 
 def selfcheck(rules: Ruleset) -> DataFrame:
-    """(origin, n, examples): unread forms by cause, most first, with at most three examples."""
-    return unread(rules).groupBy("origin").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("surface")), 1, 3).alias("examples")).orderBy(F.desc("n"), "origin")
+    """(origin, n, examples): unread forms by cause, most first, with the first three examples by spelling."""
+    rows = staged(unread(rules).select("origin", "surface"), "unread")
+    first = Window.partitionBy("origin").orderBy("surface")  # Spark keeps three of each origin in a task before it moves them
+    some = rows.distinct().withColumn("k", F.row_number().over(first)).where("k <= 3").groupBy("origin").agg(F.array_sort(F.collect_list("surface")).alias("examples"))
+    return rows.groupBy("origin").agg(F.count("*").alias("n")).join(some, "origin").select("origin", "n", "examples").orderBy(F.desc("n"), "origin")

@@ -284,6 +284,21 @@ def whitespace_roundtrip(spark, sf_dir):
     return tokens.rebuilt(tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id"), "item_id")
 
 
+@query("SELECT doc_id, text FROM documents WHERE text <> ''")
+def document_whitespace_roundtrip(spark, sf_dir):
+    return tokens.rebuilt(tokens.tokens(docs(spark, sf_dir)))
+
+
+@query(rf"""WITH {_tokens('documents', 'doc_id')} SELECT doc_id::VARCHAR AS path, text, kind, ws_before FROM toks
+UNION ALL SELECT doc_id::VARCHAR, '', 'TAIL', ws FROM (SELECT doc_id, regexp_extract(text, '[{_WHITE}]*\z') AS ws FROM documents) WHERE ws <> ''""")
+def line_tokens(spark, sf_dir):
+    """Documents as files of lines: white space at a line's end, and blank lines, stand before the next token."""
+    lines = F.split("text", "\n", -1)
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.posexplode(lines).alias("start", "line"), (F.size(lines) - 1).alias("last"))
+    rows = rows.select("path", "start", F.encode("line", "UTF-8").alias("value"), (F.col("start") < F.col("last")).alias("ended"))
+    return tokens.line_tokens(rows).select("line.path", "text", "kind", "ws_before")
+
+
 @query(f"WITH {_tokens('benchmark', 'item_id')}, {_sentences('item_id')}")
 def sentence_words(spark, sf_dir):
     return tokens.sentences(tokens.tokens(docs(spark, sf_dir, "benchmark"), "item_id"), "item_id")
@@ -351,13 +366,12 @@ def lexical_analyses(spark, sf_dir):
     return automata.lexical_analyses(w, rules)
 
 
-@query(f"""WITH {q.counted()}, {q.MINED.replace('words AS (', 'unused AS (')}{q.LARGE.replace('FROM mined', 'FROM mined WHERE built').replace('WHERE built WHERE', 'WHERE built AND')}, {_FORMS}, words AS (SELECT DISTINCT surface AS word FROM forms), {q.ANALYSES}
+@query(f"""{_LEXICON}, {_FORMS}, words AS (SELECT DISTINCT surface AS word FROM forms), {q.ANALYSES}
 SELECT origin, count(*) AS n, array_to_string(list_sort(list(DISTINCT surface))[:3], ' ') AS examples FROM forms WHERE lower(surface) NOT IN (SELECT word FROM analyses) GROUP BY origin""")
 def selfcheck(spark, sf_dir):
-    """Unread forms by cause, of the fixed lexemes and those that words are built of. Stems of three letters or
-    less and classes that a spelling contradicts leave some."""
-    w = counts(spark, sf_dir).select(F.col("item").alias("word"))
-    return generate.selfcheck(mined_rules(w, built=True)).select("origin", "n", text_of("examples", " "))
+    """Unread forms by cause, of all lexemes. Stems of three letters or less and classes that a spelling contradicts
+    leave some."""
+    return generate.selfcheck(mined(spark, sf_dir)[2]).select("origin", "n", text_of("examples", " "))
 
 
 def entries(c: DataFrame) -> DataFrame:

@@ -53,11 +53,10 @@ def mined_stems(words: DataFrame) -> DataFrame:
     return words.where(F.col("word").rlike(MINED_WORD)).select(F.col("word").alias("stem")).distinct().withColumn("h", F.md5(F.col("stem").cast("binary"))).where(MINED)
 
 
-def mined(words: DataFrame, built: bool = False) -> DataFrame:
-    """Lexemes that words (word) give by rule; built: those alone that words are built of."""
+def mined(words: DataFrame) -> DataFrame:
+    """Lexemes that words (word) give by rule."""
     h3, stem = F.substring("h", 3, 1), F.col("stem")
-    stems = mined_stems(words)
-    rows = (stems.where(BUILT) if built else stems).withColumn("pos", F.expr(MINED_POS))
+    rows = mined_stems(words).withColumn("pos", F.expr(MINED_POS))
     doubles = F.col("pos").isin("V", "ADJ") & o.may_double(stem)
     stem_class = F.when(h3 == "0", "UNKNOWN").when((h3 == "1") & (F.col("pos") == "V"), "IRR_SING").when(F.col("pos") == "ADV", "REG").when(doubles & (h3 < "8"), "DOUBLE_CONS").otherwise(o.implied_class(stem))
     stored = F.when(F.expr(MINED_STORED) & (F.col("pos") == "V"), F.create_map(F.lit("+PAST"), F.concat("stem", F.lit("t")))).when(F.expr(MINED_STORED) & (F.col("pos") == "N"), F.create_map(F.lit("+PL"), F.concat("stem", F.lit("en"))))
@@ -73,10 +72,10 @@ def nested_rules(words: DataFrame) -> Ruleset:
     return Ruleset.of(lexeme(spark).withColumn("level", F.lit(1)).unionByName(own), local(spark, [(w,) for w in CLOSED], "word string"))
 
 
-def mined_rules(words: DataFrame, built: bool = False) -> Ruleset:
+def mined_rules(words: DataFrame) -> Ruleset:
     """The fixed cases and the mined lexemes."""
     spark = words.sparkSession
-    return Ruleset.of(lexeme(spark).unionByName(mined(words, built)), local(spark, [(w,) for w in CLOSED], "word string"))
+    return Ruleset.of(lexeme(spark).unionByName(mined(words)), local(spark, [(w,) for w in CLOSED], "word string"))
 
 
 def query_words(words: DataFrame) -> DataFrame:
