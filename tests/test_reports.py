@@ -59,6 +59,24 @@ def test_prefix_rules_from_a_file(spark, tmp_path):
     assert [(x.prefix, x.stem) for x in an.analyze(local(spark, [("supercat",), ("recat",)], "word string"), rules).collect()] == [("super", "cat")]
 
 
+def test_a_session_names_its_lexicon(spark, tmp_path):
+    (tmp_path / "more.tsv").write_text("zebra\tN\tREG\nquux\tV\tREG\tPAST=quuxen\n")
+    (tmp_path / "closed.tsv").write_text("# words\nhenceforth\tADV\n")
+    spark.conf.set(lx.LEXICON_FILES, f"{tmp_path}/more.tsv")
+    spark.conf.set(lx.CLOSED_FILES, f"{tmp_path}/closed.tsv")
+    try:
+        rules = an.Ruleset.of(lx.builtin(spark), lx.builtin_closed(spark))
+        found = {(x.word, x.stem) for x in an.analyze(local(spark, [("zebras",), ("quuxen",), ("cats",)], "word string"), rules).collect()}
+        assert found == {("zebras", "zebra"), ("quuxen", "quux"), ("cats", "cat")}
+        assert lx.builtin_closed(spark).where("word in ('henceforth', 'the')").count() == 2
+        spark.conf.set(lx.LEXICON_FILES, f"{tmp_path}/none.tsv")
+        with pytest.raises(FileNotFoundError):
+            lx.builtin(spark)
+    finally:
+        spark.conf.unset(lx.LEXICON_FILES)
+        spark.conf.unset(lx.CLOSED_FILES)
+
+
 def test_sinks(spark, tmp_path):
     lx.write_frequency(local(spark, [("b", 3.456), ("a", 3.456), ("c", 7.0)], "word string, zipf double"), str(tmp_path / "f"))
     assert text_in(tmp_path / "f") == ["c\t7.00", "a\t3.46", "b\t3.46"]
@@ -87,6 +105,18 @@ def test_a_record_with_every_field_is_json(spark):
     assert {json.loads(x.value)["word"] for x in out.collect()} == {'q"\\\x01é', "cats"}
 
 
+def test_starts_of_many_tokens(spark):
+    """Over several stretches of stretches, and none."""
+    texts = ["", " ", "a", "ab c " * 64, "ab  c. " * 9000, "x " * 127 + "y"]
+    got = {}
+    for x in tokens.tokens(local(spark, list(enumerate(texts)), "doc_id int, text string")).collect():
+        got.setdefault(x.doc_id, []).append((x.pos, x.start, x.text, x.ws_before))
+    for i, t in enumerate(texts):
+        rows = sorted(got.get(i, []))
+        assert "".join(w + s for _, _, s, w in rows) == t
+        assert all(t[at : at + len(s)] == s for _, at, s, _ in rows if s)
+
+
 @pytest.mark.parametrize("name", ["lexical_forms", "size_curve", "trie_size", "generated_forms", "gate_shares"])
 def test_queries_have_sql(name):
     assert name in registry.QUERIES and name in registry.ORACLES

@@ -75,21 +75,27 @@ def kind_of(token: Column) -> Column:
     return out
 
 
-STRETCH = 128  # tokens whose lengths are summed in one array
+STRETCH = 128  # numbers that are summed in one array
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """rows (lengths) with `at`, the running sums without the own length, and `total`: sums of stretches
-    first, then inside each, so that long arrays cost little more than short ones. Each step is a
-    column of its own: inside a lambda it would be taken anew for every token."""
+    """rows (lengths) with `at`, the running sums without the own length, and `total`. Appending copies an array, so
+    sums are taken in stretches, of these in stretches again, and so is their running sum: a text of millions
+    of tokens costs little more for each than a short one. Each step is a column of its own: inside a lambda it
+    would be taken anew for every token."""
     add, none = (lambda a, n: a + n), F.lit(0)
     running = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    count = F.floor((F.size("lengths") + (STRETCH - 1)) / STRETCH).cast("int")
-    parts = F.transform(F.when(count > 0, F.sequence(none, count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice("lengths", k * STRETCH + 1, STRETCH))
-    rows = rows.withColumn("parts", parts)
-    rows = rows.withColumn("before", running(F.transform("parts", lambda x: F.aggregate(x, none, add)), none))
-    at = F.flatten(F.zip_with("parts", F.slice("before", 1, F.size("parts")), lambda x, first: F.slice(running(x, first), 1, F.size(x))))
-    return rows.withColumns({"at": at, "total": F.element_at("before", -1)})
+    inside = lambda parts, before: F.flatten(F.zip_with(parts, before, lambda x, first: F.slice(running(x, first), 1, F.size(x))))
+
+    def stretches(c: str) -> Column:
+        count = F.floor((F.size(c) + (STRETCH - 1)) / STRETCH).cast("int")
+        return F.transform(F.when(count > 0, F.sequence(none, count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(c, k * STRETCH + 1, STRETCH))
+
+    sums = lambda c: F.transform(c, lambda x: F.aggregate(x, none, add))
+    rows = rows.withColumn("parts", stretches("lengths")).withColumn("sums", sums("parts"))
+    rows = rows.withColumn("upper", stretches("sums")).withColumn("before", running(sums("upper"), none))
+    rows = rows.withColumn("first", inside(F.col("upper"), F.slice("before", 1, F.size("upper"))))
+    return rows.withColumns({"at": inside(F.col("parts"), F.col("first")), "total": F.element_at("before", -1)})
 
 
 def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:

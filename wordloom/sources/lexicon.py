@@ -153,9 +153,18 @@ def lexicon(source: DataFrame) -> DataFrame:
     return rows.select((F.col("load_ord").cast("long") * (1 << 52) + F.col("line_no")).alias("lex_id"), "stem", "pos", "stem_class", "weight", "weight_known", "irregular")
 
 
+#: Settings of a session that name its own lexicon and closed-class files, several by commas: what a site reads always.
+LEXICON_FILES, CLOSED_FILES = "spark.wordloom.lexicon", "spark.wordloom.closed"
+
+
+def named_files(spark: SparkSession, setting: str) -> list[str]:
+    return [p.strip() for p in (spark.conf.get(setting, None) or "").split(",") if p.strip()]
+
+
 def builtin(spark: SparkSession, *paths: str, optional: tuple[str, ...] = ()) -> DataFrame:
-    """Our own lexemes, then optional supplements, then the files asked for, which must exist."""
+    """Our own lexemes, then the session's files, optional supplements, and the files asked for. All but supplements must exist."""
     source = text_lines(spark, BUILTIN)
+    paths = (*named_files(spark, LEXICON_FILES), *paths)
     more = []
     for p in optional:
         try:
@@ -183,7 +192,9 @@ def closed_class(source: DataFrame) -> DataFrame:
 
 
 def builtin_closed(spark: SparkSession) -> DataFrame:
-    return local(spark, [(w,) for w in sorted(set(CLOSED.split()))], "word string")
+    """Our own closed-class words and those of the session's files."""
+    own, files = local(spark, [(w,) for w in sorted(set(CLOSED.split()))], "word string"), named_files(spark, CLOSED_FILES)
+    return own.unionByName(closed_class(lines(spark, *files))).distinct() if files else own
 
 
 def frequency(source: DataFrame) -> DataFrame:
