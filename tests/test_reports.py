@@ -77,6 +77,24 @@ def test_a_session_names_its_lexicon(spark, tmp_path):
         spark.conf.unset(lx.CLOSED_FILES)
 
 
+def test_table_functions_in_sql(spark):
+    from wordloom.plans import views
+
+    rules = an.Ruleset.of(lx.builtin(spark), lx.builtin_closed(spark))
+    words = local(spark, [("cats",), ("Books",), ("stopped",), ("zzz",)], "word string")
+    assert views.functions(words, rules, "t_") == ["t_analyze", "t_segment"]
+    assert [(x.stem, x.features) for x in spark.sql("SELECT * FROM t_analyze('cats') ORDER BY rank").collect()] == [("cat", ["+PL"])]
+    assert spark.sql("SELECT * FROM t_segment('stopped')").first().pieces == ["stop", "ped"]
+    words.createOrReplaceTempView("some_words")
+    rows = spark.sql("SELECT w.word, s.pieces, s.gate FROM some_words w, LATERAL t_segment(w.word) s").collect()
+    best = {x.word: (x.pieces, x.gate) for x in segment.segment(words, rules, nbest=1).collect()}
+    assert {x.word: (x.pieces, x.gate) for x in rows} == best
+    left = spark.sql("SELECT w.word, a.stem FROM some_words w LEFT JOIN LATERAL t_analyze(w.word) a ON true").collect()
+    assert {(x.word, x.stem) for x in left} == {("cats", "cat"), ("stopped", "stop"), ("zzz", None)} | {("Books", x.stem) for x in an.analyze(words, rules).where("word = 'books'").collect()}
+    more = spark.sql("SELECT count(*) n FROM some_words w, LATERAL t_segment(w.word, 9) s").first().n
+    assert more == segment.segment(words, rules).count()
+
+
 def test_sinks(spark, tmp_path):
     lx.write_frequency(local(spark, [("b", 3.456), ("a", 3.456), ("c", 7.0)], "word string, zipf double"), str(tmp_path / "f"))
     assert text_in(tmp_path / "f") == ["c\t7.00", "a\t3.46", "b\t3.46"]
