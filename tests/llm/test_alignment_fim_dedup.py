@@ -165,7 +165,8 @@ def test_spans_are_the_groups(docs):
 def test_galloping_ranks_and_overlaps(x, y, sparse):
     x = {i for i in x if not sparse or i % 29 == 0}
     a, b = (np.array(sorted(s | {301})) for s in (x, y))
-    assert alignment.ranks(a, b).tolist() == np.searchsorted(b, a).tolist()
+    for stretch in (1, 3, 1000):
+        assert alignment.ranks(a, b, stretch).tolist() == np.searchsorted(b, a).tolist()
     i, j = alignment.common(a, b)
     assert a[i].tolist() == b[j].tolist() == sorted((x & y) | {301})
     low, high = alignment.overlaps(a, b)
@@ -174,6 +175,16 @@ def test_galloping_ranks_and_overlaps(x, y, sparse):
         assert list(range(low[k], high[k])) == [m for m in range(len(b)) if begins[m] < end and b[m] > start]
 
 
+def test_long_texts_are_encoded_in_parts_as_whole():
+    import public_tokenizers as p
+
+    path, model, r = p.path(alignment.VOCABULARY_B), library()[1], random.Random(2)
+    assert alignment.may_be_cut(path)
+    for _ in range(2000):
+        text = "".join(r.choice([" ", " ", "  ", "\n", "\t", "▁", "ab", "the", "é", "\r\n", "}", ";", "<s>", "一", "　", "x" * 20]) for _ in range(r.randint(1, 40)))
+        assert alignment.piece_ids(path, text, r.randint(1, 9)).tolist() == model.encode(text), repr(text)
+
+
 # 13
 
 

@@ -837,3 +837,13 @@ def test_unclosed_elements_take_linear_time(bit):
     assert tracemalloc.get_traced_memory()[1] < 50_000_000
     tracemalloc.stop()
     assert bool(found) == (re.sub("<[^>]*>", "", bit) != "")
+
+
+def test_words_of_a_long_text_one_after_another(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokenids.VOCABULARY)
+    text = "it's 12 o'clock, naïve  x\n" * 500
+    want = tokenids.encoder(path)(text)
+    monkeypatch.setattr(tokenids, "LONG", 100)
+    assert tokenids.encoder(path)(text) == want

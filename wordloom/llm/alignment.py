@@ -12,6 +12,7 @@ inside each document, and the counts go back to the documents.
 from __future__ import annotations
 
 import functools
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import staged, table
-from .tokenids import byte_symbols, encoder, ids_type, loaded
+from .tokenids import LONG, byte_symbols, encoder, ids_type, loaded
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END = 1 << 62  # behind all ends
+STRETCH = 1 << 16  # ends that are Python numbers at once
+#: A space at which a text may be cut for the piece model: no piece has a space behind another character.
+CUT = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 #: Counted pairs that are broadcast, 24 bytes each; beyond, pairs are joined by a shuffle, apart from hot ones.
 BROADCAST_PAIRS = 500_000
 HOT_SHARE = 1000  # a pair with this part of all rows is hot: there are no more than this many
@@ -67,6 +71,24 @@ def pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@functools.cache
+def may_be_cut(path: str) -> bool:
+    """Whether no piece of the model crosses CUT, and the model puts a space before what it encodes."""
+    model = pieces(path)
+    crossing = any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
+    return not crossing and model.encode("a b") == [*model.encode("a"), *model.encode("b")] and model.encode(" b") != model.encode("b")
+
+
+def piece_ids(path: str, text: str, long: int = LONG) -> np.ndarray:
+    """The model's ids of a text. One of more than `long` characters is encoded in parts, cut where that changes nothing."""
+    encode, out, low = pieces(path).encode, [], 0
+    while may_be_cut(path) and len(text) - low > long and (m := CUT.search(text, low + long)):
+        out.append(np.array(encode(text[low : m.start()]), np.int32))
+        low = m.end()
+    out.append(np.array(encode(text[low:]), np.int32))
+    return np.concatenate(out)
+
+
 @functools.cache
 def bytes_b(path: str) -> Bytes:
     model = pieces(path)
@@ -77,10 +99,25 @@ def bytes_b(path: str) -> Bytes:
 # Ranks, groups, links
 
 
-def ranks(short: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Of each end of the rising list `short`, how many of the rising list `long` are less."""
-    ends, out, at, last = [*long.tolist(), END], [], 0, len(long)
-    for x in short.tolist():
+def ranks(short: np.ndarray, long: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+    """Of each end of the rising list `short`, how many of the rising list `long` are less. Both are read in stretches, so
+    that a long text's ends aren't all Python numbers at once."""
+    out, at, n = np.empty(len(short), np.int64), 0, len(long)
+    for i in range(0, len(short), stretch):
+        part = short[i : i + stretch]
+        upto, reach = at, 1
+        while upto < n and long[upto] < part[-1]:
+            upto += reach
+            reach += reach
+        out[i : i + len(part)] = galloped(part.tolist(), long[at : upto + 1].tolist())
+        out[i : i + len(part)] += at
+        at = int(out[i + len(part) - 1])
+    return out
+
+
+def galloped(short: list[int], long: list[int]) -> list[int]:
+    ends, out, at, last = [*long, END], [], 0, len(long)
+    for x in short:
         if ends[at] < x:
             at += 1
             reach = 1
@@ -92,7 +129,7 @@ def ranks(short: np.ndarray, long: np.ndarray) -> np.ndarray:
             if low < at:
                 at = bisect_left(ends, x, low, at)
         out.append(at)
-    return np.array(out, np.int64)
+    return out
 
 
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +173,7 @@ class Aligner:
     """Two vocabularies at work in a task."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.encode_a, self.encode_b, self.width = encoder(path_a), pieces(path_b).encode, ids_type(path_a)
+        self.encode_a, self.encode_b, self.width = encoder(path_a), functools.partial(piece_ids, path_b), ids_type(path_a)
         self.bytes_a, self.bytes_b = bytes_a(path_a), bytes_b(path_b)
         self.words = id_words(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))
         self.nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -148,7 +185,7 @@ class Aligner:
             return self.nothing
         data = (" " + text).encode("utf-8", "surrogatepass")
         whole, found = np.frombuffer(data, np.uint8), []
-        for ids, table in ((np.frombuffer(self.encode_a(" " + text), self.width), self.bytes_a), (np.array(self.encode_b(text), np.int32), self.bytes_b)):
+        for ids, table in ((np.frombuffer(self.encode_a(" " + text), self.width), self.bytes_a), (self.encode_b(text), self.bytes_b)):
             ends = np.cumsum(table.sizes[ids])
             if not len(ends) or ends[-1] != len(whole) or not np.array_equal(table.joined(ids, ends), whole):
                 return self.nothing

@@ -30,6 +30,7 @@ from .common import scratch, staged, table
 END, LENGTH, BATCH = 0, 2048, 256
 VOCABULARY = "byte_bpe_50k.json"
 MEMO = 800_000  # words whose ids a worker keeps
+LONG = 1 << 20  # characters
 #: White space as the vocabulary's split pattern has it.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's split pattern in terms of `re`, right for texts without odd characters.
@@ -119,6 +120,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
         if is_odd(text):
             tokenizer.encode_special_tokens = True
             return b"".join([np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype=width).tobytes() for c in CHUNK.findall(text)])
+        if len(text) > LONG:  # its words needn't all be strings at once
+            return b"".join(memo[m[0]] for m in WORD.finditer(text))
         return b"".join([memo[w] for w in WORD.findall(text)])
 
     return encode
