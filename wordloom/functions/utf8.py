@@ -28,7 +28,7 @@ def characters(b: Column) -> Column:
 
 
 def is_valid(b: Column) -> Column:
-    return _latin(b).rlike(f"^(?:{SEQUENCE})*+\\z")
+    return F.is_valid_utf8(b.cast("string"))
 
 
 def count(b: Column) -> Column:
