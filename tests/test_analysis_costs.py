@@ -20,3 +20,12 @@ def test_few_bytes_of_words_are_read_by_all_cores(spark):
         assert dealt(words.union(words), "word").count() == 3000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_only_words_of_the_gold_are_cut_for_it(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, "walked and tables, then oddly zzz qqq")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, real = [], sg.cuts
+    monkeypatch.setattr(sg, "cuts", lambda words, rules: seen.append({x.word for x in words.select("word").collect()}) or real(words, rules))
+    assert registry.QUERIES["policy_diff"](spark, str(tmp_path)).count()
+    assert registry.scored_gold(spark, str(tmp_path)).count() == 3
+    assert seen == [{"walked", "tables", "oddly"}] * 2
