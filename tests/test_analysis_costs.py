@@ -29,3 +29,14 @@ def test_only_words_of_the_gold_are_cut_for_it(spark, monkeypatch, tmp_path):
     assert registry.QUERIES["policy_diff"](spark, str(tmp_path)).count()
     assert registry.scored_gold(spark, str(tmp_path)).count() == 3
     assert seen == [{"walked", "tables", "oddly"}] * 2
+
+
+def test_selfcheck_makes_forms_once(spark, monkeypatch):
+    kept, real = [], generate.staged
+    monkeypatch.setattr(generate, "staged", lambda df, name: kept.append(name) or real(df, name))
+    rules = rules_of(spark)
+    forms = generate.generated_forms(rules)
+    bad = {tuple(x) for x in generate.unread(rules).collect()}
+    assert "forms" in kept
+    read = {x.word for x in an.analyze(forms.selectExpr("surface as word"), rules).select("word").distinct().collect()}
+    assert bad == {tuple(x) for x in forms.select(*generate.COLS).collect() if x.surface.lower() not in read}

@@ -10,7 +10,7 @@ from wordloom.functions import orthography as o
 from wordloom.functions import rules as r
 from wordloom.functions.staging import staged
 
-from .analyze import Ruleset, analyze
+from .analyze import Ruleset, read_words
 
 COLS = ["lex_id", "surface", "lemma", "pos", "stem_class", "origin"]
 
@@ -48,8 +48,8 @@ def generated_forms(rules: Ruleset) -> DataFrame:
 
 def unread(rules: Ruleset, forms: DataFrame | None = None) -> DataFrame:
     """Generated forms without a reading."""
-    forms = generated_forms(rules) if forms is None else forms
-    read = analyze(forms.select(F.col("surface").alias("word")), rules).select("word").distinct()
+    forms = staged(generated_forms(rules).select(*COLS), "forms") if forms is None else forms  # read as words and as forms
+    read = read_words(forms.select(F.col("surface").alias("word")), rules)
     return forms.withColumn("word", o.ascii_lower(F.col("surface"))).join(read, "word", "left_anti").drop("word")
 
 
